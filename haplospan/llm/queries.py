@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, huffman, jaccard, pii, sharding, topk, urlfilter
+from . import bpe, huffman, jaccard, langid, pii, sharding, topk, urlfilter
 from .common import table
 
 
@@ -25,6 +25,11 @@ def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -66,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_personal_data": op1_personal_data,
         "op2_token_files": op2_token_files,
         "op3_sharding": op3_sharding,
+        "op4_language_id": op4_language_id,
         "op6_url_filters": op6_url_filters,
         "op8_exact_top_k": op8_exact_top_k,
         "op9_ngram_jaccard": op9_ngram_jaccard,
