@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, huffman, jaccard, langid, pii, sharding, topk, urlfilter
+from . import bpe, decontaminate, huffman, jaccard, langid, pii, sharding, topk, urlfilter
 from .common import table
 
 
@@ -30,6 +30,11 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, langid.fit(docs))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "windows", "item_windows", "changed")
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
 
@@ -72,6 +77,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_token_files": op2_token_files,
         "op3_sharding": op3_sharding,
         "op4_language_id": op4_language_id,
+        "op5_decontamination": op5_decontamination,
         "op6_url_filters": op6_url_filters,
         "op8_exact_top_k": op8_exact_top_k,
         "op9_ngram_jaccard": op9_ngram_jaccard,
