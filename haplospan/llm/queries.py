@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, huffman, jaccard, langid, pii, sharding, topk, urlfilter
+from . import bpe, decontaminate, htmltext, huffman, jaccard, langid, pii, sharding, topk, urlfilter
 from .common import table
 
 
@@ -39,6 +39,11 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge_urls(table(spark, sf_dir, "pages"))
 
 
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return htmltext.extract(pages, htmltext.fit(pages))
+
+
 def op8_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -79,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_language_id": op4_language_id,
         "op5_decontamination": op5_decontamination,
         "op6_url_filters": op6_url_filters,
+        "op7_html_text": op7_html_text,
         "op8_exact_top_k": op8_exact_top_k,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_byte_bpe": op10_byte_bpe,
