@@ -52,8 +52,8 @@ def force_layout(nodes: DataFrame, edges: DataFrame, largest: int = 20_000) -> D
     sizes = of.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     if (most := sizes.agg(F.max("n")).first()[0] or 0) > largest:
         raise ValueError(f"a component of {most} nodes is over the limit of {largest}")
-    inner = links.join(of.select(F.col("node_id").alias("from_id"), "component"), "from_id")
-    placed = of.groupBy("component").cogroup(inner.groupBy("component")).applyInPandas(settle, "component string, node_id string, x0 double, x1 double, y double")
+    inner = links.join(of.select(F.col("node_id").alias("from_id"), F.col("component").alias("of_component")), "from_id")
+    placed = of.groupBy("component").cogroup(inner.groupBy("of_component")).applyInPandas(settle, "component string, node_id string, x0 double, x1 double, y double")
     boxes = placed.groupBy("component").agg((F.max("x1") - F.min("x0")).alias("w"), F.min("x0").alias("left"))
     shift = F.coalesce(F.sum(F.col("w") + GAP).over(Window.orderBy(F.desc("w"), "component").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))  # one row for each component of a drawing
     return placed.join(boxes.select("component", (shift - F.col("left")).alias("_by")), "component").select("node_id", (F.col("x0") + F.col("_by")).alias("x0"), (F.col("x1") + F.col("_by")).alias("x1"), "y")

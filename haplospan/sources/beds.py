@@ -37,7 +37,7 @@ def in_region(rows: DataFrame, ref: str, start: int, end: int) -> DataFrame:
 def carriers(tag_list: Column) -> Column:
     """Samples of the first SM tag in a list separated by spaces; null when there is none."""
     found = F.get(F.filter(F.split(tag_list, " "), lambda t: F.startswith(t, F.lit("SM:Z:"))), F.lit(0))
-    names = F.filter(F.transform(F.split(F.substring(found, 6, 1 << 30), ","), F.trim), lambda x: x != "")
+    names = F.filter(F.transform(F.split(F.substring(found, 6, 1 << 30), ","), lambda x: F.trim(x)), lambda x: x != "")
     return F.when(F.size(names) > 0, names)
 
 

@@ -82,10 +82,10 @@ def segments(lines: DataFrame) -> DataFrame:
 def links(lines: DataFrame) -> DataFrame:
     """L and E records: rec_no, source, source_strand, target, target_strand, cigar, tags."""
     f = F.col("f")
-    one = of_type(lines, "L").select("rec_no", f[1].alias("source"), f[2].alias("source_strand"), f[3].alias("target"), f[4].alias("target_strand"), F.get(f, F.lit(5)).alias("cigar"), tags(rest(f, 7)).alias("tags"))
+    one = of_type(lines, "L").select("rec_no", F.get(f, F.lit(1)).alias("source"), F.get(f, F.lit(2)).alias("source_strand"), F.get(f, F.lit(3)).alias("target"), F.get(f, F.lit(4)).alias("target_strand"), F.get(f, F.lit(5)).alias("cigar"), tags(rest(f, 7)).alias("tags"))
 
     def end(k: int) -> tuple[Column, Column]:
-        return F.expr(f"substring(f[{k}], 1, length(f[{k}]) - 1)"), F.right(f[k], F.lit(1))
+        return F.expr(f"substring(f[{k}], 1, length(f[{k}]) - 1)"), F.right(F.get(f, F.lit(k)), F.lit(1))
 
     (s, ss), (t, ts) = end(2), end(3)
     two = of_type(lines, "E").select("rec_no", s.alias("source"), ss.alias("source_strand"), t.alias("target"), ts.alias("target_strand"), F.get(f, F.lit(8)).alias("cigar"), tags(rest(f, 10)).alias("tags"))
@@ -98,21 +98,21 @@ STEP = "struct<segment:string,strand:string>"
 def paths(lines: DataFrame) -> DataFrame:
     """P records: rec_no, name, steps.  The last character of a step is cut whatever it is; only ``-`` is reverse."""
     f = F.col("f")
-    steps = F.transform(F.split(f[2], ","), lambda s: F.struct(F.substring(s, F.lit(1), F.length(s) - 1).alias("segment"), F.when(F.endswith(s, F.lit("-")), "-").otherwise("+").alias("strand")))
-    return of_type(lines, "P").select("rec_no", f[1].alias("name"), steps.cast(f"array<{STEP}>").alias("steps"))
+    steps = F.transform(F.split(F.get(f, F.lit(2)), ","), lambda s: F.struct(F.substring(s, F.lit(1), F.length(s) - 1).alias("segment"), F.when(F.endswith(s, F.lit("-")), "-").otherwise("+").alias("strand")))
+    return of_type(lines, "P").select("rec_no", F.get(f, F.lit(1)).alias("name"), steps.cast(f"array<{STEP}>").alias("steps"))
 
 
 def walks(lines: DataFrame) -> DataFrame:
     """W records: rec_no, sample, haplotype, contig, start and end (-1 for ``*``), steps, tags."""
     f = F.col("f")
-    found = F.regexp_extract_all(f[6], F.lit("(?:^|[><])[^><]+"), 0)
+    found = F.regexp_extract_all(F.get(f, F.lit(6)), F.lit("(?:^|[><])[^><]+"), 0)
     steps = F.transform(found, lambda s: F.struct(F.regexp_replace(s, "^[><]", "").alias("segment"), F.when(F.startswith(s, F.lit("<")), "-").otherwise("+").alias("strand")))
 
     def place(k: int) -> Column:
-        return F.when(f[k] == "*", F.lit(-1).cast("long")).otherwise(number(f[k]).cast("long"))
+        return F.when(F.get(f, F.lit(k)) == "*", F.lit(-1).cast("long")).otherwise(number(F.get(f, F.lit(k))).cast("long"))
 
     return of_type(lines, "W").select(
-        "rec_no", f[1].alias("sample"), number(f[2]).cast("long").alias("haplotype"), f[3].alias("contig"), place(4).alias("start"), place(5).alias("end"), steps.cast(f"array<{STEP}>").alias("steps"), tags(rest(f, 8)).alias("tags")
+        "rec_no", F.get(f, F.lit(1)).alias("sample"), number(F.get(f, F.lit(2))).cast("long").alias("haplotype"), F.get(f, F.lit(3)).alias("contig"), place(4).alias("start"), place(5).alias("end"), steps.cast(f"array<{STEP}>").alias("steps"), tags(rest(f, 8)).alias("tags")
     )
 
 
