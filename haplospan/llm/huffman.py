@@ -23,7 +23,6 @@ are ignored.
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import partitions, written
+from .tokens import word_encoder
 
 MAX_BITS = 18
 RUN = 128
@@ -111,29 +111,16 @@ def unpack(payload: bytes, checkpoints: np.ndarray, n: int, symbol: np.ndarray,
 # ---------------------------------------------------------------- tokens
 
 
-@functools.cache
-def tokenizer(path: str):
-    from tokenizers import Tokenizer
-
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
-
-
 def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
     """doc_id, tie (checksum of the text) and ids (packed unsigned 16-bit) of each document, the end id included."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        tok = tokenizer(path)
-        kind = "<u2" if tok.get_vocab_size() <= 1 << 16 else "<u4"
+        words = word_encoder(path)
+        end = np.array([end_id], dtype=words.kind).tobytes()
         for batch in batches:
-            for start in range(0, batch.num_rows, 64):
-                part = batch.slice(start, 64)
-                texts = [t or "" for t in part.column("text").to_pylist()]
-                ids = [np.array([*e.ids, end_id], dtype=kind).tobytes() for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                ids = [x + end for x in words.encode(part.column("text").to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array(ids, pa.binary())], ["doc_id", "tie", "ids"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
@@ -242,7 +229,7 @@ def block_starts(blocks: DataFrame) -> DataFrame:
 
 def store_documents(docs: DataFrame, path: str, end_id: int) -> tuple[DataFrame, list[tuple[int, int]]]:
     """Encode all documents, write the files, and return the block table and the code."""
-    kind = "<u2" if max(tokenizer(path).get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
+    kind = word_encoder(path).kind
     tokens = written(tokenized(docs, path, end_id), "ids")
     counts = {r["id"]: r["n"] for r in id_counts(tokens, kind).collect()}  # one row for each id of the vocabulary at most
     code = sorted(code_lengths(counts).items())
