@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from .langid import slices_of
 
 WIDTH = 8
+LITERAL = 5
 HITS = 3
 BROADCAST_WINDOWS = 200_000
 MEMORY = 300_000
@@ -99,7 +100,7 @@ def windows(hashes: np.ndarray, kinds: np.ndarray, width: int) -> np.ndarray:
         total = (total ^ hashes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
         total ^= total >> np.uint64(29)
     literal = np.convolve(kinds == WORD, np.ones(width, dtype=np.int64), mode="valid")
-    total[literal * 8 < width * 5] = 0
+    total[literal < LITERAL] = 0
     return total
 
 
