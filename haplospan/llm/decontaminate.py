@@ -11,8 +11,8 @@ Up to BROADCAST_WINDOWS benchmark windows, counted first, go to every task and e
 read; beyond that, windows of both sides are shuffled by hash and judged for each document and item.
 
 Defined cases: null texts and items match nothing; items of equal text are one, named by the smallest id; items shorter than
-a window are one window of their own length; a window needs five literal words for every eight places, so an
-item of placeholders alone never matches; repeated documents are all reported; empty tables give no rows; other
+a window are one window of their own length; a window needs five literal words, so shorter items and items of placeholders
+alone never match; repeated documents are all reported; empty tables give no rows; other
 columns are ignored.
 """
 
