@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.naming import pansn_haplotype, pansn_sample
+from ..storage import cut as checkpoint
 from .components import components
 from .spans import is_backbone, is_off_reference, neighbours
 
@@ -102,9 +103,9 @@ def project(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, D
 
     Alleles: run, ref, start, end, sample, haplotype, source_ref, rank, ref_span, alt_length, delta, kind, path_length, segments, nodes, offsets.
     """
-    run_of = runs(nodes, edges)
-    spans = intervals(anchors(nodes, edges, run_of))
-    placed = placements(nodes, edges, run_of, spans).join(nodes.select("node_id", "name", "length", "sn", "sr"), "node_id")
+    run_of = checkpoint(runs(nodes, edges))
+    spans = checkpoint(intervals(anchors(nodes, edges, run_of)))
+    placed = checkpoint(placements(nodes, edges, run_of, spans).join(nodes.select("node_id", "name", "length", "sn", "sr"), "node_id"))
     longest = F.struct("length", (-F.col("found")).alias("first"))
     in_order = F.array_sort(F.collect_list(F.struct("at", "name", "node_id", "offset")))
     of = placed.groupBy("run").agg(
