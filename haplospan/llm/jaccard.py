@@ -9,7 +9,8 @@ l in common: a longer prefix, but more matches.
 2. A node survives if enough of its prefix is shared with anyone; the rest cannot have a link.
 3. A survivor orders its shared prefix by count, rare first, and keeps r - need + j of the r for which it needs j
    matches with a partner.  j is chosen for the least estimated cost: the sum of the counts kept, over j.
-4. Nodes with the same most frequent kept shingle and the same size class form a block of bounded size.
+4. Nodes with the same anchor (the first by hash of the most frequent kept shingles, to a factor of two) and the same
+   size class form a group, cut into blocks of bounded size.
    Blocks that share enough kept shingles, and lie no more than one size class apart, meet once, and each pair
    of nodes across them is verified exactly on whole sets.  A meeting returns a node's local root and its number
    of linked documents, not its pairs; so a group of g copies gives g rows.
@@ -37,7 +38,7 @@ from .graph import components
 WORDS = 5
 #: Bounds of a block: so many shingles on average, and documents.
 BLOCK_SHINGLES = 1 << 18
-BLOCK_NODES = 256
+BLOCK_NODES = 512
 MIX = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD]
 
 
@@ -215,11 +216,11 @@ def count_shared(homes: int):
     return run
 
 
-SURVIVORS = "node long, n long, block long, class long, j long, kept array<long>"
+SURVIVORS = "node long, n long, anchor long, class long, j long, kept array<long>"
 
 
 def survive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The nodes whose prefix is shared often enough, their kept shingles, and their block."""
+    """The nodes whose prefix is shared often enough, their kept shingles and their anchor."""
     parts: list[tuple] = []
     for batch in batches:
         for k in range(batch.num_rows):
@@ -244,14 +245,19 @@ def survive(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         choices = [j for j in (1, 2, 4, 8, 16, 32, 64) if j <= need]
         j = min(choices, key=lambda j: (sums[r - need + j - 1] / j, j))
         kept = r - need + j
-        anchor, count = int(tokens[a + kept - 1]), int(counts[a + kept - 1])
-        group = int(size_class(np.float64(n)))
-        parts_of = max(1, -(-count * max(int((4 / 3) ** (group + 1)) + 1, BLOCK_SHINGLES // BLOCK_NODES) // BLOCK_SHINGLES))
-        key = np.array([anchor, group, (int(nodes[a]) >> 20) % parts_of], dtype=np.int64)
-        for to, value in zip(rows, (int(nodes[a]), n, node_of(key), group, j, tokens[a : a + kept]), strict=True):
+        # kept shingles lie in order of count: those of at least half the highest are the last ones
+        often = a + int(np.searchsorted(counts[a : a + kept] * 2, counts[a + kept - 1]))
+        anchor = int(tokens[often : a + kept].min())
+        for to, value in zip(rows, (int(nodes[a]), n, anchor, int(size_class(np.float64(n))), j, tokens[a : a + kept]), strict=True):
             to.append(value)
     kinds = [pa.int64()] * 5 + [pa.list_(pa.int64())]
-    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], ["node", "n", "block", "class", "j", "kept"])
+    yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(rows, kinds, strict=True)], ["node", "n", "anchor", "class", "j", "kept"])
+
+
+def with_blocks(survivors: DataFrame) -> DataFrame:
+    """Adds block: nodes of one anchor and size class, dealt by hash to as many blocks as their number and size ask for."""
+    sizes = survivors.groupBy("anchor", "class").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES)).alias("_parts"))
+    return survivors.join(sizes, ["anchor", "class"]).withColumn("block", F.xxhash64("anchor", "class", F.pmod(F.xxhash64("node"), "_parts"))).drop("_parts")
 
 
 def meetings(survivors: DataFrame) -> DataFrame:
@@ -352,7 +358,7 @@ def node_links(docs: DataFrame, info: DataFrame) -> DataFrame:
     buckets = partitions(spark)
     postings = with_hash(docs).select("text").mapInArrow(post(buckets), POSTINGS).repartition(buckets, "bucket")
     shared = postings.mapInArrow(count_shared(buckets), SHARED).repartition(buckets, "home")
-    survivors = written(shared.mapInArrow(survive, SURVIVORS), "survivors")
+    survivors = written(with_blocks(written(shared.mapInArrow(survive, SURVIVORS), "survivors")), "blocks")
     pairs = written(meetings(survivors), "meetings")
     # the whole sets of the survivors that meet anyone, from one document of each
     busy = pairs.select(F.col("a").alias("block")).union(pairs.select(F.col("b").alias("block"))).distinct()
