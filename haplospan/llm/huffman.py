@@ -35,7 +35,7 @@ from .tokens import word_encoder
 
 MAX_BITS = 18
 RUN = 128
-BLOCK_IDS = 65_536
+BLOCK_IDS = 262_144
 
 
 # ---------------------------------------------------------------- code
@@ -95,14 +95,12 @@ def pack(ids: np.ndarray, bits_of: np.ndarray, code_of: np.ndarray) -> tuple[byt
 
 def unpack(payload: bytes, checkpoints: np.ndarray, n: int, symbol: np.ndarray, width: np.ndarray) -> np.ndarray:
     """The ids of a block; symbol and width by the next MAX_BITS bits."""
-    data = np.frombuffer(payload + bytes(8), dtype=np.uint8)
-    at = checkpoints.astype(np.int64)
-    out = np.zeros((RUN, len(at)), dtype=np.int64)
-    last = len(data) - 5
+    data = np.frombuffer(payload + bytes(8), dtype=np.uint8).astype(np.uint32)
+    words = (data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:]  # the 32 bits from each byte on
+    at, last = checkpoints.astype(np.uint32), np.uint32(len(words) - 1)
+    out = np.zeros((RUN, len(at)), dtype=np.uint32)
     for k in range(RUN):
-        byte = np.minimum(at >> 3, last)
-        word = (data[byte].astype(np.int64) << 24) | (data[byte + 1].astype(np.int64) << 16) | (data[byte + 2].astype(np.int64) << 8) | data[byte + 3]
-        peek = (word >> (32 - MAX_BITS - (at & 7))) & ((1 << MAX_BITS) - 1)
+        peek = (words[np.minimum(at >> 3, last)] << (at & 7)) >> np.uint32(32 - MAX_BITS)
         out[k] = symbol[peek]
         at = at + width[peek]
     return out.T.reshape(-1)[:n]
@@ -134,8 +132,8 @@ def id_counts(tokens: DataFrame, kind: str) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for x in batch.column("ids"):
-                here = np.bincount(np.frombuffer(x.as_py(), dtype=kind))
+            for start in range(0, batch.num_rows, 1024):
+                here = np.bincount(np.frombuffer(b"".join(batch.column("ids").slice(start, 1024).to_pylist()), dtype=kind))
                 if len(here) > len(total):
                     total = np.concatenate([total, np.zeros(len(here) - len(total), dtype=np.int64)])
                 total[: len(here)] += here
@@ -192,7 +190,7 @@ def read_blocks(blocks: DataFrame, code: list[tuple[int, int]]) -> DataFrame:
         ids, bits, _ = canonical(*np.array(code, dtype=np.int64).reshape(-1, 2).T)
         symbol, width = np.repeat(ids, 1 << (MAX_BITS - bits)), np.repeat(bits, 1 << (MAX_BITS - bits))
         gap = (1 << MAX_BITS) - len(symbol)
-        symbol, width = np.pad(symbol, (0, gap)), np.pad(width, (0, gap), constant_values=1)
+        symbol, width = np.pad(symbol, (0, gap)).astype(np.uint32), np.pad(width, (0, gap), constant_values=1).astype(np.uint32)
         for batch in batches:
             for row in range(batch.num_rows):
                 part, block, doc_ids, sizes, n, points, payload = (batch.column(k)[row].as_py() for k in range(7))
