@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release_memory
 from .langid import slices_of
 
 WIDTH = 8
@@ -255,5 +256,7 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_
         for batch in batches:
             for part in slices_of(batch):
                 yield part.filter(pa.array([not matcher.leaks(t) for t in part.column("text").to_pylist()], pa.bool_()))
+        del matcher
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)

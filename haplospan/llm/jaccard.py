@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, written
+from .common import partitions, release_memory, written
 from .graph import components
 
 WORDS = 5
@@ -163,11 +163,13 @@ def post(buckets: int):
                 nodes.append(node)
                 sizes.append(len(s))
                 total += len(held[-1])
-                if total >= 1 << 21 or len(held) == 1 << 16:
+                if total >= 1 << 20 or len(held) == 1 << 16:
                     yield flush(held, nodes, sizes)
                     held, nodes, sizes, total = [], [], [], 0
         if held:
             yield flush(held, nodes, sizes)
+        held, seen = [], set()
+        release_memory()
 
     return run
 
@@ -212,6 +214,7 @@ def count_shared(homes: int):
                 pa.array([count[a:b].astype("<u4").tobytes() for a, b in parts], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(columns, ["home", "bucket", "prints", "nodes", "sizes", "counts"])
+        release_memory()
 
     return run
 

@@ -26,6 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import release_memory
+
 DIMENSIONS = 1 << 16
 SAMPLE = 400
 WINDOW = 4000
@@ -34,7 +36,7 @@ RATE = 0.3
 DECAY = 1e-6
 #: Words remembered with their scores in each Python worker.
 MEMORY = 200_000
-CHUNK_WORDS = 400_000
+CHUNK_WORDS = 300_000
 
 
 @functools.cache
@@ -84,11 +86,11 @@ def marginals(scores: np.ndarray, sizes: list[int], model: Model, with_moves: bo
     first = (np.cumsum(sizes) - sizes)[order]
     running = np.searchsorted(-length, -np.arange(1, (length[0] if len(length) else 0) + 1), side="right")
     emit = np.exp(scores - scores.max(axis=1, keepdims=True))
-    move = np.exp(model.moves)
+    move = np.exp(model.moves).astype(emit.dtype)
     ahead, behind = np.empty_like(emit), np.ones_like(emit)
     for t, n in enumerate(running.tolist()):
         at = first[:n] + t
-        a = (ahead[at - 1] @ move if t else np.exp(model.start)[None, :]) * emit[at]
+        a = (ahead[at - 1] @ move if t else np.exp(model.start).astype(emit.dtype)[None, :]) * emit[at]
         ahead[at] = a / a.sum(axis=1, keepdims=True)
     for t in range(len(running) - 2, -1, -1):
         at = first[: running[t + 1]] + t
@@ -188,7 +190,8 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.place = model, {}
-        self.table = np.zeros((0, len(model.languages)))
+        self.weights = model.weights.astype(np.float32)
+        self.table = np.zeros((0, len(model.languages)), dtype=np.float32)
 
     def scores(self, words: list[str]) -> np.ndarray:
         if len(self.place) > MEMORY:
@@ -196,7 +199,7 @@ class Scorer:
         new = list(set(words).difference(self.place))
         parts = [self.table]
         for at in range(0, len(new), 8192):
-            parts.append(self.model.weights[padded(new[at : at + 8192])].sum(axis=1))
+            parts.append(self.weights[padded(new[at : at + 8192])].sum(axis=1))
         if new:
             self.place.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
             self.table = np.concatenate(parts)
@@ -231,7 +234,7 @@ def predicted(scorer: Scorer, texts: list[str | None]) -> tuple[list[str], list[
     return names, best
 
 
-def slices_of(batch: pa.RecordBatch, chars: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+def slices_of(batch: pa.RecordBatch, chars: int = 1 << 21) -> Iterator[pa.RecordBatch]:
     """Parts of a batch with about so many characters of text."""
     import pyarrow.compute as pc
 
@@ -253,6 +256,8 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             for part in slices_of(batch):
                 names, best = predicted(scorer, part.column("text").to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("held_out"), pa.array(names, pa.string()), pa.array(best, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
+        del scorer
+        release_memory()
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out(), F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
@@ -293,5 +298,7 @@ def keep_identified(docs: DataFrame, model: Model, least: float = 0.3) -> DataFr
             for part in slices_of(batch):
                 names, best = predicted(scorer, part.column("text").to_pylist())
                 yield part.filter(pa.array([n != "und" and b >= least for n, b in zip(names, best, strict=True)]))
+        del scorer
+        release_memory()
 
     return docs.mapInArrow(run, docs.schema)
