@@ -2,7 +2,7 @@
 
 A page becomes its sequence of leaf blocks: runs of text between block-level tags, each with the path of its open elements.
 A bidirectional LSTM in numpy reads, for each block, learned vectors of its path (tags, and the words of class, id and role),
-of its hashed words, and a few numbers; so each block is classified with the whole page as context.  Blocks labelled as
+of its hashed words (the mean over all words of the block), and a few numbers; so each block is classified with the whole page as context.  Blocks labelled as
 main text are joined in page order.
 
 Training takes a bounded sample of pages (SAMPLE, chosen by a hash of the url).  Pages that mark their article label
@@ -20,6 +20,7 @@ import functools
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,6 +32,7 @@ SAMPLE = 300
 SAMPLE_CHARS = 60_000
 COMPOSED = 900
 PATHS, WORDS = 1024, 512
+PIECE = 65_536
 PATH_SIZE, WORD_SIZE, HIDDEN = 16, 4, 16
 NUMBERS = 6
 STEPS = 220
@@ -139,14 +141,25 @@ def path_ids(path: tuple[str, ...]) -> tuple[int, ...]:
     return tuple(sorted({zlib.crc32(w.encode("utf-8", "surrogatepass")) % PATHS for w in path}))
 
 
-def described(page_blocks: list[tuple[tuple[str, ...], str, int]]) -> tuple[list[tuple[int, ...]], list[list[int]], np.ndarray]:
-    """Path places, word places and numbers of each block."""
+def word_counts(text: str) -> Counter[int]:
+    """How often each word place occurs among all words of a block, counted piece by piece."""
+    counts: Counter[int] = Counter()
+    at = 0
+    while at < len(text):
+        end = text.find(" ", at + PIECE)
+        end = len(text) if end < 0 else end
+        counts.update([zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORDS for w in text[at:end].lower().split()])
+        at = end
+    return counts
+
+
+def described(page_blocks: list[tuple[tuple[str, ...], str, int]]) -> tuple[list[tuple[int, ...]], list[Counter[int]], np.ndarray]:
+    """Path places, counts of word places and numbers of each block."""
     n = len(page_blocks)
     numbers = np.zeros((n, NUMBERS))
     words = []
     for k, (path, text, links) in enumerate(page_blocks):
-        some = text[:200].lower().split()[:24]
-        words.append([zlib.crc32(w.encode("utf-8", "surrogatepass")) % WORDS for w in some])
+        words.append(word_counts(text))
         numbers[k] = (np.log1p(len(text)) / 5, min(1.0, links / max(1, len(text))), k / n, (n - k) / n, float(text[-1] in ".!?…"), len(path) / 8)
     return [path_ids(p) for p, _, _ in page_blocks], words, numbers
 
@@ -173,7 +186,7 @@ class Labeller:
         steps, n = max(len(p[0]) for p in pages), len(pages)
         mask = np.zeros((steps, n))
         numbers = np.zeros((steps, n, NUMBERS))
-        flat: dict[str, list] = {"path_at": [], "path": [], "word_at": [], "word": []}
+        flat: dict[str, list] = {"path_at": [], "path": [], "word_at": [], "word": [], "times": []}
         for k, (paths, words, values) in enumerate(pages):
             mask[: len(paths), k] = 1
             numbers[: len(paths), k] = values
@@ -181,19 +194,20 @@ class Labeller:
                 flat["path_at"] += [t * n + k] * len(p)
                 flat["path"] += p
                 flat["word_at"] += [t * n + k] * len(w)
-                flat["word"] += w
+                flat["word"] += w.keys()
+                flat["times"] += w.values()
         index = {k: np.array(v, dtype=np.int64) for k, v in flat.items()}
         path = self.pooled("paths", index["path"], index["path_at"], steps * n, root=True)
-        word = self.pooled("words", index["word"], index["word_at"], steps * n)
+        word = self.pooled("words", index["word"], index["word_at"], steps * n, times=index["times"])
         x = np.concatenate([path[0].reshape(steps, n, -1), word[0].reshape(steps, n, -1), numbers], axis=2)
         return x, mask, (index, path[1], word[1])
 
-    def pooled(self, name: str, ids: np.ndarray, at: np.ndarray, rows: int, root: bool = False) -> tuple[np.ndarray, np.ndarray]:
-        """Means of vectors by row (sums over the square root of their number for paths)."""
+    def pooled(self, name: str, ids: np.ndarray, at: np.ndarray, rows: int, root: bool = False, times: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Means of vectors by row (sums over the square root of their number for paths); a vector counts as often as times says."""
         table = self.of[name]
-        count = np.maximum(1, np.bincount(at, minlength=rows))
+        count = np.maximum(1, np.bincount(at, weights=times, minlength=rows))
         scale = 1 / np.sqrt(count) if root else 1 / count
-        sums = np.stack([np.bincount(at, weights=table[ids, k], minlength=rows) for k in range(table.shape[1])], axis=1)
+        sums = np.stack([np.bincount(at, weights=table[ids, k] if times is None else table[ids, k] * times, minlength=rows) for k in range(table.shape[1])], axis=1)
         return sums * scale[:, None], scale
 
     def side(self, name: str, x: np.ndarray, mask: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
@@ -252,8 +266,11 @@ class Labeller:
             out |= {f"{name}_own": d_own, f"{name}_in": np.einsum("tnk,tnz->kz", x, d_z), f"{name}_bias": d_z.sum(axis=(0, 1))}
             d_x += d_z @ self.of[f"{name}_in"].T
         flat = d_x.reshape(-1, d_x.shape[2])
-        for name, low, size, ids, places, scale in (("paths", 0, PATH_SIZE, index["path"], index["path_at"], path_scale), ("words", PATH_SIZE, WORD_SIZE, index["word"], index["word_at"], word_scale)):
-            share = flat[places, low : low + size] * scale[places][:, None]
+        for name, low, size, ids, places, scale in (
+            ("paths", 0, PATH_SIZE, index["path"], index["path_at"], path_scale[index["path_at"]]),
+            ("words", PATH_SIZE, WORD_SIZE, index["word"], index["word_at"], word_scale[index["word_at"]] * index["times"]),
+        ):
+            share = flat[places, low : low + size] * scale[:, None]
             out[name] = np.stack([np.bincount(ids, weights=share[:, k], minlength=len(self.of[name])) for k in range(size)], axis=1)
         return out
 

@@ -175,6 +175,15 @@ def test_html_parts(spark, labeller):
     htmltext.fit(pages.limit(0))
 
 
+def test_html_words_after_the_first():
+    opening = " ".join(f"word{k}" for k in range(40))
+    blocks = [[(("html", "body", "div"), f"{opening} {end}", 0)] for end in ("prose goes on here", "subscribe now buy here")]
+    prose, advert = (htmltext.Labeller().inputs([htmltext.described(b)])[0] for b in blocks)
+    assert not np.allclose(prose[..., htmltext.PATH_SIZE : -htmltext.NUMBERS], advert[..., htmltext.PATH_SIZE : -htmltext.NUMBERS])
+    words = "two two one " * 60_000
+    assert htmltext.word_counts(words.strip()) == {k: 60_000 * n for w, n in (("two", 2), ("one", 1)) for k in htmltext.word_counts(w)}
+
+
 # ---------------------------------------------------------------- pipeline
 
 
