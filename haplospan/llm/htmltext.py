@@ -10,6 +10,9 @@ their own blocks by their elements; further pages are composed of the sampled bl
 out anew, so that elements and context decide, not words: articles in unmarked containers, menus, headers,
 sidebars, notices, adverts, forms, reader comments and footers.
 
+Only script, style and template are raw text, as in HTML also to the end of the page where they are not closed; the elements of formulas, drawings
+and fallback text (math, svg, object, canvas, iframe, noscript) are inline elements like others.
+
 Defined cases: null or empty html has no text; html without tags is one block; repeated pages give repeated rows; null ids and
 urls are kept; an empty table gives no rows; other columns are ignored.
 """
@@ -42,8 +45,13 @@ LEAVES = 96
 
 # Elements by their part in HTML.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style template noscript svg math iframe object canvas".split())
-INLINE = set(
+RAW = set("script style template".split())
+EMBEDDED = set("math svg object canvas iframe noscript".split())
+FOREIGN = set(
+    "mi mn mo ms mtext mspace mrow mfrac msqrt mroot mstyle merror mpadded mphantom mfenced menclose msub msup msubsup munder mover munderover mmultiscripts mprescripts "
+    "none mtable mtr mtd maction semantics annotation annotation-xml g text tspan textpath defs symbol use path rect circle ellipse line polyline polygon desc metadata".split()
+)
+INLINE = EMBEDDED | FOREIGN | set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img input ins kbd label mark meter output progress q s samp select small span "
     "strike strong sub sup time tt u var wbr button textarea option".split()
 )
@@ -110,7 +118,7 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         if tag not in INLINE:
             close_block()
-        elif not m[1]:
+        elif not m[1] and tag not in FOREIGN and not (tag in EMBEDDED and tag in inline):
             inline.append(tag)
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
@@ -127,7 +135,7 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
                     break
                 if open_tag in SCOPES:
                     break
-            if tag not in VOID:
+            if tag not in VOID and not (tag in EMBEDDED | FOREIGN and m[3].rstrip().endswith("/")):
                 stack.append((tag, path_words(tag, m[3])))
     close_block()
     return out

@@ -184,6 +184,18 @@ def test_html_words_after_the_first():
     assert htmltext.word_counts(words.strip()) == {k: 60_000 * n for w, n in (("two", 2), ("one", 1)) for k in htmltext.word_counts(w)}
 
 
+def test_html_embedded_elements():
+    def texts(page):
+        return [t for _, t, _ in htmltext.blocks_of(page)]
+
+    assert texts("<article><p>Area <math><mrow><mi>x</mi><mo>=</mo><mn>2</mn><mspace/></mrow></math> holds.</p><p>Next</p></article>") == ["Area x=2 holds.", "Next"]
+    assert texts("<p>See <object data=a.pdf>the file</object></p><noscript><p>No script</p></noscript><svg><path d='M0'/><text>Label</text></svg>") == ["See the file", "No script", "Label"]
+    for tag in ("math", "svg", "object", "canvas", "iframe", "noscript"):
+        assert texts(f"<p>One</p><{tag}><p>Two</p><p>Three</p>") == ["One", "Two", "Three"]
+        assert texts(f"<p>One <{tag}/>two</p>") == ["One two"]
+    assert texts("<p>One</p><script>a</script><style>b</style><template>c</template><p>Two</p>") == ["One", "Two"]
+
+
 # ---------------------------------------------------------------- pipeline
 
 
