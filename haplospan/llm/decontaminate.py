@@ -2,17 +2,17 @@
 
 Texts become sequences of words and numbers in which numbers, names and units are placeholders of their type: a
 name is a capitalised word that does not start a sentence.  Windows of WIDTH template words of the benchmark and of the documents
-are joined by hash.  A document then holds an occurrence of an item for each offset between the two at which
+are joined by hash; a template needs five literal words.  Every window is also joined by its own tokens (in lower case if five are words or
+names, else as they stand), so that verbatim copies of every item are found.  A document then holds an occurrence of an item for each offset between the two at which
 windows match; an occurrence counts if its slots are consistent: each value of the item stands for one value of the
 document, and no two for the same.  So re-parameterised questions are found and chance matches of templates are not.
-An item leaks into a document if its consistent occurrences cover HITS windows of it, or all it has.
+An item leaks into a document if its consistent occurrences cover HITS windows of it, or all it has, or as many of those that are templates.
 
 Up to BROADCAST_WINDOWS benchmark windows, counted first, go to every task and each document is judged where it is
 read; beyond that, windows of both sides are shuffled by hash and judged for each document and item.
 
 Defined cases: null texts and items match nothing; items of equal text are one, named by the smallest id; items shorter than
-a window are one window of their own length; a window needs five literal words, so shorter items and items of placeholders
-alone never match; repeated documents are all reported; empty tables give no rows; other
+a window are one window of their own length, down to one token; items without words and numbers match nothing; repeated documents are all reported; empty tables give no rows; other
 columns are ignored.
 """
 
@@ -21,6 +21,7 @@ from __future__ import annotations
 import functools
 from collections import defaultdict
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +37,8 @@ HITS = 3
 BROADCAST_WINDOWS = 200_000
 MEMORY = 300_000
 NUMBER, NAME, UNIT, STOP, WORD, CAPITAL = range(6)
+EXACT = -1
+NAME_HASH = np.uint64(0x6E616D65)
 # Units of measure.
 UNITS = (
     "mm cm m km in ft yd mi mg g kg t oz lb lbs ml cl l s sec min h hr hrs day days week weeks year years mph kmh "
@@ -52,12 +55,15 @@ def pattern():
 
 
 class Templates:
-    """Hashes and kinds of tokens, remembered."""
+    """Hashes and kinds of tokens, remembered by token number."""
 
     def __init__(self):
-        self.memory: dict[str, tuple[int, int]] = {}
+        self.memory: dict[str, int] = {}
+        self.hashes = np.zeros((3, 1024), dtype=np.uint64)
+        self.kinds = np.zeros(1024, dtype=np.int8)
 
-    def code(self, token: str) -> tuple[int, int]:
+    def code(self, token: str) -> tuple[int, int, int, int]:
+        """Hashes as part of a template, in lower case and as it stands, and the kind."""
         import xxhash
 
         first = token[0]
@@ -70,46 +76,69 @@ class Templates:
         else:
             kind = CAPITAL if len(token) > 1 and first.isupper() and token[1:].islower() else WORD
             name = token.lower()
-        return xxhash.xxh3_64_intdigest(name.encode("utf-8", "surrogatepass")), kind
+        return *(xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in (name, token.lower(), token)), kind
 
     def __call__(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Tokens without stops, the hashes of their template words and their kinds (NUMBER, NAME, UNIT or WORD)."""
+        """Tokens without stops, their three hashes and their kinds (NUMBER, NAME, UNIT or WORD)."""
         tokens = pattern().findall(text) if text else []
         if len(self.memory) > MEMORY:
             self.memory.clear()
         for t in set(tokens).difference(self.memory):
-            self.memory[t] = self.code(t)
-        found = list(map(self.memory.__getitem__, tokens))
-        hashes = np.fromiter((x[0] for x in found), np.uint64, len(found))
-        kinds = np.fromiter((x[1] for x in found), np.int8, len(found))
+            k = self.memory[t] = len(self.memory)
+            if k == len(self.kinds):
+                self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)], axis=1)
+                self.kinds = np.concatenate([self.kinds, np.zeros_like(self.kinds)])
+            *self.hashes[:, k], self.kinds[k] = self.code(t)
+        found = np.fromiter(map(self.memory.__getitem__, tokens), np.int64, len(tokens))
+        hashes, kinds = self.hashes[:, found], self.kinds[found]
         starts = np.concatenate([[True], kinds[:-1] == STOP]) if len(kinds) else np.zeros(0, dtype=bool)
         names = (kinds == CAPITAL) & ~starts
         kinds[kinds == CAPITAL] = WORD
         kinds[names] = NAME
-        hashes[names] = np.uint64(0x6E616D65)
+        hashes[0, names] = NAME_HASH
         keep = kinds != STOP
-        return [t for t, k in zip(tokens, keep.tolist(), strict=True) if k], hashes[keep], kinds[keep]
+        return [t for t, k in zip(tokens, keep.tolist(), strict=True) if k], hashes[:, keep], kinds[keep]
 
 
-def windows(hashes: np.ndarray, kinds: np.ndarray, width: int) -> np.ndarray:
-    """The hash of the window from each place on; 0 for windows with too few literal words."""
-    n = len(hashes) - width + 1
-    if n <= 0 or width < 2:
-        return np.zeros(0, dtype=np.uint64)
-    total = np.full(n, width, dtype=np.uint64)
+def mixed(hashes: np.ndarray, at: np.ndarray, width: int, seed: int) -> np.ndarray:
+    """The hash of the window from each given place on."""
+    total = np.full(len(at), width + seed, dtype=np.uint64)
     for i in range(width):
-        total = (total ^ hashes[i : i + n]) * np.uint64(0x9E3779B97F4A7C15)
+        total = (total ^ hashes[at + i]) * np.uint64(0x9E3779B97F4A7C15)
         total ^= total >> np.uint64(29)
-    literal = np.convolve(kinds == WORD, np.ones(width, dtype=np.int64), mode="valid")
-    total[literal < LITERAL] = 0
     return total
 
 
-def slots(tokens: list[str], kinds: np.ndarray, at: int, width: int) -> list[str]:
+def rich(kinds: np.ndarray, width: int) -> np.ndarray:
+    """Whether the window from each place on has enough literal words for a template."""
+    return np.convolve(kinds == WORD, np.ones(width, dtype=np.int64), mode="valid") >= LITERAL
+
+
+def windows(hashes: np.ndarray, kinds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, hash and form of the windows: EXACT for their tokens (in lower case if enough of them are words), 0 for their template."""
+    n = len(kinds) - width + 1
+    if n <= 0 or width < 1:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int16)
+    ones = np.ones(width, dtype=np.int64)
+    wordy = np.convolve((kinds == WORD) | (kinds == NAME), ones, mode="valid") >= LITERAL
+    plain, poor = np.flatnonzero(wordy), np.flatnonzero(~wordy)
+    template = np.flatnonzero(rich(kinds, width) & (np.convolve(kinds != WORD, ones, mode="valid") > 0))
+    found = [
+        (plain, mixed(hashes[1], plain, width, 0), np.full(len(plain), EXACT, dtype=np.int16)),
+        (poor, mixed(hashes[2], poor, width, 1 << 32), np.full(len(poor), EXACT, dtype=np.int16)),
+        (template, mixed(hashes[0], template, width, 2 << 32), np.zeros(len(template), dtype=np.int16)),
+    ]
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def slots(tokens: list[str], kinds: np.ndarray, at: int, width: int, form: int) -> list[str]:
+    if form == EXACT:
+        return []
     return [f"{kinds[k]}{tokens[k].lower()}" for k in range(at, at + width) if kinds[k] != WORD]
 
 
-WINDOWS = "item_id long, at int, width int, of int, hash long, slots array<string>"
+WINDOWS = "item_id long, at int, width int, of int, rich int, template boolean, forms array<struct<hash: bigint, slots: array<string>>>"
+FORMS = pa.list_(pa.struct([("hash", pa.int64()), ("slots", pa.list_(pa.string()))]))
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,17 +147,20 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         rows = []
         for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
             tokens, hashes, kinds = template(text)
+            if not tokens:
+                continue
             width = min(WIDTH, len(tokens))
-            found = windows(hashes, kinds, width)
-            useful = np.flatnonzero(found)
-            for at in useful.tolist():
-                rows.append((item, at, width, len(useful), int(found[at].astype(np.int64)), slots(tokens, kinds, at, width)))
-        kinds_of = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.list_(pa.string())]
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds_of)], ["item_id", "at", "width", "of", "hash", "slots"])
+            forms: dict[int, list[dict]] = defaultdict(list)
+            for at, value, form in zip(*(c.tolist() for c in windows(hashes, kinds, width)), strict=True):
+                forms[at].append({"hash": value - (1 << 64) if value >> 63 else value, "slots": slots(tokens, kinds, at, width, form)})
+            enough = rich(kinds, width).tolist()
+            rows += [(item, at, width, len(enough), sum(enough), enough[at], forms[at]) for at in sorted(forms)]
+        kinds_of = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), FORMS]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds_of)], ["item_id", "at", "width", "of", "rich", "template", "forms"])
 
 
 def item_windows(benchmark: DataFrame) -> DataFrame:
-    """item_id, at, width, of (windows of the item), hash and slots of each window of each different item."""
+    """Each window of each different item: item_id, at, width, of (windows of the item), rich (those that may match as templates), template (whether it may), and its forms."""
     items = benchmark.where(F.col("text").isNotNull()).groupBy(F.col("text").cast("string").alias("text")).agg(F.min(F.col("item_id").cast("long")).alias("item_id"))
     return items.select("item_id", "text").mapInArrow(_item_windows, WINDOWS)
 
@@ -137,22 +169,34 @@ def consistent(pairs: set[tuple[str, str]]) -> bool:
     return len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
-def judge(matches: list[tuple[int, int, int, list[str], list[str]]]) -> tuple[int, bool, int] | None:
-    """Windows covered, whether a slot was changed and the item's windows, if the item leaks.
+class Match(NamedTuple):
+    """A window of an item in a document: places, windows of the item in all and as templates, whether this is one, and the slots."""
+
+    place: int
+    at: int
+    width: int
+    of: int
+    rich: int
+    template: bool
+    slots: list[str]
+    here: list[str]
+
 
-    matches: place in the document, place in the item, windows of the item, slots of the item, slots of the document.
-    """
-    by_offset: dict[int, list] = defaultdict(list)
+def judge(matches: list[Match]) -> tuple[int, bool, int] | None:
+    """Windows covered, whether a slot was changed and the item's windows, if the item leaks."""
+    by_offset: dict[int, list[Match]] = defaultdict(list)
     for m in matches:
-        by_offset[m[0] - m[1]].append(m)
-    covered, changed = set(), False
+        by_offset[m.place - m.at].append(m)
+    covered, changed = {}, False
     for some in by_offset.values():
-        pairs = {p for m in some for p in zip(m[3], m[4], strict=True)}
+        covered.update((m.at, m.template) for m in some if m.slots == m.here)
+        pairs = {p for m in some for p in zip(m.slots, m.here, strict=True)}
         if consistent(pairs):
-            covered.update(m[1] for m in some)
+            covered.update((m.at, m.template) for m in some)
             changed = changed or any(a != b for a, b in pairs)
-    of = matches[0][2]
-    return (len(covered), changed, of) if len(covered) >= min(HITS, of) else None
+    of, as_templates = matches[0].of, matches[0].rich
+    enough = len(covered) >= min(HITS, of) or (as_templates and sum(covered.values()) >= min(HITS, as_templates))
+    return (len(covered), changed, of) if enough else None
 
 
 class Matcher:
@@ -160,24 +204,27 @@ class Matcher:
 
     def __init__(self, rows: list[tuple]):
         self.by_hash: dict[int, list[tuple]] = defaultdict(list)
-        for item, at, width, of, value, values in rows:
-            self.by_hash[value].append((item, at, width, of, values))
+        for item, at, width, of, as_templates, template, forms in rows:
+            for value, values in forms:
+                self.by_hash[value].append((item, at, width, of, as_templates, template, values))
         self.widths = sorted({r[2] for r in rows})
         self.flags = np.zeros(1 << 22, dtype=bool)
-        self.flags[np.array([r[4] for r in rows], dtype=np.int64).view(np.uint64) % np.uint64(1 << 22)] = True
+        self.flags[np.array(list(self.by_hash), dtype=np.int64).view(np.uint64) % np.uint64(1 << 22)] = True
         self.template = Templates()
 
     def leaks(self, text: str | None) -> list[tuple[int, int, bool, int]]:
         """item, windows covered, changed, windows of the item."""
         tokens, hashes, kinds = self.template(text)
-        by_item: dict[int, list] = defaultdict(list)
+        by_item: dict[int, list[Match]] = defaultdict(list)
         for width in self.widths:
-            found = windows(hashes, kinds, width)
-            for at in np.flatnonzero(self.flags[found % np.uint64(1 << 22)] & (found != 0)).tolist():
-                for item, place, wide, of, values in self.by_hash.get(int(found[at].astype(np.int64)), ()):
-                    here = slots(tokens, kinds, at, width)
+            places, found, forms = windows(hashes, kinds, width)
+            hit = np.flatnonzero(self.flags[found % np.uint64(1 << 22)])
+            for at, value, form in zip(places[hit].tolist(), found[hit].astype(np.int64).tolist(), forms[hit].tolist(), strict=True):
+                met = self.by_hash.get(value, ())
+                here = slots(tokens, kinds, at, width, form) if met else []
+                for item, place, wide, of, as_templates, template, values in met:
                     if wide == width and len(here) == len(values):
-                        by_item[item].append((at, place, of, values, here))
+                        by_item[item].append(Match(at, place, width, of, as_templates, template, values, here))
         return [(item, *verdict) for item in sorted(by_item) if (verdict := judge(by_item[item]))]
 
 
@@ -225,8 +272,11 @@ def joined_leaks(narrow: DataFrame, items: DataFrame) -> DataFrame:
                 for k, t in enumerate(part.column("text").to_pylist()):
                     tokens, hashes, kinds = template(t)
                     for width in widths:
-                        found = windows(hashes, kinds, width)
-                        rows += [(k, at, width, int(found[at].astype(np.int64)), slots(tokens, kinds, at, width)) for at in np.flatnonzero(found).tolist()]
+                        places, found, forms = windows(hashes, kinds, width)
+                        rows += [
+                            (k, at, width, value, slots(tokens, kinds, at, width, form))
+                            for at, value, form in zip(places.tolist(), found.astype(np.int64).tolist(), forms.tolist(), strict=True)
+                        ]
                 at = pa.array([r[0] for r in rows], pa.int64())
                 columns = [part.column("row").take(at), part.column("doc_id").take(at), part.column("text_hash").take(at)]
                 columns += [pa.array([r[k] for r in rows], kind) for k, kind in ((1, pa.int32()), (2, pa.int32()), (3, pa.int64()), (4, pa.list_(pa.string())))]
@@ -234,11 +284,12 @@ def joined_leaks(narrow: DataFrame, items: DataFrame) -> DataFrame:
 
     def verdict(group: pa.Table) -> pa.Table:
         rows = group.to_pylist()
-        found = judge([(r["place"], r["at"], r["of"], r["slots"], r["here"]) for r in rows])
+        found = judge([Match(*(r[k] for k in Match._fields)) for r in rows])
         out = [(rows[0]["doc_id"], rows[0]["text_hash"], rows[0]["item_id"], *found)] if found else []
         return pa.Table.from_arrays([pa.array([r[k] for r in out], kind) for k, kind in enumerate(LEAK_KINDS)], names=LEAK_NAMES)
 
     own = narrow.withColumn("row", F.monotonically_increasing_id()).mapInArrow(run, "row long, doc_id long, text_hash long, place int, wide int, value long, here array<string>")
+    items = items.select("*", F.explode("forms").alias("form")).select("item_id", "at", "width", "of", "rich", "template", "form.hash", "form.slots")
     met = own.join(items, F.expr("value = hash and wide = width and size(here) = size(slots)"))
     return met.groupBy("row", "item_id").applyInArrow(verdict, LEAKS)
 

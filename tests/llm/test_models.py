@@ -111,6 +111,22 @@ def test_planted_items_are_found(spark):
     assert want <= got and len(got - want) <= 3
 
 
+def leaks_of(spark, items, docs, bound):
+    items = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")
+    return {(r["doc_id"], r["item_id"], r["changed"]) for r in decontaminate.find_leaks(docs, items, bound).collect()}
+
+
+BOUNDS = pytest.mark.parametrize("bound", [0, decontaminate.BROADCAST_WINDOWS])
+
+
+@BOUNDS
+def test_copies_of_items_with_few_plain_words(spark, bound):
+    items = ["John has 3 apples, Mary has 4", "12 kg 34 Anna 56 Berta 78 Clara 90 David", "Name it", "Paris", "John 3 Mary 4 Anna 5 Berta 6 Clara 7 David 8"]
+    docs = [f"Some words, then {i} and more" for i in items] + ["John has 5 apples, Paul has 4", "12 kg 34 Anna 56 Berta 77 Clara 90 David", "name it", "paris"]
+    assert leaks_of(spark, items, docs, bound) == {(k, k, False) for k in range(len(items))}
+
+
 # ---------------------------------------------------------------- html
 
 
