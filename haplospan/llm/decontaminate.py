@@ -4,8 +4,8 @@ Texts become sequences of words and numbers in which numbers, names and units ar
 name is a capitalised word that does not start a sentence.  Windows of WIDTH template words of the benchmark and of the documents
 are joined by hash; a template needs five literal words.  Every window is also joined by its own tokens (in lower case if five are words or
 names, else as they stand), so that verbatim copies of every item are found.  A document then holds an occurrence of an item for each offset between the two at which
-windows match; an occurrence counts if its slots are consistent: each value of the item stands for one value of the
-document, and no two for the same.  So re-parameterised questions are found and chance matches of templates are not.
+windows match; its windows count if their slots are unchanged or consistent in the run of overlapping windows: each value of the item
+stands for one value of the document, and at most two in the occurrence for the same.  Windows that hold a slot in conflict are left out, not the others.  So re-parameterised questions are found and chance matches of templates are not.
 An item leaks into a document if its consistent occurrences cover HITS windows of it, or all it has, or as many of those that are templates.
 
 Up to BROADCAST_WINDOWS benchmark windows, counted first, go to every task and each document is judged where it is
@@ -19,7 +19,7 @@ columns are ignored.
 from __future__ import annotations
 
 import functools
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -34,6 +34,7 @@ from .langid import slices_of
 WIDTH = 8
 LITERAL = 5
 HITS = 3
+SHARED = 2
 BROADCAST_WINDOWS = 200_000
 MEMORY = 300_000
 NUMBER, NAME, UNIT, STOP, WORD, CAPITAL = range(6)
@@ -165,10 +166,6 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return items.select("item_id", "text").mapInArrow(_item_windows, WINDOWS)
 
 
-def consistent(pairs: set[tuple[str, str]]) -> bool:
-    return len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
-
-
 class Match(NamedTuple):
     """A window of an item in a document: places, windows of the item in all and as templates, whether this is one, and the slots."""
 
@@ -182,6 +179,26 @@ class Match(NamedTuple):
     here: list[str]
 
 
+def kept_pairs(run: list[Match]) -> set[tuple[str, str]]:
+    """The pairs of slots of a run without those in conflict: the document's value that most windows give to each value of the item (on ties its own, then the least)."""
+    counts = Counter(p for m in run for p in zip(m.slots, m.here, strict=True))
+    best: dict[str, tuple[int, bool, str]] = {}
+    for a, b in sorted(counts):
+        if a not in best or (counts[a, b], a == b) > best[a][:2]:
+            best[a] = (counts[a, b], a == b, b)
+    return {(a, b) for a, (_, _, b) in best.items()}
+
+
+def runs(matches: list[Match]) -> Iterator[list[Match]]:
+    """Matches of one offset, cut where the windows of the item neither overlap nor touch."""
+    matches = sorted(matches, key=lambda m: m.at)
+    start = 0
+    for k in range(1, len(matches) + 1):
+        if k == len(matches) or matches[k].at - matches[k - 1].at > matches[k].width:
+            yield matches[start:k]
+            start = k
+
+
 def judge(matches: list[Match]) -> tuple[int, bool, int] | None:
     """Windows covered, whether a slot was changed and the item's windows, if the item leaks."""
     by_offset: dict[int, list[Match]] = defaultdict(list)
@@ -189,11 +206,14 @@ def judge(matches: list[Match]) -> tuple[int, bool, int] | None:
         by_offset[m.place - m.at].append(m)
     covered, changed = {}, False
     for some in by_offset.values():
-        covered.update((m.at, m.template) for m in some if m.slots == m.here)
-        pairs = {p for m in some for p in zip(m.slots, m.here, strict=True)}
-        if consistent(pairs):
-            covered.update((m.at, m.template) for m in some)
-            changed = changed or any(a != b for a, b in pairs)
+        parts = [(run, kept_pairs(run)) for run in runs(some)]
+        sharing = Counter(b for _, b in {p for _, kept in parts for p in kept})
+        for run, kept in parts:
+            for m in run:
+                pairs = set(zip(m.slots, m.here, strict=True))
+                if m.slots == m.here or (pairs <= kept and all(sharing[b] <= SHARED for _, b in pairs)):
+                    covered[m.at] = m.template
+                    changed = changed or m.slots != m.here
     of, as_templates = matches[0].of, matches[0].rich
     enough = len(covered) >= min(HITS, of) or (as_templates and sum(covered.values()) >= min(HITS, as_templates))
     return (len(covered), changed, of) if enough else None

@@ -127,6 +127,24 @@ def test_copies_of_items_with_few_plain_words(spark, bound):
     assert leaks_of(spark, items, docs, bound) == {(k, k, False) for k in range(len(items))}
 
 
+@BOUNDS
+def test_conflicting_slots_cost_their_windows_only(spark, bound):
+    body = "the long road to the old town goes over 3 hills and under 4 bridges before it comes to a small green lake where"
+    items = [f"{body} boats cost 3 coins for each of us", "Anna has 3 apples and 4 pears so how many fruits has she got in all today"]
+    docs = [f"{body} boats cost 5 coins for each of us", "Anna has 5 apples and 5 pears so how many fruits has she got in all today", f"{body.replace('3', '8')} boats cost 9 coins for each of us"]
+    assert leaks_of(spark, items, docs, bound) == {(0, 0, False), (1, 1, True), (2, 0, True)}
+
+
+def test_windows_left_out_hold_the_conflict():
+    def match(at, slots, here):
+        return decontaminate.Match(100 + at, at, 8, 30, 30, True, slots, here)
+
+    long = [match(k, ["03"], ["03"]) for k in range(20)]
+    assert decontaminate.judge([*long, match(20, ["03", "15"], ["04", "15"])]) == (20, False, 30)
+    assert decontaminate.judge([match(k, ["03"], ["05"]) for k in range(4)] + [match(4, ["03"], ["06"]), match(5, [], [])]) == (5, True, 30)
+    assert decontaminate.judge([match(k, [f"0{k}"], ["09"]) for k in range(3)]) is None
+
+
 # ---------------------------------------------------------------- html
 
 
