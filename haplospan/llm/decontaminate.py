@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become sequences of words and numbers in which numbers, names and units are placeholders of their type: a
-name is a capitalised word that does not start a sentence.  Windows of WIDTH template words of the benchmark and of the documents
+name is a capitalised word; one that starts a sentence is a word as well as a name, and its windows have both forms.  Windows of WIDTH template words of the benchmark and of the documents
 are joined by hash; a template needs five literal words.  Every window is also joined by its own tokens (in lower case if five are words or
 names, else as they stand), so that verbatim copies of every item are found.  A document then holds an occurrence of an item for each offset between the two at which
 windows match; its windows count if their slots are unchanged or consistent in the run of overlapping windows: each value of the item
@@ -38,6 +38,7 @@ SHARED = 2
 BROADCAST_WINDOWS = 200_000
 MEMORY = 300_000
 NUMBER, NAME, UNIT, STOP, WORD, CAPITAL = range(6)
+EITHER = CAPITAL  # a capitalised word that starts a sentence
 EXACT = -1
 NAME_HASH = np.uint64(0x6E616D65)
 # Units of measure.
@@ -80,7 +81,7 @@ class Templates:
         return *(xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in (name, token.lower(), token)), kind
 
     def __call__(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Tokens without stops, their three hashes and their kinds (NUMBER, NAME, UNIT or WORD)."""
+        """Tokens without stops, their three hashes and their kinds (NUMBER, NAME, UNIT, WORD, or EITHER: a word or name that starts a sentence)."""
         tokens = pattern().findall(text) if text else []
         if len(self.memory) > MEMORY:
             self.memory.clear()
@@ -94,40 +95,55 @@ class Templates:
         hashes, kinds = self.hashes[:, found], self.kinds[found]
         starts = np.concatenate([[True], kinds[:-1] == STOP]) if len(kinds) else np.zeros(0, dtype=bool)
         names = (kinds == CAPITAL) & ~starts
-        kinds[kinds == CAPITAL] = WORD
         kinds[names] = NAME
         hashes[0, names] = NAME_HASH
         keep = kinds != STOP
         return [t for t, k in zip(tokens, keep.tolist(), strict=True) if k], hashes[:, keep], kinds[keep]
 
 
-def mixed(hashes: np.ndarray, at: np.ndarray, width: int, seed: int) -> np.ndarray:
-    """The hash of the window from each given place on."""
+def mixed(hashes: np.ndarray, at: np.ndarray, width: int, seed: int, form: np.ndarray | None = None) -> np.ndarray:
+    """The hash of the window from each given place on; a bit of the form makes its word a name."""
     total = np.full(len(at), width + seed, dtype=np.uint64)
     for i in range(width):
-        total = (total ^ hashes[at + i]) * np.uint64(0x9E3779B97F4A7C15)
+        own = hashes[at + i]
+        if form is not None:
+            own[form >> i & 1 == 1] = NAME_HASH
+        total = (total ^ own) * np.uint64(0x9E3779B97F4A7C15)
         total ^= total >> np.uint64(29)
     return total
 
 
+def count(which: np.ndarray, width: int) -> np.ndarray:
+    """How many of the tokens of the window from each place on are marked."""
+    sums = np.concatenate([[0], np.cumsum(which)])
+    return sums[width:] - sums[:-width]
+
+
 def rich(kinds: np.ndarray, width: int) -> np.ndarray:
     """Whether the window from each place on has enough literal words for a template."""
-    return np.convolve(kinds == WORD, np.ones(width, dtype=np.int64), mode="valid") >= LITERAL
+    return count((kinds == WORD) | (kinds == EITHER), width) >= LITERAL
 
 
 def windows(hashes: np.ndarray, kinds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place, hash and form of the windows: EXACT for their tokens (in lower case if enough of them are words), 0 for their template."""
+    """Place, hash and form of the windows: EXACT for their tokens (in lower case if enough of them are words), else for a template, with a bit for each EITHER that is a name in it."""
     n = len(kinds) - width + 1
     if n <= 0 or width < 1:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int16)
-    ones = np.ones(width, dtype=np.int64)
-    wordy = np.convolve((kinds == WORD) | (kinds == NAME), ones, mode="valid") >= LITERAL
+    words = (kinds == WORD) | (kinds == EITHER)
+    wordy = count(words | (kinds == NAME), width) >= LITERAL
     plain, poor = np.flatnonzero(wordy), np.flatnonzero(~wordy)
-    template = np.flatnonzero(rich(kinds, width) & (np.convolve(kinds != WORD, ones, mode="valid") > 0))
+    literal = count(words, width)
+    template = np.flatnonzero((literal >= LITERAL) & (count(kinds != WORD, width) > 0))
+    form, spare = np.zeros(len(template), dtype=np.int16), literal[template] - LITERAL
+    either = kinds == EITHER
+    if either.any():
+        for i in range(width):
+            more = np.flatnonzero(either[template + i] & (spare > 0))
+            template, form, spare = np.concatenate([template, template[more]]), np.concatenate([form, form[more] | 1 << i]), np.concatenate([spare, spare[more] - 1])
     found = [
         (plain, mixed(hashes[1], plain, width, 0), np.full(len(plain), EXACT, dtype=np.int16)),
         (poor, mixed(hashes[2], poor, width, 1 << 32), np.full(len(poor), EXACT, dtype=np.int16)),
-        (template, mixed(hashes[0], template, width, 2 << 32), np.zeros(len(template), dtype=np.int16)),
+        (template, mixed(hashes[0], template, width, 2 << 32, form), form),
     ]
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
@@ -135,7 +151,8 @@ def windows(hashes: np.ndarray, kinds: np.ndarray, width: int) -> tuple[np.ndarr
 def slots(tokens: list[str], kinds: np.ndarray, at: int, width: int, form: int) -> list[str]:
     if form == EXACT:
         return []
-    return [f"{kinds[k]}{tokens[k].lower()}" for k in range(at, at + width) if kinds[k] != WORD]
+    of = [NAME if form >> i & 1 else WORD if kind == EITHER else kind for i, kind in enumerate(kinds[at : at + width].tolist())]
+    return [f"{kind}{tokens[at + i].lower()}" for i, kind in enumerate(of) if kind != WORD]
 
 
 WINDOWS = "item_id long, at int, width int, of int, rich int, template boolean, forms array<struct<hash: bigint, slots: array<string>>>"

@@ -145,6 +145,16 @@ def test_windows_left_out_hold_the_conflict():
     assert decontaminate.judge([match(k, [f"0{k}"], ["09"]) for k in range(3)]) is None
 
 
+@BOUNDS
+def test_first_words_may_be_names(spark, bound):
+    items = ["Maria walks to the market and buys bread", "How many days does it take to paint", "Yesterday we saw Peter. Maria went home with him"]
+    docs = [
+        f"He asked: {items[0]}, then", f"| {items[1]} |", items[1].lower(), "so it says how many weeks does it take to paint", "He said that Helena walks to the market and buys bread, then",
+        "Helena walks to the market and buys bread", "yesterday we saw Paul, Helena went home with him",
+    ]
+    assert leaks_of(spark, items, docs, bound) == {(0, 0, False), (1, 1, False), (2, 1, False), (3, 1, True), (4, 0, True), (5, 0, True), (6, 2, True)}
+
+
 # ---------------------------------------------------------------- html
 
 
