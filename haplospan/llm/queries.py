@@ -56,7 +56,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
-    return bpe.digests(bpe.decode_documents(bpe.encode_documents(table(spark, sf_dir, "documents"), path, pattern), path, pattern))
+    return bpe.digests(table(spark, sf_dir, "documents"), path, pattern)
 
 
 OP8_SQL = """
