@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation.
 
 Texts become sequences of words and numbers in which numbers, names and units are placeholders of their type: a
-name is a capitalised word; one that starts a sentence is a word as well as a name, and its windows have both forms.  Windows of WIDTH template words of the benchmark and of the documents
+name is a capitalised word; one that starts a sentence is a word as well as a name, and its windows have both forms; short units count as such after a number only.  Windows of WIDTH template words of the benchmark and of the documents
 are joined by hash; a template needs five literal words.  Every window is also joined by its own tokens (in lower case if five are words or
 names, else as they stand), so that verbatim copies of every item are found.  A document then holds an occurrence of an item for each offset between the two at which
 windows match; its windows count if their slots are unchanged or consistent in the run of overlapping windows: each value of the item
@@ -19,6 +19,7 @@ columns are ignored.
 from __future__ import annotations
 
 import functools
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -37,23 +38,52 @@ HITS = 3
 SHARED = 2
 BROADCAST_WINDOWS = 200_000
 MEMORY = 300_000
-NUMBER, NAME, UNIT, STOP, WORD, CAPITAL = range(6)
+NUMBER, NAME, UNIT, STOP, WORD, CAPITAL, SHORT = range(7)
 EITHER = CAPITAL  # a capitalised word that starts a sentence
 EXACT = -1
 NAME_HASH = np.uint64(0x6E616D65)
-# Units of measure.
-UNITS = (
+# Units of measure.  Those of up to three letters and the ambiguous ones are units after a number only, else words.
+UNITS = frozenset((
     "mm cm m km in ft yd mi mg g kg t oz lb lbs ml cl l s sec min h hr hrs day days week weeks year years mph kmh "
     "usd eur gbp dollar dollars euro euros cent cents percent degree degrees celsius fahrenheit watt watts volt volts "
     "meter meters metre metres mile miles gram grams litre litres liter liters hour hours minute minutes second seconds"
-).split()
+).split())
+AMBIGUOUS = {"second"}
 
 
 @functools.cache
-def pattern():
+def patterns():
+    """Tokens of any text; tokens of a text whose only letters are Latin ones with a code of their own up to 255; and what such a text has not."""
     import regex
 
-    return regex.compile(r"\p{N}+(?:[.,]\p{N}+)*|\p{L}[\p{L}\p{M}]*|[.!?\n]")
+    latin = "A-Za-zÀ-ÖØ-öø-ÿ"
+    any_text = regex.compile(r"\p{N}+(?:[.,]\p{N}+)*|\p{L}[\p{L}\p{M}]*|[.!?\n]")
+    return any_text, re.compile(rf"[0-9]+(?:[.,][0-9]+)*|[{latin}]+|[.!?\n]"), re.compile(rf"[^\x00-\x7f{latin}]")
+
+
+def tokens_of(text: str | None) -> list[str]:
+    """Words, numbers and stops, in order.  Both patterns find the same in Latin texts; the standard library's is faster."""
+    if not text:
+        return []
+    any_text, latin, other = patterns()
+    return (any_text if other.search(text) else latin).findall(text)
+
+
+class Tokens(NamedTuple):
+    """Tokens of texts one after another: all of them, the places of those that are no stops, and of the latter their three hashes, their kinds
+    (NUMBER, NAME, UNIT, WORD, or EITHER: a word or name that starts a sentence) and the numbers of their texts."""
+
+    flat: list[str]
+    places: np.ndarray
+    hashes: np.ndarray
+    kinds: np.ndarray
+    owner: np.ndarray
+
+    def slots(self, at: int, width: int, form: int) -> list[str]:
+        if form == EXACT:
+            return []
+        of = [NAME if form >> i & 1 else WORD if kind == EITHER else kind for i, kind in enumerate(self.kinds[at : at + width].tolist())]
+        return [f"{kind}{self.flat[self.places[at + i]].lower()}" for i, kind in enumerate(of) if kind != WORD]
 
 
 class Templates:
@@ -74,41 +104,53 @@ class Templates:
         elif not first.isalpha():
             kind, name = NUMBER, "<number>"
         elif token.lower() in UNITS:
-            kind, name = UNIT, "<unit>"
+            kind, name = SHORT if len(token) <= 3 or token.lower() in AMBIGUOUS else UNIT, "<unit>"
         else:
             kind = CAPITAL if len(token) > 1 and first.isupper() and token[1:].islower() else WORD
             name = token.lower()
         return *(xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) for t in (name, token.lower(), token)), kind
 
-    def __call__(self, text: str | None) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Tokens without stops, their three hashes and their kinds (NUMBER, NAME, UNIT, WORD, or EITHER: a word or name that starts a sentence)."""
-        tokens = pattern().findall(text) if text else []
+    def __call__(self, texts: list[str | None]) -> Tokens:
+        """The tokens of texts, without stops."""
+        split = [tokens_of(t) for t in texts]
         if len(self.memory) > MEMORY:
             self.memory.clear()
-        for t in set(tokens).difference(self.memory):
+        for t in sorted(set().union("\n", *split).difference(self.memory)):
             k = self.memory[t] = len(self.memory)
             if k == len(self.kinds):
                 self.hashes = np.concatenate([self.hashes, np.zeros_like(self.hashes)], axis=1)
                 self.kinds = np.concatenate([self.kinds, np.zeros_like(self.kinds)])
             *self.hashes[:, k], self.kinds[k] = self.code(t)
-        found = np.fromiter(map(self.memory.__getitem__, tokens), np.int64, len(tokens))
-        hashes, kinds = self.hashes[:, found], self.kinds[found]
-        starts = np.concatenate([[True], kinds[:-1] == STOP]) if len(kinds) else np.zeros(0, dtype=bool)
-        names = (kinds == CAPITAL) & ~starts
+        flat = ["\n"]  # a stop goes before each text
+        for tokens in split:
+            flat += tokens
+            flat.append("\n")
+        found = np.fromiter(map(self.memory.__getitem__, flat), np.int64, len(flat))
+        kinds = self.kinds[found]
+        names = np.flatnonzero((kinds[1:] == CAPITAL) & (kinds[:-1] != STOP)) + 1
         kinds[names] = NAME
-        hashes[0, names] = NAME_HASH
-        keep = kinds != STOP
-        return [t for t, k in zip(tokens, keep.tolist(), strict=True) if k], hashes[:, keep], kinds[keep]
-
-
-def mixed(hashes: np.ndarray, at: np.ndarray, width: int, seed: int, form: np.ndarray | None = None) -> np.ndarray:
-    """The hash of the window from each given place on; a bit of the form makes its word a name."""
-    total = np.full(len(at), width + seed, dtype=np.uint64)
+        kinds[np.flatnonzero((kinds[1:] == SHORT) & (kinds[:-1] == NUMBER)) + 1] = UNIT
+        places = np.flatnonzero(kinds != STOP)
+        hashes = self.hashes[:, found[places]]
+        hashes[0, kinds[places] == NAME] = NAME_HASH
+        words = kinds[places] == SHORT
+        hashes[0, words] = hashes[1, words]
+        kinds[kinds == SHORT] = WORD
+        sizes = [len(tokens) + 1 for tokens in split]
+        owner = np.repeat(np.arange(len(texts)), sizes)[places - 1] if texts else np.zeros(0, dtype=np.int64)
+        return Tokens(flat, places, hashes, kinds[places], owner)
+
+
+def mixed(hashes: np.ndarray, at: np.ndarray | None, width: int, seed: int, form: np.ndarray | None = None) -> np.ndarray:
+    """The hash of the window from each given place on, or from all; a bit of the form makes its word a name."""
+    n = len(hashes) - width + 1
+    total = np.full(n if at is None else len(at), width + seed, dtype=np.uint64)
     for i in range(width):
-        own = hashes[at + i]
+        own = hashes[i : i + n] if at is None else hashes[at + i]
         if form is not None:
             own[form >> i & 1 == 1] = NAME_HASH
-        total = (total ^ own) * np.uint64(0x9E3779B97F4A7C15)
+        total ^= own
+        total *= np.uint64(0x9E3779B97F4A7C15)
         total ^= total >> np.uint64(29)
     return total
 
@@ -124,37 +166,35 @@ def rich(kinds: np.ndarray, width: int) -> np.ndarray:
     return count((kinds == WORD) | (kinds == EITHER), width) >= LITERAL
 
 
-def windows(hashes: np.ndarray, kinds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Place, hash and form of the windows: EXACT for their tokens (in lower case if enough of them are words), else for a template, with a bit for each EITHER that is a name in it."""
+def windows(tokens: Tokens, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, hash and form of the windows that lie within a text: EXACT for their tokens (in lower case if enough of them are words), else for a template, with a bit for each EITHER that is a name in it."""
+    hashes, kinds = tokens.hashes, tokens.kinds
     n = len(kinds) - width + 1
     if n <= 0 or width < 1:
         return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int16)
+    within = tokens.owner[:n] == tokens.owner[width - 1 :]
     words = (kinds == WORD) | (kinds == EITHER)
     wordy = count(words | (kinds == NAME), width) >= LITERAL
-    plain, poor = np.flatnonzero(wordy), np.flatnonzero(~wordy)
+    plain, poor = np.flatnonzero(wordy & within), np.flatnonzero(~wordy & within)
     literal = count(words, width)
-    template = np.flatnonzero((literal >= LITERAL) & (count(kinds != WORD, width) > 0))
-    form, spare = np.zeros(len(template), dtype=np.int16), literal[template] - LITERAL
-    either = kinds == EITHER
-    if either.any():
-        for i in range(width):
-            more = np.flatnonzero(either[template + i] & (spare > 0))
-            template, form, spare = np.concatenate([template, template[more]]), np.concatenate([form, form[more] | 1 << i]), np.concatenate([spare, spare[more] - 1])
+    template = np.flatnonzero((literal >= LITERAL) & (count(kinds != WORD, width) > 0) & within)
     found = [
-        (plain, mixed(hashes[1], plain, width, 0), np.full(len(plain), EXACT, dtype=np.int16)),
+        (plain, mixed(hashes[1], None, width, 0)[plain], np.full(len(plain), EXACT, dtype=np.int16)),
         (poor, mixed(hashes[2], poor, width, 1 << 32), np.full(len(poor), EXACT, dtype=np.int16)),
-        (template, mixed(hashes[0], template, width, 2 << 32, form), form),
+        (template, mixed(hashes[0], None, width, 2 << 32)[template], np.zeros(len(template), dtype=np.int16)),
     ]
+    # words that may be names as well: one form more for each of them, as long as enough literal words are left
+    either = kinds == EITHER
+    some = template[(count(either, width)[template] > 0) & (literal[template] > LITERAL)]
+    form, spare = np.zeros(len(some), dtype=np.int16), literal[some] - LITERAL
+    for i in range(width if len(some) else 0):
+        more = np.flatnonzero(either[some + i] & (spare > 0))
+        some, form, spare = np.concatenate([some, some[more]]), np.concatenate([form, form[more] | 1 << i]), np.concatenate([spare, spare[more] - 1])
+    some, form = some[form > 0], form[form > 0]
+    found.append((some, mixed(hashes[0], some, width, 2 << 32, form), form))
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
-def slots(tokens: list[str], kinds: np.ndarray, at: int, width: int, form: int) -> list[str]:
-    if form == EXACT:
-        return []
-    of = [NAME if form >> i & 1 else WORD if kind == EITHER else kind for i, kind in enumerate(kinds[at : at + width].tolist())]
-    return [f"{kind}{tokens[at + i].lower()}" for i, kind in enumerate(of) if kind != WORD]
-
-
 WINDOWS = "item_id long, at int, width int, of int, rich int, template boolean, forms array<struct<hash: bigint, slots: array<string>>>"
 FORMS = pa.list_(pa.struct([("hash", pa.int64()), ("slots", pa.list_(pa.string()))]))
 
@@ -164,14 +204,14 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         rows = []
         for item, text in zip(batch.column("item_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-            tokens, hashes, kinds = template(text)
-            if not tokens:
+            tokens = template([text])
+            if not len(tokens.kinds):
                 continue
-            width = min(WIDTH, len(tokens))
+            width = min(WIDTH, len(tokens.kinds))
             forms: dict[int, list[dict]] = defaultdict(list)
-            for at, value, form in zip(*(c.tolist() for c in windows(hashes, kinds, width)), strict=True):
-                forms[at].append({"hash": value - (1 << 64) if value >> 63 else value, "slots": slots(tokens, kinds, at, width, form)})
-            enough = rich(kinds, width).tolist()
+            for at, value, form in zip(*(c.tolist() for c in windows(tokens, width)), strict=True):
+                forms[at].append({"hash": value - (1 << 64) if value >> 63 else value, "slots": tokens.slots(at, width, form)})
+            enough = rich(tokens.kinds, width).tolist()
             rows += [(item, at, width, len(enough), sum(enough), enough[at], forms[at]) for at in sorted(forms)]
         kinds_of = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.bool_(), FORMS]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds_of)], ["item_id", "at", "width", "of", "rich", "template", "forms"])
@@ -245,24 +285,26 @@ class Matcher:
             for value, values in forms:
                 self.by_hash[value].append((item, at, width, of, as_templates, template, values))
         self.widths = sorted({r[2] for r in rows})
+        self.known = np.sort(np.array(list(self.by_hash), dtype=np.int64).view(np.uint64))
         self.flags = np.zeros(1 << 22, dtype=bool)
-        self.flags[np.array(list(self.by_hash), dtype=np.int64).view(np.uint64) % np.uint64(1 << 22)] = True
+        self.flags[self.known % np.uint64(1 << 22)] = True
         self.template = Templates()
 
-    def leaks(self, text: str | None) -> list[tuple[int, int, bool, int]]:
-        """item, windows covered, changed, windows of the item."""
-        tokens, hashes, kinds = self.template(text)
-        by_item: dict[int, list[Match]] = defaultdict(list)
+    def leaks(self, texts: list[str | None]) -> list[tuple[int, int, int, bool, int]]:
+        """Number of the text, item, windows covered, changed, windows of the item."""
+        tokens = self.template(texts)
+        met: dict[tuple[int, int], list[Match]] = defaultdict(list)
         for width in self.widths:
-            places, found, forms = windows(hashes, kinds, width)
+            places, found, forms = windows(tokens, width)
             hit = np.flatnonzero(self.flags[found % np.uint64(1 << 22)])
+            near = np.searchsorted(self.known, found[hit])
+            hit = hit[self.known[np.minimum(near, len(self.known) - 1)] == found[hit]]
             for at, value, form in zip(places[hit].tolist(), found[hit].astype(np.int64).tolist(), forms[hit].tolist(), strict=True):
-                met = self.by_hash.get(value, ())
-                here = slots(tokens, kinds, at, width, form) if met else []
-                for item, place, wide, of, as_templates, template, values in met:
+                here, owner = tokens.slots(at, width, form), int(tokens.owner[at])
+                for item, place, wide, of, as_templates, template, values in self.by_hash[value]:
                     if wide == width and len(here) == len(values):
-                        by_item[item].append(Match(at, place, width, of, as_templates, template, values, here))
-        return [(item, *verdict) for item in sorted(by_item) if (verdict := judge(by_item[item]))]
+                        met[owner, item].append(Match(at, place, width, of, as_templates, template, values, here))
+        return [(*key, *verdict) for key in sorted(met) if (verdict := judge(met[key]))]
 
 
 LEAKS = "doc_id long, text_hash long, item_id long, windows int, changed boolean, item_windows int"
@@ -289,7 +331,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_WIN
         matcher = Matcher(sent.value)
         for batch in batches:
             for part in slices_of(batch):
-                found = [(k, *leak) for k, t in enumerate(part.column("text").to_pylist()) for leak in matcher.leaks(t)]
+                found = matcher.leaks(part.column("text").to_pylist())
                 at = pa.array([r[0] for r in found], pa.int64())
                 columns = [part.column("doc_id").take(at), part.column("text_hash").take(at), *[pa.array([r[k] for r in found], LEAK_KINDS[k + 1]) for k in range(1, 5)]]
                 yield pa.RecordBatch.from_arrays(columns, LEAK_NAMES)
@@ -305,15 +347,13 @@ def joined_leaks(narrow: DataFrame, items: DataFrame) -> DataFrame:
         template = Templates()
         for batch in batches:
             for part in slices_of(batch, 1 << 20):
-                rows = []
-                for k, t in enumerate(part.column("text").to_pylist()):
-                    tokens, hashes, kinds = template(t)
-                    for width in widths:
-                        places, found, forms = windows(hashes, kinds, width)
-                        rows += [
-                            (k, at, width, value, slots(tokens, kinds, at, width, form))
-                            for at, value, form in zip(places.tolist(), found.astype(np.int64).tolist(), forms.tolist(), strict=True)
-                        ]
+                tokens, rows = template(part.column("text").to_pylist()), []
+                for width in widths:
+                    places, found, forms = windows(tokens, width)
+                    rows += [
+                        (int(tokens.owner[at]), at, width, value, tokens.slots(at, width, form))
+                        for at, value, form in zip(places.tolist(), found.astype(np.int64).tolist(), forms.tolist(), strict=True)
+                    ]
                 at = pa.array([r[0] for r in rows], pa.int64())
                 columns = [part.column("row").take(at), part.column("doc_id").take(at), part.column("text_hash").take(at)]
                 columns += [pa.array([r[k] for r in rows], kind) for k, kind in ((1, pa.int32()), (2, pa.int32()), (3, pa.int64()), (4, pa.list_(pa.string())))]
@@ -335,15 +375,18 @@ def without_leaks(docs: DataFrame, benchmark: DataFrame, bound: int = BROADCAST_
     """The rows and columns of docs into which no item leaks."""
     rows = known_windows(benchmark, bound)
     if rows is None:
-        bad = find_leaks(docs, benchmark, bound).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
-        return docs.join(bad, F.expr("doc_id <=> _id and xxhash64(cast(text as string)) = _hash"), "left_anti")
+        bad = find_leaks(docs, benchmark, bound).select("doc_id", "text_hash").distinct().alias("bad")
+        packed = docs.select(F.struct("*").alias("row"))  # so that no column of docs can clash with the keys
+        same = F.expr("cast(row.doc_id as long) <=> bad.doc_id and xxhash64(cast(row.text as string)) = bad.text_hash")
+        return packed.join(bad, same, "left_anti").select("row.*")
     sent = docs.sparkSession.sparkContext.broadcast(rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(sent.value)
         for batch in batches:
             for part in slices_of(batch):
-                yield part.filter(pa.array([not matcher.leaks(t) for t in part.column("text").to_pylist()], pa.bool_()))
+                leaky = {r[0] for r in matcher.leaks(part.column("text").to_pylist())}
+                yield part.filter(pa.array([k not in leaky for k in range(part.num_rows)], pa.bool_()))
         del matcher
         release_memory()
 
