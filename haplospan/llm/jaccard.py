@@ -32,10 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, release_memory, written
+from .common import discard, partitions, release_memory, written
 from .graph import components
 
 WORDS = 5
+#: So many shingles of prefixes go to a bucket on average.
+BUCKET_SHINGLES = 2_000_000
 #: Bounds of a block: so many shingles on average, and documents.
 BLOCK_SHINGLES = 1 << 18
 BLOCK_NODES = 512
@@ -358,10 +360,12 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def node_links(docs: DataFrame, info: DataFrame) -> DataFrame:
     """node, root and links for all meetings that link a node; info: from described()."""
     spark = docs.sparkSession
-    buckets = partitions(spark)
+    shingles_in_all = info.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 2  # prefixes are about half of the sets
+    buckets = max(partitions(spark), -(-shingles_in_all // BUCKET_SHINGLES))
     postings = with_hash(docs).select("text").mapInArrow(post(buckets), POSTINGS).repartition(buckets, "bucket")
     shared = postings.mapInArrow(count_shared(buckets), SHARED).repartition(buckets, "home")
-    survivors = written(with_blocks(written(shared.mapInArrow(survive, SURVIVORS), "survivors")), "blocks")
+    alone = written(shared.mapInArrow(survive, SURVIVORS), "survivors")
+    survivors = written(with_blocks(alone), "blocks")
     pairs = written(meetings(survivors), "meetings")
     # the whole sets of the survivors that meet anyone, from one document of each
     busy = pairs.select(F.col("a").alias("block")).union(pairs.select(F.col("b").alias("block"))).distinct()
@@ -372,7 +376,9 @@ def node_links(docs: DataFrame, info: DataFrame) -> DataFrame:
     sets = texts.mapInArrow(_sets, "node long, block long, copies long, shingles binary")
     sides = pairs.select("a", "b", F.explode(F.array_distinct(F.array("a", "b"))).alias("block"))
     met = sides.join(sets, "block").select("a", "b", "block", "node", "copies", "shingles")
-    return written(met.repartition(buckets, "a", "b").sortWithinPartitions("a", "b").mapInArrow(verify, "node long, root long, links long"), "node-links")
+    found = written(met.repartition(buckets, "a", "b").sortWithinPartitions("a", "b").mapInArrow(verify, "node long, root long, links long"), "node-links")
+    discard(alone, survivors, pairs)
+    return found
 
 
 def jaccard_classes(docs: DataFrame) -> DataFrame:
@@ -380,11 +386,18 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     info = described(docs)
     met = node_links(docs, info)
     roots = components(met.select(F.col("node").alias("u"), F.col("root").alias("v")))
-    nodes = info.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("_least"), F.count(F.lit(1)).alias("_copies"))
-    linked_to = met.groupBy("node").agg(F.sum("links").alias("_links"))
-    all_nodes = nodes.join(roots, "node", "left").join(linked_to, "node", "left").withColumn("class_node", F.coalesce("root", "node"))
-    least = all_nodes.groupBy("class_node").agg(F.min("_least").alias("component_id"))
-    by_node = all_nodes.join(least, "class_node").select("node", "class_node", "component_id", (F.col("_copies") - 1 + F.coalesce("_links", F.lit(0))).alias("n_links"))
+    nodes = info.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("copies"))
+    linked_to = met.groupBy("node").agg(F.sum("links").alias("links"))
+    linked = written(nodes.join(roots, "node").join(linked_to, "node", "left"), "linked")
+    # a class may hold very many nodes: its least id is aggregated, written and joined from files, so that large partitions can be split
+    ids = written(linked.groupBy("root").agg(F.min("least").alias("class_id")), "class-ids")
+    in_class = linked.join(ids, "root").select("node", "root", "class_id", "links")
+    by_node = nodes.join(in_class, "node", "left").select(
+        "node",
+        F.coalesce("root", "node").alias("class_node"),
+        F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("class_id")).alias("component_id"),
+        (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+    )
     full = info.join(by_node, "node", "left")
     return full.select(
         "doc_id",
@@ -403,9 +416,10 @@ def one_of_each(docs: DataFrame) -> DataFrame:
     """
     classes = written(jaccard_classes(docs), "classes")
     first = classes.where("class_node is not null").groupBy("class_node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.col("text_hash").alias("hash"))).alias("_of"))
-    kept = first.select(F.col("_of.id").alias("_id"), F.col("_of.hash").alias("_hash"))
-    names = docs.columns
-    keyed = docs.withColumn("_key", F.xxhash64(F.col("text").cast("string")))
-    chosen = keyed.join(kept, F.expr("_key = _hash and doc_id <=> _id")).dropDuplicates(["_hash", "_id"]).select(names)
+    kept = first.select(F.col("_of.id").alias("id"), F.col("_of.hash").alias("hash")).alias("kept")
+    # rows are packed, so that no column of docs can clash with the keys
+    packed = docs.select(F.struct("*").alias("row"))
+    same = F.expr("xxhash64(cast(row.text as string)) = kept.hash and cast(row.doc_id as long) <=> kept.id")
+    chosen = packed.join(kept, same).dropDuplicates(["hash", "id"]).select("row.*")
     wordless = docs.where(~F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    return chosen.union(wordless.select(names))
+    return chosen.union(wordless)
