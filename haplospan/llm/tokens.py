@@ -3,7 +3,7 @@
 Byte-level pre-tokenizers of the GPT-2 kind never let a piece run past the character before white space.  So a text
 without two white space characters in a row can be cut before each space and at each line feed, and its ids are
 those of the words in turn.  The library encodes many new words in one call, set apart by line feeds; words are remembered
-in a bounded memory.  Any other text, and any other kind of tokenizer, is encoded whole.
+in a bounded memory.  Any other text, one that holds an added token of the tokenizer, and any other kind of tokenizer, is encoded whole.
 """
 
 from __future__ import annotations
@@ -26,10 +26,12 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         form = json.loads(self.library.to_str())
         pre = form["pre_tokenizer"] or {}
         self.by_word = not form["normalizer"] and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        added = [t["content"] for t in form["added_tokens"] or ()]
+        self.by_word = self.by_word and not any(re.search(r"\s", t) for t in added)
+        self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
         self.feed = self.library.encode("\n", add_special_tokens=False).ids
         self.by_word = self.by_word and len(self.feed) == 1
@@ -58,7 +60,7 @@ class WordEncoder:
         Keys of words: a line feed and the word for the first of a line, a NUL and the word for the first of the text,
         else the word, which a space goes before.
         """
-        plain = [bool(t) and self.by_word and "\0" not in t and not t[0].isspace() and not t[-1].isspace() and not TWO_SPACES.search(t) for t in texts]
+        plain = [bool(t) and self.by_word and "\0" not in t and not t[0].isspace() and not t[-1].isspace() and not TWO_SPACES.search(t) and not self.added.search(t) for t in texts]
         words = [("\0" + t.replace("\n", " \n")).split(" ") if p else None for t, p in zip(texts, plain, strict=True)]
         if len(self.memory) > WORDS:
             self.memory.clear()
