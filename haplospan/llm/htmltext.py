@@ -5,11 +5,16 @@ A bidirectional LSTM in numpy reads, for each block, learned vectors of its path
 of its hashed words (the mean over all words of the block), and a few numbers; so each block is classified with the whole page as context.  Blocks labelled as
 main text are joined in page order.
 
-Training takes a bounded sample of pages (SAMPLE, chosen by a hash of the url).  Pages that mark their article label
-their own blocks by their elements; further pages are composed of the sampled blocks, with text and surroundings dealt
-out anew, so that elements and context decide, not words: articles in unmarked containers, menus, headers,
+Training takes a bounded sample of pages (SAMPLE, chosen by a hash of the url, of each the first SAMPLE_CHARS characters and LEAVES
+blocks; prediction reads whole pages).  Pages that mark their article label
+their own blocks by their elements, once as they are and once with the marks taken away: the article in plain elements, its names
+dropped or replaced by names made up.  Further pages are composed of the sampled blocks, with text and surroundings dealt
+out anew, so that structure and context decide, not words: articles in containers with known, unknown or no names, menus, headers,
 sidebars, notices, adverts, forms, reader comments and footers.
 
+The parser is linear in the page: it keeps the places of the open elements by tag, and the path of a block is the set of the words
+of its open elements, kept as counts.
+
 Only script, style and template are raw text, as in HTML also to the end of the page where they are not closed; the elements of formulas, drawings
 and fallback text (math, svg, object, canvas, iframe, noscript) are inline elements like others.
 
@@ -34,11 +39,11 @@ from pyspark.sql import functions as F
 SAMPLE = 300
 SAMPLE_CHARS = 60_000
 COMPOSED = 900
-PATHS, WORDS = 1024, 512
+PATHS, WORDS = 4096, 512
 PIECE = 65_536
 PATH_SIZE, WORD_SIZE, HIDDEN = 16, 4, 16
 NUMBERS = 6
-STEPS = 220
+STEPS = 300
 BATCH = 32
 RATE = 0.01
 LEAVES = 96
@@ -56,7 +61,8 @@ INLINE = EMBEDDED | FOREIGN | set(
     "strike strong sub sup time tt u var wbr button textarea option".split()
 )
 CLOSED_BY = {"p": set("p div ul ol li table section article nav aside header footer form h1 h2 h3 h4 h5 h6 blockquote pre figure main dl hr address fieldset details".split())}
-CLOSED_BY |= {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"body"}}
+CLOSED_BY |= {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}, "head": {"head", "body"}}
+CLOSE = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in RAW}
 SCOPES = set("ul ol dl table tr div section article nav aside header footer form body main blockquote".split())
 
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
@@ -72,21 +78,71 @@ def path_words(tag: str, attributes: str) -> list[str]:
     return out
 
 
-def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
-    """Path words, text and characters in links of every leaf block of a page, in order."""
+class Open:
+    """The open elements of a page: places by tag, those of block elements, those that may end an element, and the words of their paths."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, list]] = []
+        self.by_tag: dict[str, list[int]] = {}
+        self.blocks: list[int] = []
+        self.ends: list[int] = []
+        self.words: dict = {}
+
+    def push(self, tag: str, words: list) -> None:
+        at = len(self.stack)
+        self.stack.append((tag, words))
+        self.by_tag.setdefault(tag, []).append(at)
+        if tag not in INLINE:
+            self.blocks.append(at)
+        if tag in SCOPES or tag in CLOSED_BY:
+            self.ends.append(at)
+        for w in words:
+            self.words[w] = self.words.get(w, 0) + 1
+
+    def close_from(self, at: int) -> None:
+        while len(self.stack) > at:
+            tag, words = self.stack.pop()
+            self.by_tag[tag].pop()
+            for places in (self.blocks, self.ends):
+                if places and places[-1] == len(self.stack):
+                    places.pop()
+            for w in words:
+                self.words[w] -= 1
+                if not self.words[w]:
+                    del self.words[w]
+
+    def end(self, tag: str) -> None:
+        """A closing tag; one of an inline element ends none beyond the innermost block."""
+        places = self.by_tag.get(tag)
+        if places and not (tag in INLINE and self.blocks and self.blocks[-1] > places[-1]):
+            self.close_from(places[-1])
+
+    def make_room(self, tag: str) -> None:
+        """Ends the element that an opening tag ends."""
+        for at in reversed(self.ends):
+            open_tag = self.stack[at][0]
+            if tag in CLOSED_BY.get(open_tag, ()):
+                self.close_from(at)
+                return
+            if open_tag in SCOPES:
+                return
+
+
+def blocks_of(page: str | None, place=str) -> list[tuple[tuple, str, int]]:
+    """Path words, text and characters in links of every leaf block of a page, in order.  place: what stands for a word in paths."""
     if not page:
         return []
-    out: list[tuple[tuple[str, ...], str, int]] = []
-    stack: list[tuple[str, list[str]]] = []
+    out: list[tuple[tuple, str, int]] = []
+    inside = Open()
     text: list[str] = []
-    inline: list[str] = []
+    inline: dict = {}
     links = 0
 
     def close_block() -> None:
         nonlocal links
         joined = " ".join(entities.unescape("".join(text)).split())
         if joined:
-            out.append((tuple(w for _, words in stack for w in words) + tuple(inline), joined, links))
+            out.append((tuple(inside.words | inline), joined, links))
         text.clear()
         inline.clear()
         links = 0
@@ -98,7 +154,7 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             start = end
         if start > at:
             text.append(page[at:start])
-            if any(t == "a" for t, _ in stack[-4:]):
+            if any(t == "a" for t, _ in inside.stack[-4:]):
                 links += start - at
         if start == end:
             break
@@ -112,31 +168,20 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
             continue
         tag = m[2].lower()
         if tag in RAW and not m[1]:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
             if not m[3].rstrip().endswith("/"):
+                close = CLOSE[tag].search(page, at)
                 at = close.end() if close else end
             continue
         if tag not in INLINE:
             close_block()
-        elif not m[1] and tag not in FOREIGN and not (tag in EMBEDDED and tag in inline):
-            inline.append(tag)
+        elif not m[1] and tag not in FOREIGN:
+            inline[place(tag)] = 1
         if m[1]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
-                if tag in INLINE and stack[k][0] not in INLINE:
-                    break
+            inside.end(tag)
         else:
-            for k in range(len(stack) - 1, -1, -1):
-                open_tag = stack[k][0]
-                if tag in CLOSED_BY.get(open_tag, ()):
-                    del stack[k:]
-                    break
-                if open_tag in SCOPES:
-                    break
+            inside.make_room(tag)
             if tag not in VOID and not (tag in EMBEDDED | FOREIGN and m[3].rstrip().endswith("/")):
-                stack.append((tag, path_words(tag, m[3])))
+                inside.push(tag, [place(w) for w in path_words(tag, m[3])])
     close_block()
     return out
 
@@ -145,8 +190,13 @@ def blocks_of(page: str | None) -> list[tuple[tuple[str, ...], str, int]]:
 
 
 @functools.lru_cache(maxsize=20_000)
-def path_ids(path: tuple[str, ...]) -> tuple[int, ...]:
-    return tuple(sorted({zlib.crc32(w.encode("utf-8", "surrogatepass")) % PATHS for w in path}))
+def path_place(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % PATHS
+
+
+def path_ids(path: tuple) -> tuple[int, ...]:
+    """Places of the words of a path; places stand for themselves."""
+    return tuple(sorted({w if isinstance(w, int) else path_place(w) for w in path}))
 
 
 def word_counts(text: str) -> Counter[int]:
@@ -168,7 +218,7 @@ def described(page_blocks: list[tuple[tuple[str, ...], str, int]]) -> tuple[list
     words = []
     for k, (path, text, links) in enumerate(page_blocks):
         words.append(word_counts(text))
-        numbers[k] = (np.log1p(len(text)) / 5, min(1.0, links / max(1, len(text))), k / n, (n - k) / n, float(text[-1] in ".!?…"), len(path) / 8)
+        numbers[k] = (np.log1p(len(text)) / 5, min(1.0, links / max(1, len(text))), k / n, (n - k) / n, float(text[-1] in ".!?…"), len(set(path)) / 8)
     return [path_ids(p) for p, _, _ in page_blocks], words, numbers
 
 
@@ -312,6 +362,7 @@ BESIDE = {
     "comments": ["div.comments p", "div#comments div.comment p", "section.comments article.comment p", "ul.comment-list li p", "div.reader-comments p", "section#comments div.reply p", "ol.commentlist li div.comment-body p", "section.comments h3"],
     "footer": ["footer", "footer p", "div.footer", "footer ul li a", "div#footer p", "div.copyright", "footer.site-footer small"],
 }
+MARKS = {"section", "nav", "aside", "header", "footer"}
 ORDER = ("notice", "header", "menu", "advert", None, "form", "comments", "sidebar", "advert", "footer")
 
 
@@ -334,6 +385,32 @@ def marked(page_blocks: list) -> np.ndarray | None:
     return (main & ~np.array([bool(beside & t) for t in tags], dtype=bool)).astype(np.float64)
 
 
+def made_up(rng: np.random.Generator) -> str:
+    return "." + "".join("bcdfghklmnprstvwaeiou"[int(i)] for i in rng.integers(21, size=int(rng.integers(2, 10))))
+
+
+def renamed(path: tuple[str, ...], rng: np.random.Generator, plain: float, drop: float, change: float) -> tuple[str, ...]:
+    """A path whose elements may become plain ones, and whose names may be dropped or made up."""
+    if rng.random() < plain:
+        path = tuple("div" if w in {"article", "main", "section"} else w for w in path)
+    fate = rng.random()
+    if fate < drop:
+        return tuple(w for w in path if w[0] != ".")
+    if fate < drop + change:
+        return tuple(w for w in path if w[0] != ".") + tuple(made_up(rng) for _ in range(int(rng.integers(1, 4))))
+    return path
+
+
+def without_marks(blocks: list, labels: np.ndarray, rng: np.random.Generator) -> list:
+    """Blocks of a page that marks its article, with the marks taken away: those of the article, or all of the page."""
+    bare, names = rng.random() < 0.3, [] if rng.random() < 0.35 else [made_up(rng) for _ in range(int(rng.integers(1, 4)))]
+    out = []
+    for (path, text, links), main in zip(blocks, labels, strict=True):
+        inner = tuple("div" if w in ({"article", "main"} | MARKS if bare else {"article", "main"}) else w for w in path if not (w[0] == "." and (main or bare)))
+        out.append((inner + (tuple(names) if not bare and {"article", "main"} & set(path) else ()), text, links))
+    return out
+
+
 def composed(texts: list[str], rng: np.random.Generator, n: int = COMPOSED) -> tuple[list, list[np.ndarray]]:
     """Pages of sampled blocks dealt out anew, and their labels."""
     pages, gold = [], []
@@ -351,7 +428,7 @@ def composed(texts: list[str], rng: np.random.Generator, n: int = COMPOSED) -> t
         blocks, labels = [(("html", "head", "title"), text(True), 0)], [0.0]
         for part in ORDER:
             if part is None:
-                container = spelled(MAIN_PATHS[int(rng.integers(len(MAIN_PATHS)))])
+                container = renamed(spelled(MAIN_PATHS[int(rng.integers(len(MAIN_PATHS)))]), rng, 0.35, 0.2, 0.35)
                 for k in range(int(rng.integers(1, 14))):
                     inner = ("h1",) if k == 0 and rng.random() < 0.8 else [("p",), ("p",), ("p",), ("p", "b"), ("h2",), ("ul", "li"), ("blockquote", "p"), ("p", "a"), ()][int(rng.integers(9))]
                     t = text("h1" in inner or "h2" in inner or rng.random() < 0.15)
@@ -364,6 +441,7 @@ def composed(texts: list[str], rng: np.random.Generator, n: int = COMPOSED) -> t
             elif rng.random() < 0.6:
                 for _ in range(int(rng.integers(1, 3)) if part not in ("menu", "comments") else 1):
                     path = spelled(BESIDE[part][int(rng.integers(len(BESIDE[part])))])
+                    path = path if path[-1] == "p" else renamed(path, rng, 0, 0.05, 0.1)
                     for _ in range(int(rng.integers(1, 7)) if part in ("menu", "comments", "sidebar", "form") else 1):
                         t = text(part in ("menu", "form", "header") or rng.random() < 0.3)
                         blocks.append((body + path, t, len(t) if path[-1] == "a" else 0))
@@ -378,13 +456,14 @@ def fit(pages: DataFrame, sample: int = SAMPLE) -> Labeller:
     of = F.pmod(F.xxhash64("url", "page_id"), F.lit(1 << 30))
     bound = min(1.0, 2 * sample / max(1, pages.count())) * (1 << 30)  # so that tasks send about twice the sample in all, however many they are
     rows = pages.where((F.length("html") > 0) & (of < bound)).select(of.alias("of"), F.substring("html", 1, SAMPLE_CHARS).alias("html")).orderBy("of", "html").limit(sample).collect()
-    own, gold, texts = [], [], ["main text of a page", "menu"]
+    own, gold, texts, rng = [], [], ["main text of a page", "menu"], np.random.default_rng(1)
     for r in rows:
         blocks = blocks_of(r["html"])[:LEAVES]
         texts += [t for _, t, _ in blocks if len(t) > 3][:12]
         if blocks and (labels := marked(blocks)) is not None:
-            own.append(described(blocks))
-            gold.append(labels)
+            for version in (blocks, without_marks(blocks, labels, rng)):
+                own.append(described(version))
+                gold.append(labels)
     more, more_gold = composed(texts, np.random.default_rng(0))
     model = Labeller()
     model.fit(own + more, gold + more_gold)
@@ -401,7 +480,7 @@ def extract(pages: DataFrame, model: Labeller) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                found = [blocks_of(h) for h in part.column("html").to_pylist()]
+                found = [blocks_of(h, path_place) for h in part.column("html").to_pylist()]
                 texts = [""] * len(found)
                 order = sorted((k for k in range(len(found)) if found[k]), key=lambda k: len(found[k]))
                 at = 0
