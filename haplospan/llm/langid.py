@@ -5,10 +5,14 @@ places; a state is a language; transitions between the states of neighbouring wo
 each word its probabilities over the languages given the whole text, which labels code-switched text
 word by word; a text's language is the one with the highest mean.
 
-Training takes a bounded sample of labelled rows (about SAMPLE for each language, chosen by a hash of the id, at most
-WINDOW code points of each) and composes sequences of one to three segments in different languages, so that
+Training takes a bounded sample of labelled rows (about SAMPLE for each of the LANGUAGES most frequent languages, chosen by a hash of
+the id, at most WINDOW code points of each) and composes sequences of one to three segments in different languages, so that
 transitions are learned as well.  Prediction reads whole texts and nothing but the text.
 
+A model for filtering has one state more, for words of no language: it learns it from words of the sample whose letters are
+dealt out anew.  A document goes if that state takes more than half of its words on the mean, however the rest is
+shared among languages, or if it has no letter; where no language could be learned, all documents with letters stay.
+
 Defined cases: a null text, or one without letters, is ``und`` with score 0, as is every text if nothing could be
 learned; repeated rows give repeated rows; a null id is kept and never trained on; an empty table gives no rows; other columns
 are ignored.
@@ -17,7 +21,6 @@ are ignored.
 from __future__ import annotations
 
 import functools
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +33,8 @@ from .common import release_memory
 
 DIMENSIONS = 1 << 16
 SAMPLE = 400
+LANGUAGES = 200
+OTHER = "und"
 WINDOW = 4000
 EPOCHS = 3
 RATE = 0.3
@@ -50,20 +55,49 @@ def words_of(text: str | None) -> list[str]:
     return letters().findall(text.lower()) if text else []
 
 
-def features(word: str) -> list[int]:
-    """Places of the features of a word."""
-    w = f"^{word}$"
-    n = len(w)
-    names = {"w" + word} | {f"p{w[:k]}" for k in (2, 3, 4)} | {f"s{w[-k:]}" for k in (2, 3, 4)} | {w[i : i + k] for k in (2, 3) for i in range(n - k + 1)}
-    return [zlib.crc32(x.encode("utf-8", "surrogatepass")) % DIMENSIONS for x in sorted(names)]
+def hashed(seed: int, *columns: np.ndarray) -> np.ndarray:
+    h = np.full(len(columns[0]), seed + 1, dtype=np.uint64)
+    for c in columns:
+        h = (h ^ c) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    return h
+
+
+def features(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the features of words, word by word, and their numbers.
+
+    A word is framed by ^ and $; it has its n-grams of two and three characters, its first and last two to four, and itself.  Every kind
+    of feature has a seed of its own, so no two kinds share a name.
+    """
+    if not words:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    c = np.frombuffer("".join(f"^{w}$" for w in words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    size = np.array([len(w) + 2 for w in words])
+    end = np.cumsum(size)
+    start = end - size
+    owner = np.repeat(np.arange(len(words)), size)
+    found, owners = [], []
+    for k in (2, 3):
+        at = np.flatnonzero(owner[: len(c) - k + 1] == owner[k - 1 :])
+        found.append(hashed(k, *(c[at + j] for j in range(k))))
+        owners.append(owner[at])
+    for k in (2, 3, 4):
+        some = np.flatnonzero(size >= k)
+        for seed, at in ((10 + k, start[some]), (20 + k, end[some] - k)):
+            found.append(hashed(seed, *(c[at + j] for j in range(k))))
+            owners.append(some)
+    found.append(hashed(30, np.add.reduceat(hashed(31, c, (np.arange(len(c)) - start[owner]).astype(np.uint64)), start)))
+    owners.append(np.arange(len(words)))
+    owner = np.concatenate(owners)
+    return (np.concatenate(found) % np.uint64(DIMENSIONS)).astype(np.int64)[np.argsort(owner, kind="stable")], np.bincount(owner)
 
 
 def padded(words: list[str]) -> np.ndarray:
     """Features of words as a matrix; DIMENSIONS, a place without weight, fills it."""
-    rows = [features(w) for w in words]
-    out = np.full((len(rows), max(map(len, rows), default=1)), DIMENSIONS, dtype=np.int32)
-    for k, r in enumerate(rows):
-        out[k, : len(r)] = r
+    flat, sizes = features(words)
+    out = np.full((len(words), int(sizes.max(initial=1))), DIMENSIONS, dtype=np.int32)
+    row = np.repeat(np.arange(len(words)), sizes)
+    out[row, np.arange(len(flat)) - (np.cumsum(sizes) - sizes)[row]] = flat
     return out
 
 
@@ -128,6 +162,13 @@ def compose(samples: list[list[list[str]]], rng: np.random.Generator) -> list[tu
     return out
 
 
+def dealt_anew(texts: list[str], rng: np.random.Generator) -> list[str]:
+    """Texts with as many words as given, as long as those, of letters of the texts that follow one another by chance."""
+    words = [words_of(t) for t in texts]
+    alphabet = sorted({c for ws in words for w in ws for c in w})
+    return [" ".join("".join(alphabet[i] for i in rng.integers(len(alphabet), size=len(w))) for w in ws) for ws in words]
+
+
 def train(samples: dict[str, list[str]], epochs: int = EPOCHS, rate: float = RATE, seed: int = 0) -> Model:
     """Fit by AdaGrad on the log-likelihood.  samples: texts by language."""
     names = sorted(samples)
@@ -169,11 +210,11 @@ def held_out():
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(3)) == 1
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, window: int = WINDOW) -> Model:
-    """Learn from about `sample` labelled rows of each language whose id is not held out."""
+def fit(docs: DataFrame, sample: int = SAMPLE, window: int = WINDOW, languages: int = LANGUAGES, other: bool = False) -> Model:
+    """Learn from about `sample` labelled rows of each language whose id is not held out; other: also a state for words of no language."""
     known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row for each language
+    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()}
     samples: dict[str, list[str]] = {n: [] for n in counts}
     if counts:
         of = F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(1 << 30))
@@ -182,26 +223,33 @@ def fit(docs: DataFrame, sample: int = SAMPLE, window: int = WINDOW) -> Model:
         chosen = known.where(of < bound).select("lang", F.substring("text", start.cast("int"), F.lit(window)).alias("text"), of.alias("of"), "doc_id")
         for r in chosen.orderBy("of", "doc_id", "text").limit(2 * sample * len(counts)).collect():
             samples[r["lang"]].append(r["text"])
+    if other and any(words_of(t) for texts in samples.values() for t in texts):
+        some = [t for texts in samples.values() for t in texts[: sample // len(samples) + 1]]
+        samples[OTHER] = samples.get(OTHER, []) + dealt_anew(some, np.random.default_rng(1))
     return train(samples)
 
 
 class Scorer:
-    """Scores of words, remembered."""
+    """Scores of words, remembered in two generations: when the young one is full it becomes the old one, and words met again move over."""
 
     def __init__(self, model: Model):
-        self.model, self.place = model, {}
+        self.model, self.place, self.old_place = model, {}, {}
         self.weights = model.weights.astype(np.float32)
-        self.table = np.zeros((0, len(model.languages)), dtype=np.float32)
+        self.table = self.old_table = np.zeros((0, len(model.languages)), dtype=np.float32)
 
     def scores(self, words: list[str]) -> np.ndarray:
         if len(self.place) > MEMORY:
+            self.old_place, self.old_table = self.place, self.table
             self.place, self.table = {}, self.table[:0]
-        new = list(set(words).difference(self.place))
-        parts = [self.table]
-        for at in range(0, len(new), 8192):
-            parts.append(self.weights[padded(new[at : at + 8192])].sum(axis=1))
+        new = set(words).difference(self.place)
+        again = [w for w in new if w in self.old_place]
+        fresh = list(new.difference(again))
+        parts = [self.table, self.old_table[np.fromiter(map(self.old_place.__getitem__, again), np.int64, len(again))]]
+        for at in range(0, len(fresh), 8192):
+            places, sizes = features(fresh[at : at + 8192])
+            parts.append(np.add.reduceat(self.weights[places], np.cumsum(sizes) - sizes, axis=0))
         if new:
-            self.place.update(zip(new, range(len(self.table), len(self.table) + len(new)), strict=True))
+            self.place.update(zip([*again, *fresh], range(len(self.table), len(self.table) + len(new)), strict=True))
             self.table = np.concatenate(parts)
         return self.table[np.fromiter(map(self.place.__getitem__, words), np.int64, len(words))]
 
@@ -289,15 +337,21 @@ def label_runs(docs: DataFrame, model: Model) -> DataFrame:
     return narrow.mapInArrow(run, "doc_id long, runs array<struct<lang:string,start:int,end:int>>")
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.3) -> DataFrame:
-    """The rows and columns of docs whose language is identified with a score of at least `least`."""
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows and columns of docs with letters of which words of no language, if the model knows such, do not take more than half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
             for part in slices_of(batch):
-                names, best = predicted(scorer, part.column("text").to_pylist())
-                yield part.filter(pa.array([n != "und" and b >= least for n, b in zip(names, best, strict=True)]))
+                texts = part.column("text").to_pylist()
+                keep = np.array([bool(t and letters().search(t)) for t in texts], dtype=bool)
+                if OTHER in model.languages:
+                    other = model.languages.index(OTHER)
+                    for some, sizes, found in scorer.chunks(texts):
+                        share = np.add.reduceat(found[:, other], np.cumsum(sizes) - sizes) / np.array(sizes)
+                        keep[some] &= share <= 0.5
+                yield part.filter(pa.array(keep))
         del scorer
         release_memory()
 
