@@ -8,7 +8,7 @@ low bits.  Walking these from the most significant slice downward finds the k-th
 left out is bounded by the query's weights, so only rows within that bound of the k-th score can be among the
 first k: these boundary rows are resolved by their exact scores.
 
-Each query meets each block once, in an equi-join on the block; k rows of each meeting go on to the final ranking.
+Each query meets each block once: groups of up to QUERY_ROWS queries, fewer where blocks are few, are joined with the blocks; k rows of each meeting go on to the final ranking.
 
 Defined cases: vectors that are null or hold null or non-finite components, and rows with a null id, take
 no part; vectors of unequal length are compared as if zeros filled the shorter; a query never finds its
@@ -31,7 +31,8 @@ K = 5
 SCALE = 256
 SLICES = 7
 BLOCK_ROWS = 16_384
-QUERY_ROWS = 128
+#: Queries of a group at most: the index is sent once for each group of queries.
+QUERY_ROWS = 8192
 
 
 def quantised(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
@@ -229,7 +230,8 @@ def top_k(embeddings: DataFrame, is_query, k: int = K, block_rows: int = BLOCK_R
     spark = embeddings.sparkSession
     rows = written(quantised(embeddings).withColumn("rid", F.monotonically_increasing_id()), "quantised")
     n, queries, width = rows.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1)), F.coalesce(F.max(F.size("values")), F.lit(0))).first()
-    blocks, groups = max(1, -(-n // block_rows)), max(1, -(-queries // query_rows))
+    blocks = max(1, -(-n // block_rows))
+    groups = max(1, -(-queries // query_rows), min(-(-3 * partitions(spark) // blocks), queries // 32))  # at least, so that few blocks still make enough tasks
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int")).select("rid", "vec_id", "values", "block")
     index = written(build_index(dealt, blocks, width), "bit-slices")
     packed = pack_queries(rows.where(is_query), groups, width)
