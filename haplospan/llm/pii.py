@@ -37,7 +37,7 @@ DIGITS = re.compile(r"[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 SECRET = re.compile(r"[\"']?[ \t]*[:=][ \t]*([\"'])([^\"'\s]{16,})\1")
-SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*$")
+SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 URL_REST = re.compile(r"[^\s\"'<>]+")
 IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 
@@ -95,6 +95,16 @@ def ips_in(text: str, start: int) -> tuple[int, list[tuple[int, int]]]:
     return chain.end(), spans
 
 
+def scheme_before(text: str, at: int, floor: int) -> int:
+    """Where the scheme that ends at a place begins; the place itself if there is none."""
+    start = at
+    while start > floor and text[start - 1] in SCHEME:
+        start -= 1
+    while start < at and not text[start].isalpha():
+        start += 1
+    return start
+
+
 def spans_of(text: str | None) -> list[tuple[int, int, int]]:
     """(place of the kind in KINDS, start, end), in that order."""
     if not text:
@@ -137,9 +147,9 @@ def spans_of(text: str | None) -> list[tuple[int, int, int]]:
                 found.append((5, *m.span(2)))
                 floor["secret"] = m.end()
         elif at >= floor["url"]:
-            m, rest = SCHEME.search(text[max(floor["url"], at - 20) : at]), URL_REST.match(text, last + 1)
-            if m and rest:
-                found.append((6, at - len(m[0]), rest.end()))
+            start, rest = scheme_before(text, at, floor["url"]), URL_REST.match(text, last + 1)
+            if start < at and rest:
+                found.append((6, start, rest.end()))
                 floor["url"] = rest.end()
     found.sort()
     return found
