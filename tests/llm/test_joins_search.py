@@ -106,6 +106,45 @@ def test_mined_rules_equal_plain_counts(spark):
         assert verdicts.get(str(k)) == (max(fits)[4] if fits else None)
 
 
+def test_long_urls_end(spark):
+    """Rules of a table whose frequent urls have very many tokens."""
+    rng = random.Random(3)
+    deep = "/".join(f"dir{chr(97 + k % 26)}{chr(97 + k // 26)}" for k in range(200))
+    urls = [f"http://{'.'.join(rng.choice('abcdef') for _ in range(300))}.com/en/{rng.choice('xyz')}" for _ in range(3)]
+    urls += [f"http://a.com/en/{deep[: rng.randint(1, len(deep))]}?{'&'.join(f'k{c}=1' for c in 'abcdefghij' * 20)}" for _ in range(20)]
+    urls += [f"http://example.com/en/{deep}/{rng.choice('xyz')}" for _ in range(20)]
+    pages = spark.createDataFrame([(k, u) for k, u in enumerate([*urls, *[u.replace(".com", ".org") for u in urls]])], "page_id long, url string")
+    got = urlfilter.judge_urls(pages).collect()
+    assert len(got) == 2 * len(urls) and all(r["verdict"] in ("allow", "block") for r in got)
+
+
+def test_few_tokens_combine_with_exact_counts(spark):
+    """With a bound on the tokens that combine, what is found is a part of all rules, with the same figures, and all rules of one token."""
+    rng = random.Random(11)
+    rows = []
+    for _ in range(400):
+        tokens = sorted({rng.choice("abcdefgh") for _ in range(rng.randint(1, 6))})
+        rows.append((tokens, "block" if {"a", "b"} <= set(tokens) or rng.random() < 0.1 else "allow"))
+    labelled = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    whole, part = ({(tuple(r["antecedent"]), r["verdict"]): (r["confidence"], r["support"]) for r in urlfilter.mined_rules(labelled, 0.02, 0.7, n).collect()} for n in (8, 3))
+    assert whole.items() >= {k: v for k, v in part.items() if len(k[0]) == 1}.items()
+    for (antecedent, verdict), (confidence, support) in part.items():
+        have = [v for t, v in rows if set(antecedent) <= set(t)]
+        assert confidence == pytest.approx(have.count(verdict) / len(have)) and support == pytest.approx(have.count(verdict) / len(rows))
+    assert (("a", "b"), "block") in whole
+
+
+def test_mined_rules_on_held_out_labels(spark):
+    """What mined rules say of urls whose label they have not seen, against calling all of them by the most frequent label."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    known = urlfilter.judge_urls(pages).where("rule is not null").select("page_id", "verdict")
+    rows = pages.join(known, "page_id").select("page_id", "url", "verdict", (F.crc32("url") % 3 == 0).alias("out"))
+    got = urlfilter.judge_urls(rows.where("out").drop("verdict"), rows.where("not out"), rules=()).select("page_id", F.col("verdict").alias("said"))
+    n, right, most = rows.where("out").join(got, "page_id").agg(F.count(F.lit(1)), F.sum((F.col("said") == F.col("verdict")).cast("int")), F.sum((F.col("verdict") == "allow").cast("int"))).first()
+    print(f"held out {n}: right {right / n:.3f}, one label for all {max(most, n - most) / n:.3f}")
+    assert right / n >= 0.95 and right > max(most, n - most)
+
+
 # ---------------------------------------------------------------- search
 
 

@@ -37,6 +37,30 @@ def test_language_odd_rows(spark, model):
     assert {r["lang_pred"] for r in langid.identify(docs, empty).collect()} == {"und"}
 
 
+def test_texts_of_no_language_go(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(docs, other=True)
+    one = {r["lang"]: r["text"] for r in docs.where("length(text) > 1500 and not contains(text, '%%%')").groupBy("lang").agg(F.min("text").alias("text")).collect()}
+    parts = {k: " ".join(t.split()[:60]) for k, t in one.items()}
+    rng = random.Random(5)
+    noise = " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzäéñ") for _ in range(rng.randint(2, 9))) for _ in range(200))
+    rows = [(1, " ".join(parts.values())), (2, noise), (3, "12 34 !"), (4, None), (5, parts["de"]), (6, parts["en"] + " " + noise[:150]), (7, "the and of " * 20_000)]
+    own = spark.createDataFrame([(k, t, "y") for k, t in rows], "doc_id long, text string, share string")
+    kept = langid.keep_identified(own, model)
+    assert kept.columns == own.columns and sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == [1, 5, 6, 7]
+    assert langid.keep_identified(own, langid.fit(docs.limit(0), other=True)).count() == 5
+    clean = docs.where("text rlike '[A-Za-z]'")
+    assert langid.keep_identified(clean, model).count() >= 0.999 * clean.count()
+
+
+def test_kinds_of_features_have_their_own_names():
+    places, sizes = langid.features(["in", "win", "a", "straße"])
+    split = np.split(places, np.cumsum(sizes)[:-1])
+    assert len(set(split[0]) & set(split[1])) == 5  # in, n$ and in$ as n-grams, n$ and in$ as endings, but no word
+    assert [sorted(langid.features([w])[0].tolist()) for w in ("in", "win", "a", "straße")] == [sorted(x.tolist()) for x in split]
+    assert len(langid.features([])[0]) == 0
+
+
 def test_marginals_equal_enumeration():
     rng = np.random.default_rng(0)
     model = langid.Model(["a", "b", "c"], np.zeros((1, 3)), rng.normal(size=(3, 3)), rng.normal(size=3))
@@ -155,6 +179,37 @@ def test_first_words_may_be_names(spark, bound):
     assert leaks_of(spark, items, docs, bound) == {(0, 0, False), (1, 1, False), (2, 1, False), (3, 1, True), (4, 0, True), (5, 0, True), (6, 2, True)}
 
 
+def test_reparameterised_copies_are_found(spark):
+    """Each benchmark item with numbers, names and units in it, and a document with others in their place."""
+    items = [r["text"].split()[:40] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    rng = random.Random(6)
+
+    def asked(words, names, numbers, unit):
+        out = list(words)
+        for k, extra in ((3, names[0]), (9, numbers[0]), (10, unit), (17, names[1]), (24, numbers[1]), (30, names[0])):
+            out.insert(min(k, len(out)), extra)
+        return " ".join(out)
+
+    want = {k: asked(w, ["Anna", "Peter"], ["12", "7.5"], "kg") for k, w in enumerate(items)}
+    got = {k: "Well then, " + asked(w, rng.sample(["Tobias", "Malika", "Jorge", "Noor"], 2), rng.sample(["3", "48", "1,250", "0.5"], 2), rng.choice(["km", "lbs", "ml"])) + " as they say" for k, w in enumerate(items)}
+    found = leaks_of(spark, [want[k] for k in sorted(want)], [got[k] for k in sorted(got)], decontaminate.BROADCAST_WINDOWS)
+    assert sum((k, k, True) in found for k in want) >= 0.9 * len(want)
+    texts = [r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").limit(200).collect()]
+    assert not leaks_of(spark, [want[k] for k in sorted(want)], [t for t in texts if not any(" ".join(w[:20]) in " ".join((t or "").split()) for w in items)], decontaminate.BROADCAST_WINDOWS)
+
+
+@BOUNDS
+def test_columns_with_the_names_of_keys(spark, bound):
+    names = ["_id", "_hash", "_key", "hash", "text_hash", "row", "kept", "bad", "id"]
+    rows = [(i, t, *[f"{n}{k}" for n in names]) for k, (i, t, _) in enumerate(CASES)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} string" for n in names))
+    items = spark.createDataFrame([(i, t) for i, t in ITEMS], "item_id long, text string")
+    clean = decontaminate.without_leaks(docs, items, bound)
+    assert clean.columns == docs.columns and sorted(map(tuple, clean.collect())) == sorted((r for r in rows if not dict((i, f) for i, _, f in CASES)[r[0]]), key=str)
+    alone = jaccard.one_of_each(docs.union(docs))
+    assert alone.columns == docs.columns and sorted(r["_key"] for r in alone.where("text <> ''").collect()) == sorted(r[4] for r in rows if r[1])
+
+
 # ---------------------------------------------------------------- html
 
 
@@ -201,6 +256,34 @@ def test_html_articles(spark, labeller):
     assert sum(got[k] == (t, len(t)) for k, t in want.items()) >= 0.99 * len(want)
 
 
+@pytest.mark.parametrize("container", ["<div>", '<div class="bodycopy rte">', '<div id="c12" class="txt-wrap">', None])
+def test_articles_in_unfamiliar_elements(spark, labeller, container):
+    import re
+
+    kept = in_all = wrong = 0
+    for r in spark.read.parquet(f"{SF}/pages.parquet").orderBy("page_id").limit(100).collect():
+        blocks = htmltext.blocks_of(r["html"])
+        gold = htmltext.marked(blocks) > 0
+        if container:
+            page = r["html"].replace("<article>", container).replace("</article>", "</div>")
+        else:  # no names and no telling elements at all
+            page = re.sub(r"<(/?)(article|main|section|nav|aside|header|footer)\b", r"<\1div", re.sub(r"\s(class|id|role)=(\"[^\"]*\"|\S+?(?=[\s>]))", "", r["html"]))
+        p = labeller.scores([htmltext.described(htmltext.blocks_of(page, htmltext.path_place))])[0][:, 0] >= 0.5
+        assert len(p) == len(gold)
+        kept, in_all, wrong = kept + (p & gold).sum(), in_all + gold.sum(), wrong + (p & ~gold).sum()
+    assert kept >= 0.9 * in_all and wrong <= 0.1 * in_all
+
+
+def test_html_parser_is_linear():
+    import time
+
+    deep = "".join(f'<div class="{"".join(chr(97 + k // 26**j % 26) for j in range(3))}">x' for k in range(6000))
+    pages = ["<b>x" * 20_000, "<div>x" * 10_000, "<i>" + "<b>" * 10_000 + "</i></b>" * 10_000, deep, "<head>" * 20_000 + "x", "<script/>" * 20_000]
+    start = time.process_time()
+    assert [len(htmltext.blocks_of(p, htmltext.path_place)) for p in pages] == [1, 10_000, 0, 6000, 1, 0]
+    assert time.process_time() - start < 20
+
+
 PAGE = """<html><head><title>T</title><script>var a="<p>no</p>";</script></head><body>
 <header><h2>Site name</h2><nav><ul><li><a href=/>Home</a></li><li><a href=/b>About us</a></li></ul></nav></header><div class="cookie-notice"><p>We use cookies on this site.</p></div>
 <article><h1>Title &amp; more</h1><p>First  paragraph

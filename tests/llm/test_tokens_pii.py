@@ -62,6 +62,12 @@ def test_added_kinds_and_masks():
     assert pii.masked(None) is None and pii.masked("") == ""
 
 
+def test_schemes_of_any_length():
+    scheme = "a" + "b+c-1." * 50_000
+    assert [(k, a, b) for k, a, b in pii.spans_of(f"see 9{scheme}://host/x now") if k == 6] == [(6, 5, 5 + len(scheme) + 9)]
+    assert not [s for s in pii.spans_of("123://host/x") if s[0] == 6]
+
+
 def test_personal_data_query(spark, odd):
     rows = {r["doc_id"]: r for r in pii.digests(pii.find_personal_data(odd)).collect()}
     assert len(rows) == 6 and rows[1]["base_sha256"] == hashlib.sha256(b"").hexdigest()
@@ -84,12 +90,26 @@ def test_bpe_equals_the_library(spark, odd, tik):
     rng = random.Random(2)
     texts = ["".join(rng.choice("abcdefghij ABC  \n\t'0123_-=.,éß漢🙂‍") for _ in range(rng.randint(1, 200))) for _ in range(2000)]
     texts += ["a" * 20_000, " " * 3000 + "x", "-" * 3000, "ab" * 3000]
-    for t in texts:
-        assert codec.encode(t) == tik.encode_ordinary(t)
+    texts += [" ".join("".join(rng.choice("aeiourstlnhdcmt") for _ in range(rng.randint(2, 12))) for _ in range(300)) for _ in range(200)]
+    for t, ids in zip(texts, codec.encode(texts), strict=True):
+        assert np.frombuffer(ids, codec.kind).tolist() == tik.encode_ordinary(t)
+    assert [codec.encode([t])[0] for t in texts] == codec.encode(texts)
     path = P.path("byte_bpe_50k.tiktoken")
-    rows = bpe.decode_documents(bpe.encode_documents(odd, path, P.PATTERN), path, P.PATTERN).collect()
+    rows = bpe.decode_documents(bpe.encode_documents(odd, path, P.PATTERN), path).collect()
+    assert rows == bpe.round_trip(odd, path, P.PATTERN).collect()
     assert sorted((r["doc_id"] or 0, bytes(r["decoded"]).decode()) for r in rows) == sorted((r[0] or 0, r[1] or "") for r in ODD)
-    assert bpe.digests(bpe.decode_documents(bpe.encode_documents(odd.limit(0), path, P.PATTERN), path, P.PATTERN)).count() == 0
+    assert bpe.digests(odd.limit(0), path, P.PATTERN).count() == 0
+
+
+def test_bpe_forgets_only_what_is_rare(monkeypatch, tik):
+    monkeypatch.setattr(bpe, "PIECES", 50)
+    monkeypatch.setattr(bpe, "PAIRS", 30)
+    codec = bpe.Codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    rng = random.Random(7)
+    for _ in range(60):
+        t = " ".join("".join(rng.choice("abcdenrst") for _ in range(rng.randint(1, 6))) for _ in range(40))
+        assert np.frombuffer(codec.encode([t])[0], codec.kind).tolist() == tik.encode_ordinary(t)
+    assert len(codec.young) + len(codec.old) <= 200
 
 
 def test_bpe_query(spark, tik):
@@ -111,7 +131,6 @@ def test_words_equal_whole_texts():
 
 def library_rows(docs, end=2):
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     out, start = [], 0
     for doc_id, text in docs:
         ids = np.array([*t.encode(text or "", add_special_tokens=False).ids, end], dtype="<u4")
@@ -125,6 +144,10 @@ def test_token_files(spark, odd):
     want = library_rows(sorted((r["doc_id"], r["text"]) for r in docs.collect()))
     assert sorted(map(tuple, queries.op2_token_files(spark, SF).collect())) == want
     order = sorted(((r[0], r[1]) for r in ODD), key=lambda r: (r[0] is not None, r[0] or 0))
+    marks = [(10, "a <|endoftext|> b"), (11, "<|endoftext|>"), (12, "x<|endoftext|>\ny <|endoftext|><|endoftext|>")]
+    assert library_rows(marks)[0][2] == 5
+    marked = spark.createDataFrame(marks, "doc_id long, text string")
+    assert sorted(map(tuple, huffman.ids_from_files(marked, P.path("byte_bpe_50k.json"), 2).collect())) == library_rows(marks)
     got = huffman.ids_from_files(odd, P.path("byte_bpe_50k.json"), 2).collect()
     assert sorted(map(tuple, got), key=lambda r: r[1]) == library_rows(order)
     assert huffman.ids_from_files(odd.limit(0), P.path("byte_bpe_50k.json"), 2).count() == 0
