@@ -392,13 +392,15 @@ def jaccard_classes(docs: DataFrame) -> DataFrame:
     # a class may hold very many nodes: its least id is aggregated, written and joined from files, so that large partitions can be split
     ids = written(linked.groupBy("root").agg(F.min("least").alias("class_id")), "class-ids")
     in_class = linked.join(ids, "root").select("node", "root", "class_id", "links")
+    # a node may be very many copies: written as well, for the same reason
     by_node = nodes.join(in_class, "node", "left").select(
         "node",
         F.coalesce("root", "node").alias("class_node"),
         F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("class_id")).alias("component_id"),
         (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
     )
-    full = info.join(by_node, "node", "left")
+    full = info.join(written(by_node, "by-node"), "node", "left")
+    discard(met, linked, ids)
     return full.select(
         "doc_id",
         F.col("n").cast("long").alias("n_shingles"),
