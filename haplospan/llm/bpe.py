@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .langid import slices_of
 
 #: Entries of a generation of pieces, and of the memory of pairs, in each Python worker.
-PIECES = 500_000
+PIECES = 250_000
 PAIRS = 500_000
 #: No byte is mapped to it.
 APART = "\u0100"

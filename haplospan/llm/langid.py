@@ -39,8 +39,8 @@ WINDOW = 4000
 EPOCHS = 3
 RATE = 0.3
 DECAY = 1e-6
-#: Words remembered with their scores in each Python worker.
-MEMORY = 200_000
+#: Words of a generation remembered with their scores in each Python worker.
+MEMORY = 100_000
 CHUNK_WORDS = 300_000
 
 
