@@ -118,3 +118,15 @@ def brighten(packed: Column, factor: float) -> Column:
         return F.least(F.lit(255), F.floor(x * F.lit(factor) + 0.5).cast("long"))
 
     return pack_abgr(up(c["r"]), up(c["g"]), up(c["b"]), c["a"])
+
+
+def format_span_bp(bp: Column) -> Column:
+    """A limit in the unit that reads: Mb with one decimal from a million on, else whole kb."""
+    n = bp.cast("long")
+    return F.when(n >= 1_000_000, F.concat(one_decimal(n, 1_000_000), F.lit(" Mb"))).otherwise(F.concat(F.floor(n / 1000 + 0.5).cast("string"), F.lit(" kb")))
+
+
+def sm_samples(tag: Column) -> Column:
+    """Samples that the text of an SM tag names; null when it names none."""
+    names = F.filter(F.transform(F.split(tag, ","), lambda x: F.trim(x)), lambda x: x != "")
+    return F.when(F.size(names) > 0, names)

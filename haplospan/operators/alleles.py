@@ -144,3 +144,13 @@ def allele_deletions(alleles: DataFrame, least: int = 1) -> DataFrame:
 
 def samples(alleles: DataFrame) -> DataFrame:
     return alleles.select("sample").distinct()
+
+
+def in_order(alleles: DataFrame) -> DataFrame:
+    """Alleles by start, then by sample as people sort names, then by run."""
+    return alleles.orderBy("ref", "start", F.collate(F.col("sample"), "UNICODE"), "run")
+
+
+def sample_list(alleles: DataFrame) -> DataFrame:
+    """One row: the distinct samples, sorted by code."""
+    return alleles.agg(F.array_sort(F.collect_set("sample")).alias("samples"))

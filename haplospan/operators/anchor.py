@@ -57,3 +57,29 @@ def depth_windows(visit_table: DataFrame, width: int = 500) -> DataFrame:
     tiles = spans.select("name", "at", "stop", "depth", F.explode(F.sequence(first, last)).alias("tile"))
     overlap = F.least("stop", (F.col("tile") + 1) * width) - F.greatest("at", F.col("tile") * width)
     return tiles.groupBy("name", "tile").agg(F.sum(overlap).cast("long").alias("bp"), F.sum(overlap * F.col("depth")).cast("long").alias("bp_depth")).select("name", (F.col("tile") * width).cast("long").alias("start"), "bp", "bp_depth")
+
+
+def is_anchored(nodes: DataFrame) -> bool:
+    """Whether any node states coordinates."""
+    return not nodes.where("sn is not null").limit(1).isEmpty()
+
+
+def anchored_nodes(nodes: DataFrame, visit_table: DataFrame, reference: str) -> DataFrame:
+    """nodes with sn, so, sr and samples from the visits of paths; a node that no path visits stays as it is.  nodes: name, sn, so, sr, samples."""
+    picked = anchored(visit_table, reference).join(carriage(visit_table), "segment")
+    picked = picked.select(F.col("segment").alias("name"), *[F.col(c).alias(f"_{c}") for c in ("sn", "so", "sr", "samples")])
+    found = nodes.join(picked, "name", "left")
+    return found.select(*[F.when(F.col("_sn").isNotNull(), F.col(f"_{c}")).otherwise(F.col(c)).alias(c) if c in ("sn", "so", "sr", "samples") else F.col(c) for c in nodes.columns])
+
+
+def preferred_path(chosen: str | None, assembly: str | None) -> str | None:
+    """An explicit choice wins, else the assembly that the region names."""
+    return chosen or assembly
+
+
+def anchor_graph(nodes: DataFrame, steps: DataFrame, segments: DataFrame, preferred: str | None = None) -> DataFrame:
+    """Coordinates stated by tags win; else they are derived from paths; a graph with neither stays as it is."""
+    if is_anchored(nodes):
+        return nodes
+    reference = reference_path(steps.select("phase", "rec_no", "name", "sample"), preferred)
+    return nodes if reference is None else anchored_nodes(nodes, visits(steps, segments), reference)

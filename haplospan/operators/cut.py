@@ -28,11 +28,23 @@ def ends(links: DataFrame) -> DataFrame:
             F.expr(f"substring({name}, 1, length({name}) - 1)").alias("id"),
             F.col(f"{name}_rank").alias("rank"),
             F.col(f"{name}_tags").alias("tags"),
+            F.struct(F.col("ref").alias("on"), F.col("start").alias("from"), F.col("end").alias("to"), F.concat("source", F.lit(" "), "target").alias("key"), F.lit(int(name == "target")).alias("side")).alias("_arrival"),
         )
 
     return side("source").unionByName(side("target"))
 
 
+def first_copies(rows: DataFrame, names: list[str]) -> DataFrame:
+    """One row for each segment: the copy of the link that arrives first."""
+    return rows.groupBy("id").agg(F.min_by(F.struct(*names), "_arrival").alias("_row")).select("_row.*")
+
+
+def last_copies(links: DataFrame) -> DataFrame:
+    """One row for each link, the one that arrives last: by hop, then by place."""
+    names = [c for c in links.columns if c != "_hop"]
+    return links.groupBy("source", "target").agg(F.max_by(F.struct(*names), F.struct("_hop", "ref", "start", "end")).alias("_row")).select("_row.*")
+
+
 def bins(start: Column, end: Column) -> Column:
     return F.sequence(F.floor(start / BIN), F.floor(F.greatest(end - 1, start) / BIN))
 
@@ -40,7 +52,9 @@ def bins(start: Column, end: Column) -> Column:
 def links_over(links: DataFrame, frontier: DataFrame) -> DataFrame:
     """Link rows that overlap the place of a frontier segment."""
     left = frontier.select("ref", F.col("start").alias("_s"), F.col("end").alias("_e")).distinct().withColumn("_bin", F.explode(bins(F.col("_s"), F.col("_e"))))
-    right = links.withColumn("_bin", F.explode(bins(F.col("start"), F.col("end"))))
+    extent = frontier.groupBy("ref").agg(F.min("start").alias("_low"), F.max("end").alias("_high"))
+    near = links.join(extent, "ref").where("start <= _high and end >= _low").drop("_low", "_high")  # before rows are dealt to bins
+    right = near.withColumn("_bin", F.explode(bins(F.col("start"), F.col("end"))))
     hit = ((F.col("start") < F.col("_e")) & (F.col("end") > F.col("_s"))) | ((F.col("start") == F.col("end")) & (F.col("start") >= F.col("_s")) & (F.col("start") < F.col("_e")))
     return right.join(left, ["ref", "_bin"]).where(hit).select(links.columns)
 
@@ -53,21 +67,24 @@ def check_region(start: int, end: int, limit: int = MAX_REGION_BP) -> None:
 def subgraph(segments: DataFrame, links: DataFrame, ref: str, start: int, end: int, context: int = 0, max_region_bp: int = MAX_REGION_BP) -> tuple[DataFrame, DataFrame]:
     """Segments and links of a region after `context` hops.
 
-    A hop starts only from off-reference segments that the link scan before it reached first.  Rows of the region's own scan win over
-    the copies that links carry of the same segment.
+    A hop starts only from off-reference segments that the link scan before it reached first.  Of a segment, the last row of the region's own scan
+    wins over the copies that links carry, of which the first to arrive wins; of a link, the last.
     """
     check_region(start, end, max_region_bp)
-    own = in_region(segments, ref, start, end).select("ref", "start", "end", "id", "rank", "tags").dropDuplicates(["id"])
-    found = in_region(links, ref, start, end)
+    own = in_region(segments, ref, start, end).select("ref", "start", "end", "id", "rank", "tags")
+    names = own.columns
+    own = own.groupBy("id").agg(F.max_by(F.struct(*names), F.struct("start", "end", "tags")).alias("_row")).select("_row.*")
+    scan = in_region(links, ref, start, end)
+    found = scan.withColumn("_hop", F.lit(0))
     known = own
-    reached = ends(found).dropDuplicates(["id"]).join(known.select("id"), "id", "left_anti").select(known.columns)
-    for _ in range(context):
+    reached = first_copies(ends(scan), names).join(known.select("id"), "id", "left_anti").select(known.columns)
+    for hop in range(context):
         known = checkpoint(known.unionByName(reached))
         frontier = checkpoint(reached.where("rank > 0"))
         new = links_over(links, frontier)
-        found = found.unionByName(new)
-        reached = ends(new).dropDuplicates(["id"]).join(known.select("id"), "id", "left_anti").select(known.columns)
-    return known.unionByName(reached), found.dropDuplicates(["source", "target"])
+        found = found.unionByName(new.withColumn("_hop", F.lit(hop + 1)))
+        reached = first_copies(ends(new), names).join(known.select("id"), "id", "left_anti").select(known.columns)
+    return known.unionByName(reached), last_copies(found)
 
 
 def check_nodes(segments: DataFrame, limit: int = MAX_NODES) -> None:

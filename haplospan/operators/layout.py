@@ -67,8 +67,11 @@ def chained(placed: DataFrame, edges: DataFrame, least: float) -> DataFrame:
 
     placed: node_id, x0, x1, key (array of long, the order of placing).
     """
-    near = checkpoint(neighbours_in_order(edges))
     done = frontier = checkpoint(placed)
+    # only what is not placed yet can be reached
+    near = checkpoint(neighbours_in_order(edges).join(done.select(F.col("node_id").alias("other")), "other", "left_anti"))
+    if near.isEmpty():
+        return done
     while True:
         step = frontier.join(near, F.col("node_id") == F.col("node")).select(F.col("other").alias("node_id"), F.col("x1").alias("_x"), F.concat("key", F.array("order")).alias("key"))
         step = step.join(done.select("node_id"), "node_id", "left_anti").groupBy("node_id").agg(F.min_by("_x", "key").alias("x0"), F.min("key").alias("key"))
@@ -130,8 +133,47 @@ def lay_out(nodes: DataFrame, edges: DataFrame, mode: str = "force", region: tup
     return force_layout(nodes, edges)
 
 
-def drawn_scale(nodes: DataFrame, least: float = LEAST_LENGTH) -> DataFrame:
-    """node_length_per_megabase, minimum_node_length, edge_length, node_segment_length."""
+def layout_bounds(positions: DataFrame, region: tuple[int, int] | None = None) -> DataFrame:
+    """min_x, min_y, w, h of the drawing; on layouts along the reference x is the region's, if it has any width."""
+    left, right = F.least(F.min("x0"), F.min("x1")), F.greatest(F.max("x0"), F.max("x1"))
+    if region and region[1] > region[0]:
+        left, right = F.lit(float(region[0])), F.lit(float(region[1]))
+    return positions.agg(left.alias("min_x"), F.min("y").cast("double").alias("min_y"), (right - left).alias("w"), (F.max("y") - F.min("y")).cast("double").alias("h"))
+
+
+def pane_height(bounds: DataFrame, width: float, least: float, most: float, padding: float, pixel_rows: bool) -> DataFrame:
+    """Height of a pane that fits the drawing: its rows where these are pixels, else its aspect; between the least and the most."""
+    ceiling = max(least, most)
+    usable = width - 2 * padding
+    wanted = F.col("h") + 2 * padding if pixel_rows else F.col("h") * usable / F.col("w") + 2 * padding
+    fits = F.lit(True) if pixel_rows else (F.col("w") > 0) & F.lit(usable > 0)
+    return bounds.select(F.when(fits, F.least(F.lit(float(ceiling)), F.greatest(F.lit(float(least)), wanted))).otherwise(F.lit(float(ceiling))).alias("height"))
+
+
+def in_view(positions: DataFrame, min_x: float, min_y: float, max_x: float, max_y: float) -> DataFrame:
+    """Positions of nodes whose box meets the view; edges count."""
+    low, high = F.least("x0", "x1"), F.greatest("x0", "x1")
+    return positions.where((high >= min_x) & (low <= max_x) & (F.col("y") >= min_y) & (F.col("y") <= max_y))
+
+
+def path_slots(steps: DataFrame) -> DataFrame:
+    """segment and the numbers of the different path records that visit it, in order; numbers go by record order."""
+    from ..storage import numbered
+
+    records = numbered(steps.select("phase", "rec_no").distinct(), "phase", "rec_no", name="slot")
+    visits = steps.select("segment", "phase", "rec_no").distinct().join(records, ["phase", "rec_no"])
+    return visits.groupBy("segment").agg(F.array_sort(F.collect_list("slot")).alias("slots"))
+
+
+def drawn_scale(nodes: DataFrame, least: float = LEAST_LENGTH, spread: str = "auto") -> DataFrame:
+    """node_length_per_megabase, minimum_node_length, edge_length, node_segment_length.
+
+    The least length is that of the spread, if it states a larger one; lengths of a spread that is not proportional are drawn as they are, 1,000 to a unit.
+    """
+    power, effect, floor = SPREADS.get(spread, SPREADS["auto"])
+    least = max(least, floor)
+    if (power, effect) != (1.0, 1.0):
+        return nodes.sparkSession.range(1).select(F.lit(1_000_000 / PRECISION).alias("node_length_per_megabase"), F.lit(float(max(LEAST_LENGTH, least))).alias("minimum_node_length"), F.lit(EDGE_LENGTH).cast("long").alias("edge_length"), F.lit(SEGMENT_LENGTH).cast("long").alias("node_segment_length"))
     total = nodes.agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bp"), F.count(F.lit(1)).alias("n"))
     target = F.greatest(F.col("n") * MEAN_LENGTH, F.lit(LEAST_TOTAL))
     return total.select(

@@ -134,3 +134,35 @@ def with_reference_region(found: DataFrame, assembly: str, ref: str, start: int,
     """The region takes the place of the contributor of rank 0."""
     zero = F.col("rank") == 0
     return found.withColumns({"sample": F.when(zero, F.lit(assembly)).otherwise(F.col("sample")), "ref": F.when(zero, F.lit(ref)).otherwise(F.col("ref")), "start": F.when(zero, F.lit(start)).otherwise(F.col("start")), "end": F.when(zero, F.lit(end)).otherwise(F.col("end"))})
+
+
+def highlights(spans: DataFrame, ref: str, assembly: str) -> DataFrame:
+    """node_id and its span restated in the names of the region that the graph was cut from."""
+    return spans.select("node_id", F.lit(ref).alias("ref"), F.lit(assembly).alias("assembly"), "start", "end")
+
+
+def in_hover_region(points: DataFrame, ref: str, start: int, end: int) -> DataFrame:
+    """Points (ref, at) on the region's sequence, both ends included."""
+    return points.where((F.col("ref") == ref) & F.col("at").between(start, end))
+
+
+def node_details(nodes: DataFrame, spans: DataFrame, carriage: DataFrame | None = None, region: tuple[str, str] | None = None) -> DataFrame:
+    """What is said of a node: node_id, name, length, depth, rank, stable_name, contributing_assembly, carried_by, and ref, assembly, start and end if there is a region (ref, assembly).
+
+    carriage: segment and samples.
+    """
+    from ..functions.naming import pansn_sample
+
+    found = nodes if carriage is None else nodes.join(carriage.select(F.col("segment").alias("name"), F.array_join("samples", ", ").alias("carried_by")), "name", "left")
+    if carriage is None:
+        found = found.withColumn("carried_by", F.lit(None).cast("string"))
+    own = ["node_id", "name", "length", "depth", F.col("sr").alias("rank"), F.col("sn").alias("stable_name"), pansn_sample(F.col("sn")).alias("contributing_assembly"), "carried_by"]
+    if region is None:
+        return found.select(*own)
+    on = highlights(spans, *region)
+    return found.select(*own).join(on, "node_id", "left")
+
+
+def contributor_order(found: DataFrame) -> DataFrame:
+    """Contributors with the reference first, then by name."""
+    return found.orderBy(F.col("rank") != 0, F.collate(F.col("sample"), "UNICODE"), "ref")

@@ -1,11 +1,20 @@
 """A graph derived from the parquet tables, by SQL that Spark and DuckDB both run.
 
-seg, lnk, path_rec (steps of P records), walk_rec (steps of W records), bubble: see the rules in FIXTURES.md.
+seg, lnk, path_rec (steps of P records), walk_rec (steps of W records), bubble: see the rules in FIXTURES.md; rec_no of lnk is
+a number in the order of (source key, target key, kind) that each row has by itself, rather than its row number.
+
+Each derived table is written once for a session and folder, as Parquet by place, or as text of GFA lines and BED rows, and read from there.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..storage import shared_dir
 
 SEG = """
 seg AS (
@@ -35,7 +44,7 @@ pairs AS (
     UNION ALL SELECT a.pk, b.pk, 4 FROM off a JOIN bb b ON a.contig = b.contig AND b.bno = a.bno + 1 + a.bno % 3 WHERE a.place = a.members
 ),
 lnk AS (
-    SELECT CAST(ROW_NUMBER() OVER (ORDER BY spk, tpk, kind) AS BIGINT) AS rec_no, kind, spk, tpk,
+    SELECT CAST(spk * 1073741824 + tpk * 8 + kind AS BIGINT) AS rec_no, kind, spk, tpk,
            concat('s', CAST(spk AS VARCHAR(20))) AS source, CASE WHEN (spk + tpk) % 13 = 0 THEN '-' ELSE '+' END AS source_strand,
            concat('s', CAST(tpk AS VARCHAR(20))) AS target, CASE WHEN (spk + tpk) % 17 = 0 THEN '-' ELSE '+' END AS target_strand
     FROM pairs
@@ -78,25 +87,55 @@ def rows(spark: SparkSession, sf_dir: str, ctes: str, select: str) -> DataFrame:
     return spark.sql(f"WITH {ctes.strip()} {select}")
 
 
+FILES: dict[tuple[str, str, str], str] = {}
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame], text: bool = False) -> str:
+    """The folder of a derived table in the shared folder, written at its first use."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in FILES:
+        path = f"{shared_dir(spark)}/graph-{name}-{uuid.uuid4().hex}"
+        built = build()
+        built.write.text(path) if text else built.write.parquet(path)
+        FILES[key] = path
+    return FILES[key]
+
+
+def kept(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    return spark.read.parquet(stored(spark, sf_dir, name, build))
+
+
 def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, sf_dir, SEG, "SELECT pk AS rec_no, id, len AS length, sn, so, rank AS sr FROM seg")
+    return kept(spark, sf_dir, "segments", lambda: derived_segments(spark, sf_dir))
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, sf_dir, GRAPH, "SELECT rec_no, source, source_strand, target, target_strand FROM lnk")
+    return kept(spark, sf_dir, "links", lambda: derived_links(spark, sf_dir))
 
 
 def steps(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, sf_dir, STEPS, "SELECT phase, rec_no, name AS full_name, name, sample, start, CAST(step_no AS INT) AS step_no, segment, strand FROM steps")
+    return kept(spark, sf_dir, "steps", lambda: derived_steps(spark, sf_dir))
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Segments under their own names as node ids."""
-    return rows(spark, sf_dir, SEG, "SELECT pk AS rec_no, id AS node_id, id AS name, len AS length, CAST(1.0 AS DOUBLE) AS depth, sn, so, rank AS sr FROM seg")
+    return segments(spark, sf_dir).select("rec_no", F.col("id").alias("node_id"), F.col("id").alias("name"), "length", F.lit(1.0).alias("depth"), "sn", "so", "sr")
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rows(spark, sf_dir, GRAPH, "SELECT rec_no AS edge_no, source AS from_id, target AS to_id FROM lnk")
+    return links(spark, sf_dir).select(F.col("rec_no").alias("edge_no"), F.col("source").alias("from_id"), F.col("target").alias("to_id"))
+
+
+def derived_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(spark, sf_dir, SEG, "SELECT pk AS rec_no, id, len AS length, sn, so, rank AS sr FROM seg")
+
+
+def derived_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(spark, sf_dir, GRAPH, "SELECT rec_no, source, source_strand, target, target_strand FROM lnk")
+
+
+def derived_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rows(spark, sf_dir, STEPS, "SELECT phase, rec_no, name AS full_name, name, sample, start, CAST(step_no AS INT) AS step_no, segment, strand FROM steps")
 
 
 TAGS = "concat('SM:Z:S', CAST(pk % 7 AS VARCHAR(20)), ',S', CAST(pk % 5 AS VARCHAR(20)))"
@@ -112,7 +151,34 @@ lboth AS (
 
 
 def index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The segment and link tables of beds.index_tables for the derived graph."""
+    """The segment and link tables of the derived graph, read from an index written by place."""
+    from ..sources.beds import by_place
+
+    def side(k: int) -> DataFrame:
+        return kept(spark, sf_dir, ("segment-index", "link-index")[k], lambda: by_place(derived_index(spark, sf_dir)[k]))
+
+    return side(0), side(1)
+
+
+def bed_prefix(spark: SparkSession, sf_dir: str) -> str:
+    """The prefix of BED files of the derived graph: segments, links and bubbles, each a folder of text."""
+    from ..sources.beds import BUBBLES, LINKS, SEGMENTS, bed_rows
+
+    segs, both = index(spark, sf_dir)
+    wide = bubbles(spark, sf_dir).withColumns({"x1": F.lit("-1"), "x2": F.lit("-1"), "x3": F.lit("-1"), "segments": F.lit("s1,s2")})
+    at = {name: stored(spark, sf_dir, f"{name}-bed", lambda table=table, schema=schema: bed_rows(table, schema), text=True) for name, table, schema in (("segs", segs, SEGMENTS), ("links", both, LINKS), ("bubbles", wide, BUBBLES))}
+    prefix = f"{shared_dir(spark)}/graph-bed-{uuid.uuid4().hex}"
+    for name, path in at.items():
+        spark.read.text(path).write.text(f"{prefix}.{name}.bed")
+    return prefix
+
+
+def gfa_file(spark: SparkSession, sf_dir: str) -> str:
+    """The derived graph as a folder of GFA text, in order."""
+    return stored(spark, sf_dir, "gfa-file", lambda: gfa_text(spark, sf_dir).repartitionByRange("rec_no").sortWithinPartitions("rec_no").select("line"), text=True)
+
+
+def derived_index(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     from ..sources.beds import index_tables
 
     tagged = rows(spark, sf_dir, SEG, f"SELECT pk AS rec_no, id, len AS length, sn, so, rank AS sr, CASE WHEN pk % 3 = 0 THEN NULL ELSE {TAGS} END AS tags_text FROM seg")
@@ -134,12 +200,18 @@ def bubbles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def gfa_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """rec_no and line: the derived graph as GFA1 text, for the parser."""
-    from pyspark.sql import functions as F
+    """rec_no and line: the derived graph as GFA1 text, for the parser, in order."""
+    return kept(spark, sf_dir, "gfa-text", lambda: derived_text(spark, sf_dir).repartitionByRange("rec_no").sortWithinPartitions("rec_no"))
+
+
+#: Records of one type lie between multiples of this number.
+BAND = 1 << 58
+
 
+def derived_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     seg = rows(spark, sf_dir, SEG, "SELECT * FROM seg")
     s = seg.select((F.col("pk") + 1).alias("rec_no"), F.concat_ws("\t", F.lit("S"), "id", F.lit("*"), F.concat(F.lit("LN:i:"), "len"), F.concat(F.lit("SN:Z:"), "sn"), F.concat(F.lit("SO:i:"), "so"), F.concat(F.lit("SR:i:"), "rank"), F.concat(F.lit("xx:A:"), "rank")).alias("line"))
-    big = 1 << 32
+    big = BAND
     ln = links(spark, sf_dir).select((F.col("rec_no") + big).alias("rec_no"), F.concat_ws("\t", F.lit("L"), "source", "source_strand", "target", "target_strand", F.lit("0M")).alias("line"))
     st = steps(spark, sf_dir)
     ordered = st.groupBy("phase", "rec_no", "name", "sample", "start").agg(F.array_sort(F.collect_list(F.struct("step_no", "segment", "strand"))).alias("s"))

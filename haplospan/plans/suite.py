@@ -36,7 +36,7 @@ def gfa_segments(spark, sf_dir):
     return gfa.segments(fx.gfa_text(spark, sf_dir)).select("id", "length", "sn", "so", "sr")
 
 
-@query(f"WITH {fx.GRAPH} SELECT rec_no + 4294967296 AS rec_no, source, source_strand, target, target_strand, '0M' AS cigar FROM lnk")
+@query(f"WITH {fx.GRAPH} SELECT rec_no + {fx.BAND} AS rec_no, source, source_strand, target, target_strand, '0M' AS cigar FROM lnk")
 def gfa_links(spark, sf_dir):
     return gfa.links(fx.gfa_text(spark, sf_dir)).select("rec_no", "source", "source_strand", "target", "target_strand", "cigar")
 
@@ -316,14 +316,14 @@ def deletion_bypassed(spark, sf_dir):
 
 
 @query(
-    f"""WITH {NEAR}, q AS (SELECT pk AS point_id, concat('REF#0#', contig) AS ref, pk * 7 AS spot, CASE WHEN pk % 2 = 0 THEN id ELSE 'nobody' END AS name FROM seg WHERE pk % 5 = 0),
+    f"""WITH {NEAR}, q AS (SELECT pk AS point_id, concat('REF#0#', contig) AS ref, pk * 7 AS spot, CASE WHEN pk % 2 = 0 THEN id ELSE 'nobody' END AS name FROM seg),
     hit AS (SELECT q.point_id, b.id, ROW_NUMBER() OVER (PARTITION BY q.point_id ORDER BY b.pk) AS n FROM q JOIN bb b ON b.sn = q.ref AND q.spot BETWEEN b.so AND b.so + b.len),
     h AS (SELECT q.point_id, COALESCE(s.id, t.id) AS node_id FROM q LEFT JOIN seg s ON s.id = q.name LEFT JOIN (SELECT * FROM hit WHERE n = 1) t ON t.point_id = q.point_id)
     SELECT h.point_id, h.node_id, p.start, p.stop FROM h LEFT JOIN spans p ON p.node_id = h.node_id"""
 )
 def hover_to_node(spark, sf_dir):
     nodes = fx.nodes(spark, sf_dir)
-    points = nodes.where("rec_no % 5 = 0").select(F.col("rec_no").alias("point_id"), F.concat(F.lit("REF#0#"), naming.pansn_contig(F.col("sn"))).alias("ref"), (F.col("rec_no") * 7).alias("at"), F.when(F.col("rec_no") % 2 == 0, F.col("name")).otherwise("nobody").alias("name"))
+    points = nodes.select(F.col("rec_no").alias("point_id"), F.concat(F.lit("REF#0#"), naming.pansn_contig(F.col("sn"))).alias("ref"), (F.col("rec_no") * 7).alias("at"), F.when(F.col("rec_no") % 2 == 0, F.col("name")).otherwise("nobody").alias("name"))
     return spans.hovered(points, nodes, span_rows(spark, sf_dir)).withColumnRenamed("end", "stop")
 
 
@@ -492,25 +492,100 @@ def color_by_length(spark, sf_dir):
     return colors.node_colors(fx.nodes(spark, sf_dir), "node-length").withColumn("share", F.round("share", 9))
 
 
-@query(f"WITH {NEAR}, m AS (SELECT node_id, (start + stop) / 2.0 AS v FROM spans), r AS (SELECT MIN(v) AS a, MAX(v) AS b FROM m) SELECT node_id, round((v - a) / (b - a), 9) AS share FROM m, r")
+@query(f"WITH {NEAR}, m AS (SELECT node_id, (start + stop) / 2.0 AS v FROM spans), r AS (SELECT MIN(v) AS a, MAX(v) AS b FROM m) SELECT s.id AS node_id, CASE WHEN s.rank = 0 THEN round((v - a) / (b - a), 9) END AS share FROM seg s LEFT JOIN m ON m.node_id = s.id, r")
 def color_by_position(spark, sf_dir):
     return colors.node_colors(fx.nodes(spark, sf_dir), "reference-position", span_rows(spark, sf_dir)).withColumn("share", F.round("share", 9))
 
 
-@query()
+def hue_sql(name: str) -> str:
+    """The rolling hash of a name as a hue."""
+    wrapped = "(((h % 4294967296 + 4294967296) % 4294967296) * 32 + 2147483648) % 4294967296 - 2147483648"
+    return f"abs(list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split({name}, ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda h, c: c + ({wrapped}) - h) % 360)"
+
+
+def channel_sql(n: int, hue: str, saturation: float) -> str:
+    k = f"(({n}.0 + ({hue}) / 30.0::DOUBLE) % 12.0::DOUBLE)"
+    return f"CAST(floor((0.5::DOUBLE - {saturation}::DOUBLE / 2 * GREATEST(-1.0::DOUBLE, LEAST({k} - 3.0, 9.0 - {k}, 1.0::DOUBLE))) * 255 + 0.5) AS BIGINT)"
+
+
+def hsl_sql(hue: str, saturation: float = 0.7) -> str:
+    r, g, b = (channel_sql(n, hue, saturation) for n in (0, 8, 4))
+    return f"{r} + {g} * 256 + {b} * 65536 + 4278190080"
+
+
+def flat_sql(rgb: tuple[int, int, int]) -> str:
+    return f"CAST({rgb[0] + rgb[1] * 256 + rgb[2] * 65536 + 255 * 16777216} AS BIGINT)"
+
+
+def gradient_sql(share: str, stops) -> str:
+    at = f"LEAST(1.0::DOUBLE, GREATEST(0.0::DOUBLE, {share})) * {len(stops) - 1}"
+    step = f"CAST(LEAST({len(stops) - 2}, floor({at})) AS INTEGER)"
+
+    def channel(k: int) -> str:
+        values = "[" + ", ".join(f"{float(s[k])}::DOUBLE" for s in stops) + "]"
+        return f"CAST(floor({values}[{step} + 1] + ({values}[{step} + 2] - {values}[{step} + 1]) * ({at} - {step}) + 0.5) AS BIGINT)"
+
+    return f"{channel(0)} + {channel(1)} * 256 + {channel(2)} * 65536 + 4278190080"
+
+
+@query(f"WITH {fx.SEG}, h AS (SELECT id AS node_id, {hue_sql('id')} AS hue FROM seg) SELECT node_id, {channel_sql(0, 'hue', 0.7)} AS r, {channel_sql(8, 'hue', 0.7)} AS g, {channel_sql(4, 'hue', 0.7)} AS b FROM h")
 def color_by_name(spark, sf_dir):
     return colors.node_rgb(colors.node_colors(fx.nodes(spark, sf_dir), "random")).select("node_id", "rgb.r", "rgb.g", "rgb.b")
 
 
+PAINTED = {
+    "uniform": f"WITH {fx.SEG} SELECT id AS node_id, {flat_sql(colors.PLAIN)} AS color FROM seg",
+    "grey": f"WITH {fx.SEG} SELECT id AS node_id, {flat_sql(colors.GREY)} AS color FROM seg",
+    "random": f"WITH {fx.SEG}, h AS (SELECT id, {hue_sql('id')} AS hue FROM seg) SELECT id AS node_id, {hsl_sql('hue')} AS color FROM h",
+    "rainbow": f"WITH {fx.SEG}, h AS (SELECT id, (ROW_NUMBER() OVER (ORDER BY pk) - 1)::DOUBLE / (SELECT COUNT(*) FROM seg) * 360 AS hue FROM seg) SELECT id AS node_id, {hsl_sql('hue', 0.75)} AS color FROM h",
+    "depth": f"WITH {fx.SEG}, {fx.STEPS}, d AS (SELECT s.id, CAST(GREATEST(COUNT(t.segment), 1) AS DOUBLE) AS depth FROM seg s LEFT JOIN steps t ON s.id = t.segment GROUP BY s.id), r AS (SELECT MIN(depth) AS a, MAX(depth) AS b FROM d) SELECT id AS node_id, {gradient_sql('(depth - a) / (b - a)', colors.DEPTH_STOPS)} AS color FROM d, r",
+    "node-length": f"WITH {fx.SEG}, r AS (SELECT CAST(MIN(len) AS DOUBLE) AS a, CAST(MAX(len) AS DOUBLE) AS b FROM seg) SELECT id AS node_id, {gradient_sql('(len - a) / (b - a)', colors.LENGTH_STOPS)} AS color FROM seg, r",
+    "stable-rank": f"WITH {fx.SEG}, r AS (SELECT MAX(rank) AS m FROM seg) SELECT id AS node_id, CASE WHEN rank = 0 THEN {flat_sql(colors.PLAIN)} ELSE {gradient_sql('CAST(rank - 1 AS DOUBLE) / (m - 1)', colors.RANK_STOPS)} END AS color FROM seg, r",
+    "reference-position": f"WITH {NEAR} SELECT s.id AS node_id, CASE WHEN p.node_id IS NULL THEN {flat_sql(colors.GREY)} WHEN s.rank > 0 THEN {flat_sql(colors.OFF_RAMP)} ELSE {hsl_sql('LEAST(1.0::DOUBLE, GREATEST(0.0::DOUBLE, ((p.start + p.stop) / 2.0::DOUBLE - 100) / 2400)) * 300.0::DOUBLE')} END AS color FROM seg s LEFT JOIN spans p ON p.node_id = s.id",
+}
+
+
+def paint(scheme: str) -> None:
+    def run(spark, sf_dir):
+        nodes = fx.nodes(spark, sf_dir)
+        if scheme == "depth":
+            depth = fx.steps(spark, sf_dir).groupBy(F.col("segment").alias("name")).agg(F.count(F.lit(1)).cast("double").alias("_depth"))
+            nodes = nodes.join(depth, "name", "left").withColumn("depth", F.coalesce("_depth", F.lit(1.0))).drop("_depth")
+        spans_of = span_rows(spark, sf_dir) if scheme == "reference-position" else None
+        return colors.painted(nodes, scheme, spans_of, REGION[1:])
+
+    run.__name__ = "paint_" + scheme.replace("-", "_")
+    query(PAINTED[scheme])(run)
+
+
+for scheme_ in PAINTED:
+    paint(scheme_)
+
+
+@query(f"WITH {NEAR} SELECT CAST(MIN(start + stop) AS DOUBLE) / 2 AS low, CAST(MAX(start + stop) AS DOUBLE) / 2 AS high FROM spans")
+def ramp_legend(spark, sf_dir):
+    return colors.ramp_domain(span_rows(spark, sf_dir))
+
+
 @query(
-    f"""WITH {fx.STEPS}, p AS (SELECT DISTINCT phase, rec_no, name FROM steps WHERE phase = 1 AND rec_no % 100 < 12)
-    SELECT phase, rec_no, name, split_part(name, '#', 1) AS label, round((ROW_NUMBER() OVER (ORDER BY phase, rec_no) - 1) * 360.0 / (SELECT COUNT(*) FROM p), 9) AS hue FROM p"""
+    f"""WITH {fx.STEPS}, p AS (SELECT DISTINCT phase, rec_no, name FROM steps)
+    SELECT phase, rec_no, name, concat(name, ' @0') AS label, round((ROW_NUMBER() OVER (ORDER BY phase, rec_no) - 1) * 360.0 / (SELECT COUNT(*) FROM p), 9) AS hue FROM p"""
 )
 def path_legend(spark, sf_dir):
-    paths = fx.steps(spark, sf_dir).where("phase = 1 and rec_no % 100 < 12").select("phase", "rec_no", "full_name").distinct()
+    paths = fx.steps(spark, sf_dir).select("phase", "rec_no", "full_name").distinct()
     return colors.path_legend(paths).withColumn("hue", F.round("hue", 9))
 
 
+@query(
+    f"""WITH {fx.STEPS}, p AS (SELECT DISTINCT rec_no, name FROM steps WHERE phase = 1)
+    SELECT rec_no, split_part(name, '#', 1) AS label, round((ROW_NUMBER() OVER (ORDER BY rec_no) - 1) * 360.0 / (SELECT COUNT(*) FROM p), 9) AS hue FROM p"""
+)
+def walk_legend(spark, sf_dir):
+    """The legend of the W records, whose samples tell them apart."""
+    walks = fx.steps(spark, sf_dir).where("phase = 1").select("phase", "rec_no", "full_name").distinct()
+    return colors.path_legend(walks).select("rec_no", "label", F.round("hue", 9).alias("hue"))
+
+
 def one_decimal_sql(n: str, unit: int) -> str:
     return f"CASE WHEN {n} % {unit} = {unit // 4} THEN concat({n} // {unit}, '.3') ELSE regexp_replace(printf('%.1f', {n} / {unit}.0::DOUBLE), '\\.0$', '') END"
 
@@ -525,18 +600,149 @@ def format_bp(spark, sf_dir):
 
 
 @query(
-    f"""WITH {fx.SEG}, q AS (SELECT pk AS point_id, CAST(pk * 3 AS DOUBLE) AS px, CAST(pk % 7 - 3 AS DOUBLE) AS py FROM seg WHERE pk % 3 = 0),
-    d AS (SELECT point_id, id, sqrt(power(GREATEST(so - px, px - (so + len), 0), 2) + power(py, 2)) AS distance FROM q, seg WHERE rank = 0 AND contig = 'chr1'),
+    f"""WITH {fx.SEG}, q AS (SELECT pk AS point_id, contig, CAST(pk * 3 AS DOUBLE) AS px, CAST(pk % 7 - 3 AS DOUBLE) AS py FROM seg),
+    d AS (SELECT point_id, id, sqrt(power(GREATEST(so - px, px - (so + len), 0), 2) + power(py, 2)) AS distance FROM q JOIN seg ON q.contig = seg.contig AND rank = 0),
     r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY point_id ORDER BY distance, id) AS n FROM d WHERE distance < 5)
     SELECT point_id, id AS node_id, round(distance, 9) AS distance FROM r WHERE n = 1"""
 )
 def nearest_node(spark, sf_dir):
     nodes = fx.nodes(spark, sf_dir)
-    drawn = nodes.where("sr = 0 and sn = 'REF#0#chr1'").select("node_id", F.col("so").cast("double").alias("x0"), (F.col("so") + F.col("length")).cast("double").alias("x1"), F.lit(0.0).alias("y"))
-    points = nodes.where("rec_no % 3 = 0").select(F.col("rec_no").alias("point_id"), (F.col("rec_no") * 3).cast("double").alias("px"), (F.col("rec_no") % 7 - 3).cast("double").alias("py"))
+    row = (F.col("rec_no") % 4 * 1000).cast("double")  # each sequence on a row of its own, out of reach of the others
+    drawn = nodes.where("sr = 0").select("node_id", F.col("so").cast("double").alias("x0"), (F.col("so") + F.col("length")).cast("double").alias("x1"), row.alias("y"))
+    points = nodes.select(F.col("rec_no").alias("point_id"), (F.col("rec_no") * 3).cast("double").alias("px"), (row + F.col("rec_no") % 7 - 3).alias("py"))
     return spatial.nearest_nodes(points, drawn, 5.0, 64.0, 20.0).withColumn("distance", F.round("distance", 9))
 
 
+# ---------------------------------------------------------------- files
+
+
+@query(f"WITH {fx.SEG} SELECT id, len AS length, sn, so, rank AS sr FROM seg")
+def gfa_file_segments(spark, sf_dir):
+    """From GFA text files, through the line reader."""
+    return gfa.segments(gfa.read_lines(spark, fx.gfa_file(spark, sf_dir))).select("id", "length", "sn", "so", "sr")
+
+
+@query(f"WITH {fx.GRAPH} SELECT source, source_strand, target, target_strand FROM lnk")
+def gfa_file_links(spark, sf_dir):
+    return gfa.links(gfa.read_lines(spark, fx.gfa_file(spark, sf_dir))).select("source", "source_strand", "target", "target_strand")
+
+
+@query(f"WITH {fx.STEPS} SELECT name, step_no, segment, strand FROM steps")
+def gfa_file_steps(spark, sf_dir):
+    lines = gfa.read_lines(spark, fx.gfa_file(spark, sf_dir))
+    return gfa.exploded(gfa.records(gfa.paths(lines), gfa.walks(lines))).select("name", F.col("step_no").cast("long").alias("step_no"), "segment", "strand")
+
+
+def bed_tables(spark, sf_dir):
+    return beds.read_prefix(spark, fx.bed_prefix(spark, sf_dir), compressed=False)
+
+
+@query(f"WITH {fx.SEGS_BED} SELECT id, ref, start, stop, rank, tags FROM segs WHERE {IN_REGION}")
+def bed_segments(spark, sf_dir):
+    found = beds.in_region(bed_tables(spark, sf_dir)[0], *REGION)
+    return found.select("id", "ref", "start", F.col("end").alias("stop"), "rank", "tags")
+
+
+@query(f"WITH {LINK_ROWS} SELECT ref, start, stop, source, target, source_start, target_start, source_rank, target_rank FROM lrows WHERE {IN_REGION}")
+def bed_links(spark, sf_dir):
+    found = beds.in_region(bed_tables(spark, sf_dir)[1], *REGION)
+    return found.select("ref", "start", F.col("end").alias("stop"), "source", "target", "source_start", "target_start", "source_rank", "target_rank")
+
+
+@query(f"WITH {fx.BUBBLE} SELECT ref, start, stop, segment_count, path_count, inversion, shortest_length, longest_length FROM bubble WHERE {IN_REGION}")
+def bed_bubbles(spark, sf_dir):
+    rows = beds.read_bed(spark, beds.locations(fx.bed_prefix(spark, sf_dir), compressed=False)["bubbles"], beds.BUBBLES)
+    return beds.in_region(rows, *REGION).select("ref", "start", F.col("end").alias("stop"), "segment_count", "path_count", "inversion", "shortest_length", "longest_length")
+
+
+@query(f"WITH {cut_sql(1)} SELECT id, ref, start, stop, rank FROM k1")
+def subgraph_from_bed(spark, sf_dir):
+    return cut.subgraph(*bed_tables(spark, sf_dir), *REGION, context=1)[0].select("id", "ref", "start", F.col("end").alias("stop"), "rank")
+
+
+@query(
+    f"""WITH {fx.SEG}, q AS (SELECT DISTINCT 'hg38' AS assembly, contig FROM seg WHERE rank = 0)
+    SELECT 'REF' AS assembly, contig, concat('REF#0#', contig) AS ref FROM q"""
+)
+def refname_of_assembly(spark, sf_dir):
+    """Names of an assembly that stable names call otherwise."""
+    asked = fx.segments(spark, sf_dir).where("sr = 0").select(F.lit("hg38").alias("assembly"), naming.pansn_contig(F.col("sn")).alias("contig")).distinct()
+    return beds.resolve_names(beds.samples_of_assemblies(asked, {"hg38": "REF"}), fx.index(spark, sf_dir)[0])
+
+
+# ---------------------------------------------------------------- details and views
+
+
+@query(
+    f"""WITH {NEAR}, {fx.STEPS}, c AS (SELECT segment, string_agg(sample, ', ' ORDER BY sample) AS carried_by FROM (SELECT DISTINCT segment, sample FROM steps) x GROUP BY segment)
+    SELECT s.id AS node_id, s.len AS length, s.rank, s.sn AS stable_name, split_part(s.sn, '#', 1) AS contributing_assembly, c.carried_by,
+           CASE WHEN p.node_id IS NOT NULL THEN 'chr0' END AS ref, CASE WHEN p.node_id IS NOT NULL THEN 'hg38' END AS assembly, p.start, p.stop
+    FROM seg s LEFT JOIN c ON c.segment = s.id LEFT JOIN spans p ON p.node_id = s.id"""
+)
+def node_details(spark, sf_dir):
+    carried = anchor.carriage(fx.steps(spark, sf_dir).select("segment", "sample"))
+    found = spans.node_details(fx.nodes(spark, sf_dir), span_rows(spark, sf_dir), carried, ("chr0", "hg38"))
+    return found.withColumnRenamed("end", "stop").drop("name", "depth")
+
+
+@query(f"WITH {NEAR} SELECT node_id, 'chr0' AS ref, 'hg38' AS assembly, start, stop FROM spans")
+def hover_highlight(spark, sf_dir):
+    return spans.highlights(span_rows(spark, sf_dir), "chr0", "hg38").withColumnRenamed("end", "stop")
+
+
+@query(f"WITH {fx.SEG} SELECT pk AS point_id FROM seg WHERE concat('REF#0#', contig) = '{REGION[0]}' AND pk * 7 BETWEEN {REGION[1]} AND {REGION[2]}")
+def hover_in_region(spark, sf_dir):
+    points = fx.nodes(spark, sf_dir).select(F.col("rec_no").alias("point_id"), F.concat(F.lit("REF#0#"), naming.pansn_contig(F.col("sn"))).alias("ref"), (F.col("rec_no") * 7).alias("at"))
+    return spans.in_hover_region(points, *REGION).select("point_id")
+
+
+@query(
+    f"""WITH {WALK}, v AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY segment ORDER BY CASE WHEN name = 'C7#1#chr' THEN 0 ELSE 1 END, phase, rec_no, step_no) AS n FROM walk),
+    c AS (SELECT segment, string_agg(sample, '|' ORDER BY sample) AS samples FROM (SELECT DISTINCT segment, sample FROM walk) d GROUP BY segment)
+    SELECT g.id AS node_id, v.name AS sn, CAST(v.spot AS BIGINT) AS so, CASE WHEN v.name IS NULL THEN NULL ELSE CAST(CASE WHEN v.name = 'C7#1#chr' THEN 0 ELSE 1 END AS BIGINT) END AS sr, c.samples
+    FROM seg g LEFT JOIN (SELECT * FROM v WHERE n = 1) v ON v.segment = g.id LEFT JOIN c ON c.segment = g.id"""
+)
+def anchored_nodes(spark, sf_dir):
+    """Coordinates and samples from paths on a graph whose nodes state none."""
+    bare = fx.nodes(spark, sf_dir).withColumns({"sn": F.lit(None).cast("string"), "so": F.lit(None).cast("long"), "sr": F.lit(None).cast("long"), "samples": F.lit(None).cast("array<string>")})
+    found = anchor.anchored_nodes(bare, visits(spark, sf_dir), "C7#1#chr")
+    return found.select("node_id", "sn", F.col("so").cast("long").alias("so"), "sr", F.array_join("samples", "|").alias("samples"))
+
+
+@query(f"WITH {ALLELES} SELECT string_agg(sample, '|' ORDER BY sample) AS samples FROM (SELECT DISTINCT sample FROM al) x")
+def allele_sample_list(spark, sf_dir):
+    return alleles.sample_list(projected(spark, sf_dir)[0]).select(F.array_join("samples", "|").alias("samples"))
+
+
+@query(f"WITH {LAYOUT} SELECT round(MIN(x0), 4) AS min_x, round(MAX(x1) - MIN(x0), 4) AS w, CAST(MIN(r.row * 20) AS DOUBLE) AS min_y, CAST(MAX(r.row * 20) - MIN(r.row * 20) AS DOUBLE) AS h FROM pos p JOIN seg s ON p.id = s.id JOIN ranks r ON r.rank = s.rank")
+def layout_bounds(spark, sf_dir):
+    found = layout.layout_bounds(layout.anchored_layout(fx.nodes(spark, sf_dir), fx.edges(spark, sf_dir)))
+    return found.select(F.round("min_x", 4).alias("min_x"), F.round("w", 4).alias("w"), "min_y", "h")
+
+
+BACKBONE_VIEW = "so <= 2500 AND so + len >= 100"
+
+
+@query(f"WITH {fx.SEG} SELECT id AS node_id FROM seg WHERE rank = 0 AND {BACKBONE_VIEW}")
+def nodes_in_view(spark, sf_dir):
+    drawn = fx.nodes(spark, sf_dir).where("sr = 0").select("node_id", F.col("so").cast("double").alias("x0"), (F.col("so") + F.col("length")).cast("double").alias("x1"), F.lit(0.0).alias("y"))
+    return layout.in_view(drawn, 100, -20, 2500, 20).select("node_id")
+
+
+@query(
+    f"""WITH {fx.STEPS}, r AS (SELECT phase, rec_no, ROW_NUMBER() OVER (ORDER BY phase, rec_no) - 1 AS slot FROM (SELECT DISTINCT phase, rec_no FROM steps) x)
+    SELECT segment, string_agg(CAST(slot AS VARCHAR), '|' ORDER BY slot) AS slots FROM (SELECT DISTINCT s.segment, r.slot FROM steps s JOIN r ON s.phase = r.phase AND s.rec_no = r.rec_no) y GROUP BY segment"""
+)
+def path_slots(spark, sf_dir):
+    return layout.path_slots(fx.steps(spark, sf_dir)).select("segment", F.array_join(F.col("slots").cast("array<string>"), "|").alias("slots"))
+
+
+@query(f"WITH {fx.SEG}, b AS (SELECT id, pk * pk * len * 50 AS bp FROM seg) SELECT id, CASE WHEN bp >= 1000000 THEN concat({one_decimal_sql('bp', 1000000)}, ' Mb') ELSE concat(CAST(floor(bp / 1000.0::DOUBLE + 0.5) AS BIGINT), ' kb') END AS label FROM b")
+def format_span_bp(spark, sf_dir):
+    bp = F.col("rec_no") * F.col("rec_no") * F.col("length") * 50
+    return fx.nodes(spark, sf_dir).select(F.col("node_id").alias("id"), naming.format_span_bp(bp).alias("label"))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: alleles of the derived graph."""
     return allele_projection(spark, sf_dir)

@@ -27,7 +27,7 @@ def read_bed(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def overlaps(start: int, end: int) -> Column:
     """Rows that overlap [start, end); an empty row counts where it stands."""
     s, e = F.col("start"), F.col("end")
-    return ((s < end) & (e > start)) | ((s == e) & (s >= start) & (s < end))
+    return (s < end) & (e >= start) & ((e > start) | ((s == e) & (s >= start)))  # the first two conjuncts prune files by place
 
 
 def in_region(rows: DataFrame, ref: str, start: int, end: int) -> DataFrame:
@@ -106,6 +106,41 @@ def index_tables(segments: DataFrame, links: DataFrame) -> tuple[DataFrame, Data
     return segs, out[0].unionByName(out[1])
 
 
+def by_place(table: DataFrame) -> DataFrame:
+    """Dealt by ranges of place and sorted, so that a region of the written table reads a few row groups."""
+    return table.repartitionByRange("ref", "start").sortWithinPartitions("ref", "start")
+
+
 def write_index(table: DataFrame, path: str) -> None:
-    """Parquet, range-partitioned and sorted by place, so that a region reads a few row groups."""
-    table.repartitionByRange("ref", "start").sortWithinPartitions("ref", "start").write.mode("overwrite").parquet(path)
+    by_place(table).write.mode("overwrite").parquet(path)
+
+
+def read_index(spark: SparkSession, path: str, ref: str, start: int, end: int) -> DataFrame:
+    """The rows of a written index that overlap a region."""
+    return in_region(spark.read.parquet(path), ref, start, end)
+
+
+def bed_rows(table: DataFrame, schema: str) -> DataFrame:
+    """One text column: the columns of a schema of this module in its order, tab-separated, nulls empty."""
+    names = [c.split()[0] for c in schema.split(",")]
+    return table.select(F.concat_ws("\t", *[F.coalesce(F.col(n).cast("string"), F.lit("")) for n in names]).alias("value"))
+
+
+def locations(prefix: str, compressed: bool = True) -> dict[str, str]:
+    """The files that a prefix stands for."""
+    end = ".bed.gz" if compressed else ".bed"
+    return {name: f"{prefix}.{name}{end}" for name in ("segs", "links", "bubbles")}
+
+
+def read_prefix(spark: SparkSession, prefix: str, compressed: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Segment and link tables of the files that a prefix stands for."""
+    at = locations(prefix, compressed)
+    return read_bed(spark, at["segs"], SEGMENTS), read_bed(spark, at["links"], LINKS)
+
+
+def samples_of_assemblies(requests: DataFrame, mapping: dict[str, str] | None = None) -> DataFrame:
+    """requests: assembly, contig.  The assembly under its sample's name in stable names, where the mapping has one; else as it is."""
+    if not mapping:
+        return requests
+    known = F.create_map(*[F.lit(x) for pair in sorted(mapping.items()) for x in pair])
+    return requests.withColumn("assembly", F.coalesce(F.try_element_at(known, F.col("assembly")), F.col("assembly")))

@@ -22,7 +22,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 
 
 def of_type(lines: DataFrame, letter: str) -> DataFrame:
-    return lines.where(F.substring("line", 1, 1) == letter).select("rec_no", F.split("line", "\t").alias("f"))
+    return lines.where(F.startswith(F.col("line"), F.lit(letter))).select("rec_no", F.split("line", "\t").alias("f"))
 
 
 def tags(fields: Column) -> Column:
