@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import naming
-from ..operators import alleles, anchor, colors, convert, cut, force, layout, spans, spatial
+from ..operators import alleles, anchor, colors, convert, cut, edges, force, layout, spans, spatial
+from ..operators.curves import NAMES
 from ..sources import beds, gfa
 from . import fixtures as fx
 
@@ -613,6 +614,80 @@ def nearest_node(spark, sf_dir):
     return spatial.nearest_nodes(points, drawn, 5.0, 64.0, 20.0).withColumn("distance", F.round("distance", 9))
 
 
+# ---------------------------------------------------------------- edges of a drawing
+
+
+# Heights by a square: two skipped points are then seldom as far from a chord on both its sides (1 of 121 arcs at sf0.01); the first decides.
+EDGES = DELETIONS + """,
+drawn AS (SELECT id, CAST(so AS DOUBLE) AS x0, CAST(so + len AS DOUBLE) AS x1, CAST(pk * pk % 101 AS DOUBLE) / 2 AS y FROM seg),
+ends AS (SELECT l.rec_no AS edge_no, a.x0 AS ax0, a.x1 AS ax1, a.y AS fy, b.x0 AS bx0, b.x1 AS bx1, b.y AS ty FROM lnk l JOIN drawn a ON a.id = l.source JOIN drawn b ON b.id = l.target),
+sided AS (SELECT *, GREATEST(0, bx0 - ax1, ax1 - bx1) <= GREATEST(0, bx0 - ax0, ax0 - bx1) AS f_last, GREATEST(0, ax0 - bx1, bx1 - ax1) < GREATEST(0, ax0 - bx0, bx0 - ax1) AS t_last FROM ends),
+met AS (SELECT edge_no, CASE WHEN f_last THEN ax1 ELSE ax0 END AS fx, fy, CASE WHEN f_last THEN 1 ELSE -1 END AS fv, CASE WHEN t_last THEN bx1 ELSE bx0 END AS tx, ty, CASE WHEN t_last THEN 1 ELSE -1 END AS tv FROM sided),
+chord AS (SELECT *, sqrt((tx - fx) * (tx - fx) + (ty - fy) * (ty - fy)) AS d FROM met),
+aimed AS (SELECT *, CASE WHEN d = 0 THEN 1.0::DOUBLE ELSE (tx - fx) / d END AS ux, CASE WHEN d = 0 THEN 0.0::DOUBLE ELSE (ty - fy) / d END AS uy FROM chord),
+skipped AS (SELECT d.edge_no, b.id, b.so FROM del d JOIN bb b ON b.sn = d.ref AND b.so >= d.start AND b.so < d.stop AND b.so + b.len <= d.stop WHERE d.stop - d.start >= 1),
+passed AS (SELECT k.edge_no, k.so, w.x0 AS x, w.y FROM skipped k JOIN drawn w ON w.id = k.id UNION ALL SELECT k.edge_no, k.so, w.x1, w.y FROM skipped k JOIN drawn w ON w.id = k.id),
+beside AS (SELECT p.edge_no, p.so, p.x, (p.y - fy) * ux - (p.x - fx) * uy AS off, (p.x - fx) * ux + (p.y - fy) * uy AS along FROM passed p JOIN aimed m ON m.edge_no = p.edge_no),
+far AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY edge_no ORDER BY abs(off) DESC, so, x) AS n FROM beside),
+bow AS (SELECT edge_no, MAX(CASE WHEN n = 1 THEN off END) AS reach, MAX(along) - MIN(along) AS span FROM far GROUP BY edge_no),
+bent AS (SELECT m.*, COALESCE(CASE WHEN reach < 0 THEN -1 ELSE 1 END * GREATEST(abs(reach) * 1.15 / 0.75, span * 0.35), 0) AS bulge FROM aimed m LEFT JOIN bow b ON b.edge_no = m.edge_no)"""
+
+
+def drawn_nodes(spark, sf_dir):
+    def at(x):
+        return F.struct(x.cast("double").alias("x"), (F.col("rec_no") * F.col("rec_no") % 101).cast("double").alias("y"))
+
+    return fx.nodes(spark, sf_dir).select("node_id", F.array(at(F.col("so")), at(F.col("so") + F.col("length"))).alias("points"))
+
+
+def drawn_curves(spark, sf_dir):
+    """Curves where a unit of y is half a unit of x, deletions around what they skip."""
+    nodes, links = fx.nodes(spark, sf_dir), fx.edges(spark, sf_dir)
+    skipped = spans.bypassed(spans.deletion_edges(nodes, links), nodes)
+    return edges.edge_curves(links, drawn_nodes(spark, sf_dir), 2.0, 1.0, skipped)
+
+
+@query(
+    f"""WITH {EDGES} SELECT edge_no, round(fx, 3) + 0 AS x0, round(fy * 2, 3) + 0 AS y0, round(tx, 3) + 0 AS x3, round(ty * 2, 3) + 0 AS y3,
+    round(fx + fv * GREATEST(0, LEAST(d * 0.5, 80, (tx - fx) * fv * 0.5)) - uy * bulge - ux * abs(bulge), 3) + 0 AS x1, round((fy + ux * bulge - uy * abs(bulge)) * 2, 3) + 0 AS y1,
+    round(tx + tv * GREATEST(0, LEAST(d * 0.5, 80, (fx - tx) * tv * 0.5)) - uy * bulge + ux * abs(bulge), 3) + 0 AS x2, round((ty + ux * bulge + uy * abs(bulge)) * 2, 3) + 0 AS y2 FROM bent"""
+)
+def edge_curves(spark, sf_dir):
+    first = F.get("curves", F.lit(0))
+    return drawn_curves(spark, sf_dir).select("edge_no", *[(F.round(first[n], 3) + 0.0).alias(n) for n in NAMES])
+
+
+@query(
+    f"""WITH {EDGES}, w AS (SELECT *, sqrt((bx0 - ax1) * (bx0 - ax1) + (ty - fy) * (ty - fy)) AS d, edge_no % 4 AS paths FROM ends),
+    v AS (SELECT edge_no, paths, CASE WHEN d = 0 THEN 1.0::DOUBLE ELSE (bx0 - ax1) / d END AS vx, CASE WHEN d = 0 THEN 0.0::DOUBLE ELSE (ty - fy) / d END AS vy FROM w),
+    k AS (SELECT *, UNNEST(range(paths)) AS path_no FROM v)
+    SELECT edge_no, CAST(path_no AS INT) AS path_no, round(-vy * (path_no - (paths - 1) / 2.0::DOUBLE) * 3, 3) + 0 AS dx, round(vx * (path_no - (paths - 1) / 2.0::DOUBLE) * 3 * 2, 3) + 0 AS dy FROM k"""
+)
+def edge_ribbons(spark, sf_dir):
+    """Ribbons of up to three paths."""
+    some = F.slice(F.array(*[F.lit(n) for n in "abc"]), F.lit(1), (F.col("edge_no") % 4).cast("int"))
+    found = edges.ribbon_offsets(fx.edges(spark, sf_dir).withColumn("path_ids", some), drawn_nodes(spark, sf_dir), 2.0, 1.0)
+    each = found.select("edge_no", F.posexplode("offsets").alias("path_no", "by"))
+    return each.select("edge_no", "path_no", (F.round("by.x", 3) + 0.0).alias("dx"), (F.round("by.y", 3) + 0.0).alias("dy"))
+
+
+@query(
+    f"""WITH {EDGES}, box AS (SELECT GREATEST(fx, tx) - LEAST(fx, tx) AS w, (GREATEST(fy, ty) - LEAST(fy, ty)) * 2 AS h FROM met)
+    SELECT round(GREATEST(1, SUM(w) / COUNT(*)), 3) AS cell_x, round(GREATEST(1, SUM(h) / COUNT(*)), 3) AS cell_y FROM box"""
+)
+def edge_cell_size(spark, sf_dir):
+    """The cell of a grid over the chords of all edges."""
+    curve = F.get("curves", F.lit(0))
+    chords = drawn_curves(spark, sf_dir).select(*[pick(curve[f"{c}0"], curve[f"{c}3"]).alias(f"{name}_{c}") for name, pick in (("min", F.least), ("max", F.greatest)) for c in "xy"])
+    return edges.cell_size(chords).select(F.round("cell_x", 3).alias("cell_x"), F.round("cell_y", 3).alias("cell_y"))
+
+
+@query()
+def nearest_edge(spark, sf_dir):
+    points = fx.nodes(spark, sf_dir).select(F.col("rec_no").alias("point_id"), (F.col("rec_no") * 3).cast("double").alias("px"), (F.col("rec_no") % 29 * 7).cast("double").alias("py"))
+    return edges.nearest_edges(points, drawn_curves(spark, sf_dir), 2.0, 1.0)
+
+
 # ---------------------------------------------------------------- files
 
 
