@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import naming
-from ..operators import alleles, anchor, colors, convert, cut, edges, force, layout, spans, spatial
+from ..operators import alleles, anchor, colors, convert, cut, edges, force, labels, layout, spans, spatial
 from ..operators.curves import NAMES
 from ..sources import beds, gfa
 from . import fixtures as fx
@@ -591,10 +591,11 @@ def one_decimal_sql(n: str, unit: int) -> str:
     return f"CASE WHEN {n} % {unit} = {unit // 4} THEN concat({n} // {unit}, '.3') ELSE regexp_replace(printf('%.1f', {n} / {unit}.0::DOUBLE), '\\.0$', '') END"
 
 
-@query(
-    f"""WITH {fx.SEG}, b AS (SELECT id, pk * pk * len * 50 AS bp FROM seg)
-    SELECT id, bp, CASE WHEN bp >= 1000000 THEN concat({one_decimal_sql('bp', 1000000)}, ' Mb') WHEN bp >= 1000 THEN concat({one_decimal_sql('bp', 1000)}, ' kb') ELSE concat(bp, ' bp') END AS label FROM b"""
-)
+def format_bp_sql(n: str) -> str:
+    return f"CASE WHEN {n} >= 1000000 THEN concat({one_decimal_sql(n, 1000000)}, ' Mb') WHEN {n} >= 1000 THEN concat({one_decimal_sql(n, 1000)}, ' kb') ELSE concat({n}, ' bp') END"
+
+
+@query(f"WITH {fx.SEG}, b AS (SELECT id, pk * pk * len * 50 AS bp FROM seg) SELECT id, bp, {format_bp_sql('bp')} AS label FROM b")
 def format_bp(spark, sf_dir):
     bp = F.col("rec_no") * F.col("rec_no") * F.col("length") * 50
     return fx.nodes(spark, sf_dir).select(F.col("node_id").alias("id"), bp.alias("bp"), naming.format_bp(bp).alias("label"))
@@ -688,6 +689,36 @@ def nearest_edge(spark, sf_dir):
     return edges.nearest_edges(points, drawn_curves(spark, sf_dir), 2.0, 1.0)
 
 
+# ---------------------------------------------------------------- labels
+
+VIEW = labels.View(2.0, 1.0, -100.0, 20.0, 1200.0, 160.0)
+
+
+@query(f"WITH {LAYOUT}, t AS (SELECT CASE WHEN rank = 0 THEN 'Reference (rank 0)' ELSE concat('Rank ', rank) END AS label, CAST(row * 20 + 20 AS DOUBLE) AS y FROM ranks) SELECT label, 6.0::DOUBLE AS x0, round(17 + length(label) * 6.2::DOUBLE, 6) AS x1, y - 9.5::DOUBLE AS y0, y + 9.5::DOUBLE AS y1 FROM t")
+def row_label_boxes(spark, sf_dir):
+    boxes = labels.row_label_boxes(layout.rank_labels(layout.rank_rows(fx.nodes(spark, sf_dir))), VIEW)
+    return boxes.select("label", F.col("left").alias("x0"), F.round("right", 6).alias("x1"), F.col("top").alias("y0"), F.col("bottom").alias("y1"))
+
+
+@query(
+    f"""WITH {fx.SEG}, t AS (SELECT id, len, {format_bp_sql('len')} AS text, (so + len) * 2.0::DOUBLE - 100 AS x, pk * pk % 101 + 20.0::DOUBLE AS y FROM seg),
+    h AS (SELECT *, (length(text) * 5.7::DOUBLE + 9) / 2 AS half FROM t)
+    SELECT concat('node:', id) AS key, text, x, y, round(x - half, 6) AS x0, round(x + half, 6) AS x1 FROM h WHERE len * 2 >= half AND y + 8 > 0 AND y - 8 < 160"""
+)
+def node_label_candidates(spark, sf_dir):
+    found = labels.node_candidates(fx.nodes(spark, sf_dir), drawn_nodes(spark, sf_dir), VIEW)
+    return found.select("key", "text", "x", "y", F.round("left", 6).alias("x0"), F.round("right", 6).alias("x1"))
+
+
+@query()
+def graph_labels(spark, sf_dir):
+    """Labels of deletions, alleles and nodes that keep clear of each other and of the labels of rows."""
+    nodes = fx.nodes(spark, sf_dir)
+    deletions, runs = spans.deletion_edges(nodes, fx.edges(spark, sf_dir)), alleles.allele_deletions(projected(spark, sf_dir)[0])
+    rows = labels.row_label_boxes(layout.rank_labels(layout.rank_rows(nodes)), VIEW)
+    return labels.graph_labels(nodes, drawn_nodes(spark, sf_dir), VIEW, deletions, drawn_curves(spark, sf_dir), runs, rows)
+
+
 # ---------------------------------------------------------------- files
 
 
