@@ -91,7 +91,7 @@ def deletion_candidates(deletions: DataFrame, curves: DataFrame, view: View) ->
 
     A label wider than twice its arc stands beside it, where the arc bows to, with a leader from the arc to the box, and inside the screen.
     """
-    drawn = curve_boxes(curves.where(F.size("curves") > 0)).join(deletions.select("edge_no", "bp"), "edge_no")
+    drawn = cut(curve_boxes(curves.where(F.size("curves") > 0)).join(deletions.select("edge_no", "bp"), "edge_no"))  # short tables; without these cuts the compiled code of all steps is too long
     half = half_width(F.col("text"))
     middle = midpoint(F.get("curves", F.floor(F.size("curves") / 2).cast("int")))
     first, last = F.get("curves", F.lit(0)), F.get("curves", F.size("curves") - 1)
@@ -101,12 +101,14 @@ def deletion_candidates(deletions: DataFrame, curves: DataFrame, view: View) ->
         (middle["x"] * view.scale_x + view.left).alias("arc_x"), (middle["y"] * view.scale_y + view.top).alias("arc_y"),
         ((middle["x"] - (first["x0"] + last["x3"]) / 2) * view.scale_x).alias("dx"), ((middle["y"] - (first["y0"] + last["y3"]) / 2) * view.scale_y).alias("dy"),
     ).where(F.col("extent") >= LEAST_ARC)
+    found = cut(found)
     found = found.withColumns({"half": half, "far": F.hypot("dx", "dy"), "inside": F.col("extent") >= half * 2 / OVERHANG})
     found = found.withColumns({"ux": F.coalesce(F.try_divide("dx", "far"), F.lit(0.0)), "uy": F.coalesce(F.try_divide("dy", "far"), F.lit(-1.0))})
     found = found.withColumn("by", F.abs("ux") * F.col("half") + F.abs("uy") * HALF_HEIGHT + LEADER_GAP)
     beside_x = slid(F.col("arc_x") + F.col("ux") * F.col("by"), F.col("half"), F.lit(view.width) - F.col("half"))
     beside_y = slid(F.col("arc_y") + F.col("uy") * F.col("by"), F.lit(HALF_HEIGHT), F.lit(view.height - HALF_HEIGHT))
     found = found.withColumns({"x": F.when(F.col("inside"), F.col("arc_x")).otherwise(beside_x), "y": F.when(F.col("inside"), F.col("arc_y")).otherwise(beside_y)})
+    found = cut(found.drop("ux", "uy", "by", "far", "dx", "dy", "extent"))
     away = F.hypot(F.col("x") - F.col("arc_x"), F.col("y") - F.col("arc_y"))
     found = found.withColumns({"tx": F.try_divide(F.col("x") - F.col("arc_x"), away), "ty": F.try_divide(F.col("y") - F.col("arc_y"), away)})
     stop = F.least(F.try_divide("half", F.abs("tx")), F.try_divide(F.lit(HALF_HEIGHT), F.abs("ty")))  # the nearer side of the box

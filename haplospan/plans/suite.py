@@ -713,10 +713,11 @@ def node_label_candidates(spark, sf_dir):
 @query()
 def graph_labels(spark, sf_dir):
     """Labels of deletions, alleles and nodes that keep clear of each other and of the labels of rows."""
-    nodes = fx.nodes(spark, sf_dir)
-    deletions, runs = spans.deletion_edges(nodes, fx.edges(spark, sf_dir)), alleles.allele_deletions(projected(spark, sf_dir)[0])
+    nodes, links, drawn = fx.nodes(spark, sf_dir), fx.edges(spark, sf_dir), drawn_nodes(spark, sf_dir)
+    deletions, runs = spans.deletion_edges(nodes, links), alleles.allele_deletions(projected(spark, sf_dir)[0])
+    arcs = edges.edge_curves(links.join(deletions.select("edge_no"), "edge_no", "left_semi"), drawn, 2.0, 1.0, spans.bypassed(deletions, nodes))
     rows = labels.row_label_boxes(layout.rank_labels(layout.rank_rows(nodes)), VIEW)
-    return labels.graph_labels(nodes, drawn_nodes(spark, sf_dir), VIEW, deletions, drawn_curves(spark, sf_dir), runs, rows)
+    return labels.graph_labels(nodes, drawn, VIEW, deletions, arcs, runs, rows)
 
 
 # ---------------------------------------------------------------- files
