@@ -52,6 +52,11 @@ def grouped(n: Column) -> Column:
     return F.format_number(n.cast("long"), 0)
 
 
+def region_label(name: Column, start: Column, end: Column) -> Column:
+    """As the region states its ends, grouped by thousands."""
+    return F.concat(name, F.lit(":"), grouped(start), F.lit("-"), grouped(end))
+
+
 def locstring(name: Column, start: Column, end: Column) -> Column:
     """1-based, both ends included."""
     return F.concat(name, F.lit(":"), (start + 1).cast("string"), F.lit("-"), end.cast("string"))

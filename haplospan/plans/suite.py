@@ -601,6 +601,24 @@ def format_bp(spark, sf_dir):
     return fx.nodes(spark, sf_dir).select(F.col("node_id").alias("id"), bp.alias("bp"), naming.format_bp(bp).alias("label"))
 
 
+@query(f"WITH {fx.SEG}, b AS (SELECT id, sn, so * 1000 AS a, (so + len) * 1000 AS b FROM seg) SELECT id, concat(sn, ':', a + 1, '-', b) AS loc, concat(sn, ':', format('{{:,}}', a), '-', format('{{:,}}', b)) AS label FROM b")
+def range_labels(spark, sf_dir):
+    """Places of segments, in bases of a thousandth."""
+    a, b = F.col("so") * 1000, (F.col("so") + F.col("length")) * 1000
+    return fx.nodes(spark, sf_dir).select(F.col("node_id").alias("id"), naming.locstring(F.col("sn"), a, b).alias("loc"), naming.region_label(F.col("sn"), a, b).alias("label"))
+
+
+def brightened_sql(color: str, factor: float) -> str:
+    up = [f"LEAST(255, CAST(floor((({color} >> {8 * k}) & 255) * {factor}::DOUBLE + 0.5) AS BIGINT))" for k in range(3)]
+    return f"{up[0]} + ({up[1]} << 8) + ({up[2]} << 16) + ((({color} >> 24) & 255) << 24)"
+
+
+@query(f"WITH {fx.SEG}, c AS (SELECT id, (pk * 2654435761) % 4294967296 AS color FROM seg) SELECT id, color, {brightened_sql('color', 1.4)} AS bright FROM c")
+def brightened_colors(spark, sf_dir):
+    color = F.col("rec_no") * 2654435761 % 4294967296
+    return fx.nodes(spark, sf_dir).select(F.col("node_id").alias("id"), color.alias("color"), naming.brighten(color, 1.4).alias("bright"))
+
+
 @query(
     f"""WITH {fx.SEG}, q AS (SELECT pk AS point_id, contig, CAST(pk * 3 AS DOUBLE) AS px, CAST(pk % 7 - 3 AS DOUBLE) AS py FROM seg),
     d AS (SELECT point_id, id, sqrt(power(GREATEST(so - px, px - (so + len), 0), 2) + power(py, 2)) AS distance FROM q JOIN seg ON q.contig = seg.contig AND rank = 0),
