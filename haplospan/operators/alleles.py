@@ -5,12 +5,15 @@ nodes: rec_no, node_id, name, length, sn, so, sr; edges: edge_no, from_id, to_id
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.naming import pansn_haplotype, pansn_sample
 from ..storage import cut as checkpoint
+from ..storage import partitions
 from .components import components
 from .spans import is_backbone, is_off_reference, neighbours
 
@@ -47,19 +50,19 @@ def intervals(anchor_rows: DataFrame) -> DataFrame:
     return of.where("n >= 2 and refs = 1 and end >= start").select("run", "ref", "start", "end", "entry")
 
 
-def sweep(members: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-    """Order and offset of the members of one run.
+def sweep(members: list[dict], links: list[dict], entry: str) -> Iterator[tuple[str, int, int]]:
+    """node_id, offset and order of discovery of the members of one run, in order.  members by rec_no, links by edge_no.
 
     Members are ordered by their distance from the entry (in bp, over the run's links), then by discovery; a member starts where the last
     of its neighbours before it ends.
     """
-    members = members.sort_values("rec_no")
-    size = dict(zip(members["node_id"], members["length"], strict=True))
+    size = {m["node_id"]: m["length"] for m in members}
     near: dict[str, list[str]] = {}
-    for a, b in links.sort_values("edge_no")[["from_id", "to_id"]].itertuples(index=False):
-        near.setdefault(a, []).append(b)
-        near.setdefault(b, []).append(a)
-    found, stack, seen = [], [members["node_id"].iloc[0]], {members["node_id"].iloc[0]}
+    for link in links:
+        near.setdefault(link["from_id"], []).append(link["to_id"])
+        near.setdefault(link["to_id"], []).append(link["from_id"])
+    first = members[0]["node_id"]
+    found, stack, seen = [], [first], {first}
     while stack:
         here = stack.pop()
         found.append(here)
@@ -67,7 +70,6 @@ def sweep(members: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
             if other in size and other not in seen:
                 seen.add(other)
                 stack.append(other)
-    entry = members["entry"].iloc[0]
     queue = list(dict.fromkeys(n for n in near.get(entry, ()) if n in size)) or list(found)
     away = dict.fromkeys(queue, 0)
     for here in queue:
@@ -76,26 +78,36 @@ def sweep(members: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
             if other in size and reach < away.get(other, float("inf")):
                 away[other] = reach
                 queue.append(other)
-    ordered = sorted(found, key=lambda n: away.get(n, float("inf")))
+    place = {n: k for k, n in enumerate(found)}
     offset: dict[str, int] = {}
-    for here in ordered:
+    for here in sorted(found, key=lambda n: away.get(n, float("inf"))):
         offset[here] = max((offset[o] + size[o] for o in near.get(here, ()) if o in offset), default=0)
-    place = {n: k for k, n in enumerate(found)}
-    return pd.DataFrame({"run": members["run"].iloc[0], "node_id": ordered, "at": range(len(ordered)), "offset": [offset[n] for n in ordered], "found": [place[n] for n in ordered]})
+        yield here, offset[here], place[here]
+
+
+def swept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(r["run"], node, at, offset, found) for r in batch.to_pylist() for at, (node, offset, found) in enumerate(sweep(r["members"], r["links"] or [], r["entry"]))]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), PLACED.types, strict=True)], schema=PLACED) if rows else pa.RecordBatch.from_pylist([], schema=PLACED)
+
+
+PLACED = pa.schema([("run", pa.string()), ("node_id", pa.string()), ("at", pa.int64()), ("offset", pa.int64()), ("found", pa.int64())])
 
 
 def placements(nodes: DataFrame, edges: DataFrame, run_of: DataFrame, spans: DataFrame) -> DataFrame:
     """run, node_id, at (order), offset, found (order of discovery) of the members of runs with an interval.
 
-    A run's own members and links are one group; everything between runs stays distributed.
+    A run's own members and links are one row; everything between runs stays distributed, many runs to a batch.
     """
     members = run_of.join(spans.select("run", "entry"), "run").join(nodes.select("node_id", "rec_no", "length"), "node_id")
     keyed = members.select("run", "node_id", "rec_no", "length", "entry")
     by_from = edges.join(keyed.select(F.col("node_id").alias("from_id"), F.col("run").alias("_a"), F.col("entry").alias("_ea")), "from_id", "left")
     both = by_from.join(keyed.select(F.col("node_id").alias("to_id"), F.col("run").alias("_b"), F.col("entry").alias("_eb")), "to_id", "left")
     links = both.where("(_a = _b) or (_a is not null and to_id = _ea) or (_b is not null and from_id = _eb)").select(F.coalesce("_a", "_b").alias("run"), "edge_no", "from_id", "to_id")
-    schema = "run string, node_id string, at long, offset long, found long"
-    return keyed.groupBy("run").cogroup(links.groupBy("run")).applyInPandas(sweep, schema)
+    of = keyed.groupBy("run", "entry").agg(F.array_sort(F.collect_list(F.struct("rec_no", "node_id", "length"))).alias("members"))
+    beside = links.groupBy("run").agg(F.array_sort(F.collect_list(F.struct("edge_no", "from_id", "to_id"))).alias("links"))
+    rows = of.join(beside, "run", "left").repartition(partitions(nodes.sparkSession), "run")  # few bytes, but work: not to be brought into one task
+    return rows.mapInArrow(swept, "run string, node_id string, at long, offset long, found long")
 
 
 def project(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:

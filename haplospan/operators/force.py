@@ -1,59 +1,303 @@
-"""Force layout: each connected component is laid out by itself, then components are packed in rows.
+"""Force layout over several levels.
 
-A seeded spring model stands for the reference's compiled engine; what holds is that every node is placed at finite coordinates, equal
-input gives equal output, and components do not overlap.
+Every node is drawn as a chain of points; chains and edges are springs.  The graph of points is contracted (`components.contracted`) until no
+component has more than COARSE points; these coarse graphs, each of bounded size, are settled by themselves.  Then the levels
+are undone one by one: a point starts beside the point that it went to, and a few rounds move all points of the level.
+
+A round is one Spark job over all components together.  Springs are aggregates by link end.  Repulsion goes by cells of a grid: sums by cell and
+its parents' cells, a pyramid; each cell hears its nine neighbours one by one, and what lies farther through the cells of each
+level that are near its parent but not near itself, as a sum of forces on its middle.  So a round costs a few rows for each point and level of the pyramid, and
+no pairs.  Places and forces are whole numbers of 1/UNIT, whose sums do not depend on the order of rows: equal input gives equal drawings.
+
+Components are turned to the trial angle with the smallest box (an aggregate of extremes by angle) and packed on shelves of decreasing height.
+
+Draws other than the compiled engine of the original, whose places cannot be had by other means; what holds is that every node is placed,
+finite and the same each time, springs are near their lengths, and the boxes of components keep their distance.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .components import components
-
-ROUNDS = 60
-GAP = 15.0
-
-
-def settle(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
-    """Places of the nodes of one component, from a seed in its first node's name."""
-    nodes = nodes.sort_values("node_id")
-    names = nodes["node_id"].tolist()
-    at = {n: k for k, n in enumerate(names)}
-    rng = np.random.default_rng(1)
-    place = rng.normal(0, np.sqrt(len(names)) * 20, (len(names), 2))
-    ends = np.array([(at[a], at[b]) for a, b in links[["from_id", "to_id"]].itertuples(index=False) if a != b], dtype=np.int64).reshape(-1, 2)
-    rest = 5 + (nodes["length"].to_numpy()[ends].sum(axis=1) / 2) ** 0.5 if len(ends) else np.zeros(0)
-    for step in range(ROUNDS):
-        move = np.zeros_like(place)
-        for low in range(0, len(names), 512):  # repulsion in blocks of rows
-            away = place[low : low + 512, None, :] - place[None, :, :]
-            move[low : low + 512] += (away * (400 / (np.square(away).sum(axis=2) + 25))[:, :, None]).sum(axis=1)
+from ..storage import cut as checkpoint
+from ..storage import numbered, running
+from .components import components, contracted
+
+# Rounds at each level and rounds more at the last one, by quality; trial angles; distance of components; width to height.
+ROUNDS = (3, 15, 30, 60, 120)
+MORE_ROUNDS = (1, 10, 20, 40, 60)
+ANGLES = 50
+SEPARATION = 15.0
+ASPECT = 1.333333
+#: Points of a component that are settled as one group at most.
+COARSE = 400
+#: Places are whole numbers of 1/UNIT.
+UNIT = 1024
+#: Strength of repulsion, which falls with the square of the distance: so that what pulls at a spring of a long chain grows with its logarithm only.
+PUSH = 0.5
+
+
+# ---------------------------------------------------------------- points and springs
+
+
+def chains(nodes: DataFrame, edges: DataFrame, scale: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Points (pid, node_id, place, last) and springs (u, v, rest; u < v, no two of one pair).
+
+    A node of drawn length d is a chain of ceil(d / segment) springs; an edge is a spring from the last point of its first node to the
+    first point of its second.  scale: one row of `layout.drawn_scale`.
+    """
+    s = scale.first()
+    drawn = F.greatest(F.col("length") * F.lit(s["node_length_per_megabase"] / 1_000_000), F.lit(float(s["minimum_node_length"])))
+    segment, edge_length = float(s["node_segment_length"]), float(s["edge_length"])
+    sized = nodes.select("node_id", drawn.alias("drawn")).withColumn("last", F.greatest(F.ceil(F.col("drawn") / segment), F.lit(1)).cast("long"))
+    each = sized.select("node_id", "last", "drawn", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("place"))
+    points = checkpoint(numbered(each, "node_id", "place", name="pid"))
+    inner = points.where("place < last").select(F.col("pid").alias("u"), (F.col("pid") + 1).alias("v"), (F.col("drawn") / F.col("last")).alias("rest"))
+    start = points.where("place = 0").select(F.col("node_id").alias("to_id"), F.col("pid").alias("_v"))
+    end = points.where("place = last").select(F.col("node_id").alias("from_id"), F.col("pid").alias("_u"))
+    outer = edges.select("from_id", "to_id").join(end, "from_id").join(start, "to_id")
+    between = outer.select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v"), F.lit(edge_length).alias("rest")).where("u <> v")
+    springs = inner.unionByName(between).groupBy("u", "v").agg(F.max("rest").alias("rest"))
+    return points.select("pid", "node_id", "place"), checkpoint(springs)
+
+
+# ---------------------------------------------------------------- the coarsest graphs
+
+
+def settle(points: pd.DataFrame, springs: pd.DataFrame, seed: int, rounds: int) -> pd.DataFrame:
+    """Places of the at most COARSE points of one component, by all pairs."""
+    names = np.sort(points["pid"].to_numpy())
+    rng = np.random.default_rng(seed)
+    springs = springs.sort_values(["u", "v"])
+    ends = np.searchsorted(names, springs[["u", "v"]].to_numpy(dtype=np.int64).reshape(-1, 2))
+    rest = springs["rest"].to_numpy(dtype=np.float64)
+    k = rest.mean() if len(rest) else 1.0
+    place = rng.normal(0, k * math.sqrt(len(names)), (len(names), 2))
+    degree = np.maximum(1, np.bincount(ends.ravel(), minlength=len(names)))[:, None]
+    for step in range(rounds):
+        away = place[:, None, :] - place[None, :, :]
+        move = PUSH * k**3 * (away / ((np.square(away).sum(axis=2) + k * k / 25) ** 1.5)[:, :, None]).sum(axis=1)
         if len(ends):
             pull = place[ends[:, 1]] - place[ends[:, 0]]
             size = np.linalg.norm(pull, axis=1) + 1e-9
-            pull *= ((size - rest) / size * 0.5)[:, None]
-            np.add.at(move, ends[:, 0], pull)
-            np.add.at(move, ends[:, 1], -pull)
-        limit = 30 * (1 - step / ROUNDS) + 1
+            pull *= ((size - rest) / size)[:, None]
+            total = np.zeros_like(place)
+            np.add.at(total, ends[:, 0], pull)
+            np.add.at(total, ends[:, 1], -pull)
+            move += total / degree
+        limit = 2 * k * (1 - step / rounds) + 0.01 * k
         place += move * np.minimum(1, limit / (np.linalg.norm(move, axis=1) + 1e-9))[:, None]
-    place -= place.min(axis=0)
-    half = nodes["length"].to_numpy() ** 0.5 / 2
-    return pd.DataFrame({"component": nodes["component"].iloc[0], "node_id": names, "x0": place[:, 0] - half, "x1": place[:, 0] + half, "y": place[:, 1]})
-
-
-def force_layout(nodes: DataFrame, edges: DataFrame, largest: int = 20_000) -> DataFrame:
-    """node_id, x0, x1, y.  A component over `largest` nodes is refused, as a drawing of one is."""
-    links = edges.select("from_id", "to_id").join(nodes.select(F.col("node_id").alias("from_id")), "from_id", "left_semi").join(nodes.select(F.col("node_id").alias("to_id")), "to_id", "left_semi")
-    roots = components(links.select(F.col("from_id").alias("u"), F.col("to_id").alias("v"))).select(F.col("node").alias("node_id"), "root")
-    of = nodes.select("node_id", "length").join(roots, "node_id", "left").withColumn("component", F.coalesce("root", "node_id")).drop("root")
-    sizes = of.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    if (most := sizes.agg(F.max("n")).first()[0] or 0) > largest:
-        raise ValueError(f"a component of {most} nodes is over the limit of {largest}")
-    inner = links.join(of.select(F.col("node_id").alias("from_id"), F.col("component").alias("of_component")), "from_id")
-    placed = of.groupBy("component").cogroup(inner.groupBy("of_component")).applyInPandas(settle, "component string, node_id string, x0 double, x1 double, y double")
-    boxes = placed.groupBy("component").agg((F.max("x1") - F.min("x0")).alias("w"), F.min("x0").alias("left"))
-    shift = F.coalesce(F.sum(F.col("w") + GAP).over(Window.orderBy(F.desc("w"), "component").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))  # one row for each component of a drawing
-    return placed.join(boxes.select("component", (shift - F.col("left")).alias("_by")), "component").select("node_id", (F.col("x0") + F.col("_by")).alias("x0"), (F.col("x1") + F.col("_by")).alias("x1"), "y")
+    place -= place.mean(axis=0)
+    whole = np.floor(place * UNIT + 0.5).astype(np.int64)
+    return pd.DataFrame({"component": points["component"].iloc[0], "pid": names, "x": whole[:, 0], "y": whole[:, 1]})
+
+
+def settled(points: DataFrame, springs: DataFrame, seed: int, rounds: int) -> DataFrame:
+    """component, pid, x, y.  A group is a component of at most COARSE points and its springs."""
+    inner = springs.join(points.select(F.col("pid").alias("u"), F.col("component").alias("of_component")), "u")
+    both = points.groupBy("component").cogroup(inner.groupBy("of_component"))
+    return both.applyInPandas(lambda p, s: settle(p, s, seed, rounds), "component string, pid long, x long, y long")
+
+
+# ---------------------------------------------------------------- a round
+
+
+def whole(force: Column) -> Column:
+    return F.floor(force + 0.5).cast("long")
+
+
+def pushed(dx: Column, dy: Column, count: Column, k: float) -> tuple[Column, Column]:
+    """What `count` points, dx and dy away, add to a point's move."""
+    k = k * UNIT
+    size = dx * dx + dy * dy + F.lit(k * k / 25)
+    share = count * F.lit(PUSH * k**3) / (size * F.sqrt(size))
+    return whole(dx * share), whole(dy * share)
+
+
+def repulsion(places: DataFrame, k: float, levels: int) -> DataFrame:
+    """component, cx, cy of every cell with points, the cells around it (n, sx, sy each), and the force of all that is farther."""
+    side = float(2 * k * UNIT)
+    at = places.select("component", F.floor(F.col("x") / side).alias("cx"), F.floor(F.col("y") / side).alias("cy"), "x", "y")
+    cells = at.groupBy("component", "cx", "cy").agg(F.count(F.lit(1)).alias("n"), F.sum("x").alias("sx"), F.sum("y").alias("sy"))
+    cells = checkpoint(cells)
+
+    def spread(low: Column, high: Column) -> Column:
+        return F.explode(F.sequence(low, high))
+
+    one = F.lit(1).cast("long")
+    near = cells.withColumn("tx", spread(F.col("cx") - one, F.col("cx") + one)).withColumn("ty", spread(F.col("cy") - one, F.col("cy") + one))
+    near = near.withColumn("own", ((F.col("tx") == F.col("cx")) & (F.col("ty") == F.col("cy"))).cast("long"))
+    near = near.groupBy("component", F.col("tx").alias("cx"), F.col("ty").alias("cy")).agg(F.array_sort(F.collect_list(F.struct("n", "sx", "sy", "own"))).alias("near"))  # at most nine
+
+    up = cells.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))))
+    up = up.withColumns({c: F.call_function("shiftright", F.col(c), F.col("level")) for c in ("cx", "cy")})
+    up = up.groupBy("component", "level", "cx", "cy").agg(F.sum("n").alias("n"), F.sum("sx").alias("sx"), F.sum("sy").alias("sy"))
+    for c in ("cx", "cy"):  # the cells whose parents touch this one's parent
+        parent = F.shiftright(c, 1)
+        up = up.withColumn(f"t{c[1]}", spread(2 * parent - 2 * one, 2 * parent + 3 * one))
+    far = up.where((F.abs(F.col("tx") - F.col("cx")) > 1) | (F.abs(F.col("ty") - F.col("cy")) > 1))
+    wide = F.lit(side) * F.pow(F.lit(2.0), F.col("level"))
+    fx, fy = pushed((F.col("tx") + 0.5) * wide - F.col("sx") / F.col("n"), (F.col("ty") + 0.5) * wide - F.col("sy") / F.col("n"), F.col("n"), k)
+    far = far.select("component", "level", "tx", "ty", fx.alias("fx"), fy.alias("fy")).groupBy("component", "level", "tx", "ty").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
+    ask = cells.select("component", "cx", "cy", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level"))
+    ask = ask.withColumns({f"t{c[1]}": F.call_function("shiftright", F.col(c), F.col("level")) for c in ("cx", "cy")})
+    heard = ask.join(far, ["component", "level", "tx", "ty"]).groupBy("component", "cx", "cy").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
+    return near.join(cells.select("component", "cx", "cy"), ["component", "cx", "cy"], "left_semi").join(heard, ["component", "cx", "cy"], "left")
+
+
+def moved(places: DataFrame, springs: DataFrame, k: float, limit: float, levels: int) -> DataFrame:
+    """component, pid, x, y after one round; no point moves more than `limit`."""
+    side = float(2 * k * UNIT)
+    a, b = (places.select(F.col("pid").alias(p), F.col("x").alias(f"x{p}"), F.col("y").alias(f"y{p}")) for p in "uv")
+    stretched = springs.join(a, "u").join(b, "v").withColumns({"dx": F.col("xv") - F.col("xu"), "dy": F.col("yv") - F.col("yu")})
+    size = F.hypot("dx", "dy") + 1
+    stretched = stretched.withColumn("share", (size - F.col("rest") * UNIT) / size)
+    stretched = stretched.select("u", "v", whole(F.col("dx") * F.col("share")).alias("dx"), whole(F.col("dy") * F.col("share")).alias("dy"))
+    pulls = stretched.select(F.col("u").alias("pid"), "dx", "dy").unionByName(stretched.select(F.col("v").alias("pid"), (-F.col("dx")).alias("dx"), (-F.col("dy")).alias("dy")))
+    pulls = pulls.groupBy("pid").agg(F.sum("dx").alias("px"), F.sum("dy").alias("py"), F.count(F.lit(1)).alias("springs"))
+
+    here = places.withColumns({c: F.floor(F.col(c[1]) / side) for c in ("cx", "cy")}).join(repulsion(places, k, levels), ["component", "cx", "cy"])
+
+    def near(c: str) -> Column:
+        def push(cell: Column) -> Column:
+            n = cell["n"] - cell["own"]  # without the point itself
+            mx, my = (F.try_divide(cell[f"s{c}"] - cell["own"] * F.col(c), n) for c in "xy")
+            return F.coalesce(pushed(F.col("x") - mx, F.col("y") - my, n, k)["xy".index(c)], F.lit(0).cast("long"))
+
+        return F.aggregate(F.col("near"), F.lit(0).cast("long"), lambda total, cell: total + push(cell))
+
+    step = here.join(pulls, "pid", "left").select(
+        "component", "pid", "x", "y",
+        *[(F.coalesce(F.col(f"p{c}") / F.col("springs"), F.lit(0.0)) + near(c) + F.coalesce(f"f{c}", F.lit(0).cast("long"))).alias(f"m{c}") for c in "xy"],
+    )
+    size = F.hypot("mx", "my")
+    short = F.when(size > limit * UNIT, F.lit(limit * UNIT) / size).otherwise(F.lit(1.0))
+    step = step.withColumn("short", short)
+    return checkpoint(step.select("component", "pid", *[(F.col(c) + whole(F.col(f"m{c}") * F.col("short"))).alias(c) for c in "xy"]))
+
+
+def relaxed(places: DataFrame, springs: DataFrame, rounds: int) -> DataFrame:
+    k, far = springs.agg(F.coalesce(F.avg("rest"), F.lit(1.0))).first()[0], places.agg(F.max(F.greatest(F.abs("x"), F.abs("y")))).first()[0] or 0
+    k = round(k, 6)
+    limits = [2 * k * (1 - n / rounds) + 0.05 * k for n in range(rounds)]
+    levels = int((far / UNIT + sum(limits)) / (2 * k) + 1).bit_length() + 1  # at the last one all cells touch
+    for limit in limits:
+        places = moved(places, springs, k, limit, levels)
+    return places
+
+
+# ---------------------------------------------------------------- the layout of each component
+
+
+def point_places(points: DataFrame, springs: DataFrame, quality: int = 1, seed: int = 1, coarse: int = COARSE) -> DataFrame:
+    """component, pid, x, y (in 1/UNIT, each component around 0).  points: pid, component."""
+    levels = []
+    here = checkpoint(points.select("pid", "component"))
+    while (here.groupBy("component").count().agg(F.max("count")).first()[0] or 0) > coarse:
+        goals, fewer = contracted(springs, len(levels))
+        to = goals.select(F.col("node").alias("pid"), "goal", "away")
+        step = checkpoint(here.join(to, "pid", "left").select("component", "pid", F.coalesce("goal", "pid").alias("goal"), F.coalesce("away", F.lit(0.0)).alias("away")))
+        levels.append((step, springs))
+        here, springs = checkpoint(step.select(F.col("goal").alias("pid"), "component").distinct()), fewer
+    places = checkpoint(settled(here, springs, seed, 60 + ROUNDS[quality]))
+    while levels:
+        step, springs = levels.pop()
+        goal = places.select(F.col("pid").alias("goal"), "x", "y")
+        turn = F.pmod(F.xxhash64(F.lit(seed), "pid"), F.lit(4096)) * (2 * math.pi / 4096)
+        beside = (F.col("away") + 0.01) * UNIT
+        places = checkpoint(step.join(goal, "goal").select("component", "pid", (F.col("x") + whole(F.cos(turn) * beside)).alias("x"), (F.col("y") + whole(F.sin(turn) * beside)).alias("y")))
+        places = relaxed(places, springs, ROUNDS[quality] + (0 if levels else MORE_ROUNDS[quality]))
+    return places
+
+
+# ---------------------------------------------------------------- boxes
+
+
+def turned(places: DataFrame, separation: float = SEPARATION, aspect: float = ASPECT, angles: int = ANGLES) -> DataFrame:
+    """component, turn, left, top, w, h: the angle of the smallest box of each component (the first on ties), and that box with its margin.
+
+    Trial angles part a quarter turn.  A component alone is judged by the box of the aspect around it.  Boxes on end are laid
+    down, or the other way where the aspect is below 1.
+    """
+    trial = F.explode(F.sequence(F.lit(0), F.lit(angles))).alias("trial")
+    angle = F.col("trial") * (math.pi / 2 / (angles + 1))
+    x, y = F.col("x") / UNIT, F.col("y") / UNIT
+    across = places.select("component", trial, "x", "y").select("component", "trial", (F.cos(angle) * x - F.sin(angle) * y).alias("x"), (F.sin(angle) * x + F.cos(angle) * y).alias("y"))
+    boxes = across.groupBy("component", "trial").agg(F.min("x").alias("left"), F.min("y").alias("top"), F.max("x").alias("right"), F.max("y").alias("bottom"))
+    boxes = boxes.select("component", "trial", (F.col("left") - separation / 2).alias("left"), (F.col("top") - separation / 2).alias("top"), (F.col("right") - F.col("left") + separation).alias("w"), (F.col("bottom") - F.col("top") + separation).alias("h"))
+    boxes = checkpoint(boxes)
+    alone = boxes.select("component").distinct().limit(2).count() == 1
+    area = F.col("w") * F.col("h")
+    if alone:
+        ratio = F.col("w") / F.col("h")
+        area = area * F.least(F.greatest(aspect / ratio, ratio / aspect), F.greatest(aspect * ratio, 1 / (ratio * aspect)))
+    best = boxes.groupBy("component").agg(F.min_by(F.struct("trial", "left", "top", "w", "h"), F.struct(area, "trial")).alias("b")).select("component", "b.*")
+    tip = F.col("w") < F.col("h") if aspect >= 1 else F.col("w") > F.col("h")
+    quarter = best.withColumn("tip", tip)
+    return quarter.select(
+        "component",
+        (F.col("trial") * (math.pi / 2 / (angles + 1)) + F.when(F.col("tip"), math.pi / 2).otherwise(0.0)).alias("turn"),
+        F.when(F.col("tip"), -F.col("top") - F.col("h")).otherwise(F.col("left")).alias("left"),
+        F.when(F.col("tip"), F.col("left")).otherwise(F.col("top")).alias("top"),
+        F.when(F.col("tip"), F.col("h")).otherwise(F.col("w")).alias("w"),
+        F.when(F.col("tip"), F.col("w")).otherwise(F.col("h")).alias("h"),
+    )
+
+
+#: Widths of a shelf that are tried, times the width of a square of the aspect that holds all boxes.
+WIDTHS = (0.6, 0.7, 0.8, 0.9, 1.0, 1.1, 1.25, 1.4, 1.6)
+
+
+def packed(boxes: DataFrame, aspect: float = ASPECT) -> DataFrame:
+    """The boxes with at_x and at_y, their corners in the drawing: on shelves, by decreasing height, so that the drawing comes nearest to its aspect.
+
+    boxes: component, w, h.  A shelf takes the boxes whose way along one long row begins in its part of the row.
+    """
+    area, widest = boxes.agg(F.sum(F.col("w") * F.col("h")), F.max("w")).first()
+    if widest is None:
+        return boxes.withColumns({"at_x": F.lit(0.0), "at_y": F.lit(0.0)})
+    fixed = boxes.withColumns({"_w": F.ceil(F.col("w") * UNIT).cast("long"), "_order": -F.col("h")})
+    row = checkpoint(running(fixed, "_order", "component", of="_w", name="_along"))
+    tried = row.select("*", F.explode(F.array(*[F.lit(math.ceil(max(widest, math.sqrt(area * aspect) * f) * UNIT)) for f in WIDTHS])).alias("_width"))
+    tried = tried.withColumn("_shelf", F.floor(F.col("_along") / F.col("_width")))
+    shelves = tried.groupBy("_width", "_shelf").agg(F.max("h").alias("high"), F.min("_along").alias("_first"), F.max(F.col("_along") + F.col("_w")).alias("end"))
+    sizes = shelves.groupBy("_width").agg((F.max(F.col("end") - F.col("_first")) / UNIT).alias("w"), F.sum("high").alias("h"))
+    ratio = F.col("w") / F.col("h")
+    width = sizes.orderBy(F.col("w") * F.col("h") * F.greatest(ratio / aspect, aspect / ratio), "_width").first()["_width"]  # one row for each trial
+    chosen = checkpoint(shelves.where(F.col("_width") == width).select("_shelf", "_first", F.ceil(F.col("high") * UNIT).cast("long").alias("high")))
+    tops = running(chosen, "_shelf", of="high", name="_top")
+    placed = row.withColumn("_shelf", F.floor(F.col("_along") / F.lit(width))).join(tops, "_shelf")
+    return placed.select(*boxes.columns, ((F.col("_along") - F.col("_first")) / UNIT).alias("at_x"), (F.col("_top") / UNIT).alias("at_y"))
+
+
+# ---------------------------------------------------------------- all of it
+
+
+def force_layout(nodes: DataFrame, edges: DataFrame, quality: int = 1, seed: int = 1, separation: float = SEPARATION, aspect: float = ASPECT, least: float | None = None, spread: str = "auto") -> DataFrame:
+    """node_id, component (the smallest name in it), points (x and y along the node), and the extent x0, x1 and middle y of each node.
+
+    Edges of unknown nodes are left out.
+    """
+    from .layout import LEAST_LENGTH, drawn_lengths, drawn_scale
+
+    lengths = drawn_lengths(nodes, spread)
+    points, springs = chains(lengths, edges, drawn_scale(lengths, least or LEAST_LENGTH, spread))
+    known = nodes.select("node_id")
+    links = edges.select(F.col("from_id").alias("u"), F.col("to_id").alias("v")).join(known.withColumnRenamed("node_id", "u"), "u", "left_semi").join(known.withColumnRenamed("node_id", "v"), "v", "left_semi")
+    roots = components(links).select(F.col("node").alias("node_id"), "root")
+    of = checkpoint(points.join(roots, "node_id", "left").select("pid", "node_id", "place", F.coalesce("root", "node_id").alias("component")))
+    places = point_places(of, springs, quality, seed)
+    boxes = packed(turned(places, separation, aspect), aspect)
+    put = places.join(boxes, "component")
+    x, y = F.col("x") / UNIT, F.col("y") / UNIT
+    at_x = F.cos("turn") * x - F.sin("turn") * y - F.col("left") + F.col("at_x")
+    at_y = F.sin("turn") * x + F.cos("turn") * y - F.col("top") + F.col("at_y")
+    put = put.select("pid", F.struct(at_x.alias("x"), at_y.alias("y")).alias("at"))
+    drawn = of.join(put, "pid").groupBy("node_id", "component").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "at"))), lambda p: p["at"]).alias("points"))
+    xs, ys = F.col("points.x"), F.col("points.y")
+    return drawn.select("node_id", "component", "points", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), ((F.array_min(ys) + F.array_max(ys)) / 2).alias("y"))

@@ -65,25 +65,56 @@ def placed_alleles(alleles: DataFrame, members: DataFrame, least: float) -> Data
 def chained(placed: DataFrame, edges: DataFrame, least: float) -> DataFrame:
     """Adds the nodes reached from placed ones, breadth first, each `least` wide from the end of the node that reaches it first.
 
-    placed: node_id, x0, x1, key (array of long, the order of placing).
+    placed: node_id, x0, x1, key (array of long, the order of placing).  So a node stands by the nearest placed one (the first of several, by
+    key), as many widths on as there are links between.  Chains of nodes with two neighbours count as one link of their length.
     """
-    done = frontier = checkpoint(placed)
-    # only what is not placed yet can be reached
-    near = checkpoint(neighbours_in_order(edges).join(done.select(F.col("node_id").alias("other")), "other", "left_anti"))
-    if near.isEmpty():
-        return done
-    while True:
-        step = frontier.join(near, F.col("node_id") == F.col("node")).select(F.col("other").alias("node_id"), F.col("x1").alias("_x"), F.concat("key", F.array("order")).alias("key"))
-        step = step.join(done.select("node_id"), "node_id", "left_anti").groupBy("node_id").agg(F.min_by("_x", "key").alias("x0"), F.min("key").alias("key"))
-        frontier = checkpoint(step.select("node_id", "x0", (F.col("x0") + F.lit(least)).alias("x1"), "key"))
+    near = placed.select("node_id")
+    arcs = edges.where("from_id <> to_id").select(F.col("from_id").alias("u"), F.col("to_id").alias("v"))
+    arcs = arcs.unionByName(arcs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
+    for side in "uv":
+        arcs = arcs.join(near.select(F.col("node_id").alias(side), F.lit(True).alias(f"placed_{side}")), side, "left")
+    arcs = checkpoint(arcs.where("placed_u is null or placed_v is null"))  # only what is not placed yet can be reached
+    if arcs.isEmpty():
+        return placed
+    inner = arcs.where("placed_u is null").groupBy("u").agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("a"), F.max("v").alias("b")).where("n = 2").select("u", "a", "b")
+    ends = checkpoint(chain_ends(arcs.select("u", "v"), checkpoint(inner)))
+
+    heads = ends.join(inner.select("u"), "u", "left_anti").where("end <> u").groupBy("u", "end").agg(F.min("length").alias("length"))
+    heads = checkpoint(heads.join(near.select(F.col("node_id").alias("end")), "end", "left_anti"))
+    best = F.struct("links", "key", "x1")
+    known = frontier = checkpoint(placed.select(F.col("node_id").alias("u"), F.struct(F.lit(0).cast("long").alias("links"), "key", "x1").alias("way")))
+    while True:  # as many rounds as junctions of a shortest way
+        step = frontier.join(heads, "u").select(F.col("end").alias("u"), (F.col("way.links") + F.col("length")).alias("links"), "way.key", "way.x1").groupBy("u").agg(F.min(best).alias("way"))
+        before = known.select("u", F.col("way").alias("was"))
+        frontier = checkpoint(step.join(before, "u", "left").where("was is null or way < was").select("u", "way"))
         if frontier.isEmpty():
-            return done
-        done = done.unionByName(frontier)
+            break
+        known = checkpoint(known.join(frontier.select("u"), "u", "left_anti").unionByName(frontier))
+    reached = known.select(F.col("u").alias("end"), "way")
+    inside = ends.join(inner.select("u"), "u", "left_semi").join(reached, "end").select("u", (F.col("way.links") + F.col("length")).alias("links"), "way.key", "way.x1").groupBy("u").agg(F.min(best).alias("way"))
+    new = known.join(near.select(F.col("node_id").alias("u")), "u", "left_anti").unionByName(inside)
+    x0 = F.col("way.x1") + (F.col("way.links") - 1) * F.lit(least)
+    return placed.unionByName(new.select(F.col("u").alias("node_id"), x0.alias("x0"), (x0 + F.lit(least)).alias("x1"), F.col("way.key").alias("key")))
 
 
-def neighbours_in_order(edges: DataFrame) -> DataFrame:
-    a = edges.select(F.col("from_id").alias("node"), F.col("to_id").alias("other"), (F.col("edge_no") * 2).alias("order"))
-    return a.unionByName(edges.select(F.col("to_id").alias("node"), F.col("from_id").alias("other"), (F.col("edge_no") * 2 + 1).alias("order")))
+def chain_ends(arcs: DataFrame, inner: DataFrame) -> DataFrame:
+    """Where each arc (u, v) leads to if it is followed through inner nodes: u, v, end and length in links.
+
+    inner: u, and a and b, its two neighbours.  By pointer jumping: rounds grow with the logarithm of the longest chain.  Circles lead nowhere.
+    """
+    way = inner.select(F.col("u").alias("v"), "a", "b")
+    first = arcs.join(way, "v", "left").select("u", "v", F.coalesce(F.when(F.col("a").isNotNull(), F.col("v")), F.col("u")).alias("pu"), F.when(F.col("a").isNull(), F.col("v")).when(F.col("a") == F.col("u"), F.col("b")).otherwise(F.col("a")).alias("pv"), F.when(F.col("a").isNull(), 0).otherwise(1).cast("long").alias("length"))
+    table = checkpoint(first)
+    closed, moving = table.where("length = 0"), table.where("length > 0")
+    for _ in range(2 * (table.count() + 1).bit_length()):
+        to = table.select(F.col("u").alias("pu"), F.col("v").alias("pv"), F.col("pu").alias("qu"), F.col("pv").alias("qv"), F.col("length").alias("more"))
+        step = checkpoint(moving.join(to, ["pu", "pv"]).select("u", "v", F.col("qu").alias("pu"), F.col("qv").alias("pv"), (F.col("length") + F.col("more")).alias("length"), (F.col("more") == 0).alias("done")))
+        closed = closed.unionByName(step.where("done").drop("done"))
+        moving = step.where("not done").drop("done")
+        if moving.isEmpty():
+            break
+        table = closed.unionByName(moving)
+    return closed.select("u", "v", F.col("pv").alias("end"), (F.col("length") + 1).alias("length"))
 
 
 def positions(nodes: DataFrame, edges: DataFrame, region: tuple[int, int] | None = None) -> DataFrame:

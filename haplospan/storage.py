@@ -1,8 +1,9 @@
-"""Cutting lineage in storage that all executors share."""
+"""Cutting lineage in storage that all executors share, and sums along an order."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,10 +20,30 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder: survives lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+    """df as a table written in the shared folder and read back: survives lost executors, and ends the lineage.
+
+    Unlike a checkpoint it comes with its true size: a checkpoint hands the estimates of its plan on, which in a loop of joins multiply to numbers that
+    take longer to work out than the rows.  The files go with the application, or by `discard` before.
+    """
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes the files of tables of `cut` that no plan reads any more."""
+    for df in tables:
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(folder)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def numbered(rows: DataFrame, *by: str, name: str = "number") -> DataFrame:
@@ -39,3 +60,17 @@ def numbered(rows: DataFrame, *by: str, name: str = "number") -> DataFrame:
     inside = F.row_number().over(Window.partitionBy("_range").orderBy(*by)) - 1
     first = F.element_at(F.create_map(*starts), F.col("_range")) if starts else F.lit(0).cast("long")
     return dealt.withColumn(name, first + inside).drop("_range")
+
+
+def running(rows: DataFrame, *by: str, of: str, name: str = "before") -> DataFrame:
+    """Adds the sum of a column over all rows that come before in the order of columns that tell all rows apart; dealt out as in `numbered`."""
+    dealt = cut(rows.repartitionByRange(*by).withColumn("_range", F.spark_partition_id()))
+    sums = sorted((r[0], r[1]) for r in dealt.groupBy("_range").agg(F.sum(of)).collect())  # one row for each partition
+    starts, at = [], 0
+    for part, size in sums:
+        starts += [F.lit(part), F.lit(at)]
+        at += size or 0
+    kind = dealt.schema[of].dataType
+    inside = F.coalesce(F.sum(of).over(Window.partitionBy("_range").orderBy(*by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast(kind))
+    first = F.element_at(F.create_map(*starts), F.col("_range")).cast(kind) if starts else F.lit(0).cast(kind)
+    return dealt.withColumn(name, (first + inside).cast(kind)).drop("_range")
