@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 NAMES = ("x0", "y0", "x1", "y1", "x2", "y2", "x3", "y3")
 
 
+#: Steps along a curve at which its distance from a point is taken.
+SAMPLES = 20
+
+
 def curve(*values: Column) -> Column:
     return F.struct(*[v.cast("double").alias(n) for v, n in zip(values, NAMES, strict=True)])
 
@@ -51,7 +55,7 @@ def part(of: Column, a: Column, b: Column) -> Column:
     return curve(start["x"], start["y"], *first, *second, end["x"], end["y"])
 
 
-def distance(of: Column, x: Column, y: Column, steps: int = 20) -> Column:
+def distance(of: Column, x: Column, y: Column, steps: int = SAMPLES) -> Column:
     """The least distance of a point from samples along the curve."""
 
     def at(k: Column) -> Column:

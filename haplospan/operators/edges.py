@@ -9,7 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .curves import NAMES, bounds, curve, distance, moved
+from ..storage import cut, partitions
+from .curves import NAMES, SAMPLES, bounds, curve, moved, point
+from .spatial import met
 
 # Reach of control points, clearance of arcs, size of loops, distance of ribbons, radius of a hit, cell without any box.
 TANGENT_SHARE, MOST_TANGENT = 0.5, 80.0
@@ -187,28 +189,30 @@ def cell_size(boxes: DataFrame) -> DataFrame:
     return found.select(x.alias("cell_x"), y.alias("cell_y"))
 
 
+def edges_in_view(curves: DataFrame, min_x: float, min_y: float, max_x: float, max_y: float) -> DataFrame:
+    """The curves of which the box of all control points meets the view; borders count.  Such a box holds its curve, so what is seen is never left out."""
+    boxes = curve_boxes(curves)
+    seen = (F.col("max_x") >= min_x) & (F.col("min_x") <= max_x) & (F.col("max_y") >= min_y) & (F.col("min_y") <= max_y)
+    return boxes.where(seen).select(*curves.columns)
+
+
 def nearest_edges(points: DataFrame, curves: DataFrame, scale_x: float = 1.0, scale_y: float = 1.0, radius: float = EDGE_RADIUS) -> DataFrame:
     """points: point_id, px, py.  point_id, edge_no and distance of the nearest edge within the radius (pixels, not on it), the least number on ties.
 
-    curves: edge_no, curves, also the ribbons' (several rows of one edge).  Points and boxes meet by cells of the mean size of a box.
+    curves: edge_no, curves, also the ribbons' (several rows of one edge).  Points and boxes meet by the cells of a grid of levels, whose
+    first has the mean size of a box; numbers alone go through the cells, curves are joined to the pairs that meet.
     """
     ratio, reach = scale_y / scale_x, radius / scale_x
+    curves = cut(curves)  # read by the size of cells, the levels, the cells and the distances
     boxes = curve_boxes(curves)
-    size = F.broadcast(cell_size(boxes))  # one row
-
-    def cells(low: Column, high: Column, cell: str) -> Column:
-        return F.sequence(F.floor(low / F.col(cell)), F.floor(high / F.col(cell)))
-
-    def dealt(rows: DataFrame, low_x: Column, high_x: Column, low_y: Column, high_y: Column) -> DataFrame:
-        across = rows.join(size).withColumn("cx", F.explode(cells(low_x, high_x, "cell_x")))
-        return across.withColumn("cy", F.explode(cells(low_y, high_y, "cell_y"))).drop("cell_x", "cell_y")
-
-    held = dealt(boxes, F.col("min_x"), F.col("max_x"), F.col("min_y"), F.col("max_y")).select("edge_no", "curves", "min_x", "min_y", "max_x", "max_y", "cx", "cy")
-    x, y = F.col("px"), F.col("py")
-    around = dealt(points.select("point_id", "px", "py"), x - reach, x + reach, y - reach / ratio, y + reach / ratio)
-    inside = x.between(F.col("min_x") - reach, F.col("max_x") + reach) & y.between(F.col("min_y") - reach / ratio, F.col("max_y") + reach / ratio)
-    met = around.join(held, ["cx", "cy"]).where(inside)
-    away = F.array_min(F.transform("curves", lambda c: distance(stretched(c, ratio), x, y * ratio)))
-    near = met.select("point_id", "edge_no", away.alias("distance")).where(F.col("distance") < reach)
-    best = Window.partitionBy("point_id").orderBy("distance", "edge_no")
-    return near.withColumn("_n", F.row_number().over(best)).where("_n = 1").select("point_id", "edge_no", "distance")
+    size = cell_size(boxes).first()
+    wider = {f"{side}_{axis}": F.col(f"{side}_{axis}") + sign * by for side, sign in (("min", -1), ("max", 1)) for axis, by in (("x", reach), ("y", reach / ratio))}
+    pairs = met(points.select("point_id", "px", "py"), boxes.select("edge_no", *[c.alias(n) for n, c in wider.items()]), size["cell_x"], size["cell_y"])
+    pairs = pairs.select("point_id", "px", "py", "edge_no").distinct().repartition(partitions(points.sparkSession), "point_id")  # few bytes, but work
+    each = pairs.join(curves, "edge_no").select("point_id", "edge_no", "px", (F.col("py") * ratio).alias("py"), F.explode("curves").alias("c"))
+    sample = F.explode(F.sequence(F.lit(0), F.lit(SAMPLES))).alias("k")
+    at = point(stretched(F.col("c"), ratio), F.col("k") / float(SAMPLES))
+    away = each.select("point_id", "edge_no", "px", "py", "c", sample).select("point_id", "edge_no", F.hypot(at["x"] - F.col("px"), at["y"] - F.col("py")).alias("distance"))
+    near = away.groupBy("point_id", "edge_no").agg(F.min("distance").alias("distance")).where(F.col("distance") < reach)
+    best = F.min(F.struct("distance", "edge_no")).alias("b")
+    return near.groupBy("point_id").agg(best).select("point_id", "b.edge_no", "b.distance")

@@ -39,7 +39,7 @@ COARSE = 400
 #: Places are whole numbers of 1/UNIT.
 UNIT = 1024
 #: Strength of repulsion, which falls with the square of the distance: so that what pulls at a spring of a long chain grows with its logarithm only.
-PUSH = 0.5
+PUSH = 0.06
 
 
 # ---------------------------------------------------------------- points and springs
@@ -301,3 +301,14 @@ def force_layout(nodes: DataFrame, edges: DataFrame, quality: int = 1, seed: int
     drawn = of.join(put, "pid").groupBy("node_id", "component").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "at"))), lambda p: p["at"]).alias("points"))
     xs, ys = F.col("points.x"), F.col("points.y")
     return drawn.select("node_id", "component", "points", F.array_min(xs).alias("x0"), F.array_max(xs).alias("x1"), ((F.array_min(ys) + F.array_max(ys)) / 2).alias("y"))
+
+
+def boxes_meeting(drawn: DataFrame, separation: float = SEPARATION) -> DataFrame:
+    """One row, meeting: the boxes of components that are nearer than the separation to one before them, along shelves; 0 in a sound drawing."""
+    xs, ys = F.col("points.x"), F.col("points.y")
+    sides = {"left": F.min(F.array_min(xs)), "right": F.max(F.array_max(xs)), "top": F.min(F.array_min(ys)), "bottom": F.max(F.array_max(ys))}
+    boxes = drawn.groupBy("component").agg(*[c.alias(n) for n, c in sides.items()])
+    order = Window.orderBy(F.round("top", 3), "left").rowsBetween(Window.unboundedPreceding, -1)  # one row for each component of a drawing
+    beside = F.last("right").over(order) + separation <= F.col("left") + 0.01
+    below = F.coalesce(F.max("bottom").over(order) + separation <= F.col("top") + 0.01, F.lit(True))
+    return boxes.withColumn("clear", beside | below).agg(F.count(F.when(~F.col("clear"), 1)).alias("meeting"))

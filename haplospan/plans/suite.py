@@ -122,12 +122,13 @@ def refname_resolve(spark, sf_dir):
 
 # ---------------------------------------------------------------- conversion
 
-CLAIMS = fx.GRAPH + "," + fx.STEPS + """,
+CLAIMED = """
 claims AS (
     SELECT 0 AS p, rec_no, 0 AS spot, source AS segment, source_strand AS strand FROM lnk UNION ALL SELECT 0, rec_no, 1, target, target_strand FROM lnk
     UNION ALL SELECT phase + 1, rec_no, step_no, segment, strand FROM steps
 ),
 canon AS (SELECT segment, strand FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY segment ORDER BY p, rec_no, spot) AS n FROM claims) c WHERE n = 1)"""
+CLAIMS = fx.GRAPH + "," + fx.STEPS + "," + CLAIMED
 
 
 @query(f"WITH {CLAIMS} SELECT segment, strand FROM canon")
@@ -144,14 +145,16 @@ def segment_depth(spark, sf_dir):
     return convert.nodes(gfa.segments(lines), fx.links(spark, sf_dir), fx.steps(spark, sf_dir)).select("node_id", "depth", "sn", "so")
 
 
-@query(
-    f"""WITH {CLAIMS}, own AS (SELECT s.phase, s.rec_no, s.name, s.step_no, concat(c.segment, c.strand) AS node FROM steps s JOIN canon c ON s.segment = c.segment),
-    nx AS (SELECT *, LEAD(node) OVER (PARTITION BY phase, rec_no ORDER BY step_no) AS other FROM own),
-    k AS (SELECT concat(LEAST(node, other), '--', GREATEST(node, other)) AS key, name, MIN(phase * 1000000000000000 + rec_no * 1000000 + step_no) AS spot FROM nx WHERE other IS NOT NULL GROUP BY 1, 2),
-    names AS (SELECT key, string_agg(name, '|' ORDER BY spot) AS path_ids FROM k GROUP BY key),
-    e AS (SELECT l.rec_no AS edge_no, concat(l.source, a.strand) AS from_id, concat(l.target, b.strand) AS to_id FROM lnk l JOIN canon a ON l.source = a.segment JOIN canon b ON l.target = b.segment)
-    SELECT e.edge_no, e.from_id, e.to_id, n.path_ids FROM e LEFT JOIN names n ON n.key = concat(LEAST(from_id, to_id), '--', GREATEST(from_id, to_id))"""
-)
+NAMED_EDGES = """
+own AS (SELECT s.phase, s.rec_no, s.name, s.step_no, concat(c.segment, c.strand) AS node FROM steps s JOIN canon c ON s.segment = c.segment),
+nx AS (SELECT *, LEAD(node) OVER (PARTITION BY phase, rec_no ORDER BY step_no) AS other FROM own),
+k AS (SELECT concat(LEAST(node, other), '--', GREATEST(node, other)) AS key, name, MIN(phase * 1000000000000000 + rec_no * 1000000 + step_no) AS spot FROM nx WHERE other IS NOT NULL GROUP BY 1, 2),
+names AS (SELECT key, string_agg(name, '|' ORDER BY spot) AS path_ids, COUNT(*) AS paths FROM k GROUP BY key),
+e AS (SELECT l.rec_no AS edge_no, concat(l.source, a.strand) AS from_id, concat(l.target, b.strand) AS to_id FROM lnk l JOIN canon a ON l.source = a.segment JOIN canon b ON l.target = b.segment),
+named AS (SELECT e.edge_no, e.from_id, e.to_id, n.path_ids, COALESCE(n.paths, 0) AS paths FROM e LEFT JOIN names n ON n.key = concat(LEAST(from_id, to_id), '--', GREATEST(from_id, to_id)))"""
+
+
+@query(f"WITH {CLAIMS},{NAMED_EDGES} SELECT edge_no, from_id, to_id, path_ids FROM named")
 def edge_paths(spark, sf_dir):
     links, steps = fx.links(spark, sf_dir), fx.steps(spark, sf_dir)
     return convert.edges(links, convert.canonical_strands(links, steps), steps).select("edge_no", "from_id", "to_id", F.array_join("path_ids", "|").alias("path_ids"))
@@ -467,7 +470,19 @@ def sample_labels(spark, sf_dir):
 
 @query()
 def force_layout(spark, sf_dir):
-    return force.force_layout(fx.nodes(spark, sf_dir), fx.edges(spark, sf_dir))
+    return fx.kept(spark, sf_dir, "force-layout", lambda: force.force_layout(fx.nodes(spark, sf_dir), fx.edges(spark, sf_dir), quality=0))
+
+
+@query(
+    f"""WITH {fx.SEG}, d AS (SELECT contig, GREATEST(len * (SELECT GREATEST(COUNT(*) * 40, 500) / (SUM(len) / 1000000.0::DOUBLE) FROM seg) / 1000000, 5) AS drawn FROM seg)
+    SELECT COUNT(*) AS nodes, COUNT(*) AS finite, CAST(SUM(ceil(drawn / 20) + 1) AS BIGINT) AS points, COUNT(DISTINCT contig) AS components, CAST(0 AS BIGINT) AS meeting FROM d"""
+)
+def force_invariants(spark, sf_dir):
+    """All nodes placed at finite points, as many as their drawn lengths ask for, and no two boxes of components nearer than their distance."""
+    drawn = force_layout(spark, sf_dir)
+    sound = F.forall("points", lambda p: (F.abs(p["x"]) < 1e12) & (F.abs(p["y"]) < 1e12)) & (F.size("points") > 1)
+    of = drawn.agg(F.count(F.lit(1)).alias("nodes"), F.count(F.when(sound, 1)).alias("finite"), F.sum(F.size("points")).alias("points"), F.count_distinct("component").alias("components"))
+    return of.join(F.broadcast(force.boxes_meeting(drawn)))  # one row each
 
 
 @query(f"WITH {fx.SEG} SELECT round(GREATEST(COUNT(*) * 40, 500) / (SUM(len) / 1000000.0), 4) AS node_length_per_megabase, CAST(5 AS DOUBLE) AS minimum_node_length, CAST(5 AS BIGINT) AS edge_length, CAST(20 AS BIGINT) AS node_segment_length FROM seg")
@@ -621,14 +636,14 @@ def brightened_colors(spark, sf_dir):
 
 @query(
     f"""WITH {fx.SEG}, q AS (SELECT pk AS point_id, contig, CAST(pk * 3 AS DOUBLE) AS px, CAST(pk % 7 - 3 AS DOUBLE) AS py FROM seg),
-    d AS (SELECT point_id, id, sqrt(power(GREATEST(so - px, px - (so + len), 0), 2) + power(py, 2)) AS distance FROM q JOIN seg ON q.contig = seg.contig AND rank = 0),
+    d AS (SELECT point_id, id, sqrt(power(GREATEST(so - px, px - (so + len), 0), 2) + power(py, 2)) AS distance FROM q JOIN seg ON q.contig = seg.contig),
     r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY point_id ORDER BY distance, id) AS n FROM d WHERE distance < 5)
     SELECT point_id, id AS node_id, round(distance, 9) AS distance FROM r WHERE n = 1"""
 )
 def nearest_node(spark, sf_dir):
     nodes = fx.nodes(spark, sf_dir)
     row = (F.col("rec_no") % 4 * 1000).cast("double")  # each sequence on a row of its own, out of reach of the others
-    drawn = nodes.where("sr = 0").select("node_id", F.col("so").cast("double").alias("x0"), (F.col("so") + F.col("length")).cast("double").alias("x1"), row.alias("y"))
+    drawn = nodes.select("node_id", F.col("so").cast("double").alias("x0"), (F.col("so") + F.col("length")).cast("double").alias("x1"), row.alias("y"))
     points = nodes.select(F.col("rec_no").alias("point_id"), (F.col("rec_no") * 3).cast("double").alias("px"), (row + F.col("rec_no") % 7 - 3).alias("py"))
     return spatial.nearest_nodes(points, drawn, 5.0, 64.0, 20.0).withColumn("distance", F.round("distance", 9))
 
@@ -677,34 +692,60 @@ def edge_curves(spark, sf_dir):
 
 
 @query(
-    f"""WITH {EDGES}, w AS (SELECT *, sqrt((bx0 - ax1) * (bx0 - ax1) + (ty - fy) * (ty - fy)) AS d, edge_no % 4 AS paths FROM ends),
+    f"""WITH {EDGES},{fx.STEPS},{CLAIMED},{NAMED_EDGES},
+    w AS (SELECT s.*, sqrt((bx0 - ax1) * (bx0 - ax1) + (ty - fy) * (ty - fy)) AS d, n.paths FROM ends s JOIN named n ON n.edge_no = s.edge_no),
     v AS (SELECT edge_no, paths, CASE WHEN d = 0 THEN 1.0::DOUBLE ELSE (bx0 - ax1) / d END AS vx, CASE WHEN d = 0 THEN 0.0::DOUBLE ELSE (ty - fy) / d END AS vy FROM w),
-    k AS (SELECT *, UNNEST(range(paths)) AS path_no FROM v)
-    SELECT edge_no, CAST(path_no AS INT) AS path_no, round(-vy * (path_no - (paths - 1) / 2.0::DOUBLE) * 3, 3) + 0 AS dx, round(vx * (path_no - (paths - 1) / 2.0::DOUBLE) * 3 * 2, 3) + 0 AS dy FROM k"""
+    z AS (SELECT *, UNNEST(range(paths)) AS path_no FROM v)
+    SELECT edge_no, CAST(path_no AS INT) AS path_no, round(-vy * (path_no - (paths - 1) / 2.0::DOUBLE) * 3, 3) + 0 AS dx, round(vx * (path_no - (paths - 1) / 2.0::DOUBLE) * 3 * 2, 3) + 0 AS dy FROM z"""
 )
 def edge_ribbons(spark, sf_dir):
-    """Ribbons of up to three paths."""
-    some = F.slice(F.array(*[F.lit(n) for n in "abc"]), F.lit(1), (F.col("edge_no") % 4).cast("int"))
-    found = edges.ribbon_offsets(fx.edges(spark, sf_dir).withColumn("path_ids", some), drawn_nodes(spark, sf_dir), 2.0, 1.0)
+    """A ribbon for each path that takes an edge."""
+    links, steps = fx.links(spark, sf_dir), fx.steps(spark, sf_dir)
+    paths = convert.edges(links, convert.canonical_strands(links, steps), steps).select("edge_no", "path_ids")
+    found = edges.ribbon_offsets(fx.edges(spark, sf_dir).join(paths, "edge_no"), drawn_nodes(spark, sf_dir), 2.0, 1.0)
     each = found.select("edge_no", F.posexplode("offsets").alias("path_no", "by"))
     return each.select("edge_no", "path_no", (F.round("by.x", 3) + 0.0).alias("dx"), (F.round("by.y", 3) + 0.0).alias("dy"))
 
 
-@query(
-    f"""WITH {EDGES}, box AS (SELECT GREATEST(fx, tx) - LEAST(fx, tx) AS w, (GREATEST(fy, ty) - LEAST(fy, ty)) * 2 AS h FROM met)
-    SELECT round(GREATEST(1, SUM(w) / COUNT(*)), 3) AS cell_x, round(GREATEST(1, SUM(h) / COUNT(*)), 3) AS cell_y FROM box"""
-)
+# Control points in units of x, and the boxes that hold them.
+CONTROLS = EDGES + """,
+cp AS (
+    SELECT edge_no, fx AS x0, fy AS y0, tx AS x3, ty AS y3,
+           fx + fv * GREATEST(0, LEAST(d * 0.5, 80, (tx - fx) * fv * 0.5)) - uy * bulge - ux * abs(bulge) AS x1, fy + ux * bulge - uy * abs(bulge) AS y1,
+           tx + tv * GREATEST(0, LEAST(d * 0.5, 80, (fx - tx) * tv * 0.5)) - uy * bulge + ux * abs(bulge) AS x2, ty + ux * bulge + uy * abs(bulge) AS y2
+    FROM bent
+),
+box AS (
+    SELECT *, LEAST(x0, x1, x2, x3) AS min_x, GREATEST(x0, x1, x2, x3) AS max_x, LEAST(y0, y1, y2, y3) AS min_y, GREATEST(y0, y1, y2, y3) AS max_y FROM cp
+)"""
+
+
+@query(f"WITH {CONTROLS} SELECT round(GREATEST(1, SUM(max_x - min_x) / COUNT(*)), 3) AS cell_x, round(GREATEST(1, SUM((max_y - min_y) * 2) / COUNT(*)), 3) AS cell_y FROM box")
 def edge_cell_size(spark, sf_dir):
-    """The cell of a grid over the chords of all edges."""
-    curve = F.get("curves", F.lit(0))
-    chords = drawn_curves(spark, sf_dir).select(*[pick(curve[f"{c}0"], curve[f"{c}3"]).alias(f"{name}_{c}") for name, pick in (("min", F.least), ("max", F.greatest)) for c in "xy"])
-    return edges.cell_size(chords).select(F.round("cell_x", 3).alias("cell_x"), F.round("cell_y", 3).alias("cell_y"))
+    """The first cell of the grid over all edges."""
+    return edges.cell_size(edges.curve_boxes(drawn_curves(spark, sf_dir))).select(F.round("cell_x", 3).alias("cell_x"), F.round("cell_y", 3).alias("cell_y"))
 
 
-@query()
+@query(f"WITH {CONTROLS} SELECT edge_no FROM box WHERE max_x >= 100 AND min_x <= 2500 AND max_y * 2 >= 10.25 AND min_y * 2 <= 60.25")
+def edges_in_view(spark, sf_dir):
+    return edges.edges_in_view(drawn_curves(spark, sf_dir), 100, 10.25, 2500, 60.25).select("edge_no")
+
+
+@query(
+    f"""WITH {CONTROLS}, pt AS (SELECT pk AS point_id, CAST(pk * 3 AS DOUBLE) AS px, (pk % 29) * 7 * 0.5::DOUBLE AS py FROM seg),
+    m AS (SELECT p.*, b.* FROM pt p JOIN box b ON px BETWEEN min_x - 5 AND max_x + 5 AND py BETWEEN min_y - 5 AND max_y + 5),
+    t AS (SELECT *, UNNEST(range(21)) / 20.0::DOUBLE AS t FROM m),
+    d AS (
+        SELECT point_id, edge_no, MIN(sqrt(power(x0 * (1 - t) * (1 - t) * (1 - t) + 3 * x1 * (1 - t) * (1 - t) * t + 3 * x2 * (1 - t) * t * t + x3 * t * t * t - px, 2)
+                                         + power(y0 * (1 - t) * (1 - t) * (1 - t) + 3 * y1 * (1 - t) * (1 - t) * t + 3 * y2 * (1 - t) * t * t + y3 * t * t * t - py, 2))) AS distance
+        FROM t GROUP BY point_id, edge_no
+    ),
+    r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY point_id ORDER BY distance, edge_no) AS n FROM d WHERE distance < 5)
+    SELECT point_id, edge_no, round(distance, 6) AS distance FROM r WHERE n = 1"""
+)
 def nearest_edge(spark, sf_dir):
     points = fx.nodes(spark, sf_dir).select(F.col("rec_no").alias("point_id"), (F.col("rec_no") * 3).cast("double").alias("px"), (F.col("rec_no") % 29 * 7).cast("double").alias("py"))
-    return edges.nearest_edges(points, drawn_curves(spark, sf_dir), 2.0, 1.0)
+    return edges.nearest_edges(points, drawn_curves(spark, sf_dir), 2.0, 1.0).withColumn("distance", F.round("distance", 6))
 
 
 # ---------------------------------------------------------------- labels
@@ -845,12 +886,12 @@ def layout_bounds(spark, sf_dir):
     return found.select(F.round("min_x", 4).alias("min_x"), F.round("w", 4).alias("w"), "min_y", "h")
 
 
-BACKBONE_VIEW = "so <= 2500 AND so + len >= 100"
+X_VIEW = "so <= 2500 AND so + len >= 100"
 
 
-@query(f"WITH {fx.SEG} SELECT id AS node_id FROM seg WHERE rank = 0 AND {BACKBONE_VIEW}")
+@query(f"WITH {fx.SEG} SELECT id AS node_id FROM seg WHERE {X_VIEW}")
 def nodes_in_view(spark, sf_dir):
-    drawn = fx.nodes(spark, sf_dir).where("sr = 0").select("node_id", F.col("so").cast("double").alias("x0"), (F.col("so") + F.col("length")).cast("double").alias("x1"), F.lit(0.0).alias("y"))
+    drawn = fx.nodes(spark, sf_dir).select("node_id", F.col("so").cast("double").alias("x0"), (F.col("so") + F.col("length")).cast("double").alias("x1"), F.lit(0.0).alias("y"))
     return layout.in_view(drawn, 100, -20, 2500, 20).select("node_id")
 
 

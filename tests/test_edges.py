@@ -1,10 +1,11 @@
 """Curves, loops, ribbons and hits on small drawings; hits against all pairs."""
 
 import math
+import random
 
 from pyspark.sql import functions as F
 
-from haplospan.operators import edges
+from haplospan.operators import edges, spatial
 
 POINTS = "node_id string, points array<struct<x: double, y: double>>"
 EDGE = "edge_no long, from_id string, to_id string"
@@ -80,3 +81,23 @@ def test_cells(spark):
     assert tuple(edges.cell_size(spark.createDataFrame([], schema)).first()) == (50.0, 50.0)
     assert tuple(edges.cell_size(spark.createDataFrame([(0.0, 0.0, 10.0, 0.0), (0.0, 20.0, 30.0, 20.0), (0.0, 60.0, 20.0, 60.0)], schema)).first()) == (20.0, 30.0)
     assert edges.nearest_edges(spark.createDataFrame([(1, 0.0, 0.0)], "point_id long, px double, py double"), edges.edge_curves(drawing(spark)[1].limit(0), drawing(spark)[0])).count() == 0
+
+
+def test_a_grid_of_levels_holds_any_boxes_four_times_at_most(spark):
+    draw = random.Random(4)
+    rows = [(0, -1e6, -1e6, 1e6, 1e6), (1, 5.0, 5.0, 5.0, 5.0), (2, -3.0, 2.0, 4e5, 2.0)]
+    for k in range(3, 800):
+        x, y, w, h = draw.uniform(-2000, 2000), draw.uniform(-50, 50), draw.choice([0, 1, 10, 1000, 5000]) * draw.random(), draw.choice([0, 1, 40]) * draw.random()
+        rows.append((k, x, y, x + w, y + h))
+    boxes = spark.createDataFrame(rows, "box int, min_x double, min_y double, max_x double, max_y double")
+    held = spatial.leveled(boxes, F.lit(8.0), F.lit(2.0))
+    assert held.groupBy("box").count().agg(F.max("count")).first()[0] <= 4 and held.select("box").distinct().count() == len(rows)
+    points = [(k, draw.uniform(-2100, 2100), draw.uniform(-60, 60)) for k in range(300)] + [(300, 5.0, 5.0), (301, -1e6, 1e6)]
+    got = spatial.met(spark.createDataFrame(points, "point_id int, px double, py double"), boxes, 8.0, 2.0)
+    assert sorted((r["point_id"], r["box"]) for r in got.collect()) == sorted((p, b) for p, x, y in points for b, x0, y0, x1, y1 in rows if x0 <= x <= x1 and y0 <= y <= y1)
+
+
+def test_view_keeps_edges_that_cross_it(spark):
+    curves = spark.createDataFrame([(1, [(0.0, 0.0, 1.0, 0.0, 2.0, 0.0, 100.0, 0.0)]), (2, [(0.0, 50.0, 0.0, 50.0, 9.0, 60.0, 9.0, 60.0)]), (3, [(0.0, 90.0, 0.0, -90.0, 1.0, -90.0, 1.0, 90.0)])], "edge_no int, curves array<struct<x0:double,y0:double,x1:double,y1:double,x2:double,y2:double,x3:double,y3:double>>")
+    assert [r["edge_no"] for r in edges.edges_in_view(curves, 40, -5, 60, 5).collect()] == [1]
+    assert sorted(r["edge_no"] for r in edges.edges_in_view(curves, -5, -50, 5, 55).collect()) == [1, 2, 3]
