@@ -256,24 +256,50 @@ def runs(matches: list[Match]) -> Iterator[list[Match]]:
             start = k
 
 
-def judge(matches: list[Match]) -> tuple[int, bool, int] | None:
-    """Windows covered, whether a slot was changed and the item's windows, if the item leaks."""
-    by_offset: dict[int, list[Match]] = defaultdict(list)
-    for m in matches:
-        by_offset[m.place - m.at].append(m)
-    covered, changed = {}, False
-    for some in by_offset.values():
+class Judge:
+    """Judges the matches of one item in one document, which come by place.
+
+    An offset between document and item is settled when no window of the item can come at it any more, so no more than the item's length of
+    offsets is held, however long the document and however often the item's windows repeat in it.
+    """
+
+    def __init__(self, reach: int):
+        self.reach, self.by_offset = reach, defaultdict(list)
+        self.covered: dict[int, bool] = {}
+        self.changed, self.of, self.as_templates, self.next = False, 0, 0, 0
+
+    def add(self, m: Match) -> None:
+        if m.place >= self.next:
+            for offset in [o for o in self.by_offset if o + self.reach < m.place]:
+                self.settle(self.by_offset.pop(offset))
+            self.next = m.place + self.reach + 1
+        self.of, self.as_templates = m.of, m.rich
+        self.by_offset[m.place - m.at].append(m)
+
+    def settle(self, some: list[Match]) -> None:
         parts = [(run, kept_pairs(run)) for run in runs(some)]
         sharing = Counter(b for _, b in {p for _, kept in parts for p in kept})
         for run, kept in parts:
             for m in run:
                 pairs = set(zip(m.slots, m.here, strict=True))
                 if m.slots == m.here or (pairs <= kept and all(sharing[b] <= SHARED for _, b in pairs)):
-                    covered[m.at] = m.template
-                    changed = changed or m.slots != m.here
-    of, as_templates = matches[0].of, matches[0].rich
-    enough = len(covered) >= min(HITS, of) or (as_templates and sum(covered.values()) >= min(HITS, as_templates))
-    return (len(covered), changed, of) if enough else None
+                    self.covered[m.at] = self.covered.get(m.at, False) or m.template
+                    self.changed = self.changed or m.slots != m.here
+
+    def verdict(self) -> tuple[int, bool, int] | None:
+        """Windows covered, whether a slot was changed and the item's windows, if the item leaks."""
+        for some in self.by_offset.values():
+            self.settle(some)
+        self.by_offset.clear()
+        enough = len(self.covered) >= min(HITS, self.of) or (self.as_templates and sum(self.covered.values()) >= min(HITS, self.as_templates))
+        return (len(self.covered), self.changed, self.of) if enough else None
+
+
+def judge(matches: list[Match]) -> tuple[int, bool, int] | None:
+    one = Judge(max(m.at for m in matches))
+    for m in sorted(matches, key=lambda m: m.place):
+        one.add(m)
+    return one.verdict()
 
 
 class Matcher:
@@ -285,6 +311,9 @@ class Matcher:
             for value, values in forms:
                 self.by_hash[value].append((item, at, width, of, as_templates, template, values))
         self.widths = sorted({r[2] for r in rows})
+        self.reach: dict[int, int] = defaultdict(int)
+        for item, at, *_ in rows:
+            self.reach[item] = max(self.reach[item], at)
         self.known = np.sort(np.array(list(self.by_hash), dtype=np.int64).view(np.uint64))
         self.flags = np.zeros(1 << 22, dtype=bool)
         self.flags[self.known % np.uint64(1 << 22)] = True
@@ -293,18 +322,29 @@ class Matcher:
     def leaks(self, texts: list[str | None]) -> list[tuple[int, int, int, bool, int]]:
         """Number of the text, item, windows covered, changed, windows of the item."""
         tokens = self.template(texts)
-        met: dict[tuple[int, int], list[Match]] = defaultdict(list)
+        parts = []
         for width in self.widths:
             places, found, forms = windows(tokens, width)
             hit = np.flatnonzero(self.flags[found % np.uint64(1 << 22)])
             near = np.searchsorted(self.known, found[hit])
             hit = hit[self.known[np.minimum(near, len(self.known) - 1)] == found[hit]]
-            for at, value, form in zip(places[hit].tolist(), found[hit].astype(np.int64).tolist(), forms[hit].tolist(), strict=True):
-                here, owner = tokens.slots(at, width, form), int(tokens.owner[at])
-                for item, place, wide, of, as_templates, template, values in self.by_hash[value]:
-                    if wide == width and len(here) == len(values):
-                        met[owner, item].append(Match(at, place, width, of, as_templates, template, values, here))
-        return [(*key, *verdict) for key in sorted(met) if (verdict := judge(met[key]))]
+            parts.append((places[hit], found[hit].astype(np.int64), forms[hit], np.full(len(hit), width)))
+        if not parts:
+            return []
+        at, value, form, width = (np.concatenate(p) for p in zip(*parts, strict=True))
+        out, owner, judges = [], -1, {}
+        for k in np.argsort(at, kind="stable").tolist():
+            place, wide = int(at[k]), int(width[k])
+            if (text := int(tokens.owner[place])) != owner:
+                out += [(owner, item, *found) for item in sorted(judges) if (found := judges[item].verdict())]
+                owner, judges = text, {}
+            here = tokens.slots(place, wide, int(form[k]))
+            for item, start, of_width, of, as_templates, template, values in self.by_hash[int(value[k])]:
+                if of_width == wide and len(here) == len(values):
+                    if item not in judges:
+                        judges[item] = Judge(self.reach[item])
+                    judges[item].add(Match(place, start, wide, of, as_templates, template, values, here))
+        return out + [(owner, item, *found) for item in sorted(judges) if (found := judges[item].verdict())]
 
 
 LEAKS = "doc_id long, text_hash long, item_id long, windows int, changed boolean, item_windows int"

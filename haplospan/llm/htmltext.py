@@ -117,6 +117,11 @@ class Open:
         if places and not (tag in INLINE and self.blocks and self.blocks[-1] > places[-1]):
             self.close_from(places[-1])
 
+    def in_link(self) -> bool:
+        """Whether a link is open inside the innermost block, at any depth, or not far around it: one left open farther out is no sign of a link."""
+        places = self.by_tag.get("a")
+        return bool(places) and (places[-1] >= len(self.stack) - 4 or not self.blocks or places[-1] > self.blocks[-1])
+
     def make_room(self, tag: str) -> None:
         """Ends the element that an opening tag ends."""
         for at in reversed(self.ends):
@@ -140,7 +145,7 @@ def blocks_of(page: str | None, place=str) -> list[tuple[tuple, str, int]]:
 
     def close_block() -> None:
         nonlocal links
-        joined = " ".join(entities.unescape("".join(text)).split())
+        joined = " ".join("".join(text).split())
         if joined:
             out.append((tuple(inside.words | inline), joined, links))
         text.clear()
@@ -153,8 +158,9 @@ def blocks_of(page: str | None, place=str) -> list[tuple[tuple, str, int]]:
         if start < 0:
             start = end
         if start > at:
-            text.append(page[at:start])
-            if any(t == "a" for t, _ in inside.stack[-4:]):
+            piece = page[at:start]
+            text.append(entities.unescape(piece) if "&" in piece else piece)  # each by itself: no reference goes over a tag
+            if inside.in_link():
                 links += start - at
         if start == end:
             break

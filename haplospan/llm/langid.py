@@ -337,8 +337,57 @@ def label_runs(docs: DataFrame, model: Model) -> DataFrame:
     return narrow.mapInArrow(run, "doc_id long, runs array<struct<lang:string,start:int,end:int>>")
 
 
+#: Code points with a place of their own in the tables below; scripts beyond (ideographs, syllables of Korean) are never doubted.
+NEAR = 0x3000
+#: When the letters of a text give reason for doubt: least number, how evenly they are used at most, share of words that come once,
+#: of words with a capital after a small letter or letters of two scripts, and of letters among visible characters.
+LEAST_LETTERS, EVEN, ONCE, ODD_WORDS, LEAST_SHARE = 100, 1.25, 0.8, 0.3, 0.3
+
+
+@functools.cache
+def letter_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By code point below NEAR: visible, case (1 small, 2 capital, 3 other letters, else 0), script, small form."""
+    chars = [chr(k) for k in range(NEAR)]
+    visible = np.array([not c.isspace() and c.isprintable() for c in chars])
+    case = np.array([(1 if c.islower() else 2 if c.isupper() else 3) if c.isalpha() else 0 for c in chars], dtype=np.int8)
+    script = np.searchsorted([0x0250, 0x0370, 0x0400, 0x0530, 0x0590, 0x0600, 0x0700, 0x0900], np.arange(NEAR), side="right").astype(np.int8)
+    script[0x1E00:0x1F00], script[0x1F00:0x2000] = 0, 2  # more of Latin and Greek
+    small = np.array([ord(c.lower()) if len(c.lower()) == 1 and ord(c.lower()) < NEAR else k for k, c in enumerate(chars)])
+    return visible, case, script, small
+
+
+def doubtful(text: str) -> bool:
+    """Whether a text looks unlike any language, whatever its words: letters used about as often as each other in words that hardly come again,
+    words with capitals or other scripts inside, or few letters."""
+    codes = np.frombuffer(text.encode("utf-32-le", "replace"), dtype="<u4")
+    visible, case, script, small = letter_tables()
+    near = codes[codes < NEAR]
+    far = len(codes) - len(near)
+    kinds = case[near]
+    n = int((kinds > 0).sum())
+    if far > n or n < LEAST_LETTERS:
+        return False
+    if n < LEAST_SHARE * int(visible[near].sum()):
+        return True
+    words = int((kinds > 0)[:1].sum() + ((kinds[1:] > 0) & (kinds[:-1] == 0)).sum())
+    inside = (kinds[1:] > 0) & (kinds[:-1] > 0)
+    odd = ((kinds[:-1] == 1) & (kinds[1:] == 2)) | (script[near[1:]] != script[near[:-1]])
+    if (odd & inside).sum() > ODD_WORDS * words:
+        return True
+    counts = np.bincount(small[near[kinds > 0]])
+    counts = counts[counts > 0].astype(np.float64)
+    if (counts**2).sum() / n**2 * len(counts) >= EVEN:
+        return False
+    found = words_of(text)
+    return len(set(found)) > ONCE * len(found)
+
+
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows and columns of docs with letters of which words of no language, if the model knows such, do not take more than half."""
+    """The rows and columns of docs with letters, without those that are doubtful and of which words of no language take more than half.
+
+    Doubt rests on letters alone, so texts of languages that the model has never met stay; the model then decides what is doubtful.
+    Without a state for no language in the model, all rows with letters stay.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
@@ -348,9 +397,10 @@ def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
                 keep = np.array([bool(t and letters().search(t)) for t in texts], dtype=bool)
                 if OTHER in model.languages:
                     other = model.languages.index(OTHER)
-                    for some, sizes, found in scorer.chunks(texts):
+                    doubt = [k for k, t in enumerate(texts) if keep[k] and doubtful(t)]
+                    for some, sizes, found in scorer.chunks([texts[k] for k in doubt]) if doubt else ():
                         share = np.add.reduceat(found[:, other], np.cumsum(sizes) - sizes) / np.array(sizes)
-                        keep[some] &= share <= 0.5
+                        keep[[doubt[k] for k in some]] &= share <= 0.5
                 yield part.filter(pa.array(keep))
         del scorer
         release_memory()

@@ -13,7 +13,7 @@ Each query meets each block once: groups of up to QUERY_ROWS queries, fewer wher
 Defined cases: vectors that are null or hold null or non-finite components, and rows with a null id, take
 no part; vectors of unequal length are compared as if zeros filled the shorter; a query never finds its
 own row but may find other rows with its id; repeated queries are answered once each; an empty table gives no
-rows; other columns are ignored.  Scores have to fit into 63 bits.
+rows; other columns are ignored.  Components so large that a score could leave 63 bits end the search by an error.
 """
 
 from __future__ import annotations
@@ -229,7 +229,10 @@ def top_k(embeddings: DataFrame, is_query, k: int = K, block_rows: int = BLOCK_R
     """
     spark = embeddings.sparkSession
     rows = written(quantised(embeddings).withColumn("rid", F.monotonically_increasing_id()), "quantised")
-    n, queries, width = rows.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1)), F.coalesce(F.max(F.size("values")), F.lit(0))).first()
+    most = F.max(F.greatest(F.array_max("values"), -F.array_min("values")))
+    n, queries, width, largest = rows.agg(F.count(F.lit(1)), F.count(F.when(is_query, 1)), F.coalesce(F.max(F.size("values")), F.lit(0)), F.coalesce(most.cast("decimal(20,0)"), F.lit(0))).first()
+    if width * int(largest) ** 2 >= 1 << 62:
+        raise ValueError(f"{width} components of up to {largest}: scores could leave 63 bits")
     blocks = max(1, -(-n // block_rows))
     groups = max(1, -(-queries // query_rows), min(-(-3 * partitions(spark) // blocks), queries // 32))  # at least, so that few blocks still make enough tasks
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("rid"), F.lit(blocks)).cast("int")).select("rid", "vec_id", "values", "block")

@@ -7,10 +7,12 @@ support and a confidence are kept, pruned of those that a shorter rule with the
 confidence covers, and found again by an inverted index from the rarest token of each rule.
 
 FP-growth enumerates subsets, so it gets only tokens that can be in a longer rule: frequent ones (a rule has no more
-support than its tokens) that do not decide alone (with a token of confidence 1 every longer rule is pruned), and at most
-COMBINED of them for each url, those of the highest confidence.  Rules of one token come from counts of all tokens of all
-urls, and the counts of the longer ones are taken again over all labelled urls, so support and confidence are exact for
-every rule; without urls of more than COMBINED such tokens the rules are exactly those of the whole sets.
+support than its tokens) that do not decide alone (with a token of confidence 1 every longer rule is pruned).  Tokens of exactly the same
+urls go in as one: two of them in one rule add nothing, so such a rule is pruned, and the rules that hold one of them hold for each of them.  So a url of very many
+tokens of its own, however often it comes, is one token to FP-growth, and all rules of the whole sets are found.  Rules of one token come from counts of all
+tokens of all urls, and the counts of the longer ones are taken again over all labelled urls, so support and confidence are exact for
+every rule.  Where a url still has more than WIDE such tokens, whose subsets would be too many, sets are grown level by level instead, without those that are
+held by as many urls as a part of them; they give the same rules.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path, fits no rule and gets
 the default verdict; an empty table gives no rows; without labelled urls every verdict is the
@@ -20,6 +22,7 @@ and the whole are tokens; other columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import math
 import string
 
@@ -41,8 +44,9 @@ DEFAULT = "allow"
 MIN_SUPPORT = 0.005
 MIN_CONFIDENCE = 0.8
 MIN_COUNT = 2
-COMBINED = 8
 LABELS = 127
+#: Up to so many tokens of a url FP-growth enumerates their subsets; beyond, sets are grown level by level.
+WIDE = 14
 BROADCAST_TOKENS = 100_000
 CHUNK = 10_000
 
@@ -89,10 +93,10 @@ def url_tokens(host: Column, path: Column, tail: Column) -> Column:
 RULE = "antecedent array<string>, verdict string, confidence double, support double, anchor string"
 
 
-def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, combined: int = COMBINED) -> DataFrame:
+def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, combined: int | None = None) -> DataFrame:
     """antecedent, verdict, confidence, support and anchor (the rarest token) of the rules kept; labelled: tokens, verdict.
 
-    Labelled urls with equal tokens and label are one transaction each.
+    Labelled urls with equal tokens and label are one transaction each.  combined: the most tokens of a url that may combine, if there is to be a bound.
     """
     spark = labelled.sparkSession
     # equal transactions are one row with their number, so that hot urls cost no more than others
@@ -111,15 +115,23 @@ def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confi
     best = F.sort_array(F.collect_list(F.struct("sure", "of", "token")), asc=False)
     kept = written(kept.groupBy("row", "verdict", "times").agg(best.alias("best")).select("verdict", "times", F.col("best.token").alias("tokens")), "url-items")
     label = F.array(F.concat(F.lit("label="), "verdict"))
-    chunks = kept.select("times", F.concat(F.slice("tokens", 1, combined), label).alias("items")).select("times", "items", F.explode(F.sequence(F.lit(0), F.floor((F.col("times") - 1) / CHUNK))).alias("chunk"))
-    alike = F.sequence(F.lit(1), F.least(F.lit(CHUNK).cast("long"), F.col("times") - F.col("chunk") * CHUNK))
-    items = chunks.repartition(partitions(spark)).select("items", F.explode(alike)).select("items")
-    of = kept.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
-    longer = spark.createDataFrame([], "antecedent array<string>")
-    if of:
+    alone = written(same_urls(kept), "url-classes")
+    some = kept.withColumn("row", F.monotonically_increasing_id())
+    some = some.select("row", "verdict", "times", F.explode(F.slice("tokens", 1, combined) if combined else F.col("tokens")).alias("token")).join(alone, "token").groupBy("row", "verdict", "times").agg(F.collect_set("first").alias("tokens"))
+    some = written(some, "url-some")
+    of, most = some.agg(F.coalesce(F.sum("times"), F.lit(0)), F.coalesce(F.max(F.size("tokens")), F.lit(0))).first()
+    if not of:
+        longer = spark.createDataFrame([], "antecedent array<string>")
+    elif most > WIDE:
+        longer = level_by_level(some, least)
+    else:
+        chunks = some.select("times", F.concat("tokens", label).alias("items")).select("times", "items", F.explode(F.sequence(F.lit(0), F.floor((F.col("times") - 1) / CHUNK))).alias("chunk"))
+        alike = F.sequence(F.lit(1), F.least(F.lit(CHUNK).cast("long"), F.col("times") - F.col("chunk") * CHUNK))
+        items = chunks.repartition(partitions(spark)).select("items", F.explode(alike)).select("items")
         model = FPGrowth(itemsCol="items", minSupport=min(1.0, (least - 0.5) / of), minConfidence=0.0).fit(items)
         longer = model.freqItemsets.select(F.array_sort(F.filter("items", lambda x: ~F.startswith(x, F.lit("label=")))).alias("antecedent"), F.size("items").alias("n"))
         longer = longer.where((F.size("antecedent") > 1) & (F.size("antecedent") < F.col("n"))).select("antecedent").distinct()
+    longer = each_for_each(longer, alone)
     sets = kept.select(F.array_sort("tokens").alias("tokens"), "verdict", "times").groupBy("tokens", "verdict").agg(F.sum("times").alias("times"))
     rules = ones.unionByName(counted(sets, with_anchor(longer, single)))
     rules = rules.where((F.col("n") >= least) & (F.col("n") / F.col("of") >= min_confidence))
@@ -132,6 +144,48 @@ def mined_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confi
     return written(left.join(with_anchor(left.select("antecedent").distinct(), single), "antecedent").select("antecedent", "verdict", "confidence", "support", "anchor"), "url-index")
 
 
+def same_urls(sets: DataFrame) -> DataFrame:
+    """token and first, the least of the tokens that are in exactly the same sets."""
+    each = sets.select(F.xxhash64("tokens", "verdict").alias("a"), F.xxhash64("verdict", "tokens", F.lit(1)).alias("b"), F.explode("tokens").alias("token"))
+    of = each.groupBy("token").agg(F.struct(F.count(F.lit(1)).alias("n"), F.bit_xor("a").alias("a"), F.bit_xor("b").alias("b")).alias("urls"))
+    return of.select("token", "urls").join(of.groupBy("urls").agg(F.min("token").alias("first")), "urls").select("token", "first")
+
+
+def level_by_level(rows: DataFrame, least: int) -> DataFrame:
+    """antecedent: the sets of two tokens and more that at least `least` urls hold, and fewer than hold any of their parts (else the set's rules are pruned).
+
+    rows: row, times, tokens.  A set grows by a later token of each url that holds it, and stays if all its parts of the level before are there
+    and are held by more urls; so tokens that imply each other, of which very long urls consist, do not multiply.
+    """
+    each = written(rows.select("row", "times", F.explode("tokens").alias("token")), "url-each")
+    held = each.select("row", "times", F.array("token").alias("set"))
+    known = written(held.groupBy("set").agg(F.sum("times").alias("n")).where(F.col("n") >= least), "url-sets")
+    held, all_sets = held.join(known.select("set"), "set", "left_semi"), []
+    while True:
+        grown = held.join(each.select("row", "token"), "row").where(F.col("token") > F.element_at("set", -1)).select("row", "times", F.concat("set", F.array("token")).alias("set"))
+        counts = grown.groupBy("set").agg(F.sum("times").alias("n")).where(F.col("n") >= least)
+        parts = counts.select("set", "n", F.explode(F.transform("set", lambda x: F.array_remove("set", x))).alias("part"))
+        before = known.select(F.col("set").alias("part"), F.col("n").alias("of"))
+        whole = parts.join(before, "part").groupBy("set").agg(F.min("n").alias("n"), F.min("of").alias("fewest"), F.count(F.lit(1)).alias("parts"))
+        known = written(whole.where((F.col("parts") == F.size("set")) & (F.col("n") < F.col("fewest"))).select("set", "n"), "url-sets")
+        if known.isEmpty():
+            break
+        all_sets.append(known.select(F.col("set").alias("antecedent")))
+        held = written(grown.join(known.select("set"), "set", "left_semi"), "url-held")
+    return functools.reduce(DataFrame.unionByName, all_sets, rows.sparkSession.createDataFrame([], "antecedent array<string>"))
+
+
+def each_for_each(antecedents: DataFrame, alone: DataFrame) -> DataFrame:
+    """The antecedents of first tokens with each token of the same urls in each place."""
+    classes = alone.groupBy(F.col("first").alias("_first")).agg(F.collect_set("token").alias("_members"))  # all of one url
+    rows = written(antecedents.withColumn("_done", F.array().cast("array<string>")), "url-antecedents")
+    for k in range(rows.agg(F.coalesce(F.max(F.size("antecedent")), F.lit(0))).first()[0]):
+        here = F.get("antecedent", F.lit(k))
+        rows = rows.join(classes, here == F.col("_first"), "left").withColumn("_m", F.explode_outer("_members"))
+        rows = rows.select("antecedent", F.when(F.col("_m").isNull(), F.col("_done")).otherwise(F.concat("_done", F.array("_m"))).alias("_done"))
+    return rows.select(F.array_sort("_done").alias("antecedent")).distinct()
+
+
 def with_anchor(antecedents: DataFrame, single: DataFrame) -> DataFrame:
     """antecedent and anchor, its rarest token."""
     counts = single.select("token", "of").distinct()

@@ -263,3 +263,46 @@ def test_jaccard_odd_rows(spark):
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 2, 3, 4, 6, 7, 10]
     assert jaccard.jaccard_classes(docs.limit(0)).count() == 0 and jaccard.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_scores_that_could_overflow_are_refused(spark):
+    for large, said in ((2e7, "63 bits"), (-1e17, "")):
+        rows = spark.createDataFrame([(k, [large] * 64) for k in range(3)], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match=said):
+            topk.top_k(rows, F.col("vec_id") == 0)
+
+
+def all_rules(rows, support, confidence, verdicts=("allow", "block")):
+    """Every rule of every subset of every url, pruned as stated."""
+    least = max(urlfilter.MIN_COUNT, -(-int(support * len(rows) * 1000) // 1000))
+    sets = {frozenset(c) for t, _ in rows for n in range(1, len(t) + 1) for c in combinations(sorted(t), n)}
+    found = {}
+    for s in sets:
+        have = [v for t, v in rows if s <= set(t)]
+        for v in verdicts:
+            if have.count(v) >= least and have.count(v) / len(have) >= confidence:
+                found[s, v] = have.count(v) / len(have)
+    return {(tuple(sorted(s)), v): c for (s, v), c in found.items() if not any(found.get((s - {x}, v), 0) >= c for x in s if len(s) > 1)}
+
+
+def test_no_rule_of_a_full_enumeration_is_lost(spark, monkeypatch):
+    rng = random.Random(12)
+    monkeypatch.setattr(urlfilter, "WIDE", 20)
+    rows = []
+    for _ in range(150):
+        tokens = {rng.choice("abcdefghijklmn") for _ in range(rng.randint(3, 12))}
+        tokens |= {"twin of a", "third of a"} if "a" in tokens else set()  # tokens of the same urls
+        rows.append((sorted(tokens), "block" if {"a", "b"} <= tokens or {"c", "d", "e"} <= tokens or rng.random() < 0.05 else "allow"))
+    got = {(tuple(r["antecedent"]), r["verdict"]): r["confidence"] for r in urlfilter.mined_rules(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.04, 0.8).collect()}
+    want = all_rules(rows, 0.04, 0.8)
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+    monkeypatch.setattr(urlfilter, "WIDE", 0)
+    again = {(tuple(r["antecedent"]), r["verdict"]): r["confidence"] for r in urlfilter.mined_rules(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.04, 0.8).collect()}
+    assert again == got
+    assert max(len(a) for a, _ in want) >= 3 and any("twin of a" in a and len(a) > 1 for a, _ in want)
+
+
+def test_very_long_urls_end(spark):
+    long = [f"s{k}" for k in range(1000)]
+    rows = [(["x", *long], "allow"), (["x", *long], "block"), (["x", *long], "block"), *[(["x", f"y{k % 3}"], "allow" if k % 2 else "block") for k in range(40)]]
+    assert urlfilter.mined_rules(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.01, 0.6).count() >= 1000

@@ -53,6 +53,33 @@ def test_texts_of_no_language_go(spark):
     assert langid.keep_identified(clean, model).count() >= 0.999 * clean.count()
 
 
+UNSEEN = [
+    "The quick brown fox jumps over the lazy dog and the people were happy. " * 4,
+    "click here buy now cheap watches free shipping click here buy now " * 10,
+    "Большинство людей никогда не задумывается о том, откуда берётся вода в их кранах и куда она потом уходит. " * 2,
+    "Wer reitet so spät durch Nacht und Wind? Es ist der Vater mit seinem Kind; er hat den Knaben wohl in dem Arm, er faßt ihn sicher, er hält ihn warm.",
+    "多数の人々は水がどこから来るのか考えたことがない。这是一个关于语言识别的测试句子，没有训练过的词汇。" * 5,
+    "Η πλειονότητα των ανθρώπων δεν σκέφτεται ποτέ από πού έρχεται το νερό στις βρύσες τους και πού πηγαίνει μετά από αυτό. ",
+    "def total(rows):\n    result = 0\n    for row in rows:\n        result += row.price * row.count\n    return result\n" * 4,
+    "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto, ja heidän on toimittava toisiaan kohtaan veljeyden hengessä.",
+]
+
+
+def test_languages_that_were_never_met_stay_and_junk_goes(spark):
+    model = langid.fit(spark.read.parquet(f"{SF}/documents.parquet"), other=True)
+    rng = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    junk = [
+        " ".join("".join(rng.choice(letters) for _ in range(rng.randint(3, 9))) for _ in range(150)),
+        " ".join("".join(rng.choice(letters + letters.upper()) for _ in range(rng.randint(6, 12))) for _ in range(120)),
+        " ".join("".join(rng.choice(letters + "абвгдежзиклмнопрст") for _ in range(rng.randint(4, 9))) for _ in range(120)),
+    ]
+    docs = spark.createDataFrame(list(enumerate(UNSEEN + junk)), "doc_id long, text string")
+    kept = {r["doc_id"] for r in langid.keep_identified(docs, model).collect()}
+    assert kept == set(range(len(UNSEEN))), kept
+    assert [langid.doubtful(t) for t in UNSEEN] == [False] * len(UNSEEN) and all(map(langid.doubtful, junk))
+
+
 def test_kinds_of_features_have_their_own_names():
     places, sizes = langid.features(["in", "win", "a", "straße"])
     split = np.split(places, np.cumsum(sizes)[:-1])
@@ -274,6 +301,13 @@ def test_articles_in_unfamiliar_elements(spark, labeller, container):
     assert kept >= 0.9 * in_all and wrong <= 0.1 * in_all
 
 
+def test_html_references_and_links():
+    text = lambda page: [(b[1], b[2]) for b in htmltext.blocks_of(page)]
+    assert text("<p>a &am<b>p;</b> &l<i>t; x</i></p>") == [("a &amp; &lt; x", 0)]
+    assert text("<p>a &amp; b &lt; c&nbsp;d &#x41;</p>") == [("a & b < c d A", 0)]
+    assert text("<p><a href=x><b><i><u><em><strong>deep</strong></em></u></i></b></a> rest</p>") == [("deep rest", 4)]
+
+
 def test_html_parser_is_linear():
     import time
 
@@ -360,3 +394,15 @@ def test_pipeline_equals_its_parts(spark):
     want = {r["doc_id"]: pii.masked(r["text"]) for r in first.join(classes, "doc_id").join(bad, "doc_id", "left_anti").collect()}
     got = {r["doc_id"]: (r["text"], len(r["ids"]), r["n_tokens"]) for r in corpus_pipeline.run(spark, SF).collect()}
     assert {k: v[0] for k, v in got.items()} == want and all(v[1] == v[2] for v in got.values())
+
+
+def test_repeated_text_is_judged_in_bounded_memory():
+    """What is held follows the item, not the document, and the verdicts are those of the whole document at once."""
+    match = lambda place, at: decontaminate.Match(place, at, 8, 30, 30, True, [], [])
+    one = decontaminate.Judge(29)
+    most = 0
+    for place in range(20_000):
+        for at in range(place % 2, 30, 2):
+            one.add(match(place, at))
+        most = max(most, sum(map(len, one.by_offset.values())))
+    assert most < 4000 and one.verdict() == (30, False, 30)
