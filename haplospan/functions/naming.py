@@ -20,8 +20,9 @@ def pansn_contig(name: Column) -> Column:
 
 
 def number(text: Column) -> Column:
-    """Text as a double: empty counts as 0, other text that is no number as null."""
-    return F.when(F.trim(text) == "", F.lit(0.0)).otherwise(text.try_cast("double"))
+    """Text as a double: empty counts as 0, 0x with digits as hexadecimal, other text that is no number as null."""
+    hexadecimal = F.trim(text).rlike("^0[xX][0-9a-fA-F]{1,15}$")
+    return F.when(F.trim(text) == "", F.lit(0.0)).when(hexadecimal, F.conv(F.substring(F.trim(text), 3, 15), 16, 10).cast("double")).otherwise(text.try_cast("double"))
 
 
 def pansn_haplotype(name: Column) -> Column:
@@ -82,7 +83,14 @@ def format_bp(bp: Column) -> Column:
 
 def hue_of(name: Column) -> Column:
     """A hue from 0 to 359 by a rolling hash of which only the shift wraps to 32 bits."""
-    codes = F.transform(F.filter(F.split(name, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+    points = F.transform(F.filter(F.split(name, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("long"))
+
+    def units(c: Column) -> Column:
+        """The 16-bit units of a code point."""
+        over = c - 0x10000
+        return F.when(c < 0x10000, F.array(c)).otherwise(F.array(F.shiftright(over, 10) + 0xD800, over % 1024 + 0xDC00))
+
+    codes = F.flatten(F.transform(points, units))
 
     def step(h: Column, c: Column) -> Column:
         low = F.pmod(h, F.lit(1 << 32))

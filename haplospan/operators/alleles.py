@@ -160,7 +160,7 @@ def samples(alleles: DataFrame) -> DataFrame:
 
 def in_order(alleles: DataFrame) -> DataFrame:
     """Alleles by start, then by sample as people sort names, then by run."""
-    return alleles.orderBy("ref", "start", F.collate(F.col("sample"), "UNICODE"), "run")
+    return alleles.orderBy("start", F.collate(F.col("sample"), "UNICODE"), "ref", "run")
 
 
 def sample_list(alleles: DataFrame) -> DataFrame:

@@ -6,22 +6,26 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def segment_lengths(segments: DataFrame) -> DataFrame:
+    """segment and length; of records with one id the last counts, so that steps do not multiply."""
+    last = F.max_by("length", "rec_no") if "rec_no" in segments.columns else F.last("length")
+    return segments.groupBy(F.col("id").alias("segment")).agg(last.alias("length"))
+
+
 def visits(steps: DataFrame, segments: DataFrame) -> DataFrame:
     """phase, rec_no, step_no, name, sample, segment, strand, start of every step.
 
     A path is walked forward whatever its strands, from its own start, by records rather than names; unknown segments have no length.
     """
-    lengths = segments.select(F.col("id").alias("segment"), "length")
-    walked = steps.join(lengths, "segment", "left").withColumn("length", F.coalesce("length", F.lit(0)))
+    walked = steps.join(segment_lengths(segments), "segment", "left").withColumn("length", F.coalesce("length", F.lit(0)))
     before = F.sum("length").over(Window.partitionBy("phase", "rec_no").orderBy("step_no").rowsBetween(Window.unboundedPreceding, -1))
     return walked.select("phase", "rec_no", "step_no", "full_name", "name", "sample", "segment", "strand", "length", (F.col("start") + F.coalesce(before, F.lit(0))).alias("at"))
 
 
 def origins(steps: DataFrame, segments: DataFrame) -> DataFrame:
     """phase, rec_no, name, sample, start, length of each path record."""
-    lengths = segments.select(F.col("id").alias("segment"), "length")
     return (
-        steps.join(lengths, "segment", "left")
+        steps.join(segment_lengths(segments), "segment", "left")
         .groupBy("phase", "rec_no")
         .agg(F.first("name").alias("name"), F.first("sample").alias("sample"), F.first("start").alias("start"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("length"))
     )

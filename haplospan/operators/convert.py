@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.naming import edge_key
-from ..sources.gfa import tag_number
+from ..functions.naming import edge_key, sm_samples
+from ..sources.gfa import tag_number, tag_text
 
 
 def canonical_strands(links: DataFrame, steps: DataFrame) -> DataFrame:
@@ -32,10 +32,10 @@ def depth(tags: Column, count: Column) -> Column:
 
 
 def nodes(segments: DataFrame, links: DataFrame, steps: DataFrame) -> DataFrame:
-    """rec_no, node_id, name, length, depth, sn, so, sr of every segment."""
+    """rec_no, node_id, name, length, depth, sn, so, sr of every segment, and the samples that its SM tag names (null without)."""
     strands, counts = canonical_strands(links, steps), traversals(steps)
     joined = segments.join(strands, segments["id"] == strands["segment"], "left").drop("segment").join(counts, F.col("id") == counts["segment"], "left")
-    return joined.select("rec_no", F.concat("id", F.coalesce("strand", F.lit("+"))).alias("node_id"), F.col("id").alias("name"), "length", depth(F.col("tags"), F.col("traversals")).alias("depth"), "sn", "so", "sr")
+    return joined.select("rec_no", F.concat("id", F.coalesce("strand", F.lit("+"))).alias("node_id"), F.col("id").alias("name"), "length", depth(F.col("tags"), F.col("traversals")).alias("depth"), "sn", "so", "sr", sm_samples(tag_text(F.col("tags"), "SM")).alias("samples"))
 
 
 def edges(links: DataFrame, strands: DataFrame, steps: DataFrame) -> DataFrame:

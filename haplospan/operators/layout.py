@@ -34,9 +34,9 @@ def rank_rows(nodes: DataFrame) -> DataFrame:
 
 
 def sample_rows(nodes: DataFrame) -> DataFrame:
-    """sample and row, from 1: by off-reference bp contributed, then name."""
+    """sample and row, from 1: by off-reference bp contributed, then name as people sort names."""
     carried = nodes.where(is_off_reference()).groupBy(pansn_sample(F.col("sn")).alias("sample")).agg(F.sum("length").alias("bp"))
-    return carried.select("sample", F.row_number().over(Window.orderBy(F.desc("bp"), "sample")).cast("long").alias("row"))  # one row for each sample
+    return carried.select("sample", F.row_number().over(Window.orderBy(F.desc("bp"), F.collate(F.col("sample"), "UNICODE"), "sample")).cast("long").alias("row"))  # one row for each sample
 
 
 def rank_labels(rows: DataFrame) -> DataFrame:

@@ -91,13 +91,18 @@ def hovered(points: DataFrame, nodes: DataFrame, spans: DataFrame) -> DataFrame:
     return found.select("point_id", F.coalesce("_named", "_placed").alias("node_id")).join(spans, "node_id", "left").select("point_id", "node_id", "start", "end")
 
 
-def launch_targets(nodes: DataFrame, spans: DataFrame, assemblies: DataFrame, least: int = 1000) -> DataFrame:
-    """node_id, kind (own or reference), assembly, ref, start, end padded to `least` bp.  assemblies: sample, assembly."""
+def launch_targets(nodes: DataFrame, spans: DataFrame, assemblies: DataFrame, region: tuple[str, str] | None = None, least: int = 1000) -> DataFrame:
+    """node_id, kind (own or reference), assembly, ref, start, end padded to `least` bp.  assemblies: sample, assembly.
+
+    region: assembly and ref of the region that the graph was cut for; without one no node has a place on a reference.
+    """
     from ..functions.naming import pansn_contig, pansn_sample
 
     own = nodes.where("sn is not null").select("node_id", F.lit("own").alias("kind"), pansn_sample(F.col("sn")).alias("sample"), pansn_contig(F.col("sn")).alias("ref"), F.col("so").alias("start"), (F.col("so") + F.col("length")).alias("end"))
     named = own.join(assemblies, "sample").select("node_id", "kind", "assembly", "ref", "start", "end")
-    on = spans.select("node_id", F.lit("reference").alias("kind"), F.lit(None).cast("string").alias("assembly"), F.lit(None).cast("string").alias("ref"), "start", "end")
+    if region is None:
+        return padded(named, least)
+    on = spans.select("node_id", F.lit("reference").alias("kind"), F.lit(region[0]).alias("assembly"), F.lit(region[1]).alias("ref"), "start", "end")
     return padded(named.unionByName(on), least)
 
 

@@ -365,12 +365,12 @@ def contributors_with_region(spark, sf_dir):
 @query(
     f"""WITH {NEAR}, t AS (
         SELECT s.id AS node_id, 'own' AS kind, a.assembly, s.contig AS ref, s.so AS start, s.so + s.len AS stop FROM seg s JOIN {ALIAS_SQL} ON split_part(s.sn, '#', 1) = a.sample
-        UNION ALL SELECT node_id, 'reference', NULL, NULL, start, stop FROM spans)
+        UNION ALL SELECT node_id, 'reference', 'hg38', 'chr0', start, stop FROM spans)
     SELECT node_id, kind, assembly, ref, CAST(GREATEST(start - CAST(ceil(GREATEST(1000 - (stop - start), 0) / 2.0) AS BIGINT), 0) AS BIGINT) AS start, CAST(stop + ceil(GREATEST(1000 - (stop - start), 0) / 2.0) AS BIGINT) AS stop FROM t"""
 )
 def launch_targets(spark, sf_dir):
     names = spark.createDataFrame(ALIASES, "sample string, assembly string")
-    return spans.launch_targets(fx.nodes(spark, sf_dir), span_rows(spark, sf_dir), names).withColumnRenamed("end", "stop")
+    return spans.launch_targets(fx.nodes(spark, sf_dir), span_rows(spark, sf_dir), names, ("hg38", "chr0")).withColumnRenamed("end", "stop")
 
 
 # ---------------------------------------------------------------- alleles
@@ -799,6 +799,43 @@ def gfa_file_steps(spark, sf_dir):
     return gfa.exploded(gfa.records(gfa.paths(lines), gfa.walks(lines))).select("name", F.col("step_no").cast("long").alias("step_no"), "segment", "strand")
 
 
+@query(
+    f"""WITH {fx.GRAPH},{fx.STEPS}, p AS (SELECT DISTINCT phase, rec_no, name FROM steps),
+    r AS (
+        SELECT 0 AS band, pk AS spot, 'S' AS kind, id AS name FROM seg UNION ALL SELECT 1, rec_no, 'L', concat(source, '>', target) FROM lnk
+        UNION ALL SELECT 2 + phase, rec_no, CASE WHEN phase = 0 THEN 'P' ELSE 'W' END, name FROM p
+    )
+    SELECT ROW_NUMBER() OVER (ORDER BY band, spot) - 1 AS rec_no, kind, name FROM r"""
+)
+def gfa_file_order(spark, sf_dir):
+    """All records of a folder of files in one load, with their numbers in file order."""
+    graph = gfa.load(spark, fx.gfa_file(spark, sf_dir))
+    named = {"S": graph.segments.select("rec_no", F.col("id").alias("name")), "L": graph.links.select("rec_no", F.concat("source", F.lit(">"), "target").alias("name"))}
+    named |= {"P": graph.paths.select("rec_no", naming.origin_name(F.col("name")).alias("name")), "W": graph.walks.select("rec_no", F.concat_ws("#", "sample", F.col("haplotype").cast("string"), "contig").alias("name"))}
+    each = [rows.select("rec_no", F.lit(kind).alias("kind"), "name") for kind, rows in named.items()]
+    return each[0].unionByName(each[1]).unionByName(each[2]).unionByName(each[3])
+
+
+@query(
+    f"""WITH {CLAIMS}, t AS (SELECT segment, COUNT(*) AS n FROM steps GROUP BY segment)
+    SELECT concat(s.id, COALESCE(c.strand, '+')) AS node_id, CAST(GREATEST(COALESCE(t.n, 1), 1) AS DOUBLE) AS depth, s.len AS length FROM seg s LEFT JOIN canon c ON s.id = c.segment LEFT JOIN t ON s.id = t.segment"""
+)
+def graph_from_files(spark, sf_dir):
+    """Nodes with canonical strands, first claims in file order, from files alone."""
+    graph = gfa.load(spark, fx.gfa_file(spark, sf_dir))
+    steps = gfa.exploded(gfa.records(graph.paths, graph.walks))
+    return convert.nodes(graph.segments, graph.links, steps).select("node_id", "depth", "length")
+
+
+@query(f"WITH {fx.SEG} SELECT id AS name, CASE WHEN pk % 3 = 0 THEN NULL ELSE concat('S', pk % 7, '|', 'S', pk % 5) END AS samples FROM seg")
+def node_carriers(spark, sf_dir):
+    """The samples that SM tags of parsed S records name, as nodes carry them."""
+    tagged = fx.index(spark, sf_dir)[0].select(F.concat_ws("\t", F.lit("S"), "id", F.lit("*"), F.concat(F.lit("LN:i:"), F.col("end") - F.col("start")), "tags").alias("line"))
+    segs = gfa.segments(tagged.withColumn("rec_no", F.lit(0).cast("long")))
+    none = fx.links(spark, sf_dir).limit(0)
+    return convert.nodes(segs, none, fx.steps(spark, sf_dir).limit(0)).select("name", F.array_join("samples", "|").alias("samples"))
+
+
 def bed_tables(spark, sf_dir):
     return beds.read_prefix(spark, fx.bed_prefix(spark, sf_dir), compressed=False)
 

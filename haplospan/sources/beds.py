@@ -21,7 +21,7 @@ SATURATED = 2147483647
 
 
 def read_bed(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    return spark.read.schema(schema).option("sep", "\t").option("mode", "PERMISSIVE").csv(path)
+    return spark.read.schema(schema).option("sep", "\t").option("quote", "").option("mode", "PERMISSIVE").csv(path)  # a quote is a character like others
 
 
 def overlaps(start: int, end: int) -> Column:

@@ -6,19 +6,53 @@ their first character.  Types of tags other than i, f and Z are dropped; the las
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.naming import number
+from ..storage import cut, running
+
+
+#: Fields that a record needs at least, with its type.
+FIELDS = {"S": 3, "L": 5, "E": 4, "P": 3, "W": 7}
 
 
-def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """rec_no and line; lines end at line feeds alone, one carriage return before is cut.
+def read_lines(spark: SparkSession, path: str | list[str], strict: bool = False) -> DataFrame:
+    """rec_no (dense, from 0), line and file; lines end at line feeds alone, one carriage return before is cut.
 
-    rec_no grows in file order: files by path, splits by their start.
+    rec_no grows in file order: files by path, whatever their sizes and the splits in which Spark reads them.  The lines of every split are
+    counted, and the counts summed in order of file and place.  strict: a record with too few fields ends the job.
     """
-    raw = spark.read.option("lineSep", "\n").text(path)
-    return raw.select(F.monotonically_increasing_id().alias("rec_no"), F.regexp_replace("value", "\r$", "").alias("line"))
+    raw = spark.read.option("lineSep", "\n").text(path).select(F.monotonically_increasing_id().alias("_row"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), "value")
+    splits = raw.groupBy("file", "_block").agg(F.min("_row").alias("_first"), F.count(F.lit(1)).alias("_lines"))
+    placed = running(splits, "file", "_block", of="_lines", name="_before").select("file", "_block", "_first", "_before")
+    lines = raw.join(placed, ["file", "_block"]).select((F.col("_before") + F.col("_row") - F.col("_first")).alias("rec_no"), F.regexp_replace("value", "\r$", "").alias("line"), "file")
+    return checked(lines) if strict else lines
+
+
+def checked(lines: DataFrame) -> DataFrame:
+    """The lines; one with fewer fields than its record type needs ends the job with its file and number."""
+    fields = F.length("line") - F.length(F.replace("line", F.lit("\t"), F.lit(""))) + 1
+    needed = F.try_element_at(F.create_map(*[F.lit(x) for pair in FIELDS.items() for x in pair]), F.substring("line", 1, 1))
+    said = F.concat(F.lit("malformed record "), F.col("rec_no").cast("string"), F.lit(" of "), F.coalesce("file", F.lit("?")) if "file" in lines.columns else F.lit("the input"), F.lit(": "), F.substring("line", 1, 80))
+    return lines.withColumn("line", F.when(fields < needed, F.raise_error(said).cast("string")).otherwise(F.col("line")))
+
+
+class Graph(NamedTuple):
+    """The tables of GFA input."""
+
+    segments: DataFrame
+    links: DataFrame
+    paths: DataFrame
+    walks: DataFrame
+
+
+def load(spark: SparkSession, path: str | list[str]) -> Graph:
+    """All records of one or more files, in their order; malformed ones end the job.  The text is read once and kept by lines in the shared folder."""
+    lines = cut(read_lines(spark, path, strict=True))
+    return Graph(segments(lines), links(lines), paths(lines), walks(lines))
 
 
 def of_type(lines: DataFrame, letter: str) -> DataFrame:
