@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 NAMES = ("x0", "y0", "x1", "y1", "x2", "y2", "x3", "y3")
 
 
+#: Least share of a joint's normal along its sides (fixed value).
+MITRE = 0.1
 #: Steps along a curve at which its distance from a point is taken.
 SAMPLES = 20
 
@@ -69,3 +71,41 @@ def dashes(of: Column, count: int) -> Column:
     """Every other part of an odd number of equal parts, at least three."""
     n = max(3, count | 1)
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1), F.lit(2)), lambda k: part(of, k / float(n), (k + 1) / float(n)))
+
+
+def normals(points: Column, ratio: float = 1.0) -> Column:
+    """A unit normal (x, y) for each of the points of a line, mitred where it bends, so that a stroke keeps its width.
+
+    ratio: units of x for a unit of y.  Bends so sharp that the mitre would be longer than ten have none; points without extent around them
+    have no normal, which is 0.
+    """
+
+    def of(a: Column, b: Column) -> Column:
+        dx, dy = b["x"] - a["x"], (b["y"] - a["y"]) * ratio
+        size = F.hypot(dx, dy)
+        return F.when(size > 0, F.struct((-dy / size).alias("x"), (dx / size).alias("y")))
+
+    n = F.size(points)
+    sides = F.zip_with(F.slice(points, F.lit(1), F.greatest(n - 1, F.lit(0))), F.slice(points, F.lit(2), F.greatest(n - 1, F.lit(0))), of)
+    none = F.array(F.lit(None).cast("struct<x:double,y:double>"))
+
+    def joint(a: Column, b: Column) -> Column:
+        mx, my = (a["x"] + b["x"]) / 2, (a["y"] + b["y"]) / 2
+        dot = a["x"] * mx + a["y"] * my
+        by = F.when(dot > MITRE, dot).otherwise(F.lit(1.0))
+        both = F.struct((mx / by).alias("x"), (my / by).alias("y"))
+        return F.when(a.isNotNull() & b.isNotNull(), both).otherwise(F.coalesce(a, b, F.struct(F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))))
+
+    return F.zip_with(F.concat(none, sides), F.concat(sides, none), joint)
+
+
+def shifted(points: Column, by: float | Column, ratio: float = 1.0) -> Column:
+    """The line moved sideways along its normals, `by` in units of x."""
+    return F.zip_with(points, normals(points, ratio), lambda p, n: F.struct((p["x"] + n["x"] * by).alias("x"), (p["y"] + n["y"] * by / ratio).alias("y")))
+
+
+def end_angle(of: Column, ratio: float = 1.0) -> Column:
+    """The angle in which a curve ends, as drawn: from its last control to its end, or along its chord where these are one."""
+    dx, dy = of["x3"] - of["x2"], (of["y3"] - of["y2"]) * ratio
+    chord = F.atan2((of["y3"] - of["y0"]) * ratio, of["x3"] - of["x0"])
+    return F.when(F.hypot(dx, dy) > 0, F.atan2(dy, dx)).otherwise(chord)

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from ..storage import cut as checkpoint
 from ..storage import numbered, running
 from .components import components, contracted
+from .seeds import linear_seeds
 
 # Rounds at each level and rounds more at the last one, by quality; trial angles; distance of components; width to height.
 ROUNDS = (3, 15, 30, 60, 120)
@@ -278,20 +279,37 @@ def packed(boxes: DataFrame, aspect: float = ASPECT) -> DataFrame:
 # ---------------------------------------------------------------- all of it
 
 
-def force_layout(nodes: DataFrame, edges: DataFrame, quality: int = 1, seed: int = 1, separation: float = SEPARATION, aspect: float = ASPECT, least: float | None = None, spread: str = "auto") -> DataFrame:
+def seeded(of: DataFrame, nodes: DataFrame, edges: DataFrame, scale: DataFrame) -> DataFrame:
+    """component, pid, x, y of the points (pid, node_id, place, component) along linear seeds."""
+    s = scale.first()
+    drawn = F.greatest(F.col("length") * F.lit(s["node_length_per_megabase"] / 1_000_000), F.lit(float(s["minimum_node_length"])))
+    named = nodes.select("node_id", F.regexp_replace(F.col("name") if "name" in nodes.columns else F.col("node_id"), "[+-]$", "").alias("name"), drawn.alias("drawn"))
+    at = linear_seeds(named, edges, float(s["edge_length"]))
+    last = of.groupBy("node_id").agg(F.max("place").alias("last"))
+    put = of.join(at, "node_id").join(last, "node_id")
+    x = F.col("x0") + (F.col("x1") - F.col("x0")) * F.col("place") / F.col("last")
+    return checkpoint(put.select("component", "pid", whole(x * UNIT).alias("x"), whole(F.col("y") * UNIT).alias("y")))
+
+
+def force_layout(nodes: DataFrame, edges: DataFrame, quality: int = 1, seed: int = 1, separation: float = SEPARATION, aspect: float = ASPECT, least: float | None = None, spread: str = "auto", linear: bool = False) -> DataFrame:
     """node_id, component (the smallest name in it), points (x and y along the node), and the extent x0, x1 and middle y of each node.
 
-    Edges of unknown nodes are left out.
+    Edges of unknown nodes are left out.  linear: places are kept from linear seeds and only moved on from there.
     """
     from .layout import LEAST_LENGTH, drawn_lengths, drawn_scale
 
     lengths = drawn_lengths(nodes, spread)
-    points, springs = chains(lengths, edges, drawn_scale(lengths, least or LEAST_LENGTH, spread))
+    scale = drawn_scale(lengths, least or LEAST_LENGTH, spread)
+    points, springs = chains(lengths, edges, scale)
     known = nodes.select("node_id")
     links = edges.select(F.col("from_id").alias("u"), F.col("to_id").alias("v")).join(known.withColumnRenamed("node_id", "u"), "u", "left_semi").join(known.withColumnRenamed("node_id", "v"), "v", "left_semi")
     roots = components(links).select(F.col("node").alias("node_id"), "root")
     of = checkpoint(points.join(roots, "node_id", "left").select("pid", "node_id", "place", F.coalesce("root", "node_id").alias("component")))
-    places = point_places(of, springs, quality, seed)
+    if linear:
+        names = nodes.select("node_id", "name") if "name" in nodes.columns else nodes.select("node_id")
+        places = relaxed(seeded(of, lengths.join(names, "node_id"), edges, scale), springs, ROUNDS[quality] + MORE_ROUNDS[quality])
+    else:
+        places = point_places(of, springs, quality, seed)
     boxes = packed(turned(places, separation, aspect), aspect)
     put = places.join(boxes, "component")
     x, y = F.col("x") / UNIT, F.col("y") / UNIT

@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import naming
-from ..operators import alleles, anchor, colors, convert, cut, edges, force, labels, layout, spans, spatial
+from ..operators import alleles, anchor, colors, convert, curves, cut, edges, force, labels, layout, spans, spatial
 from ..operators.curves import NAMES
-from ..sources import beds, gfa
+from ..sources import ancestry, beds, gfa
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -748,6 +748,73 @@ def nearest_edge(spark, sf_dir):
     return edges.nearest_edges(points, drawn_curves(spark, sf_dir), 2.0, 1.0).withColumn("distance", F.round("distance", 6))
 
 
+def side_sql(a: int, b: int) -> str:
+    size = f"sqrt(power(x{b} - x{a}, 2) + power((y{b} - y{a}) * 0.5, 2))"
+    return f"-(y{b} - y{a}) * 0.5 / {size} AS n{a}x, (x{b} - x{a}) / {size} AS n{a}y"
+
+
+@query(
+    f"""WITH {fx.SEG}, p AS (SELECT id, CAST(so AS DOUBLE) AS x0, CAST(pk % 7 * 20 AS DOUBLE) AS y0, so + len / 2.0::DOUBLE AS x1, CAST(pk % 11 * 20 AS DOUBLE) AS y1, CAST(so + len AS DOUBLE) AS x2, CAST(pk % 5 * 20 AS DOUBLE) AS y2 FROM seg),
+    s AS (SELECT *, {side_sql(0, 1)}, {side_sql(1, 2)} FROM p),
+    m AS (SELECT *, (n0x + n1x) / 2 AS mx, (n0y + n1y) / 2 AS my FROM s),
+    d AS (SELECT *, CASE WHEN n0x * mx + n0y * my > 0.1 THEN n0x * mx + n0y * my ELSE 1 END AS d FROM m)
+    SELECT id AS node_id, round(x0 + n0x * 3, 6) AS x0, round(y0 + n0y * 3 / 0.5, 6) AS y0, round(x1 + mx / d * 3, 6) AS x1, round(y1 + my / d * 3 / 0.5, 6) AS y1, round(x2 + n1x * 3, 6) AS x2, round(y2 + n1y * 3 / 0.5, 6) AS y2 FROM d"""
+)
+def offset_lines(spark, sf_dir):
+    """Nodes drawn with a bend, moved sideways by three units where a unit of y is half of one of x."""
+    def at(x, k):
+        return F.struct(x.cast("double").alias("x"), (F.col("rec_no") % k * 20).cast("double").alias("y"))
+
+    so, length = F.col("so"), F.col("length")
+    points = F.array(at(so, 7), at(so + length / 2, 11), at(so + length, 5))
+    moved = fx.nodes(spark, sf_dir).select("node_id", curves.shifted(points, 3.0, 0.5).alias("p"))
+    return moved.select("node_id", *[F.round(F.col("p")[k][c], 6).alias(f"{c}{k}") for k in range(3) for c in "xy"])
+
+
+# ---------------------------------------------------------------- ancestry
+
+ANCESTRY = fx.SEG + """,
+idx AS (SELECT pk, concat('H', CAST(pk * pk % 97 AS VARCHAR)) AS sample, CAST(pk % 2 + 1 AS VARCHAR) AS haplotype, concat('s3://b/', id, CASE WHEN pk % 3 = 0 THEN ',x' ELSE '' END) AS location, contig, so, so + len AS stop, id FROM seg),
+firsts AS (SELECT sample, MIN(pk) AS spot FROM idx GROUP BY sample),
+others AS (SELECT sample, ROW_NUMBER() OVER (ORDER BY spot) AS n, COUNT(*) OVER () AS total FROM firsts WHERE sample NOT IN ('H1', 'H4')),
+picked AS (
+    SELECT sample FROM firsts WHERE sample IN ('H1', 'H4')
+    UNION ALL SELECT sample FROM others, (SELECT 12 - COUNT(*) AS need FROM firsts WHERE sample IN ('H1', 'H4')) w
+    WHERE floor(n / (total / need::DOUBLE)) <> floor((n - 1) / (total / need::DOUBLE))
+)"""
+
+
+def ancestry_index(spark, sf_dir):
+    """The index from text with a header, carriage returns and lines of unequal length."""
+    def lines():
+        at = F.col("rec_no")
+        tail = F.when(at % 3 == 0, ",x").otherwise("")
+        rows = fx.segments(spark, sf_dir).select(at, F.concat(F.lit("H"), at * at % 97, F.lit(","), at % 2 + 1, F.lit(",asm,s3://b/"), "id", tail, F.lit("\r")).alias("value"))
+        head = spark.createDataFrame([(-1, "sample_id,haplotype,assembly,location\r")], "rec_no long, value string")
+        return head.unionByName(rows).repartitionByRange("rec_no").sortWithinPartitions("rec_no").select("value")
+
+    return ancestry.read_index(spark, fx.stored(spark, sf_dir, "ancestry-index", lines, text=True))
+
+
+@query(f"WITH {ANCESTRY} SELECT sample FROM picked")
+def ancestry_samples(spark, sf_dir):
+    return ancestry.spread_samples(ancestry_index(spark, sf_dir), ["H1", "H4", "absent"], 12)
+
+
+@query(
+    f"""WITH {ANCESTRY} SELECT contig AS chrom, so AS start, stop, id AS name, '0' AS score, '.' AS strand, so AS thick_start, stop AS thick_end, '1,2,3' AS rgb, concat(sample, '.h', haplotype) AS sample
+    FROM idx WHERE contig = 'chr1' AND sample IN (SELECT sample FROM picked)"""
+)
+def ancestry_rows(spark, sf_dir):
+    index = ancestry_index(spark, sf_dir)
+    rows = fx.segments(spark, sf_dir).select(
+        F.concat(F.lit("s3://b/"), "id", F.when(F.col("rec_no") % 3 == 0, ",x").otherwise("")).alias("location"), naming.pansn_contig(F.col("sn")).alias("chrom"),
+        F.col("so").alias("start"), (F.col("so") + F.col("length")).alias("end"), F.col("id").alias("name"), F.lit("0").alias("score"), F.lit("1,2,3").alias("itemRgb"),
+    )
+    found = ancestry.projected(index, ancestry.spread_samples(index, ["H1", "H4", "absent"], 12), rows, "chr1")
+    return found.withColumnsRenamed({"end": "stop", "thickStart": "thick_start", "thickEnd": "thick_end", "itemRgb": "rgb"})
+
+
 # ---------------------------------------------------------------- labels
 
 VIEW = labels.View(2.0, 1.0, -100.0, 20.0, 1200.0, 160.0)
