@@ -133,6 +133,12 @@ def legible(records: DataFrame) -> bool:
     return 0 < records.limit(MAX_PATH_COLORS + 1).count() <= MAX_PATH_COLORS
 
 
+def path_key(records: DataFrame) -> DataFrame:
+    """The legend of paths that can be told apart by colour; no rows for more than MAX_PATH_COLORS, whose ribbons and key would say nothing."""
+    legend = path_legend(records)
+    return legend if legible(records) else legend.where(F.lit(False))
+
+
 def deletion_labels(deletions: DataFrame) -> DataFrame:
     """Label candidates of deletions, the largest first."""
     return deletions.select("edge_no", format_bp(F.col("bp")).alias("label"), "bp").orderBy(F.desc("bp"), "edge_no")

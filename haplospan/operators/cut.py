@@ -87,8 +87,8 @@ def subgraph(segments: DataFrame, links: DataFrame, ref: str, start: int, end: i
     return known.unionByName(reached), last_copies(found)
 
 
-def check_nodes(segments: DataFrame, limit: int = MAX_NODES) -> None:
-    if segments.limit(limit + 1).count() > limit:
+def check_nodes(nodes: DataFrame, limit: int = MAX_NODES) -> None:
+    if nodes.limit(limit + 1).count() > limit:
         raise ValueError(f"more than {limit} nodes")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.naming import pansn_sample
 from ..storage import cut as checkpoint
 from .alleles import project
+from .cut import MAX_NODES, check_nodes
 from .spans import backbone_span, is_backbone, is_off_reference, neighbours
 
 # Row pitch in pixels, least drawn share of the span, drawn lengths.
@@ -152,8 +153,13 @@ def available_modes(nodes: DataFrame) -> list[str]:
     return [m for m, there in zip(MODES, (has["b"], has["b"] and has["o"], True), strict=True) if there]
 
 
-def lay_out(nodes: DataFrame, edges: DataFrame, mode: str = "force", region: tuple[int, int] | None = None) -> DataFrame:
-    """Dispatch; a mode that is not available, or not known, falls back to the force layout, ``auto`` prefers anchored."""
+def lay_out(nodes: DataFrame, edges: DataFrame, mode: str = "force", region: tuple[int, int] | None = None, limit: int | None = MAX_NODES) -> DataFrame:
+    """Dispatch; a mode that is not available, or not known, falls back to the force layout, ``auto`` prefers anchored.
+
+    A graph of more nodes than the limit is refused before anything is laid out, as no one could read its drawing; None lifts it.
+    """
+    if limit is not None:
+        check_nodes(nodes, limit)
     there = available_modes(nodes)
     if mode == "auto":
         mode = there[0]

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import naming
-from ..operators import alleles, anchor, colors, convert, curves, cut, edges, force, labels, layout, spans, spatial
+from ..operators import alleles, anchor, colors, convert, curves, cut, edges, force, labels, layout, seeds, spans, spatial
 from ..operators.curves import NAMES
 from ..sources import ancestry, beds, gfa
 from . import fixtures as fx
@@ -771,6 +771,29 @@ def offset_lines(spark, sf_dir):
     return moved.select("node_id", *[F.round(F.col("p")[k][c], 6).alias(f"{c}{k}") for k in range(3) for c in "xy"])
 
 
+@query(
+    f"""WITH RECURSIVE {fx.GRAPH},
+    ord AS (SELECT pk, ROW_NUMBER() OVER (ORDER BY pk) AS n, CAST(len AS DOUBLE) AS drawn FROM seg),
+    pairs_once AS (SELECT spk, tpk, MIN(rec_no) AS rec_no FROM lnk GROUP BY spk, tpk),
+    up AS (SELECT b.n, list(a.n ORDER BY p.rec_no) AS ups FROM pairs_once p JOIN ord a ON a.pk = p.spk JOIN ord b ON b.pk = p.tpk GROUP BY b.n),
+    into_n AS (SELECT o.n, o.drawn, COALESCE(u.ups[1] < o.n, FALSE) AS led, COALESCE(list_filter(u.ups, lambda x: x < o.n), []) AS ups FROM ord o LEFT JOIN up u ON u.n = o.n),
+    walked AS (
+        SELECT CAST(0 AS BIGINT) AS n, CAST([] AS DOUBLE[]) AS ends
+        UNION ALL
+        SELECT w.n + 1, list_append(w.ends, drawn + 5 + CASE WHEN len(i.ups) = 0 THEN COALESCE(w.ends[-1], 0) WHEN led THEN list_max(list_transform(i.ups, lambda x: w.ends[x]))
+                                                     ELSE GREATEST(COALESCE(w.ends[-1], 0), list_max(list_transform(i.ups, lambda x: w.ends[x]))) END)
+        FROM walked w JOIN into_n i ON i.n = w.n + 1
+    ),
+    e AS (SELECT UNNEST(ends) AS x1, UNNEST(range(1, len(ends) + 1)) AS n FROM walked WHERE n = (SELECT MAX(n) FROM ord)),
+    s AS (SELECT o.pk, o.n, e.x1 - o.drawn AS x0, e.x1 FROM e JOIN ord o ON o.n = e.n)
+    SELECT concat('s', pk) AS node_id, x0, x1, CAST((ROW_NUMBER() OVER (PARTITION BY x0 ORDER BY n) - 1) * 5 AS DOUBLE) AS y FROM s"""
+)
+def linear_seeds(spark, sf_dir):
+    """Seeds of nodes under the numbers of their parts, drawn as long as they are."""
+    named = fx.nodes(spark, sf_dir).select("node_id", F.col("rec_no").cast("string").alias("name"), F.col("length").alias("drawn"))
+    return seeds.linear_seeds(named, fx.edges(spark, sf_dir), 5.0)
+
+
 # ---------------------------------------------------------------- ancestry
 
 ANCESTRY = fx.SEG + """,
@@ -1013,6 +1036,31 @@ def format_span_bp(spark, sf_dir):
     return fx.nodes(spark, sf_dir).select(F.col("node_id").alias("id"), naming.format_span_bp(bp).alias("label"))
 
 
+@query(f"WITH {LAYOUT} SELECT CAST(LEAST(600, GREATEST(100, MAX(r.row * 20) - MIN(r.row * 20) + 40)) AS DOUBLE) AS height FROM pos p JOIN seg s ON p.id = s.id JOIN ranks r ON r.rank = s.rank")
+def pane_height(spark, sf_dir):
+    bounds = layout.layout_bounds(layout.anchored_layout(fx.nodes(spark, sf_dir), fx.edges(spark, sf_dir)))
+    return layout.pane_height(bounds, 1200, 100, 600, 20, True)
+
+
+@query(
+    f"""WITH {WALK}, ref AS (SELECT name FROM steps WHERE sample = 'C7' ORDER BY phase, rec_no LIMIT 1),
+    v AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY segment ORDER BY CASE WHEN name = (SELECT name FROM ref) THEN 0 ELSE 1 END, phase, rec_no, step_no) AS n FROM walk)
+    SELECT g.id AS node_id, v.name AS sn, CAST(v.spot AS BIGINT) AS so, CASE WHEN v.name IS NULL THEN NULL ELSE CAST(CASE WHEN v.name = (SELECT name FROM ref) THEN 0 ELSE 1 END AS BIGINT) END AS sr
+    FROM seg g LEFT JOIN (SELECT * FROM v WHERE n = 1) v ON v.segment = g.id"""
+)
+def graph_anchoring(spark, sf_dir):
+    """Coordinates chosen for a graph that states none: by the path that the region's assembly names."""
+    bare = fx.nodes(spark, sf_dir).withColumns({"sn": F.lit(None).cast("string"), "so": F.lit(None).cast("long"), "sr": F.lit(None).cast("long"), "samples": F.lit(None).cast("array<string>")})
+    found = anchor.anchor_graph(bare, fx.steps(spark, sf_dir), fx.segments(spark, sf_dir), anchor.preferred_path(None, "C7"))
+    return found.select("node_id", "sn", F.col("so").cast("long").alias("so"), "sr")
+
+
+@query(f"WITH {fx.STEPS}, p AS (SELECT DISTINCT phase, rec_no, name FROM steps) SELECT phase, rec_no, name FROM p WHERE (SELECT COUNT(*) FROM p) BETWEEN 1 AND 16")
+def path_key(spark, sf_dir):
+    """The key of path colours, which so many paths do not get."""
+    return colors.path_key(fx.steps(spark, sf_dir).select("phase", "rec_no", "full_name").distinct()).select("phase", "rec_no", "name")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: alleles of the derived graph."""
     return allele_projection(spark, sf_dir)

@@ -136,3 +136,14 @@ def test_curves(spark):
 def test_empty_tables(spark):
     n, e = nodes_of(spark, []), edges_of(spark, [])
     assert alleles.project(n, e)[0].count() == 0 and spans.reference_spans(n, e).count() == 0 and spans.contributors(n).count() == 0
+
+
+def test_colours_and_layouts_have_their_limits(spark, worked):
+    from haplospan.operators import colors
+
+    records = spark.createDataFrame([(0, k, f"S{k}#1#c") for k in range(17)], "phase int, rec_no long, full_name string")
+    assert colors.path_key(records).count() == 0 and colors.path_key(records.where("rec_no < 16")).count() == 16 and colors.path_key(records.limit(0)).count() == 0
+    n, e = worked
+    with pytest.raises(ValueError, match="more than 5 nodes"):
+        layout.lay_out(n, e, "anchored", limit=5)
+    assert layout.lay_out(n, e, "anchored", limit=6).count() == layout.lay_out(n, e, "auto", limit=None).count() == 6
