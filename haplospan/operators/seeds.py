@@ -9,14 +9,13 @@ from ranges before as columns, and hands on one number.  Memory is that of a ran
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import cut, numbered, shared_dir
+from ..storage import cut, numbered, passing
 
 RANGE = 100_000
 #: Starts are alike if they are in hundredths.
@@ -59,7 +58,7 @@ def linear_seeds(nodes: DataFrame, edges: DataFrame, edge_length: float, size: i
     links = edges.join(a, "from_id").join(b, "to_id").groupBy("number", "up").agg(F.min("edge_no").alias("edge_no"))
     first = F.min("edge_no").over(Window.partitionBy("number"))
     links = cut(links.select("number", "up", F.when(F.col("edge_no") == first, 0).otherwise(1).alias("place")))
-    folder, end = f"{shared_dir(spark)}/seeds-{uuid.uuid4().hex}", 0.0
+    folder, end = passing(spark, "seeds"), 0.0
     schema = "number long, x0 double, x1 double"
     spark.createDataFrame([], schema).write.parquet(folder)
     for low in range(0, order.count(), size):

@@ -8,13 +8,12 @@ Each derived table is written once for a session and folder, as Parquet by place
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..storage import shared_dir
+from ..storage import passing
 
 SEG = """
 seg AS (
@@ -94,7 +93,7 @@ def stored(spark: SparkSession, sf_dir: str, name: str, build: Callable[[], Data
     """The folder of a derived table in the shared folder, written at its first use."""
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in FILES:
-        path = f"{shared_dir(spark)}/graph-{name}-{uuid.uuid4().hex}"
+        path = passing(spark, f"graph-{name}")
         built = build()
         built.write.text(path) if text else built.write.parquet(path)
         FILES[key] = path
@@ -167,10 +166,13 @@ def bed_prefix(spark: SparkSession, sf_dir: str) -> str:
     segs, both = index(spark, sf_dir)
     wide = bubbles(spark, sf_dir).withColumns({"x1": F.lit("-1"), "x2": F.lit("-1"), "x3": F.lit("-1"), "segments": F.lit("s1,s2")})
     at = {name: stored(spark, sf_dir, f"{name}-bed", lambda table=table, schema=schema: bed_rows(table, schema), text=True) for name, table, schema in (("segs", segs, SEGMENTS), ("links", both, LINKS), ("bubbles", wide, BUBBLES))}
-    prefix = f"{shared_dir(spark)}/graph-bed-{uuid.uuid4().hex}"
-    for name, path in at.items():
-        spark.read.text(path).write.text(f"{prefix}.{name}.bed")
-    return prefix
+    key = (spark.sparkContext.applicationId, sf_dir, "bed-prefix")
+    if key not in FILES:
+        folder = passing(spark, "graph-bed")
+        for name, path in at.items():
+            spark.read.text(path).write.text(f"{folder}/graph.{name}.bed")
+        FILES[key] = f"{folder}/graph"
+    return FILES[key]
 
 
 def gfa_file(spark: SparkSession, sf_dir: str) -> str:
