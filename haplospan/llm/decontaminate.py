@@ -333,13 +333,14 @@ class Matcher:
             return []
         at, value, form, width = (np.concatenate(p) for p in zip(*parts, strict=True))
         out, owner, judges = [], -1, {}
-        for k in np.argsort(at, kind="stable").tolist():
-            place, wide = int(at[k]), int(width[k])
-            if (text := int(tokens.owner[place])) != owner:
+        order = np.argsort(at, kind="stable")
+        rows = (x[order].tolist() for x in (tokens.owner[at], at, width, value, form))
+        for text, place, wide, hashed, kind in zip(*rows, strict=True):
+            if text != owner:
                 out += [(owner, item, *found) for item in sorted(judges) if (found := judges[item].verdict())]
                 owner, judges = text, {}
-            here = tokens.slots(place, wide, int(form[k]))
-            for item, start, of_width, of, as_templates, template, values in self.by_hash[int(value[k])]:
+            here = tokens.slots(place, wide, kind)
+            for item, start, of_width, of, as_templates, template, values in self.by_hash[hashed]:
                 if of_width == wide and len(here) == len(values):
                     if item not in judges:
                         judges[item] = Judge(self.reach[item])
