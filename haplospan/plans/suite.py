@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from ..functions import naming
 from ..operators import alleles, anchor, colors, convert, curves, cut, edges, force, labels, layout, seeds, spans, spatial
 from ..operators.curves import NAMES
-from ..sources import ancestry, beds, gfa
+from ..functions.register import register
+from ..sources import ancestry, beds, gfa, gfa_source
+from ..storage import numbered
 from . import fixtures as fx
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1061,6 +1063,44 @@ def path_key(spark, sf_dir):
     return colors.path_key(fx.steps(spark, sf_dir).select("phase", "rec_no", "full_name").distinct()).select("phase", "rec_no", "name")
 
 
+# ---------------------------------------------------------------- the data source, SQL functions
+
+
+@query(SQL["gfa_file_order"])
+def gfa_source_order(spark, sf_dir):
+    """All records through the data source, whose numbers grow in file order, numbered densely."""
+    rows = numbered(gfa_source.lines(spark, fx.gfa_file(spark, sf_dir)).withColumnRenamed("rec_no", "place"), "place", name="rec_no")
+    f = F.split("line", "\t")
+    name = F.when(F.col("record") == "L", F.concat(F.get(f, F.lit(1)), F.lit(">"), F.get(f, F.lit(3)))).when(F.col("record") == "W", F.concat_ws("#", *[F.get(f, F.lit(k)) for k in (1, 2, 3)])).otherwise(naming.origin_name(F.get(f, F.lit(1))))
+    return rows.select("rec_no", F.col("record").alias("kind"), name.alias("name"))
+
+
+@query(SQL["graph_from_files"])
+def graph_from_source(spark, sf_dir):
+    """Nodes with canonical strands from the data source, a scan for each kind of record."""
+    graph = gfa_source.load(spark, fx.gfa_file(spark, sf_dir))
+    return convert.nodes(graph.segments, graph.links, gfa.exploded(gfa.records(graph.paths, graph.walks))).select("node_id", "depth", "length")
+
+
+@query(f"WITH {fx.SEG}, b AS (SELECT *, so * len * 50 AS bp FROM seg) SELECT id, len AS length, sn, split_part(sn, '#', 1) AS sample, CAST(split_part(sn, '#', 2) AS BIGINT) AS haplotype, {format_bp_sql('bp')} AS label FROM b")
+def sql_functions(spark, sf_dir):
+    """Tags, names and labels by the SQL functions of the session, over the data source."""
+    register(spark)
+    gfa_source.lines(spark, fx.gfa_file(spark, sf_dir), records="S").createOrReplaceTempView("gfa_segment_lines")
+    told = "SELECT split(line, '\t')[1] AS id, CAST(gfa_tag(line, 'LN') AS BIGINT) AS length, CAST(gfa_tag(line, 'SO') AS BIGINT) AS so, gfa_tag(line, 'SN') AS sn FROM gfa_segment_lines"
+    return spark.sql(f"SELECT id, length, sn, pansn_sample(sn) AS sample, pansn_haplotype(sn) AS haplotype, format_bp(so * length * 50) AS label FROM ({told})")
+
+
+@query(f"WITH {fx.STEPS} SELECT phase, name, step_no, segment, strand FROM steps")
+def sql_steps(spark, sf_dir):
+    """Steps of P and W records by the SQL functions of the session."""
+    register(spark)
+    gfa_source.lines(spark, fx.gfa_file(spark, sf_dir), records="P,W").createOrReplaceTempView("gfa_step_lines")
+    told = "SELECT record, split(line, '\t') AS f FROM gfa_step_lines"
+    both = f"SELECT 0 AS phase, path_origin_name(get(f, 1)) AS name, gfa_path(get(f, 2)) AS steps FROM ({told}) WHERE record = 'P' UNION ALL SELECT 1, concat_ws('#', get(f, 1), get(f, 2), get(f, 3)), gfa_walk(get(f, 6)) FROM ({told}) WHERE record = 'W'"
+    return spark.sql(f"SELECT phase, name, CAST(pos AS BIGINT) AS step_no, col.segment AS segment, col.strand AS strand FROM ({both}) LATERAL VIEW posexplode(steps) AS pos, col")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: alleles of the derived graph."""
     return allele_projection(spark, sf_dir)
