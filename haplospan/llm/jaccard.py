@@ -5,7 +5,8 @@ equal sets are one node.  Two sets of n and m shingles with Jaccard similarity o
 so for any l the first n - ceil(3n/4) + l shingles of the one and the first m - ceil(3m/4) + l of the other have about
 l in common: a longer prefix, but more matches.
 
-1. Prefixes with l = n/4 are dealt to buckets of shingles, each of which counts how many sets hold a shingle.
+1. Prefixes with l = n/4 are dealt to buckets of shingles, each of which counts how many sets hold a shingle.  A bucket of several times its share (it holds shingles of
+   very many sets) is dealt to parts by set: the parts count, slices of the bucket's shingles add the counts, and every part gets the sums back.
 2. A node survives if enough of its prefix is shared with anyone; the rest cannot have a link.
 3. A survivor orders its shared prefix by count, rare first, and keeps r - need + j of the r for which it needs j
    matches with a partner.  j is chosen for the least estimated cost: the sum of the counts kept, over j.
@@ -128,7 +129,9 @@ def described(docs: DataFrame) -> DataFrame:
     return written(with_hash(docs).mapInArrow(_describe, "doc_id long, text_hash long, n long, node long"), "sets")
 
 
-POSTINGS = "bucket int, prints binary, which binary, nodes binary, sizes binary"
+#: A bucket of more than so many times its share is dealt to parts.
+HEAVY = 4
+POSTINGS = "bucket int, held long, prints binary, which binary, nodes binary, sizes binary"
 
 
 def post(buckets: int):
@@ -142,14 +145,14 @@ def post(buckets: int):
         flat, which, bucket = flat[order], which[order], bucket[order]
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1))
         node_of_doc, size_of_doc = np.array(nodes, dtype="<i8"), np.array(sizes, dtype="<u4")
-        rows: list[list] = [[], [], [], [], []]
+        rows: list[list] = [[], [], [], [], [], []]
         for a, b in zip(cuts, [*cuts[1:], len(flat)], strict=True):
             local = np.diff(which[a:b], prepend=-1) != 0
             docs = which[a:b][local]
-            for to, value in zip(rows, (int(bucket[a]), (flat[a:b] >> np.uint64(20)).astype("<u4").tobytes(), (np.cumsum(local) - 1).astype("<u2").tobytes(), node_of_doc[docs].tobytes(), size_of_doc[docs].tobytes()), strict=True):
+            for to, value in zip(rows, (int(bucket[a]), int(b - a), (flat[a:b] >> np.uint64(20)).astype("<u4").tobytes(), (np.cumsum(local) - 1).astype("<u2").tobytes(), node_of_doc[docs].tobytes(), size_of_doc[docs].tobytes()), strict=True):
                 to.append(value)
-        kinds = [pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], ["bucket", "prints", "which", "nodes", "sizes"])
+        kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array(r, k) for r, k in zip(rows, kinds, strict=True)], ["bucket", "held", "prints", "which", "nodes", "sizes"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -179,48 +182,150 @@ def post(buckets: int):
 SHARED = "home int, bucket int, prints binary, nodes binary, sizes binary, counts binary"
 
 
+def unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """bucket, parts (1 where the rows name none), prints, nodes and sizes of the rows of postings."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            at = np.frombuffer(row["which"], "<u2")
+            yield row["bucket"], row.get("parts", 1), np.frombuffer(row["prints"], "<u4"), np.frombuffer(row["nodes"], "<i8")[at], np.frombuffer(row["sizes"], "<u4")[at]
+
+
+def each_once(prints: np.ndarray, nodes: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Postings in order of prints and nodes, each once (a set may come from several tasks), and where a print begins."""
+    order = np.lexsort((nodes, prints))
+    prints, nodes, sizes = prints[order], nodes[order], sizes[order]
+    new = np.diff(prints.astype(np.int64), prepend=-1) != 0
+    first = new | (np.diff(nodes, prepend=0) != 0)
+    return prints[first], nodes[first], sizes[first], new[first]
+
+
+def homeward(bucket: int, prints: np.ndarray, nodes: np.ndarray, sizes: np.ndarray, count: np.ndarray, homes: int) -> pa.RecordBatch | None:
+    """Postings of shingles that two or more sets hold, by the homes of the sets."""
+    keep = count > 1
+    prints, nodes, sizes, count = prints[keep], nodes[keep], sizes[keep], count[keep]
+    if not len(prints):
+        return None
+    home = (nodes.view(np.uint64) % np.uint64(homes)).astype(np.int32)
+    order = np.argsort(home, kind="stable")
+    prints, nodes, sizes, count, home = prints[order], nodes[order], sizes[order], count[order], home[order]
+    cuts = np.flatnonzero(np.diff(home, prepend=-1))
+    parts = list(zip(cuts, [*cuts[1:], len(home)], strict=True))
+    columns = [
+        pa.array([int(home[a]) for a, _ in parts], pa.int32()),
+        pa.array([bucket] * len(parts), pa.int32()),
+        pa.array([prints[a:b].tobytes() for a, b in parts], pa.binary()),
+        pa.array([nodes[a:b].tobytes() for a, b in parts], pa.binary()),
+        pa.array([sizes[a:b].tobytes() for a, b in parts], pa.binary()),
+        pa.array([count[a:b].astype("<u4").tobytes() for a, b in parts], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(columns, ["home", "bucket", "prints", "nodes", "sizes", "counts"])
+
+
 def count_shared(homes: int):
     """For each bucket, the shingles that two or more sets hold, sent to the homes of those sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, list] = {}
-        for batch in batches:
-            for k in range(batch.num_rows):
-                bucket, prints, which, nodes, sizes = (batch.column(c)[k].as_py() for c in range(5))
-                at = np.frombuffer(which, "<u2")
-                found.setdefault(bucket, []).append((np.frombuffer(prints, "<u4"), np.frombuffer(nodes, "<i8")[at], np.frombuffer(sizes, "<u4")[at]))
+        for bucket, _, *postings in unpacked(batches):
+            found.setdefault(bucket, []).append(postings)
         for bucket in list(found):
-            prints, nodes, sizes = (np.concatenate(x) for x in zip(*found.pop(bucket), strict=True))
-            order = np.lexsort((nodes, prints))
-            prints, nodes, sizes = prints[order], nodes[order], sizes[order]
-            new = np.diff(prints.astype(np.int64), prepend=-1) != 0
-            first = new | (np.diff(nodes, prepend=0) != 0)  # a set may come from several tasks
-            prints, nodes, sizes, new = prints[first], nodes[first], sizes[first], new[first]
+            prints, nodes, sizes, new = each_once(*(np.concatenate(x) for x in zip(*found.pop(bucket), strict=True)))
             run_no = np.cumsum(new) - 1
-            count = np.bincount(run_no)[run_no]
-            keep = count > 1
-            prints, nodes, sizes, count = prints[keep], nodes[keep], sizes[keep], count[keep]
-            if not len(prints):
+            if (out := homeward(bucket, prints, nodes, sizes, np.bincount(run_no)[run_no] if len(run_no) else run_no, homes)) is not None:
+                yield out
+        release_memory()
+
+    return run
+
+
+# a bucket in parts: rows of postings (with nodes) and of sums (with counts) have one form
+PART = "bucket int, part int, parts int, prints binary, nodes binary, sizes binary, counts binary"
+PART_NAMES = ["bucket", "part", "parts", "prints", "nodes", "sizes", "counts"]
+PART_KINDS = [pa.int32()] * 3 + [pa.binary()] * 4
+
+
+def part_rows(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), PART_KINDS, strict=True)], PART_NAMES)
+
+
+def deal_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Postings of heavy buckets by part: all postings of one set in a bucket go to one part, whatever task they come from."""
+    for bucket, parts, prints, nodes, sizes in unpacked(batches):
+        part = ((nodes.view(np.uint64) >> np.uint64(17)) % np.uint64(parts)).astype(np.int64)
+        rows = [(bucket, int(p), parts, prints[m].tobytes(), nodes[m].tobytes(), sizes[m].tobytes(), None) for p in np.unique(part) for m in (part == p,)]
+        if rows:
+            yield part_rows(rows)
+
+
+def by_part(batches: Iterator[pa.RecordBatch]) -> dict[tuple[int, int, int], tuple[list, list]]:
+    """Rows of postings and of counts of each (bucket, part, parts)."""
+    found: dict[tuple[int, int, int], tuple[list, list]] = {}
+    for batch in batches:
+        for r in batch.to_pylist():
+            of = found.setdefault((r["bucket"], r["part"], r["parts"]), ([], []))
+            prints = np.frombuffer(r["prints"], "<u4")
+            if r["counts"] is None:
+                of[0].append((prints, np.frombuffer(r["nodes"], "<i8"), np.frombuffer(r["sizes"], "<u4")))
+            else:
+                of[1].append((prints, np.frombuffer(r["counts"], "<u4")))
+    return found
+
+
+def count_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many sets of a part hold each shingle, by slices of the shingles (in the column part)."""
+    for (bucket, _, parts), (postings, _) in by_part(batches).items():
+        prints, _, _, new = each_once(*(np.concatenate(x) for x in zip(*postings, strict=True)))
+        counts = np.diff(np.append(np.flatnonzero(new), len(prints))).astype("<u4")
+        prints = prints[new]
+        slices = prints % np.uint32(parts)
+        yield part_rows([(bucket, int(s), parts, prints[m].tobytes(), None, None, counts[m].tobytes()) for s in np.unique(slices) for m in (slices == s,)])
+    release_memory()
+
+
+def add_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sums over all parts of the shingles of a slice that two or more sets hold."""
+    for (bucket, slice_no, parts), (_, counted) in by_part(batches).items():
+        prints, code = np.unique(np.concatenate([p for p, _ in counted]), return_inverse=True)
+        sums = np.bincount(code, weights=np.concatenate([c for _, c in counted])).astype("<u4")
+        keep = sums > 1
+        if keep.any():
+            yield part_rows([(bucket, slice_no, parts, prints[keep].tobytes(), None, None, sums[keep].tobytes())])
+    release_memory()
+
+
+def part_home(homes: int):
+    """The postings of a part with the sums over all parts, sent to the homes of the sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (bucket, _, _), (postings, counted) in by_part(batches).items():
+            if not postings or not counted:
                 continue
-            home = (nodes.view(np.uint64) % np.uint64(homes)).astype(np.int32)
-            order = np.argsort(home, kind="stable")
-            prints, nodes, sizes, count, home = prints[order], nodes[order], sizes[order], count[order], home[order]
-            cuts = np.flatnonzero(np.diff(home, prepend=-1))
-            parts = list(zip(cuts, [*cuts[1:], len(home)], strict=True))
-            columns = [
-                pa.array([int(home[a]) for a, _ in parts], pa.int32()),
-                pa.array([bucket] * len(parts), pa.int32()),
-                pa.array([prints[a:b].tobytes() for a, b in parts], pa.binary()),
-                pa.array([nodes[a:b].tobytes() for a, b in parts], pa.binary()),
-                pa.array([sizes[a:b].tobytes() for a, b in parts], pa.binary()),
-                pa.array([count[a:b].astype("<u4").tobytes() for a, b in parts], pa.binary()),
-            ]
-            yield pa.RecordBatch.from_arrays(columns, ["home", "bucket", "prints", "nodes", "sizes", "counts"])
+            prints, nodes, sizes, _ = each_once(*(np.concatenate(x) for x in zip(*postings, strict=True)))
+            known, sums = (np.concatenate(x) for x in zip(*counted, strict=True))
+            order = np.argsort(known)
+            known, sums = known[order], sums[order]
+            at = np.minimum(np.searchsorted(known, prints), len(known) - 1)
+            if (out := homeward(bucket, prints, nodes, sizes, np.where(known[at] == prints, sums[at], 1), homes)) is not None:
+                yield out
         release_memory()
 
     return run
 
 
+def shared_shingles(postings: DataFrame, share: int, buckets: int) -> DataFrame:
+    """Rows of SHARED from written postings; share: what a bucket should hold."""
+    sizes = postings.groupBy("bucket").agg(F.sum("held").alias("_held")).where(F.col("_held") > HEAVY * share)
+    heavy = written(sizes.select("bucket", F.ceil(F.col("_held") / share).cast("int").alias("parts")), "heavy")
+    if heavy.isEmpty():
+        return postings.repartition(buckets, "bucket").mapInArrow(count_shared(buckets), SHARED)
+    light = postings.join(heavy, "bucket", "left_anti").repartition(buckets, "bucket").mapInArrow(count_shared(buckets), SHARED)
+    dealt = postings.join(heavy, "bucket").mapInArrow(deal_parts, PART)
+    counted = dealt.repartition(buckets, "bucket", "part").mapInArrow(count_part, PART)
+    sums = counted.repartition(buckets, "bucket", "part").mapInArrow(add_counts, PART)
+    back = sums.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return light.union(dealt.union(back).repartition(buckets, "bucket", "part").mapInArrow(part_home(buckets), SHARED))
+
+
 SURVIVORS = "node long, n long, anchor long, class long, j long, kept array<long>"
 
 
@@ -362,9 +467,10 @@ def node_links(docs: DataFrame, info: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     shingles_in_all = info.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 2  # prefixes are about half of the sets
     buckets = max(partitions(spark), -(-shingles_in_all // BUCKET_SHINGLES))
-    postings = with_hash(docs).select("text").mapInArrow(post(buckets), POSTINGS).repartition(buckets, "bucket")
-    shared = postings.mapInArrow(count_shared(buckets), SHARED).repartition(buckets, "home")
+    postings = written(with_hash(docs).select("text").mapInArrow(post(buckets), POSTINGS), "postings")
+    shared = shared_shingles(postings, max(1, shingles_in_all // buckets), buckets).repartition(buckets, "home")
     alone = written(shared.mapInArrow(survive, SURVIVORS), "survivors")
+    discard(postings)
     survivors = written(with_blocks(alone), "blocks")
     pairs = written(meetings(survivors), "meetings")
     # the whole sets of the survivors that meet anyone, from one document of each

@@ -244,6 +244,36 @@ def test_jaccard_small_blocks_lose_nothing(spark, monkeypatch):
     assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got) == plain_classes(rows)
 
 
+def with_passage(rng, n):
+    """Texts of which many hold one passage, some twice in the table."""
+    passage = " ".join(f"p{k}" for k in range(40))
+    rows = [(k, " ".join(f"w{rng.randrange(5000)}" for _ in range(rng.randrange(5, 40))) + (" " + passage if k % 3 else "")) for k in range(n)]
+    return rows + [(n + k, rows[k][1]) for k in range(0, n, 7)]
+
+
+def test_jaccard_deals_heavy_buckets_to_parts(spark, monkeypatch):
+    rows = near_copies(random.Random(5), 120) + [(1000 + k, t) for k, t in with_passage(random.Random(6), 150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    postings = jaccard.written(jaccard.with_hash(docs).select("text").mapInArrow(jaccard.post(4), jaccard.POSTINGS), "postings")
+
+    def expanded(shared):
+        return sorted(
+            (r["bucket"], int(p), int(n), int(s), int(c), r["home"])
+            for r in shared.collect()
+            for p, n, s, c in zip(*(np.frombuffer(r[name], kind) for name, kind in (("prints", "<u4"), ("nodes", "<i8"), ("sizes", "<u4"), ("counts", "<u4"))), strict=True)
+        )
+
+    whole = jaccard.shared_shingles
+    light = expanded(whole(postings, 1 << 40, 4))
+    held = postings.groupBy("bucket").agg(F.sum("held").alias("n")).agg(F.min("n"), F.max("n")).first()
+    monkeypatch.setattr(jaccard, "HEAVY", 1)
+    some = held[1] - 1  # the largest bucket alone, or all, in few or many parts
+    assert light and all(expanded(whole(postings, share, 4)) == light for share in (some, held[0] // 3, 25))
+    monkeypatch.setattr(jaccard, "shared_shingles", lambda p, _, buckets: whole(p, 40, buckets))
+    got = jaccard.jaccard_classes(docs).collect()
+    assert sorted((r["doc_id"], r["n_shingles"], r["component_id"], r["n_links"]) for r in got) == plain_classes(rows)
+
+
 def test_prefix_bounds():
     for n in range(1, 1200):
         m = np.arange(-(-3 * n // 4), 4 * n // 3 + 1)
