@@ -87,6 +87,39 @@ WITH v AS (
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
 """
 
+OP9_SQL = r"""
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), u AS (
+    SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS spot FROM w
+), five AS (
+    SELECT doc_id, spot, word, lead(word, 1) OVER x AS w2, lead(word, 2) OVER x AS w3, lead(word, 3) OVER x AS w4, lead(word, 4) OVER x AS w5 FROM u WINDOW x AS (PARTITION BY doc_id ORDER BY spot)
+), s AS (
+    SELECT DISTINCT doc_id, concat_ws(' ', word, w2, w3, w4, w5) AS shingle FROM five WHERE w5 IS NOT NULL OR spot = 1
+), sets AS (
+    SELECT doc_id, COUNT(*) AS n, md5(string_agg(shingle, chr(10) ORDER BY shingle)) AS same FROM s GROUP BY doc_id
+), node AS (
+    SELECT same, MIN(doc_id) AS node, COUNT(*) AS copies, MIN(n) AS n FROM sets GROUP BY same
+), t AS (
+    SELECT node.node, node.n, s.shingle FROM node JOIN s ON s.doc_id = node.node
+), met AS (
+    SELECT a.node AS u, b.node AS v, a.n AS nu, b.n AS nv, COUNT(*) AS shared
+    FROM t a JOIN t b ON a.shingle = b.shingle AND a.node < b.node AND 4 * a.n >= 3 * b.n AND 4 * b.n >= 3 * a.n GROUP BY ALL
+), half AS (
+    SELECT u, v FROM met WHERE 100 * shared >= 75 * (nu + nv - shared)
+), link AS (
+    SELECT u, v FROM half UNION ALL SELECT v, u FROM half
+), reach AS (
+    SELECT node AS u, node AS root FROM node UNION SELECT l.v, r.root FROM reach r JOIN link l ON l.u = r.u
+), class AS (
+    SELECT u, MIN(root) AS root FROM reach GROUP BY u
+), others AS (
+    SELECT l.u, SUM(m.copies) AS links FROM link l JOIN node m ON m.node = l.v GROUP BY l.u
+)
+SELECT d.doc_id, CAST(coalesce(e.n, 0) AS BIGINT) AS n_shingles, coalesce(c.root, d.doc_id) AS component_id, CAST(coalesce(k.copies - 1 + coalesce(o.links, 0), 0) AS BIGINT) AS n_links
+FROM documents d LEFT JOIN sets e ON e.doc_id = d.doc_id LEFT JOIN node k ON k.same = e.same LEFT JOIN class c ON c.u = k.node LEFT JOIN others o ON o.u = k.node
+"""
+
 OP11_SQL = """
 WITH d AS (
     SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
@@ -203,4 +236,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_exact_top_k": OP8_SQL, "op11_fill_in_middle": OP11_SQL, "op12_sort_means": op12_sql(), "op13_mixing": OP13_SQL}
+    return {"op8_exact_top_k": OP8_SQL, "op9_ngram_jaccard": OP9_SQL, "op11_fill_in_middle": OP11_SQL, "op12_sort_means": op12_sql(), "op13_mixing": OP13_SQL}

@@ -15,7 +15,7 @@ from haplospan.llm import fim, mixing, queries, sortmeans
 SF = "/root/testdata/sf0.001"
 
 
-@pytest.mark.parametrize("name", ["op11_fill_in_middle", "op12_sort_means", "op13_mixing"])
+@pytest.mark.parametrize("name", ["op9_ngram_jaccard", "op11_fill_in_middle", "op12_sort_means", "op13_mixing"])
 def test_sql(spark, name):
     con = duckdb.connect()
     for t in ("documents", "embeddings", "labels"):
