@@ -206,6 +206,43 @@ def gfa_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept(spark, sf_dir, "gfa-text", lambda: derived_text(spark, sf_dir).repartitionByRange("rec_no").sortWithinPartitions("rec_no"))
 
 
+#: Length and depth tag (null without one that counts) of the segments of `odd_files`.
+ODD = GRAPH + "," + STEPS + """,
+odd AS (
+    SELECT pk, id, CASE WHEN pk % 14 = 0 THEN 0 ELSE len END AS len,
+           CASE WHEN pk % 2 = 1 THEN CASE WHEN pk % 3 = 0 THEN 3.0::DOUBLE END WHEN pk % 5 = 0 THEN len + 0.5::DOUBLE WHEN pk % 5 = 1 THEN len WHEN pk % 5 = 3 THEN 2.0::DOUBLE END AS tagged
+    FROM seg
+),
+claims AS (
+    SELECT 0 AS p, pk AS rec_no, 0 AS spot, id AS segment, '-' AS strand FROM seg WHERE pk % 20 = 0 UNION ALL SELECT 0, pk, 1, concat('x', pk), '+' FROM seg WHERE pk % 20 = 0
+    UNION ALL SELECT 1, rec_no, 0, source, source_strand FROM lnk UNION ALL SELECT 1, rec_no, 1, target, target_strand FROM lnk UNION ALL SELECT 2, rec_no, step_no, segment, strand FROM psteps
+),
+canon AS (SELECT segment, strand FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY segment ORDER BY p, rec_no, spot) AS n FROM claims) c WHERE n = 1)"""
+
+
+def odd_files(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Three folders of GFA text of unlike sizes: ids that come again later and links to segments that no record declares; segments of both
+    versions, of length 0, with depth tags of every kind; edges of the second version and paths."""
+    seg = rows(spark, sf_dir, SEG, "SELECT pk, id, len FROM seg")
+    pk, size = F.col("pk"), F.col("len").cast("string")
+
+    def ordered(lines: DataFrame, *by: str) -> DataFrame:
+        return lines.repartitionByRange(*by).sortWithinPartitions(*by).select("line")
+
+    again = seg.where("pk % 10 = 0").select(pk, F.lit(1).alias("at"), F.concat_ws("\t", F.lit("S"), "id", F.lit("*"), F.lit("LN:i:9999")).alias("line"))
+    loose = seg.where("pk % 20 = 0").select(pk, F.lit(2).alias("at"), F.concat_ws("\t", F.lit("L"), "id", F.lit("-"), F.concat(F.lit("x"), pk.cast("string")), F.lit("+"), F.lit("0M")).alias("line"))
+    depth = F.when(pk % 5 == 0, F.concat(F.lit("dp:f:"), size, F.lit(".5"))).when(pk % 5 == 1, F.concat(F.lit("RC:i:"), size)).when(pk % 5 == 2, F.lit("FC:i:0")).when(pk % 5 == 3, F.lit("KC:i:7\tdp:f:2"))
+    one = F.concat_ws("\t", F.lit("S"), "id", F.lit("*"), F.concat(F.lit("LN:i:"), F.when(pk % 14 == 0, "0").otherwise(size)), depth)
+    two = F.concat_ws("\t", F.lit("S"), "id", size, F.lit("*"), F.when(pk % 3 == 0, F.lit("RC:i:3")))
+    edge = links(spark, sf_dir).select(F.lit(0).alias("at"), "rec_no", F.concat_ws("\t", F.lit("E"), F.lit("*"), F.concat("source", "source_strand"), F.concat("target", "target_strand"), F.lit("0"), F.lit("1"), F.lit("0"), F.lit("1"), F.lit("*")).alias("line"))
+    path = gfa_text(spark, sf_dir).where(F.startswith("line", F.lit("P"))).select(F.lit(1).alias("at"), "rec_no", "line")
+    return [
+        stored(spark, sf_dir, "odd-a", lambda: ordered(again.union(loose), "pk", "at"), text=True),
+        stored(spark, sf_dir, "odd-b", lambda: ordered(seg.select(pk, F.when(pk % 2 == 1, two).otherwise(one).alias("line")), "pk"), text=True),
+        stored(spark, sf_dir, "odd-c", lambda: ordered(edge.union(path), "at", "rec_no"), text=True),
+    ]
+
+
 #: Records of one type lie between multiples of this number.
 BAND = 1 << 58
 

@@ -1101,6 +1101,45 @@ def sql_steps(spark, sf_dir):
     return spark.sql(f"SELECT phase, name, CAST(pos AS BIGINT) AS step_no, col.segment AS segment, col.strand AS strand FROM ({both}) LATERAL VIEW posexplode(steps) AS pos, col")
 
 
+# ---------------------------------------------------------------- files of several versions, with ids that come again
+
+
+def odd_graph(spark, sf_dir):
+    graph = gfa.load(spark, fx.odd_files(spark, sf_dir))
+    return graph, gfa.exploded(gfa.records(graph.paths, graph.walks))
+
+
+@query(
+    f"""WITH {fx.ODD}, t AS (SELECT segment, COUNT(*) AS n FROM psteps GROUP BY segment), r AS (SELECT id, len, tagged FROM odd UNION ALL SELECT id, 9999, NULL FROM seg WHERE pk % 10 = 0)
+    SELECT concat(r.id, COALESCE(c.strand, '+')) AS node_id, CAST(r.len AS BIGINT) AS length, CAST(COALESCE(r.tagged, GREATEST(COALESCE(t.n, 1), 1)) AS DOUBLE) AS depth
+    FROM r LEFT JOIN canon c ON r.id = c.segment LEFT JOIN t ON r.id = t.segment"""
+)
+def odd_nodes(spark, sf_dir):
+    """Nodes of records of both versions with depth tags, one for each record."""
+    graph, steps = odd_graph(spark, sf_dir)
+    return convert.nodes(graph.segments, graph.links, steps).select("node_id", "length", "depth")
+
+
+@query(
+    f"""WITH {fx.ODD}, e AS (SELECT 0 AS f, pk AS n, id AS source, concat('x', pk) AS target FROM seg WHERE pk % 20 = 0 UNION ALL SELECT 1, rec_no, source, target FROM lnk)
+    SELECT CAST(ROW_NUMBER() OVER (ORDER BY f, n) AS BIGINT) AS place, concat(e.source, a.strand) AS from_id, concat(e.target, b.strand) AS to_id FROM e JOIN canon a ON e.source = a.segment JOIN canon b ON e.target = b.segment"""
+)
+def odd_edges(spark, sf_dir):
+    """Edges in file order, from links of the first version to undeclared segments and edges of the second."""
+    graph, steps = odd_graph(spark, sf_dir)
+    made = convert.edges(graph.links, convert.canonical_strands(graph.links, steps), steps)
+    return numbered(made, "edge_no", name="place").select((F.col("place") + 1).cast("long").alias("place"), "from_id", "to_id")
+
+
+@query(f"WITH {fx.ODD} SELECT n.name, n.start, CAST(SUM(o.len) AS BIGINT) AS length, COUNT(*) AS steps FROM psteps p JOIN pname n ON p.rec_no = n.rec_no JOIN odd o ON p.segment = o.id GROUP BY p.rec_no, n.name, n.start")
+def odd_path_lengths(spark, sf_dir):
+    """Paths over segments of which the last of equal ids counts."""
+    graph, steps = odd_graph(spark, sf_dir)
+    walked = anchor.visits(steps, graph.segments)
+    lengths = walked.groupBy("phase", "rec_no").agg(F.count(F.lit(1)).alias("steps"))
+    return anchor.origins(steps, graph.segments).join(lengths, ["phase", "rec_no"]).select("name", "start", "length", "steps")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: alleles of the derived graph."""
     return allele_projection(spark, sf_dir)
