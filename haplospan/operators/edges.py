@@ -9,9 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import cut, partitions
 from .curves import NAMES, SAMPLES, bounds, curve, moved, point
-from .spatial import met
 
 # Reach of control points, clearance of arcs, size of loops, distance of ribbons, radius of a hit, cell without any box.
 TANGENT_SHARE, MOST_TANGENT = 0.5, 80.0
@@ -199,20 +197,23 @@ def edges_in_view(curves: DataFrame, min_x: float, min_y: float, max_x: float, m
 def nearest_edges(points: DataFrame, curves: DataFrame, scale_x: float = 1.0, scale_y: float = 1.0, radius: float = EDGE_RADIUS) -> DataFrame:
     """points: point_id, px, py.  point_id, edge_no and distance of the nearest edge within the radius (pixels, not on it), the least number on ties.
 
-    curves: edge_no, curves, also the ribbons' (several rows of one edge).  Points and boxes meet by the cells of a grid of levels, whose
-    first has the mean size of a box; numbers alone go through the cells, curves are joined to the pairs that meet.
+    curves: edge_no, curves, also the ribbons' (several rows of one edge).  The distance is that of the nearest sample of a curve, so samples meet points
+    by the cells of a grid as wide as the radius, of which a point asks nine: work grows with curves and points, however far curves reach.  Of samples on one spot
+    the least number stands for all.
     """
     ratio, reach = scale_y / scale_x, radius / scale_x
-    curves = cut(curves)  # read by the size of cells, the levels, the cells and the distances
-    boxes = curve_boxes(curves)
-    size = cell_size(boxes).first()
-    wider = {f"{side}_{axis}": F.col(f"{side}_{axis}") + sign * by for side, sign in (("min", -1), ("max", 1)) for axis, by in (("x", reach), ("y", reach / ratio))}
-    pairs = met(points.select("point_id", "px", "py"), boxes.select("edge_no", *[c.alias(n) for n, c in wider.items()]), size["cell_x"], size["cell_y"])
-    pairs = pairs.select("point_id", "px", "py", "edge_no").distinct().repartition(partitions(points.sparkSession), "point_id")  # few bytes, but work
-    each = pairs.join(curves, "edge_no").select("point_id", "edge_no", "px", (F.col("py") * ratio).alias("py"), F.explode("curves").alias("c"))
-    sample = F.explode(F.sequence(F.lit(0), F.lit(SAMPLES))).alias("k")
-    at = point(stretched(F.col("c"), ratio), F.col("k") / float(SAMPLES))
-    away = each.select("point_id", "edge_no", "px", "py", "c", sample).select("point_id", "edge_no", F.hypot(at["x"] - F.col("px"), at["y"] - F.col("py")).alias("distance"))
-    near = away.groupBy("point_id", "edge_no").agg(F.min("distance").alias("distance")).where(F.col("distance") < reach)
+    side = reach * (1 + 1e-6)  # wider than what is asked by more than rounding
+
+    def cell(c: str) -> Column:
+        return F.floor(F.col(c) / side)
+
+    each = curves.select("edge_no", F.explode("curves").alias("c")).select("edge_no", stretched(F.col("c"), ratio).alias("c"))
+    each = each.select("edge_no", "c", F.explode(F.sequence(F.lit(0), F.lit(SAMPLES))).alias("k"))
+    spots = each.select("edge_no", point(F.col("c"), F.col("k") / float(SAMPLES)).alias("at")).select("edge_no", "at.x", "at.y").withColumns({"cx": cell("x"), "cy": cell("y")})
+    spots = spots.repartition("cx", "cy").groupBy("cx", "cy", "x", "y").agg(F.min("edge_no").alias("edge_no"))  # dealt once, as the join needs them
+    asking = points.select("point_id", "px", (F.col("py") * ratio).alias("py"))
+    for axis in "xy":
+        asking = asking.withColumn(f"c{axis}", F.explode(F.sequence(cell(f"p{axis}") - 1, cell(f"p{axis}") + 1)))
+    near = spots.join(asking.hint("merge"), ["cx", "cy"]).select("point_id", "edge_no", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")).alias("distance"))
     best = F.min(F.struct("distance", "edge_no")).alias("b")
-    return near.groupBy("point_id").agg(best).select("point_id", "b.edge_no", "b.distance")
+    return near.where(F.col("distance") < reach).groupBy("point_id").agg(best).select("point_id", "b.edge_no", "b.distance")

@@ -76,6 +76,19 @@ def test_nearest_edge_is_that_of_all_pairs(spark):
             assert math.isclose(got[i][1], best[1], abs_tol=1e-9)
 
 
+def test_long_curves_meet_no_points_far_from_them(spark, capsys):
+    """Each box holds all points, and hardly any sample is near one."""
+    n = 300
+    drawn = spark.range(n).selectExpr("concat('a', id) AS node_id", "array(named_struct('x', -1e6 - id * 40, 'y', 0.0), named_struct('x', -1e6 - id * 40 + 1, 'y', 0.0)) AS points").unionByName(
+        spark.range(n).selectExpr("concat('b', id) AS node_id", "array(named_struct('x', 1e6 + id * 40, 'y', 100.0), named_struct('x', 1e6 + id * 40 + 1, 'y', 100.0)) AS points"))
+    curves = edges.edge_curves(spark.range(n).selectExpr("id AS edge_no", "concat('a', id) AS from_id", "concat('b', id) AS to_id"), drawn)
+    points = spark.range(n).selectExpr("id AS point_id", "id * 7.0 AS px", "50.0 AS py").unionByName(spark.createDataFrame([(n, -1e6 - 79.0, 3.0), (n + 1, 1e6, 100.0)], "point_id long, px double, py double"))
+    found = edges.nearest_edges(points, curves)
+    assert sorted((r["point_id"], r["edge_no"]) for r in found.where("point_id >= 300").collect()) == [(n, 2), (n + 1, 0)]
+    found.explain("formatted")
+    assert "min_x" not in capsys.readouterr().out  # no pairs of points and boxes
+
+
 def test_cells(spark):
     schema = "min_x double, min_y double, max_x double, max_y double"
     assert tuple(edges.cell_size(spark.createDataFrame([], schema)).first()) == (50.0, 50.0)
