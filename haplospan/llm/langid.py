@@ -11,7 +11,8 @@ transitions are learned as well.  Prediction reads whole texts and nothing but t
 
 A model for filtering has one state more, for words of no language: it learns it from words of the sample whose letters are
 dealt out anew.  A document goes if that state takes more than half of its words on the mean, however the rest is
-shared among languages, or if it has no letter; where no language could be learned, all documents with letters stay.
+shared among languages, and its letters look unlike any language, or if it has no letter; where no language could be learned, all documents
+with letters stay.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0, as is every text if nothing could be
 learned; repeated rows give repeated rows; a null id is kept and never trained on; an empty table gives no rows; other columns
@@ -382,26 +383,30 @@ def doubtful(text: str) -> bool:
     return len(set(found)) > ONCE * len(found)
 
 
+def identified(scorer: Scorer, texts: list[str | None]) -> np.ndarray:
+    """Whether each text has letters and is not one that the model holds for no language and that is doubtful as well."""
+    keep = np.array([bool(t and letters().search(t)) for t in texts], dtype=bool)
+    if OTHER in scorer.model.languages:
+        other = scorer.model.languages.index(OTHER)
+        for some, sizes, found in scorer.chunks(texts):
+            share = np.add.reduceat(found[:, other], np.cumsum(sizes) - sizes) / np.array(sizes)
+            for k in np.array(some)[share > 0.5].tolist():
+                keep[k] &= not doubtful(texts[k])
+    return keep
+
+
 def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows and columns of docs with letters, without those that are doubtful and of which words of no language take more than half.
+    """The rows and columns of docs with letters, without those of which words of no language take more than half and that are doubtful.
 
-    Doubt rests on letters alone, so texts of languages that the model has never met stay; the model then decides what is doubtful.
-    Without a state for no language in the model, all rows with letters stay.
+    The model reads every text with letters.  What it holds for no language is checked by its letters alone, so texts of languages that the model
+    has never met stay.  Without a state for no language in the model, all rows with letters stay.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
             for part in slices_of(batch):
-                texts = part.column("text").to_pylist()
-                keep = np.array([bool(t and letters().search(t)) for t in texts], dtype=bool)
-                if OTHER in model.languages:
-                    other = model.languages.index(OTHER)
-                    doubt = [k for k, t in enumerate(texts) if keep[k] and doubtful(t)]
-                    for some, sizes, found in scorer.chunks([texts[k] for k in doubt]) if doubt else ():
-                        share = np.add.reduceat(found[:, other], np.cumsum(sizes) - sizes) / np.array(sizes)
-                        keep[[doubt[k] for k in some]] &= share <= 0.5
-                yield part.filter(pa.array(keep))
+                yield part.filter(pa.array(identified(scorer, part.column("text").to_pylist())))
         del scorer
         release_memory()
 

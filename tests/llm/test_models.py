@@ -80,6 +80,18 @@ def test_languages_that_were_never_met_stay_and_junk_goes(spark):
     assert [langid.doubtful(t) for t in UNSEEN] == [False] * len(UNSEEN) and all(map(langid.doubtful, junk))
 
 
+def test_the_model_reads_every_text_with_letters():
+    class Seen(langid.Scorer):
+        def scores(self, words):
+            self.words = getattr(self, "words", []) + words
+            return super().scores(words)
+
+    model = langid.Model(["en", langid.OTHER], np.zeros((langid.DIMENSIONS + 1, 2)), np.zeros((2, 2)), np.array([0.0, 9.0]))  # holds any first word for no language
+    scorer = Seen(model)
+    assert langid.identified(scorer, [UNSEEN[0], None, "12", "one"]).tolist() == [True, False, False, True]
+    assert sorted(scorer.words) == sorted(langid.words_of(UNSEEN[0]) + ["one"])
+
+
 def test_kinds_of_features_have_their_own_names():
     places, sizes = langid.features(["in", "win", "a", "straße"])
     split = np.split(places, np.cumsum(sizes)[:-1])
