@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import dealt
 from .curves import NAMES, SAMPLES, bounds, curve, moved, point
 
 # Reach of control points, clearance of arcs, size of loops, distance of ribbons, radius of a hit, cell without any box.
@@ -214,6 +215,6 @@ def nearest_edges(points: DataFrame, curves: DataFrame, scale_x: float = 1.0, sc
     asking = points.select("point_id", "px", (F.col("py") * ratio).alias("py"))
     for axis in "xy":
         asking = asking.withColumn(f"c{axis}", F.explode(F.sequence(cell(f"p{axis}") - 1, cell(f"p{axis}") + 1)))
-    near = spots.join(asking.hint("merge"), ["cx", "cy"]).select("point_id", "edge_no", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")).alias("distance"))
+    near = spots.join(dealt(asking), ["cx", "cy"]).select("point_id", "edge_no", F.hypot(F.col("x") - F.col("px"), F.col("y") - F.col("py")).alias("distance"))
     best = F.min(F.struct("distance", "edge_no")).alias("b")
     return near.where(F.col("distance") < reach).groupBy("point_id").agg(best).select("point_id", "b.edge_no", "b.distance")
