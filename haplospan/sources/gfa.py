@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.naming import number
-from ..storage import cut, running
+from ..storage import cut, partitions, running
 
 
 #: Fields that a record needs at least, with its type.
@@ -55,8 +55,12 @@ def load(spark: SparkSession, path: str | list[str]) -> Graph:
     return Graph(segments(lines), links(lines), paths(lines), walks(lines))
 
 
-def of_type(lines: DataFrame, letter: str) -> DataFrame:
-    return lines.where(F.startswith(F.col("line"), F.lit(letter))).select("rec_no", F.split("line", "\t").alias("f"))
+def of_type(lines: DataFrame, letter: str, spread: bool = False) -> DataFrame:
+    """rec_no and fields of the records of a type; spread: dealt to all tasks first."""
+    found = lines.where(F.startswith(F.col("line"), F.lit(letter))).select("rec_no", "line")
+    if spread:
+        found = found.repartition(partitions(lines.sparkSession))
+    return found.select("rec_no", F.split("line", "\t").alias("f"))
 
 
 def tags(fields: Column) -> Column:
@@ -89,7 +93,7 @@ def segments(lines: DataFrame) -> DataFrame:
     second = F.get(f, F.lit(2))
     is_two = second.rlike("^[0-9]+$")
     sequence = F.coalesce(F.when(is_two, F.get(f, F.lit(3))).otherwise(second), F.lit("*"))
-    base = of_type(lines, "S").select(
+    base = of_type(lines, "S", spread=True).select(  # short lines that stand together, each with much work on its tags
         "rec_no",
         F.get(f, F.lit(1)).alias("id"),
         sequence.alias("sequence"),
