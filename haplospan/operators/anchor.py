@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import partitions
+
 
 def segment_lengths(segments: DataFrame) -> DataFrame:
     """segment and length; of records with one id the last counts, so that steps do not multiply."""
@@ -44,13 +46,15 @@ def anchored(visit_table: DataFrame, reference: str) -> DataFrame:
     Rank is 0 on the reference, else 1.
     """
     first = F.struct((F.col("name") != reference).cast("int").alias("other"), "phase", "rec_no", "step_no")
-    picked = visit_table.groupBy("segment").agg(F.min_by(F.struct("name", "at", "strand"), first).alias("v"))
+    of = visit_table.repartition(partitions(visit_table.sparkSession), "segment")  # else a task sorts all that it has read
+    picked = of.groupBy("segment").agg(F.min_by(F.struct("name", "at", "strand"), first).alias("v"))
     return picked.select("segment", F.col("v.name").alias("sn"), F.col("v.at").alias("so"), F.when(F.col("v.name") == reference, 0).otherwise(1).cast("long").alias("sr"), F.col("v.strand").alias("strand"))
 
 
 def carriage(visit_table: DataFrame) -> DataFrame:
     """segment and its samples, sorted."""
-    return visit_table.groupBy("segment").agg(F.array_sort(F.collect_set("sample")).alias("samples"))
+    once = visit_table.select("segment", "sample").distinct()  # plain rows, so partial sums; sets would be sorted by task as read
+    return once.groupBy("segment").agg(F.array_sort(F.collect_set("sample")).alias("samples"))
 
 
 def depth_windows(visit_table: DataFrame, width: int = 500) -> DataFrame:
