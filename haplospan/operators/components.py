@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import cut as checkpoint
+from ..storage import dealt
 
 
 def contracted(links: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
@@ -28,9 +29,9 @@ def contracted(links: DataFrame, level: int) -> tuple[DataFrame, DataFrame]:
     first = best.select(F.col("u").alias("node"), F.when(below, F.col("b.v")).otherwise(F.col("u")).alias("to"), F.when(below, F.col("b.rest")).otherwise(F.lit(0.0)).alias("way"))
     first = checkpoint(first)
     second = first.select(F.col("node").alias("to"), F.col("to").alias("goal"), F.col("way").alias("more"))
-    goals = checkpoint(first.join(second, "to").select("node", "goal", (F.col("way") + F.col("more")).alias("away")))
+    goals = checkpoint(first.join(dealt(second), "to").select("node", "goal", (F.col("way") + F.col("more")).alias("away")))
     a, b = (goals.select(F.col("node").alias(side), F.col("goal").alias(f"_{side}"), F.col("away").alias(f"_w{side}")) for side in "uv")
-    moved = links.join(a, "u").join(b, "v").where("_u <> _v")
+    moved = links.join(dealt(a), "u").join(dealt(b), "v").where("_u <> _v")
     pair = moved.select(F.least("_u", "_v").alias("u"), F.greatest("_u", "_v").alias("v"), (F.col("rest") + F.col("_wu") + F.col("_wv")).alias("rest"))
     return goals, checkpoint(pair.groupBy("u", "v").agg(F.min("rest").alias("rest")))
 
@@ -47,6 +48,6 @@ def components(links: DataFrame) -> DataFrame:
     last = goals.pop().select("node", F.col("goal").alias("end"))
     while goals:  # back to the nodes of the graph before: what is left over there has found its end
         later = last.select(F.col("node").alias("goal"), "end")
-        last = checkpoint(goals.pop().join(later, "goal", "left").select("node", F.coalesce("end", "goal").alias("end")))
+        last = checkpoint(goals.pop().join(dealt(later), "goal", "left").select("node", F.coalesce("end", "goal").alias("end")))
     roots = last.groupBy("end").agg(F.min("node").alias("root"))
-    return last.join(roots, "end").select("node", "root")
+    return last.join(dealt(roots), "end").select("node", "root")
