@@ -2,8 +2,9 @@
 
 Byte-level pre-tokenizers of the GPT-2 kind never let a piece run past the character before white space.  So a text
 without two white space characters in a row can be cut before each space and at each line feed, and its ids are
-those of the words in turn.  The library encodes many new words in one call, set apart by line feeds; words are remembered
-in a bounded memory.  Any other text, one that holds an added token of the tokenizer, and any other kind of tokenizer, is encoded whole.
+those of the words in turn.  Words are remembered in a bounded memory.  Latin letters and the ASCII marks after them are a piece each, which
+the library's model takes without a search for pieces; any other word goes through the whole library.
+A text that holds an added token of the tokenizer, any other text, and any other kind of tokenizer, is encoded whole.
 """
 
 from __future__ import annotations
@@ -18,6 +19,27 @@ import numpy as np
 #: Words remembered in each Python worker.
 WORDS = 1_000_000
 TWO_SPACES = re.compile(r"\s\s")
+#: A space or none, letters (which are letters in every version of Unicode), marks.
+LATIN = re.compile(r"( ?)([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u024F]+)([!-/:-@\[-`{-~]*)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The characters that stand for bytes in byte-level vocabularies: printable ones for themselves, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = sorted(set(range(256)).difference(shown))
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class Words(dict):
+    """Packed ids of words by their keys, worked out where they are not remembered."""
+
+    def __init__(self, encoder: WordEncoder):
+        super().__init__()
+        self.encoder = encoder
+
+    def __missing__(self, key: str) -> bytes:
+        found = self[key] = self.encoder.word(key)
+        return found
 
 
 class WordEncoder:
@@ -29,48 +51,45 @@ class WordEncoder:
         form = json.loads(self.library.to_str())
         pre = form["pre_tokenizer"] or {}
         self.by_word = not form["normalizer"] and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+        self.by_word = self.by_word and not form["truncation"] and not form["padding"]
         added = [t["content"] for t in form["added_tokens"] or ()]
         self.by_word = self.by_word and not any(re.search(r"\s", t) for t in added)
         self.added = re.compile("|".join(map(re.escape, added)) or r"(?!)")
         self.kind = "<u2" if self.library.get_vocab_size() <= 1 << 16 else "<u4"
-        self.feed = self.library.encode("\n", add_special_tokens=False).ids
-        self.by_word = self.by_word and len(self.feed) == 1
-        self.memory: dict[str, bytes] = {}
+        self.feed = self.whole("\n")
+        self.by_word = self.by_word and len(self.feed) == np.dtype(self.kind).itemsize
+        self.tokenize, self.letters = self.library.model.tokenize, byte_letters()
+        self.memory = Words(self)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-
-    def learn(self, keys: list[str], texts: list[str], before: bytes = b"") -> None:
-        """Remember the ids of texts under keys; no text has a line feed."""
-        for at in range(0, len(texts), 4096):
-            some = texts[at : at + 4096]
-            (joined,) = self.library.encode_batch_fast(["\n".join(some)], add_special_tokens=False)
-            ids = np.array(joined.ids, dtype=self.kind)
-            cuts = np.flatnonzero(ids == self.feed[0])
-            if len(cuts) != len(some) - 1:
-                raise ValueError("words do not stand alone in this tokenizer")
-            starts, ends = [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(ids)]
-            packed, width = ids.tobytes(), ids.itemsize
-            for key, a, b in zip(keys[at : at + 4096], starts, ends, strict=True):
-                self.memory[key] = before + packed[a * width : b * width]
+        (found,) = self.library.encode_batch_fast([text], add_special_tokens=False)
+        return np.array(found.ids, dtype=self.kind).tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of each text.
+    def piece(self, text: str) -> bytes:
+        """Packed ids of what the pre-tokenizer does not cut."""
+        return np.array([t.id for t in self.tokenize(text.encode().decode("latin-1").translate(self.letters))], dtype=self.kind).tobytes()
+
+    def word(self, key: str) -> bytes:
+        """Packed ids of a word.
 
-        Keys of words: a line feed and the word for the first of a line, a NUL and the word for the first of the text,
-        else the word, which a space goes before.
+        Keys: a line feed and the word for the first of a line, a NUL and the word for the first of the text, else the word, which a space goes before.
         """
+        text = key[1:] if key[0] in "\n\0" else " " + key
+        latin = LATIN.fullmatch(text)
+        if not latin:
+            found = self.whole(text)
+        else:
+            space, letters, marks = latin.groups()
+            found = self.memory[letters] + self.memory["\0" + marks] if space and marks else self.piece(space + letters) + (self.memory["\0" + marks] if marks else b"")
+        return self.feed + found if key[0] == "\n" else found
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of each text."""
         plain = [bool(t) and self.by_word and "\0" not in t and not t[0].isspace() and not t[-1].isspace() and not TWO_SPACES.search(t) and not self.added.search(t) for t in texts]
-        words = [("\0" + t.replace("\n", " \n")).split(" ") if p else None for t, p in zip(texts, plain, strict=True)]
         if len(self.memory) > WORDS:
             self.memory.clear()
-        new = set().union(*(w for w in words if w)).difference(self.memory)
-        later = [w for w in new if w[0] not in "\n\0"]
-        self.learn(later, [" " + w for w in later])
-        for mark, before in (("\n", np.array(self.feed, dtype=self.kind).tobytes()), ("\0", b"")):
-            first = [w for w in new if w[0] == mark]
-            self.learn(first, [w[1:] for w in first], before)
-        return [b"".join(map(self.memory.__getitem__, w)) if w else self.whole(t) if t else b"" for w, t in zip(words, texts, strict=True)]
+        ids_of = self.memory.__getitem__
+        return [b"".join(map(ids_of, ("\0" + t.replace("\n", " \n")).split(" "))) if p else self.whole(t) if t else b"" for p, t in zip(plain, texts, strict=True)]
 
 
 @functools.cache

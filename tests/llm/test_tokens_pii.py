@@ -185,3 +185,22 @@ def test_code_lengths_are_optimal_without_a_limit():
             heapq.heappush(heap, (a[0] + b[0], mark, 0))
             mark += 1
         assert sum(counts[k] * b for k, b in huffman.code_lengths(counts).items()) == total
+
+
+def test_words_of_letters_and_marks_pass_no_search_for_pieces(tmp_path):
+    """Letters and the marks after them go to the model alone; all words have the ids that the library gives the text."""
+    path = P.path("byte_bpe_50k.json")
+    library, encoder, searched = Tokenizer.from_file(path), WordEncoder(path), []
+    whole = encoder.whole
+    encoder.whole = lambda text: searched.append(text) or whole(text)
+    rng = random.Random(5)
+    plain = ["".join(rng.choice("abcdeÀßéÿŁTR") for _ in range(rng.randint(1, 9))) + rng.choice(["", "", ".", ",", "!!", "'", "%%%", ").", '"']) for _ in range(4_000)]
+    texts = [(" " if k % 3 else "\n").join(plain[k : k + 40]) for k in range(0, 4_000, 40)]
+    packed = [np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u2").tobytes() for t in texts]
+    assert encoder.encode(texts) == packed and encoder.encode(texts) == packed
+    assert not [t for t in searched if any(c.isalpha() for c in t)]
+    odd = ["".join(rng.choice("ab'sT1²ªµ×÷ƒɐяд中٣\u0301\x1c\u200b.,_-~é ") for _ in range(rng.randint(1, 60))) for _ in range(4_000)]
+    assert encoder.encode(odd) == [np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u2").tobytes() for t in odd]
+    library.enable_truncation(3)
+    library.save(str(tmp_path / "short.json"))
+    assert WordEncoder(str(tmp_path / "short.json")).encode(["some words, more words"]) == [np.array(library.encode("some words, more words").ids, dtype="<u2").tobytes()]
