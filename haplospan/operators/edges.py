@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..storage import dealt
+from ..storage import cut, dealt, spread
 from .curves import NAMES, SAMPLES, bounds, curve, moved, point
 
 # Reach of control points, clearance of arcs, size of loops, distance of ribbons, radius of a hit, cell without any box.
@@ -82,7 +82,7 @@ def bows(ends: DataFrame, bypassed: DataFrame, drawn: DataFrame) -> DataFrame:
     _, ux, uy = unit(dx, dy)
     chords = ends.select("edge_no", F.col("f.x").alias("fx"), F.col("f.y").alias("fy"), F.coalesce(ux, F.lit(1.0)).alias("ux"), F.coalesce(uy, F.lit(0.0)).alias("uy"))
     x, y = F.col("p.x") - F.col("fx"), F.col("p.y") - F.col("fy")
-    off = points.join(chords, "edge_no").select("edge_no", "place", "at", (y * F.col("ux") - x * F.col("uy")).alias("off"), (x * F.col("ux") + y * F.col("uy")).alias("along"))
+    off = points.join(dealt(chords), "edge_no").select("edge_no", "place", "at", (y * F.col("ux") - x * F.col("uy")).alias("off"), (x * F.col("ux") + y * F.col("uy")).alias("along"))
     far = F.max_by("off", F.struct(F.abs("off"), -F.col("place"), -F.col("at")))
     found = off.groupBy("edge_no").agg(far.alias("reach"), (F.max("along") - F.min("along")).alias("span"))
     size = F.greatest(F.abs("reach") * CLEARANCE / APEX_SHARE, F.col("span") * ALONG_SHARE)
@@ -101,7 +101,8 @@ def edge_curves(edges: DataFrame, drawn: DataFrame, scale_x: float = 1.0, scale_
     if bypassed is None:
         ends = ends.withColumn("bulge", F.lit(0.0))
     else:
-        ends = ends.join(bows(ends, bypassed, flat), "edge_no", "left").withColumn("bulge", F.coalesce("bulge", F.lit(0.0)))
+        ends = spread(cut(ends), "edge_no")  # read twice; sorted with all that is said of an edge
+        ends = ends.join(dealt(bows(ends, bypassed, flat)), "edge_no", "left").withColumn("bulge", F.coalesce("bulge", F.lit(0.0)))
     fx, fy, tx, ty = F.col("f.x"), F.col("f.y"), F.col("t.x"), F.col("t.y")
     dist, ux, uy = unit(tx - fx, ty - fy)
     ux, uy = F.coalesce(ux, F.lit(0.0)), F.coalesce(uy, F.lit(0.0))

@@ -5,6 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from haplospan import storage
 from haplospan.operators import edges, spatial
 
 POINTS = "node_id string, points array<struct<x: double, y: double>>"
@@ -114,3 +115,14 @@ def test_view_keeps_edges_that_cross_it(spark):
     curves = spark.createDataFrame([(1, [(0.0, 0.0, 1.0, 0.0, 2.0, 0.0, 100.0, 0.0)]), (2, [(0.0, 50.0, 0.0, 50.0, 9.0, 60.0, 9.0, 60.0)]), (3, [(0.0, 90.0, 0.0, -90.0, 1.0, -90.0, 1.0, 90.0)])], "edge_no int, curves array<struct<x0:double,y0:double,x1:double,y1:double,x2:double,y2:double,x3:double,y3:double>>")
     assert [r["edge_no"] for r in edges.edges_in_view(curves, 40, -5, 60, 5).collect()] == [1]
     assert sorted(r["edge_no"] for r in edges.edges_in_view(curves, -5, -50, 5, 55).collect()) == [1, 2, 3]
+
+
+def test_tasks_of_arcs_grow_with_the_edges(spark, monkeypatch):
+    """What is sorted by edge has so many rows in a task, whatever the session's number of partitions."""
+    drawn = spark.range(101).select(F.concat(F.lit("n"), "id").alias("node_id"), F.array(*[F.struct((F.col("id") * 10.0 + k).alias("x"), (F.col("id") % 3 * 1.0).alias("y")) for k in (0, 5)]).alias("points"))
+    links = spark.range(100).select(F.col("id").alias("edge_no"), F.concat(F.lit("n"), "id").alias("from_id"), F.concat(F.lit("n"), F.col("id") + 1).alias("to_id"))
+    skipped = links.select("edge_no", F.array(F.concat(F.lit("n"), (F.col("edge_no") + 7) % 101)).alias("bypassed"))
+    want = sorted(edges.edge_curves(links, drawn, 2.0, 1.0, skipped).collect())
+    monkeypatch.setattr(storage, "ROWS", 5)
+    got = edges.edge_curves(links, drawn, 2.0, 1.0, skipped)
+    assert got.rdd.getNumPartitions() >= 20 and sorted(got.collect()) == want
