@@ -178,6 +178,23 @@ def layout_bounds(positions: DataFrame, region: tuple[int, int] | None = None) -
     return positions.agg(left.alias("min_x"), F.min("y").cast("double").alias("min_y"), (right - left).alias("w"), (F.max("y") - F.min("y")).cast("double").alias("h"))
 
 
+def row_bounds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """min_y and h of the anchored layout of all nodes.
+
+    Backbone nodes and those beside them are placed in any case.  Where their rows reach as far as the rows of all nodes, no other node can change the bounds; else
+    the nodes are laid out.
+    """
+    rows = rank_rows(nodes)
+    row = F.coalesce("row", F.lit(rows.count())) * ROW
+    ranked = nodes.select("node_id", is_backbone().alias("sure"), F.coalesce("sr", F.lit(1)).alias("sr")).join(F.broadcast(rows), "sr", "left").select("node_id", "sure", row.alias("y"))
+    near = neighbours(edges).join(nodes.where(is_backbone()).select("node_id"), F.col("other") == F.col("node_id"), "left_semi").select(F.col("node").alias("node_id"))
+    reach = [F.min("y").cast("double").alias("min_y"), (F.max("y") - F.min("y")).cast("double").alias("h")]
+    sure = ranked.where("sure").unionByName(ranked.where("not sure").join(near, "node_id", "left_semi")).agg(*reach).first()
+    if sure["h"] is None or sure != ranked.agg(*reach).first():
+        return layout_bounds(anchored_layout(nodes, edges)).select("min_y", "h")
+    return nodes.sparkSession.createDataFrame([sure], "min_y double, h double")
+
+
 def pane_height(bounds: DataFrame, width: float, least: float, most: float, padding: float, pixel_rows: bool) -> DataFrame:
     """Height of a pane that fits the drawing: its rows where these are pixels, else its aspect; between the least and the most."""
     ceiling = max(least, most)

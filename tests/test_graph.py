@@ -147,3 +147,17 @@ def test_colours_and_layouts_have_their_limits(spark, worked):
     with pytest.raises(ValueError, match="more than 5 nodes"):
         layout.lay_out(n, e, "anchored", limit=5)
     assert layout.lay_out(n, e, "anchored", limit=6).count() == layout.lay_out(n, e, "auto", limit=None).count() == 6
+
+
+def test_rows_reach_as_far_as_in_the_layout(spark, monkeypatch):
+    """Bounds of rows are those of the layout, and without one where nodes beside the backbone decide."""
+    def graph(ranks, pairs):
+        nodes = [(k, x, x, 10, 1.0, "R#0#c" if r == 0 else "S#1#c", k * 10, r) for k, (x, r) in enumerate(ranks.items())]
+        return spark.createDataFrame(nodes, NODES), spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], EDGES)
+
+    beside = graph({"a": 0, "b": 0, "x": 1, "y": 3, "z": 2, "n": None}, [("a", "b"), ("a", "x"), ("x", "b"), ("y", "a"), ("x", "z"), ("n", "b")])
+    beyond = graph({"a": 0, "b": 0, "x": 1, "z": 2, "far": 5}, [("a", "b"), ("a", "x"), ("x", "z"), ("far", "far")])
+    for g, height in ((beside, 60.0), (beyond, 40.0)):
+        assert layout.row_bounds(*g).collect() == layout.layout_bounds(layout.anchored_layout(*g)).select("min_y", "h").collect() == [(0.0, height)]
+    monkeypatch.setattr(layout, "positions", None)
+    assert layout.row_bounds(*beside).collect() == [(0.0, 60.0)]
