@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from haplospan import storage
 from haplospan.operators import anchor, components, convert, force
 from haplospan.plans import fixtures as fx
 from haplospan.sources import beds, gfa
@@ -42,6 +43,16 @@ def test_records_are_written_once_and_in_order(spark, capsys):
     assert "Window" not in shown and "Aggregate" not in shown and "Exchange" not in shown  # lines from records as they are
 
 
+def test_tasks_that_collect_steps_grow_with_the_rows(spark, capsys, monkeypatch):
+    """Whatever the session's number of partitions, no task collects more rows than it sorts without spilling; the shuffled rows hold no names."""
+    kept = fx.records(spark, SF)
+    monkeypatch.setattr(storage, "MOST", 200)
+    made = fx.derived_records(spark, SF)
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert made.rdd.getNumPartitions() >= rows // 200 and made.exceptAll(kept).isEmpty() and made.count() == kept.count()
+    assert "concat" not in plan(capsys, made).split("REPARTITION_BY_NUM", 1)[1].split("Scan", 1)[0]
+
+
 def test_segment_lines_are_dealt_before_their_tags_are_read(spark):
     lines = spark.range(50).coalesce(1).selectExpr("id AS rec_no", "concat('S\t', id, '\t*\tLN:i:', id) AS line")
     found = gfa.segments(lines)
