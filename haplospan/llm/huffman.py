@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ from .tokens import word_encoder
 MAX_BITS = 18
 RUN = 128
 BLOCK_IDS = 262_144
+#: UTF-8 bytes of the texts that are encoded at a time, or one longer text.
+TEXT_BYTES = 8 << 20
 
 
 # ---------------------------------------------------------------- code
@@ -81,29 +84,44 @@ def canonical(ids: np.ndarray, bits: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 def pack(ids: np.ndarray, bits_of: np.ndarray, code_of: np.ndarray) -> tuple[bytes, np.ndarray]:
     """The payload of a block, and its checkpoints."""
-    bits, codes = bits_of[ids], code_of[ids]
+    bits = bits_of[ids]
     ends = np.cumsum(bits)
     starts = ends - bits
     total = int(ends[-1]) if len(ends) else 0
-    out = np.zeros(total // 8 + 5, dtype=np.int64)
-    word = codes << (32 - bits - (starts & 7))
-    for k in range(4):
-        part = (word >> (24 - 8 * k)) & 255
-        out += np.bincount((starts >> 3) + k, weights=part, minlength=len(out)).astype(np.int64)
-    return out[: (total + 7) // 8].astype(np.uint8).tobytes(), starts[::RUN].astype("<u4")
+    if not total:
+        return b"", starts[::RUN].astype("<u4")
+    # codes that begin in the same 32 bits are added up in 64; codes are shorter than 32 bits, so one begins in all of them
+    shifted = code_of[ids].astype(np.uint64) << (64 - bits - (starts & 31)).astype(np.uint64)
+    sums = np.add.reduceat(shifted, np.searchsorted(starts, np.arange(0, int(starts[-1]) + 1, 32)))
+    out = np.zeros(len(sums) + 1, dtype=np.uint32)
+    out[:-1] = sums >> np.uint64(32)
+    out[1:] |= (sums & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    return out.astype(">u4").tobytes()[: (total + 7) // 8], starts[::RUN].astype("<u4")
+
+
+def look_up(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The id, and the bits of its code in the low byte, by the next MAX_BITS bits; ids and bits in canonical order."""
+    joined = np.repeat(ids << 8 | bits, 1 << (MAX_BITS - bits))
+    joined = np.pad(joined, (0, (1 << MAX_BITS) - len(joined)), constant_values=1)
+    return joined.astype(np.uint32 if joined.max() < 1 << 32 else np.uint64)
 
 
 def unpack(payload: bytes, checkpoints: np.ndarray, n: int, symbol: np.ndarray, width: np.ndarray) -> np.ndarray:
     """The ids of a block; symbol and width by the next MAX_BITS bits."""
+    return unpack_joined(payload, checkpoints, n, symbol.astype(np.uint64) << np.uint64(8) | width.astype(np.uint64))
+
+
+def unpack_joined(payload: bytes, checkpoints: np.ndarray, n: int, joined: np.ndarray) -> np.ndarray:
+    """The ids of a block; joined as look_up has it."""
     data = np.frombuffer(payload + bytes(8), dtype=np.uint8).astype(np.uint32)
     words = (data[:-3] << 24) | (data[1:-2] << 16) | (data[2:-1] << 8) | data[3:]  # the 32 bits from each byte on
-    at, last = checkpoints.astype(np.uint32), np.uint32(len(words) - 1)
-    out = np.zeros((RUN, len(at)), dtype=np.uint32)
+    at = checkpoints.astype(np.uint32)
+    out = np.zeros((RUN, len(at)), dtype=joined.dtype)
     for k in range(RUN):
-        peek = (words[np.minimum(at >> 3, last)] << (at & 7)) >> np.uint32(32 - MAX_BITS)
-        out[k] = symbol[peek]
-        at = at + width[peek]
-    return out.T.reshape(-1)[:n]
+        peek = (words.take(at >> 3, mode="clip") << (at & 7)) >> np.uint32(32 - MAX_BITS)
+        joined.take(peek, out=out[k], mode="clip")
+        at += out[k].astype(np.uint8)
+    return (out >> joined.dtype.type(8)).astype(np.uint32).T.reshape(-1)[:n]
 
 
 # ---------------------------------------------------------------- tokens
@@ -114,12 +132,14 @@ def tokenized(docs: DataFrame, path: str, end_id: int) -> DataFrame:
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_encoder(path)
-        end = np.array([end_id], dtype=words.kind).tobytes()
+        end = pa.scalar(np.array([end_id], dtype=words.kind).tobytes(), pa.binary())
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
-                ids = [x + end for x in words.encode(part.column("text").to_pylist())]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), pa.array(ids, pa.binary())], ["doc_id", "tie", "ids"])
+            sums = np.cumsum(pc.binary_length(batch.column("text")).to_numpy().astype(np.int64)) // TEXT_BYTES
+            cuts = [0, *(np.flatnonzero(np.diff(sums)) + 1).tolist(), batch.num_rows]
+            for start, stop in zip(cuts, cuts[1:], strict=False):
+                part = batch.slice(start, stop - start)
+                ids = pc.binary_join_element_wise(words.encode_array(part.column("text")), end, pa.scalar(b"", pa.binary()))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("tie"), ids], ["doc_id", "tie", "ids"])
 
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.crc32(text).alias("tie"), text.alias("text"))
@@ -188,13 +208,11 @@ def read_blocks(blocks: DataFrame, code: list[tuple[int, int]]) -> DataFrame:
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, bits, _ = canonical(*np.array(code, dtype=np.int64).reshape(-1, 2).T)
-        symbol, width = np.repeat(ids, 1 << (MAX_BITS - bits)), np.repeat(bits, 1 << (MAX_BITS - bits))
-        gap = (1 << MAX_BITS) - len(symbol)
-        symbol, width = np.pad(symbol, (0, gap)).astype(np.uint32), np.pad(width, (0, gap), constant_values=1).astype(np.uint32)
+        joined = look_up(ids, bits)
         for batch in batches:
             for row in range(batch.num_rows):
                 part, block, doc_ids, sizes, n, points, payload = (batch.column(k)[row].as_py() for k in range(7))
-                flat = unpack(payload, np.frombuffer(points, dtype="<u4"), n, symbol, width)
+                flat = unpack_joined(payload, np.frombuffer(points, dtype="<u4"), n, joined)
                 ends = np.cumsum([0, *sizes])
                 docs = len(doc_ids)
                 yield pa.RecordBatch.from_arrays(

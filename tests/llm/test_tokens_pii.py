@@ -13,7 +13,7 @@ import tiktoken
 from tokenizers import Tokenizer
 
 from haplospan.llm import bpe, huffman, pii, queries
-from haplospan.llm.tokens import WordEncoder
+from haplospan.llm.tokens import WordEncoder, byte_letters
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, spans string, ids string"
@@ -204,3 +204,84 @@ def test_words_of_letters_and_marks_pass_no_search_for_pieces(tmp_path):
     library.enable_truncation(3)
     library.save(str(tmp_path / "short.json"))
     assert WordEncoder(str(tmp_path / "short.json")).encode(["some words, more words"]) == [np.array(library.encode("some words, more words").ids, dtype="<u2").tobytes()]
+
+
+class Calls:
+    """A tokenizer that counts the calls it gets."""
+
+    def __init__(self, inner):
+        self.inner, self.count = inner, 0
+
+    def encode_batch_fast(self, *a, **b):
+        self.count += 1
+        return self.inner.encode_batch_fast(*a, **b)
+
+
+def test_new_words_share_calls_of_the_model():
+    """20,000 new words take some dozen calls of the library, and none when they come again; ids are the library's."""
+    encoder, rng = WordEncoder(P.path("byte_bpe_50k.json")), random.Random(8)
+    library = encoder.library
+    words = list({"".join(rng.choice("abcdeÀßéÿŁTR") for _ in range(rng.randint(5, 12))) for _ in range(20_000)})
+    texts = [("\n" if k % 3 == 0 else " ").join(w + rng.choice(["", "", ",", "!!"]) for w in words[k : k + 40]) for k in range(0, len(words), 40)]
+    want = [np.array(library.encode(t, add_special_tokens=False).ids, dtype="<u2").tobytes() for t in texts]
+    encoder.library, encoder.model = Calls(library), Calls(encoder.model)
+    assert encoder.encode(texts) == want
+    assert encoder.library.count + encoder.model.count < 60
+    before = encoder.model.count
+    assert encoder.encode(texts[::-1]) == want[::-1] and encoder.model.count == before
+
+
+@pytest.mark.parametrize(
+    "odd",
+    [
+        {},
+        {"merges": [("a", "Ġ"), ("b", "c"), ("aĠ", "bc")]},  # over the space
+        {"merges": [("a", "Ċ"), ("Ċ", "b")]},  # over the line feed
+        {"ignore_merges": True, "more": ["Ġabc", "abc"]},
+        {"end_of_word_suffix": "</w>", "more": [f"{x}</w>" for x in byte_letters().values()], "merges": [("b", "c</w>")]},
+        {"added": ["bca", "Ġ"]},
+        {"more": [f"word{k}" for k in range(70_000)]},  # ids of 32 bits
+    ],
+)
+def test_words_of_other_vocabularies(tmp_path, odd):
+    from tokenizers import models, pre_tokenizers
+
+    merges = [("a", "b"), ("Ġ", "a"), ("Ġa", "b"), *odd.get("merges", ())]
+    names = dict.fromkeys([*byte_letters().values(), *odd.get("more", ()), *("".join(m) for m in merges)])
+    kind = models.BPE(vocab={t: k for k, t in enumerate(names)}, merges=merges, **{k: v for k, v in odd.items() if k in ("ignore_merges", "end_of_word_suffix")})
+    library = Tokenizer(kind)
+    library.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    library.add_tokens(odd.get("added", []))
+    library.save(str(tmp_path / "t.json"))
+    encoder, rng = WordEncoder(str(tmp_path / "t.json")), random.Random(9)
+    texts = ["".join(rng.choice("aabbcc  \n,é1") for _ in range(rng.randint(0, 30))) for _ in range(2_000)]
+    assert encoder.by_word
+    assert encoder.encode(texts) == [np.array(library.encode(t, add_special_tokens=False).ids, dtype=encoder.kind).tobytes() for t in texts]
+
+
+def test_texts_go_by_bounded_bytes(spark, monkeypatch):
+    """Rows keep their order and ids however few bytes are encoded at a time."""
+    texts = [None, "", "a b", "  two  spaces", "line\nline", "x" * 50, "漢字 かな", "a\x1cb \x85", "end"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = library_rows(list(enumerate(texts)))
+    for size in (1, 7, 1 << 22):
+        monkeypatch.setattr(huffman, "TEXT_BYTES", size)
+        assert sorted(map(tuple, huffman.ids_from_files(docs, P.path("byte_bpe_50k.json"), 2).collect())) == want
+
+
+def test_codes_are_packed_most_significant_bit_first():
+    """Payloads equal the codes written one after the other, for ids of more than 24 bits as well; few sums are made for a block."""
+    rng = np.random.default_rng(6)
+    for n, last in ((0, 5), (1, 5), (40, 2), (5_000, 40_000), (5_000, 1 << 25)):
+        ids = np.minimum(rng.zipf(1.2, n), 40_000) - 1
+        ids[ids == ids.max(initial=0)] = last
+        counts = {0: 1, 1: 1} | {int(k): int(c) for k, c in zip(*np.unique(ids, return_counts=True), strict=True)}
+        a, b, c = huffman.canonical(*np.array(sorted(huffman.code_lengths(counts).items())).T)
+        bits, codes = np.zeros(a.max() + 1, dtype=np.int64), np.zeros(a.max() + 1, dtype=np.int64)
+        bits[a], codes[a] = b, c
+        text = "".join(f"{codes[i]:0{bits[i]}b}" for i in ids)
+        payload, points = huffman.pack(ids, bits, codes)
+        assert payload == bytes(int(text[k : k + 8].ljust(8, "0"), 2) for k in range(0, len(text), 8))
+        joined = huffman.look_up(a, b)
+        assert joined.dtype == (np.uint64 if a.max() >= 1 << 24 else np.uint32)
+        assert (huffman.unpack_joined(payload, points, n, joined) == ids).all()
